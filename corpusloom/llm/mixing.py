@@ -85,7 +85,7 @@ s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, CAST(2 * sum(size
 r AS (SELECT *, 1.5::DOUBLE * CAST(sum(source_size) OVER () AS BIGINT) AS budget,
         coalesce(sum(cap) OVER before, 0) AS capped, sum(w) OVER () - coalesce(sum(w) OVER before, 0) AS room
       FROM s WINDOW before AS (ORDER BY cap::DOUBLE / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-rate AS (SELECT min((budget - capped::DOUBLE) / room) FILTER (WHERE (budget - capped::DOUBLE) / room * w <= cap) AS rate FROM r),
+rate AS (SELECT max((budget - capped::DOUBLE) / room) FILTER (WHERE (budget - capped::DOUBLE) / room * w <= cap) AS rate FROM r),
 t AS (SELECT source, source_size, CAST(least(cap::DOUBLE, coalesce(rate * w, cap::DOUBLE)) AS DOUBLE) AS target FROM s, rate),
 p AS (SELECT d.doc_id, d.size, t.source_size, t.target,
         CASE WHEN t.source_size > 0 THEN floor(t.target / t.source_size) ELSE 0 END AS whole,
