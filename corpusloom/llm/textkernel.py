@@ -17,6 +17,10 @@ BLOCK_BYTES = 1 << 20
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
+#: Bytes that are neither an ASCII letter or digit nor part of a longer code point.
+PUNCTUATION = np.ones(256, dtype=bool)
+PUNCTUATION[[*b"0123456789", *b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", *b"abcdefghijklmnopqrstuvwxyz", *range(128, 256)]] = False
+
 _U = np.uint64
 
 
@@ -57,9 +61,9 @@ _BYTE_CODES = splitmix(np.arange(256, dtype=np.uint64) + _U(0x1234567))
 class Block:
     """Rows [first, last) of a column: bytes, row offsets and, lazily, words and their hashes."""
 
-    def __init__(self, first: int, last: int, data: np.ndarray, offsets: np.ndarray):
+    def __init__(self, first: int, last: int, data: np.ndarray, offsets: np.ndarray, gaps: np.ndarray = SPACE):
         self.first, self.last, self.data, self.offsets = first, last, data, offsets
-        space = SPACE[data]
+        space = gaps[data]
         edge = np.zeros(len(data) + 1, dtype=bool)
         edge[offsets] = True
         edge[-1] = True
@@ -126,8 +130,13 @@ def window_hashes(hashes: np.ndarray, width: int) -> np.ndarray:
     return splitmix((total[width:] - total[:-width]) * down[:n])
 
 
-def blocks(column: pa.Array | pa.ChunkedArray, max_bytes: int = BLOCK_BYTES) -> Iterator[Block]:
-    """Cut a string or binary column into blocks of about max_bytes; a longer row is a block alone. Nulls are empty."""
+def lower(data: np.ndarray) -> np.ndarray:
+    """The bytes with A-Z in lower case."""
+    return data + ((data >= 65) & (data <= 90)).astype(np.uint8) * np.uint8(32)
+
+
+def blocks(column: pa.Array | pa.ChunkedArray, max_bytes: int = BLOCK_BYTES, gaps: np.ndarray = SPACE, lowered: bool = False) -> Iterator[Block]:
+    """Cut a string or binary column into blocks of about max_bytes; a longer row is a block alone. Nulls are empty. `gaps` says which bytes part words."""
     chunks = column.chunks if isinstance(column, pa.ChunkedArray) else [column]
     base = 0
     for chunk in chunks:
@@ -148,7 +157,8 @@ def blocks(column: pa.Array | pa.ChunkedArray, max_bytes: int = BLOCK_BYTES) ->
             last = int(np.searchsorted(offsets, offsets[first] + max_bytes, side="right")) - 1
             last = min(max(last, first + 1), n)
             own = offsets[first : last + 1]
-            yield Block(base + first, base + last, data[own[0] : own[-1]], own - own[0])
+            part = data[own[0] : own[-1]]
+            yield Block(base + first, base + last, lower(part) if lowered else part, own - own[0], gaps)
             first = last
         base += n
 
