@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,10 +21,23 @@ def shared_dir(spark: SparkSession) -> str:
     return known.rstrip("/")
 
 
+@contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """Within it, the shuffle files of an action are deleted as soon as its result is written."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def keep(df: DataFrame) -> DataFrame:
     """Write a frame to the shared folder and read it back: its lineage ends there, and a lost executor costs nothing."""
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    with tidy(df.sparkSession):
+        return df.checkpoint(eager=True)
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -37,14 +52,6 @@ def drop_path(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Let Spark's cleaner delete the shuffle files of frames that are no longer referenced."""
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def salted_join(left: DataFrame, right: DataFrame, key: str, spread: str, count: str, total: int, parts: int = 512, salts: int = 64) -> DataFrame:
     """Left join on a key that few rows of `right` may share with very many of `left`.
 

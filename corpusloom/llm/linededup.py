@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .graph import components, drop_path, free_shuffles, keep, salted_join, scratch
+from .graph import components, drop_path, keep, salted_join, scratch
 
 EDITS = 2
 MIN_CHARS = 20
@@ -265,7 +265,6 @@ def link_edges(texts: DataFrame, min_chars: int = MIN_CHARS, edits: int = EDITS)
     """Edges (src, dst) between line hashes that connect what links of at most `edits` edits connect; `texts` has one text column."""
     keys = texts.mapInArrow(_signatures(min_chars, edits), "sig long, line long, own boolean")
     hits = keep(keys.repartition("sig").sortWithinPartitions("sig", "line").mapInArrow(_shared, "sig long, size long, line long, own boolean"))
-    free_shuffles(texts.sparkSession)
     wanted = hits.groupBy("line").agg(F.count(F.lit(1)).alias("n"))
     words = texts.mapInArrow(_texts(min_chars), "line long, words string").join(wanted, "line").groupBy("line").agg(F.first("words").alias("words"))
     cut = F.ceil(F.col("size") / BLOCK).cast("int")
@@ -315,7 +314,6 @@ def remove_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "
     total = lead.agg(F.sum("n")).first()[0] or 0
     gone = salted_join(places, lead, "line", "key", "n", total).filter("lead_key is not null and not (lead_key = key and lead_place = place)")
     marks = keep(gone.groupBy("key").agg(F.collect_set("place").alias("gone")))
-    free_shuffles(spark)
     drop_path(spark, path)
     out = rows.join(marks, rows["_key"] == marks["key"], "left").select("_id", *carry, "gone", "_text")
     fields = {f.name: f.dataType.simpleString() for f in docs.schema.fields}

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .graph import drop_path, free_shuffles, keep, salted_join, scratch
+from .graph import drop_path, keep, salted_join, scratch, tidy
 from .textkernel import Block, blocks, slide_min, splitmix, window_hashes
 
 WIDTH = 35
@@ -177,7 +177,8 @@ class FingerprintIndex:
     def _write(self, run: DataFrame) -> str:
         self.made += 1
         path = f"{self.path}/run-{self.made:05d}"
-        run.sortWithinPartitions("fp").write.parquet(path)
+        with tidy(self.spark):
+            run.sortWithinPartitions("fp").write.parquet(path)
         return path
 
     def run(self, path: str) -> DataFrame:
@@ -256,19 +257,16 @@ def remove_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text: str
     for k in range(batches):
         part = rows.filter(batch_of == k).select("_text").mapInArrow(_fingerprints(width, gram), "fp long, n long")
         index.append(part)
-    free_shuffles(spark)
     candidates = keep(index.repeated())
     total = candidates.agg(F.sum("n")).first()[0] or 0
     places = rows.select("_id", "_text").mapInArrow(_occurrences(width, gram), "fp long, id long, at int")
     hits = salted_join(places, candidates.withColumn("hit", F.lit(True)), "fp", "id", "n", total).filter("hit")
     spots = keep(hits.groupBy("id").agg(F.collect_set("at").alias("spots")))
     index.drop()
-    free_shuffles(spark)
     named = rows.withColumn("_key", F.xxhash64("_id", "_text"))
     suspects = named.join(spots, F.col("_id").eqNullSafe(F.col("id"))).select("_key", "_text", "spots")
     windows = suspects.mapInArrow(_windows(width, gram), "w1 long, w2 long, key long, start int, known boolean")
     grouped = windows.repartition("w1", "w2").sortWithinPartitions("w1", "w2")
     repeated = keep(grouped.mapInArrow(_repeated, "key long, start int").groupBy("key").agg(F.collect_set("start").alias("starts")))
-    free_shuffles(spark)
     out = named.join(repeated, F.col("_key") == F.col("key"), "left").select("_id", "_text", "starts")
     return out.mapInArrow(_strip(width), "id long, n_words long, n_removed long, kept string").withColumnRenamed("id", id_col)

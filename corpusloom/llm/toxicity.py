@@ -20,9 +20,9 @@ from .labelled import fit_in_one_task, remainder, sample
 from .textkernel import PUNCTUATION, Block, blocks, splitmix
 
 BITS = 20
-TRAIN = 12000
-EPOCHS = 3
-ALPHA, BETA, L1, L2 = 0.1, 1.0, 1.5, 1.0
+TRAIN = 16000
+EPOCHS = 5
+ALPHA, BETA, L1, L2 = 2.0, 1.0, 12.0, 0.1
 
 
 def features(block: Block) -> tuple[np.ndarray, np.ndarray]:
