@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 WORD_GAP = r"[\x20\x09-\x0D]+"
 #: Hex digits of the key that name its range: 16 ** RANGE_DIGITS ranges for each source.
-RANGE_DIGITS = 4
+RANGE_DIGITS = 3
 
 
 def n_words(text) -> F.Column:
