@@ -1,15 +1,463 @@
-"""All queries of the engine by name, and their SQL equivalents."""
+"""All queries of the engine by name over the driver's tables, and their SQL equivalents for DuckDB."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .functions import html, media, text, urls
+from .operators import admission, dedup, manifest, metrics, reports, schedule
+from .plans.options import Admission
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_ORACLES)
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+_HOST = r"lower(regexp_extract(url, '^[A-Za-z]+://([^/?#:]*)', 1))"
+_NORM = r"regexp_replace(regexp_replace(lower(regexp_extract(url, '^([A-Za-z]+://[^/?#]*)', 1)) || regexp_extract(url, '^[A-Za-z]+://[^/?#]*(.*)$', 1), '#.*$', ''), '/$', '')"
+_HREFS = """regexp_extract_all(html, '<a [^>]*href="([^"]*)"', 1)"""
+
+
+def _extracted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages with their extraction, one parse each."""
+    return _t(spark, sf_dir, "pages").select("page_id", "url", html.extract_page("html", "url").alias("p"))
+
+
+# Pages and URLs
+
+
+@query(rf"WITH p AS (SELECT regexp_extract({_HOST}, '([^.]+\.[^.]+)$', 1) AS root, len({_HREFS}) AS n FROM pages) SELECT root, count(*) AS n_pages, CAST(sum(n) AS BIGINT) AS n_links FROM p GROUP BY root")
+def page_domain_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _extracted(spark, sf_dir).select(urls.url_parts("url").alias("u"), F.size("p.links").alias("n"))
+    return rows.filter("u.safe").groupBy(F.col("u.root").alias("root")).agg(F.count(F.lit(1)).alias("n_pages"), F.sum("n").alias("n_links"))
+
+
+@query(f"SELECT {_HOST} AS host, count(*) AS n FROM pages GROUP BY 1")
+def url_host_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "pages").groupBy(urls.quick_host(F.col("url")).alias("host")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"SELECT page_id, {_NORM} AS url_norm FROM pages")
+def url_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "pages").select("page_id", urls.normalize_url_col("url").alias("url_norm"))
+
+
+@query(rf"SELECT regexp_extract({_HOST}, '([^.]+\.[^.]+)$', 1) AS root, count(*) AS n FROM pages GROUP BY 1")
+def root_domain_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "pages").groupBy(urls.root_domain_col("url").alias("root")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""SELECT page_id, replace(replace(replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&') AS title FROM pages""")
+def page_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _extracted(spark, sf_dir).select("page_id", "p.title")
+
+
+@query("""SELECT regexp_extract(html, '<html[^>]*lang="([^"]*)"', 1) AS lang, count(*) AS n FROM pages GROUP BY 1""")
+def page_lang_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _extracted(spark, sf_dir).groupBy(F.col("p.lang").alias("lang")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"SELECT page_id, CAST(len({_HREFS}) AS BIGINT) AS n_links, CAST(len(list_distinct({_HREFS})) AS BIGINT) AS n_distinct FROM pages")
+def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    links = F.col("p.links")
+    return _extracted(spark, sf_dir).select("page_id", F.size(links).cast("long").alias("n_links"), F.size(F.array_distinct(links)).cast("long").alias("n_distinct"))
+
+
+@query(f"SELECT CAST(n AS INTEGER) AS fanout, count(*) AS n_pages FROM (SELECT len({_HREFS}) AS n FROM pages) GROUP BY 1")
+def link_fanout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _extracted(spark, sf_dir).groupBy(F.size("p.links").alias("fanout")).agg(F.count(F.lit(1)).alias("n_pages"))
+
+
+@query()
+def page_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All fields of every page; an HTML tree is beyond SQL."""
+    p = _extracted(spark, sf_dir)
+    return p.select("page_id", "p.title", "p.description", "p.lang", "p.canonical", F.length("p.text").alias("n_text"), F.length("p.skeleton").alias("n_skeleton"), F.size("p.audio").alias("n_audio"), F.size("p.video").alias("n_video"), F.size("p.docs").alias("n_docs"))
+
+
+@query(f"SELECT page_id, host, CAST(r AS INTEGER) AS place FROM (SELECT page_id, {_HOST} AS host, row_number() OVER (PARTITION BY {_HOST} ORDER BY page_id) AS r FROM pages) WHERE r <= 5")
+def domain_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    rows = _t(spark, sf_dir, "pages").select("page_id", urls.quick_host(F.col("url")).alias("host"))
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy("host").orderBy("page_id"))).filter("place <= 5")
+
+
+@query(f"SELECT page_id, url_norm FROM (SELECT page_id, {_NORM} AS url_norm, row_number() OVER (PARTITION BY {_NORM} ORDER BY page_id) AS r FROM pages) WHERE r = 1")
+def candidate_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = url_normalize(spark, sf_dir).filter("url_norm is not null")
+    return dedup.distinct_first(rows, ["url_norm"], "page_id")
+
+
+@query(f"WITH c AS (SELECT page_id, {_NORM} AS url FROM pages) SELECT page_id, url FROM c WHERE url NOT IN (SELECT url FROM c WHERE page_id % 3 = 0)")
+def new_urls_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = url_normalize(spark, sf_dir).select("page_id", F.col("url_norm").alias("url"))
+    return dedup.unseen(rows, rows.filter("page_id % 3 = 0"), key=["url"])
+
+
+@query("SELECT page_id, sha256(html) AS sha256, substr(sha256(url), 1, 16) AS stable_id, substr(sha256(url), 1, 24) AS staging_key FROM pages")
+def page_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    u = F.col("url")
+    return _t(spark, sf_dir, "pages").select("page_id", F.sha2("html", 256).alias("sha256"), urls.stable_id(u).alias("stable_id"), urls.staging_key(u).alias("staging_key"))
+
+
+@query("SELECT count(*) AS n, count(*) FILTER (WHERE contains(url, '?')) AS with_query, count(*) FILTER (WHERE contains(url, 'utm_')) AS with_tracking, count(*) FILTER (WHERE contains(url, '#')) AS with_fragment FROM pages")
+def tracking_param_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    u = F.col("url")
+    return _t(spark, sf_dir, "pages").agg(F.count(F.lit(1)).alias("n"), F.count_if(u.contains("?")).alias("with_query"), F.count_if(u.contains("utm_")).alias("with_tracking"), F.count_if(u.contains("#")).alias("with_fragment"))
+
+
+def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _extracted(spark, sf_dir).select("page_id", "url", F.col("p.links").alias("links"), F.concat(F.lit("job-"), (F.col("page_id") % 3).cast("string")).alias("job_id"), F.lit(0).alias("depth"))
+    flat = admission.page_edges(pages.withColumn("url", F.concat_ws("|", F.lpad(F.col("page_id").cast("string"), 12, "0"), "url")))
+    seq = F.split_part("source_url", F.lit("|"), F.lit(1)).cast("long") * 100000 + F.col("position")
+    return flat.select("url", F.regexp_replace("source_url", r"^\d+\|", "").alias("source_url"), "job_id", "depth", seq.alias("seq"))
+
+
+def _jobs(spark: SparkSession) -> DataFrame:
+    schema = "id string, status string, max_depth int, max_pages long, max_pages_per_domain long, allowed_domains array<string>, include_patterns array<string>, exclude_patterns array<string>, follow_external_links boolean, default_license string, seeds array<string>"
+    rows = [("job-0", "Running", 3, 100000, 60, [], [], ["/tag/"], True, None, ["https://example.com"]), ("job-1", "Running", 3, 40, None, ["example.com", "EXAMPLE.ORG"], [], [], False, "cc-by", []), ("job-2", "Paused", 3, None, None, [], [], [], True, None, [])]
+    return spark.createDataFrame(rows, schema)
+
+
+@query()
+def admission_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The admission plan over all links of all pages; per reason the number of candidates."""
+    edges = _edges(spark, sf_dir)
+    rows = admission.admit(edges, _jobs(spark), options=Admission(global_domain_cap=500), shared_domains=True)
+    return rows.groupBy(F.coalesce("reason", F.lit("admitted")).alias("reason"), "job_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def admitted_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = admission.admit(_edges(spark, sf_dir), _jobs(spark), options=Admission(global_domain_cap=500), shared_domains=True)
+    return admission.tasks(rows).select("url", "job_id", "depth", "priority", "kind")
+
+
+# Documents
+
+
+@query("SELECT doc_id, (contains(lower(left(text, 2000)), 'worthless') OR contains(lower(left(text, 2000)), 'license')) AS relevant FROM documents")
+def topic_relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keywords = F.array(F.lit(" Worthless "), F.lit("license"), F.lit(" "))
+    return _t(spark, sf_dir, "documents").select("doc_id", text.topic_relevant(F.lit(None).cast("string"), F.col("text"), keywords).alias("relevant"))
+
+
+@query("SELECT sha256(text) AS sha256, min(doc_id) AS first_id, count(*) AS copies FROM documents GROUP BY 1 HAVING count(*) > 1")
+def exact_dup_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.content_groups(_t(spark, sf_dir, "documents"), "text", "doc_id").filter("copies > 1")
+
+
+@query(r"WITH d AS (SELECT doc_id, left(text, 1000) AS t FROM documents) SELECT doc_id, (strlen(regexp_replace(t, '[^\x21-\x7e \t\n\r\x0c]', '', 'g')) * 100 >= strlen(t) * 90) AS is_text FROM d")
+def text_sniff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "documents").select("doc_id", media.text_sniff(F.substring("text", 1, 1000).cast("binary")).alias("is_text"))
+
+
+@query("SELECT (n_chars <= 1500) AS fits, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents GROUP BY 1")
+def size_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "documents").groupBy(text.is_within_size_limit(F.col("n_chars"), 1500).alias("fits")).agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("chars"))
+
+
+@query("SELECT lang, source, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents GROUP BY ROLLUP (lang, source)")
+def lang_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "documents").rollup("lang", "source").agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("chars"))
+
+
+@query("SELECT doc_id, substr(sha256(text), 1, 16) AS stable_id FROM documents")
+def stable_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "documents").select("doc_id", urls.stable_id(F.col("text")).alias("stable_id"))
+
+
+@query("SELECT doc_id, url_encode(text) AS encoded FROM documents")
+def percent_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "documents").select("doc_id", urls.encode_segment(F.col("text")).alias("encoded"))
+
+
+@query(r"""WITH a AS (SELECT doc_id, left(regexp_replace(text, '[/\\:*?"<>|\x00-\x1f\x7f]', '_', 'g'), 200) AS t FROM documents), r AS (SELECT doc_id, CASE WHEN regexp_matches(lower(split_part(t, '.', 1)), '^(con|prn|aux|nul|com[1-9]|lpt[1-9])$') THEN '_' || t ELSE t END AS t FROM a), b AS (SELECT doc_id, regexp_replace(t, '[. ]+$', '') AS t FROM r) SELECT doc_id, CASE WHEN t = '' THEN '_' ELSE t END AS segment, '"' || replace(t, '"', '""') || '"' AS quoted FROM b""")
+def path_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _t(spark, sf_dir, "documents").select("doc_id", text.sanitize_path_segment(F.col("text")).alias("segment"))
+    return rows.withColumn("quoted", text.csv_field(F.col("segment")))
+
+
+@query("SELECT d.source, l.quality, l.toxic, count(*) AS n, CAST(sum(d.n_chars) AS BIGINT) AS chars FROM documents d JOIN labels l USING (doc_id) GROUP BY ALL")
+def quality_gate_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _t(spark, sf_dir, "documents").join(_t(spark, sf_dir, "labels"), "doc_id")
+    return rows.groupBy("source", "quality", "toxic").agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("chars"))
+
+
+@query("WITH r AS (SELECT CASE WHEN n_chars < 300 THEN 'too short' WHEN n_chars > 5000 THEN 'too long' WHEN quality = 0 THEN 'quality-rejected' END AS reason FROM documents JOIN labels USING (doc_id)) SELECT reason, count(*) AS n FROM r WHERE reason IS NOT NULL GROUP BY reason")
+def rejected_by_reason(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _t(spark, sf_dir, "documents").join(_t(spark, sf_dir, "labels"), "doc_id")
+    reason = F.when(F.col("n_chars") < 300, "too short").when(F.col("n_chars") > 5000, "too long").when(F.col("quality") == 0, "quality-rejected")
+    return reports.quarantine_counts(rows.select(reason.alias("reason")).filter("reason is not null"))
+
+
+# Metrics over events
+
+
+def _samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _t(spark, sf_dir, "events")
+    return e.select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("metric"), (F.col("user_id") % 4).cast("string").alias("component"), F.lit(None).cast("double").alias("le"), F.floor("value").cast("double").alias("value"), "event_id")
+
+
+def _one_per_time(samples: DataFrame) -> DataFrame:
+    return samples.groupBy("ts", "metric", "component", "le").agg(F.max("value").alias("value"))
+
+
+_SAMPLES = "WITH e AS (SELECT ts, event_type AS metric, CAST(user_id % 4 AS VARCHAR) AS component, max(CAST(floor(value) AS DOUBLE)) AS value FROM events GROUP BY ALL)"
+
+
+@query(_SAMPLES + ", l AS (SELECT *, lag(value) OVER (PARTITION BY component, metric ORDER BY ts) AS p FROM e) SELECT date_trunc('hour', ts) AS window_start, metric, sum(CASE WHEN p IS NULL THEN 0.0::DOUBLE WHEN value < p THEN value ELSE value - p END) / 3600 AS rate FROM l GROUP BY ALL")
+def rate_per_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = metrics.rate(_one_per_time(_samples(spark, sf_dir)), "1 hour", 3600)
+    return rows.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "metric", "rate")
+
+
+_BUCKETS = "(VALUES " + ", ".join(f"({b})" for b in metrics.DURATION_BOUNDS) + ", ('Infinity'::DOUBLE)) b(le)"
+
+
+@query(f"SELECT event_type, le::DOUBLE AS le, count(*) FILTER (WHERE value <= le) AS n FROM events, {_BUCKETS} GROUP BY ALL")
+def histogram_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.histogram(_t(spark, sf_dir, "events"), "value", metrics.DURATION_BOUNDS, ["event_type"])
+
+
+@query(
+    f"""WITH h AS (SELECT event_type, le::DOUBLE AS le, count(*) FILTER (WHERE value <= le) AS n FROM events, {_BUCKETS} GROUP BY ALL),
+    r AS (SELECT *, 0.95 * max(n) OVER (PARTITION BY event_type) AS want, coalesce(lag(le) OVER w, 0) AS low, coalesce(lag(n) OVER w, 0) AS bef FROM h WINDOW w AS (PARTITION BY event_type ORDER BY le)),
+    f AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY le) AS k FROM r WHERE n >= want)
+    SELECT event_type, round(CASE WHEN isinf(le) THEN low ELSE low + (le - low) * (want - bef) / greatest(n - bef, 1e-12) END, 6) AS p95 FROM f WHERE k = 1"""
+)
+def latency_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = metrics.histogram_quantile(histogram_buckets(spark, sf_dir), 0.95, ["event_type"])
+    return found.select("event_type", F.round("quantile", 6).alias("p95"))
+
+
+@query(_SAMPLES + ", l AS (SELECT component, metric, arg_max(value, ts) AS value FROM e GROUP BY ALL) SELECT component, sum(value) AS value FROM l GROUP BY ALL")
+def latest_gauges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.latest_sum(_one_per_time(_samples(spark, sf_dir)), ["component"])
+
+
+@query("SELECT user_id, arg_max(value, event_id) AS value, max(event_id) AS event_id FROM events GROUP BY 1")
+def latest_per_user(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "events").groupBy("user_id").agg(F.max_by("value", "event_id").alias("value"), F.max("event_id").alias("event_id"))
+
+
+@query("SELECT event_type, count(*) AS n, CAST(sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS k FROM events GROUP BY 1")
+def props_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.from_json("props", "k long")["k"]
+    return _t(spark, sf_dir, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum(k).alias("k"))
+
+
+@query("SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL")
+def windowed_event_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = F.window(F.col("ts").cast("timestamp"), "1 hour").start.cast("timestamp_ntz")
+    return _t(spark, sf_dir, "events").groupBy(w.alias("window_start"), "event_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("WITH m AS (SELECT date_trunc('hour', ts) AS h, count(*) FILTER (WHERE event_type = 'error') AS bad, count(*) FILTER (WHERE event_type <> 'error') AS good FROM events GROUP BY 1) SELECT h AS window_start, bad / greatest(good, 1e-9::DOUBLE) AS ratio, bad / greatest(good, 1e-9::DOUBLE) > 1 AS firing FROM m")
+def alert_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = windowed_event_counts(spark, sf_dir).groupBy("window_start").agg(F.coalesce(F.sum(F.when(F.col("event_type") == "error", F.col("n"))), F.lit(0)).alias("bad"), F.coalesce(F.sum(F.when(F.col("event_type") != "error", F.col("n"))), F.lit(0)).alias("good"))
+    ratio = metrics.ratio_alert(F.col("bad"), F.col("good"))
+    return rows.select("window_start", ratio.alias("ratio"), (ratio > 1).alias("firing"))
+
+
+@query(
+    """WITH m AS (SELECT date_trunc('hour', ts) AS h, count(*)::DOUBLE AS v FROM events GROUP BY 1),
+    x AS (SELECT h, v, min(v) OVER (ORDER BY h RANGE BETWEEN INTERVAL 3 HOURS PRECEDING AND CURRENT ROW) AS low, min(h) OVER () AS t0 FROM m)
+    SELECT h AS ts, v AS value, low > 5 AND h - t0 >= INTERVAL 3 HOURS AS firing FROM x"""
+)
+def frontier_alert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = windowed_event_counts(spark, sf_dir).groupBy(F.col("window_start").alias("ts")).agg(F.sum("n").cast("double").alias("value"))
+    return metrics.held_above(rows, 5, 3 * 3600)
+
+
+@query(
+    """WITH r AS (SELECT event_id AS seq, event_type AS domain, floor(epoch_us(ts) / 1000)::DOUBLE AS arrival, CASE WHEN event_id % 50 = 0 THEN (event_id % 7) * 1000 END AS delay FROM events),
+    p AS (SELECT *, coalesce(CASE max(delay) OVER w WHEN 0 THEN 1000 ELSE max(delay) OVER w END, 250)::DOUBLE AS period, row_number() OVER w AS k FROM r WINDOW w AS (PARTITION BY domain ORDER BY seq)),
+    s AS (SELECT *, sum(CASE WHEN k = 1 THEN 0 ELSE period END) OVER (PARTITION BY domain ORDER BY seq) AS total FROM p)
+    SELECT seq, domain, max(arrival - total) OVER (PARTITION BY domain ORDER BY seq) + total AS scheduled_ms FROM s"""
+)
+def delay_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _t(spark, sf_dir, "events")
+    delay = F.when(F.col("event_id") % 50 == 0, (F.col("event_id") % 7) * 1000)
+    rows = e.select(F.col("event_id").alias("seq"), F.col("event_type").alias("domain"), F.unix_millis(F.col("ts").cast("timestamp")).cast("double").alias("arrival_ms"), delay.alias("delay_ms"))
+    return schedule.scheduled(rows, 250).select("seq", "domain", "scheduled_ms")
+
+
+# Manifest-like merges over the relational tables
+
+
+def _tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o, null = _t(spark, sf_dir, "orders"), F.lit(None)
+    values = {
+        "source": F.lower(F.split_part("o_orderpriority", F.lit("-"), F.lit(1))), "source_id": F.col("o_orderkey").cast("string"), "job_id": F.lit("job"), "url": F.concat(F.lit("https://example.com/"), F.col("o_orderkey").cast("string"), F.lit(".mp3")),
+        "title": F.when(F.col("o_orderkey") % 3 != 0, F.concat(F.lit("t"), F.col("o_orderkey").cast("string"))), "artist": F.concat(F.lit("a"), F.col("o_custkey").cast("string")), "album": null.cast("string"), "year": F.year("o_orderdate"), "genre": null.cast("string"),
+        "license": F.when(F.col("o_custkey") % 4 == 0, "cc-by").when(F.col("o_custkey") % 4 == 1, "cc-by-sa").when(F.col("o_custkey") % 4 == 2, "cc-by-nc").otherwise("cc0-1.0"),
+        "license_url": F.when(F.col("o_custkey") % 8 == 0, F.concat(F.lit("https://cc/"), F.col("o_orderkey").cast("string"))), "origin_page_url": null.cast("string"), "discovered_from_url": null.cast("string"), "collection": null.cast("string"),
+        "duration_secs": F.floor("o_totalprice").cast("double"), "bitrate_kbps": (F.col("o_orderkey") % 320).cast("int"), "format": F.when(F.col("o_orderkey") % 5 != 0, "mp3"), "sha256": null.cast("string"), "bytes": F.floor(F.col("o_totalprice") * 100).cast("long"), "object_path": null.cast("string"),
+        "status": F.when(F.col("o_orderstatus") == "F", "done").when(F.col("o_orderstatus") == "O", "pending").otherwise("failed"), "error": null.cast("string"),
+    }
+    return o.select(*[v.alias(k) for k, v in values.items()])
+
+
+_TRACKS = """WITH t AS (SELECT lower(split_part(o_orderpriority, '-', 1)) AS source, CAST(o_orderkey AS VARCHAR) AS source_id, o_orderkey AS k, o_custkey AS c, 'https://example.com/' || o_orderkey || '.mp3' AS url,
+  CASE WHEN o_orderkey % 3 <> 0 THEN 't' || o_orderkey END AS title, 'a' || o_custkey AS artist,
+  CASE o_custkey % 4 WHEN 0 THEN 'cc-by' WHEN 1 THEN 'cc-by-sa' WHEN 2 THEN 'cc-by-nc' ELSE 'cc0-1.0' END AS license, CASE WHEN o_custkey % 8 = 0 THEN 'https://cc/' || o_orderkey END AS license_url,
+  floor(o_totalprice)::DOUBLE AS duration_secs, CAST(o_orderkey % 320 AS INTEGER) AS bitrate_kbps, CASE WHEN o_orderkey % 5 <> 0 THEN 'mp3' END AS format, CAST(floor(o_totalprice * 100) AS BIGINT) AS bytes,
+  CASE o_orderstatus WHEN 'F' THEN 'done' WHEN 'O' THEN 'pending' ELSE 'failed' END AS status FROM orders)"""
+
+
+@query(_TRACKS + ", n AS (SELECT * FROM t WHERE k % 2 = 0), o AS (SELECT * FROM t WHERE k % 3 <> 1) SELECT coalesce(o.source, n.source) AS source, coalesce(o.source_id, n.source_id) AS source_id, coalesce('new ' || n.title, o.title) AS title, CASE WHEN n.k IS NOT NULL THEN 'failed' ELSE o.status END AS status, CASE WHEN n.k IS NOT NULL THEN NULL ELSE o.duration_secs END AS duration_secs, CASE WHEN o.k IS NOT NULL THEN o.license ELSE 'cc-new' END AS license FROM o FULL JOIN n ON o.source = n.source AND o.source_id = n.source_id")
+def track_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t, key = _tracks(spark, sf_dir), F.col("source_id").cast("long")
+    new = t.filter(key % 2 == 0).withColumn("title", F.concat(F.lit("new "), "title")).withColumn("status", F.lit("failed")).withColumn("duration_secs", F.lit(None).cast("double")).withColumn("license", F.lit("cc-new"))
+    return manifest.merge_tracks(t.filter(key % 3 != 1), new).select("source", "source_id", "title", "status", "duration_secs", "license")
+
+
+@query("WITH c AS (SELECT o_custkey, min(o_orderkey) AS o_orderkey FROM orders WHERE o_orderkey % 2 = 1 GROUP BY 1) SELECT * FROM c WHERE o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 2 = 0)")
+def insert_if_absent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = _t(spark, sf_dir, "orders").select("o_custkey", "o_orderkey")
+    return manifest.insert_if_absent(o.filter("o_orderkey % 2 = 1"), o.filter("o_orderkey % 2 = 0"), ["o_custkey"], "o_orderkey")
+
+
+@query("SELECT o_custkey, max(o_orderkey) AS o_orderkey, arg_max(o_totalprice, o_orderkey) AS o_totalprice FROM orders GROUP BY 1")
+def last_write_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = _t(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_totalprice")
+    return manifest.latest(o, ["o_custkey"], ["o_orderkey"])
+
+
+@query(_TRACKS + " SELECT source, source_id, 'downloading' AS status, CAST(1060000 AS BIGINT) AS leased_until FROM t WHERE source = '1' AND (status = 'pending' OR (status = 'failed' AND k % 2 = 0)) ORDER BY CASE WHEN status = 'pending' THEN 0 ELSE 1 END, source_id LIMIT 50")
+def claim_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = _tracks(spark, sf_dir)
+    old = F.when((F.col("status") == "failed") & (F.col("source_id").cast("long") % 2 == 0), F.lit(5).cast("long"))
+    t = t.withColumn("leased_until", old).withColumn("status", F.when(F.col("leased_until").isNotNull(), "downloading").otherwise(F.col("status")))
+    return manifest.claim(t, "1", 50, F.lit(1_000_000).cast("long"), 60_000).select("source", "source_id", "status", "leased_until")
+
+
+@query(_TRACKS + ", e AS (SELECT * FROM t WHERE status = 'done' AND license IN ('cc-by', 'cc-by-sa', 'cc0-1.0', 'pd-mark', 'pd-us')) SELECT dimension, key, count(*) AS n FROM (SELECT 'status' AS dimension, status AS key FROM e UNION ALL SELECT 'format', format FROM e UNION ALL SELECT 'license', license FROM e) WHERE key IS NOT NULL GROUP BY ALL")
+def manifest_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.summary_counts(reports.exported(_tracks(spark, sf_dir)))
+
+
+@query(_TRACKS + " SELECT count(*) AS tracks_exported, CAST(sum(bytes) AS BIGINT) AS total_bytes, sum(duration_secs) AS total_duration_secs, round(sum(duration_secs) / 3600, 2) AS total_duration_hours FROM t")
+def manifest_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.summary_totals(_tracks(spark, sf_dir))
+
+
+@query(_TRACKS + " SELECT license, count(*) AS tracks, coalesce(arg_min(license_url, (source, source_id)) FILTER (WHERE license_url IS NOT NULL), 'see source catalog') AS deed FROM t GROUP BY 1")
+def license_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.license_groups(_tracks(spark, sf_dir))
+
+
+@query(_TRACKS + """ SELECT license, CAST(row_number() OVER (PARTITION BY license ORDER BY source, source_id) AS INTEGER) AS rank, '- ' || coalesce(title, '(untitled)') || ' — ' || artist || chr(10) || '  Source: ' || source || ' id=' || source_id || chr(10) || CASE WHEN license_url IS NOT NULL THEN '  License: ' || license || ' (' || license_url || ')' ELSE '  License: ' || license END || chr(10) || '  URL: ' || url AS line FROM t""")
+def attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = reports.attribution_lines(_tracks(spark, sf_dir))
+    return lines.filter(f"section = 1 and rank between 1 and {2**31 - 2}").select("license", "rank", "line")
+
+
+@query("WITH d AS (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) AS r FROM orders), j AS (SELECT *, row_number() OVER (ORDER BY o_orderkey) AS q FROM d WHERE r <= 100) SELECT o_orderkey AS seq, CASE WHEN r > 100 THEN 'job_domain_cap' END AS reason FROM d WHERE r > 100 UNION ALL SELECT o_orderkey, CASE WHEN q > 300 THEN 'job_cap' END FROM j")
+def budget_one_job(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("seq"), F.col("o_orderpriority").alias("root"), F.lit("job").alias("job_id"), F.lit(100).cast("long").alias("max_pages_per_domain"), F.lit(300).cast("long").alias("max_pages"), F.lit(None).cast("string").alias("reason"))
+    return admission.one_job_budget(rows).select("seq", "reason")
+
+
+@query()
+def budget_many_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Greedy budgets of jobs that share domains: an ordered fold, beyond SQL."""
+    rows = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("seq"), F.col("o_orderpriority").alias("root"), (F.col("o_custkey") % 4).cast("string").alias("job_id"), F.lit(60).cast("long").alias("max_pages_per_domain"), F.lit(70).cast("long").alias("max_pages"), F.lit(None).cast("string").alias("reason"))
+    return admission.greedy_budget(rows).select("seq", "job_id", "root", "reason")
+
+
+@query("SELECT conv_id, string_agg(role, ',' ORDER BY f) AS roles FROM (SELECT conv_id, role, min(turn) AS f FROM conversations GROUP BY ALL) GROUP BY 1")
+def ordered_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Roles of a conversation in order of their first turn; a conversation's list is as long as its turns."""
+    first = _t(spark, sf_dir, "conversations").groupBy("conv_id", "role").agg(F.min("turn").alias("f"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("f", "role"))), lambda x: x["role"])
+    return first.groupBy("conv_id").agg(F.array_join(dedup.ordered_distinct(ordered), ",").alias("roles"))
+
+
+@query("SELECT l_returnflag, CASE WHEN l_quantity * 40 < 30 THEN 'short' WHEN l_quantity * 40 > 1800 THEN printf('duration %.1fs above maximum', l_quantity * 40) WHEN l_linenumber * 32 < 96 THEN 'bitrate ' || l_linenumber * 32 || 'kbps below minimum' END AS reason, count(*) AS n FROM lineitem GROUP BY ALL")
+def audio_quality_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reason = text.audio_quality(F.col("l_quantity") * 40, F.col("l_linenumber") * 32)
+    return _t(spark, sf_dir, "lineitem").groupBy("l_returnflag", reason.alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("WITH s AS (SELECT l_suppkey, l_orderkey * 10 + l_linenumber AS k, sum(l_quantity) OVER (PARTITION BY l_suppkey ORDER BY l_orderkey * 10 + l_linenumber ROWS UNBOUNDED PRECEDING) AS total FROM lineitem) SELECT l_suppkey, k, total <= 500 AS fits FROM s")
+def disk_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _t(spark, sf_dir, "lineitem").select("l_suppkey", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("k"), "l_quantity")
+    return reports.within_disk_budget(rows, "l_suppkey", "k", "l_quantity", 500).select("l_suppkey", "k", "fits")
+
+
+@query("SELECT count(*) AS frontier_size FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')")
+def frontier_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sources import tables
+
+    tasks = _t(spark, sf_dir, "orders").select(F.lit("j").alias("job_id"), F.col("o_orderkey").cast("string").alias("url"))
+    results = _t(spark, sf_dir, "lineitem").filter("l_returnflag = 'R'").select(F.lit("j").alias("job_id"), F.col("l_orderkey").cast("string").alias("source_url"))
+    return tables.frontier_depth(tasks, results)
+
+
+_CODES = ", ".join(f"('{k}', {v})" for k, v in text.STATUS_CODES.items())
+
+
+@query(f"WITH c(kind, code) AS (VALUES {_CODES}, ('HttpError', 404)) SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 0 WHEN 1 THEN 400 + CAST(o_orderkey % 7 AS INTEGER) ELSE -5 END AS http_status FROM orders")
+def status_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = F.col("o_orderkey") % 3
+    kind = F.when(m == 0, "Success").when(m == 1, "HttpError").otherwise("Timeout")
+    return _t(spark, sf_dir, "orders").select("o_orderkey", text.status_code(kind, 400 + F.col("o_orderkey") % 7).alias("http_status"))
+
+
+@query("SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') || ' UTC' AS shown, strftime(o_orderdate, '%Y-%m-%d %H:%M') AS listed FROM orders")
+def formatted_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ms = F.unix_millis(F.col("o_orderdate").cast("timestamp"))
+    return _t(spark, sf_dir, "orders").select("o_orderkey", text.format_epoch_ms(ms).alias("shown"), text.format_listing_time(ms).alias("listed"))
+
+
+_V4 = ["127.0.0.1", "10.1.2.3", "172.15.0.1", "172.16.0.1", "172.32.0.1", "192.168.1.1", "192.0.2.1", "192.0.3.1", "100.63.0.1", "100.64.0.1", "100.128.0.1", "198.17.0.1", "198.18.0.1", "198.20.0.1", "198.51.100.7", "203.0.113.99", "203.0.114.1", "240.0.0.1", "8.8.8.8", "169.254.169.254"]
+
+
+@query("WITH v(ip) AS (VALUES " + ", ".join(f"('{x}')" for x in _V4) + "), p AS (SELECT ip, string_split(ip, '.')[1]::INT a, string_split(ip, '.')[2]::INT b, string_split(ip, '.')[3]::INT c FROM v) SELECT ip, NOT (a IN (0, 10, 127) OR a >= 240 OR (a = 172 AND b BETWEEN 16 AND 31) OR (a = 192 AND b = 168) OR (a = 169 AND b = 254) OR (a = 100 AND b BETWEEN 64 AND 127) OR (a = 198 AND b IN (18, 19)) OR (a = 192 AND b = 0 AND c = 2) OR (a = 198 AND b = 51 AND c = 100) OR (a = 203 AND b = 0 AND c = 113)) AS safe FROM p")
+def egress_guard_ipv4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame([(x,) for x in _V4], "ip string")
+    return rows.select("ip", urls.is_safe_egress_col(F.concat(F.lit("http://"), "ip", F.lit("/"))).alias("safe"))
+
+
+_LICENSES = [("https://creativecommons.org/licenses/by-sa/4.0/", None), ("http://creativecommons.org/publicdomain/mark/1.0/", None), ("https://creativecommons.org/publicdomain/zero/1.0/", None), (None, "Public Domain in the USA."), (None, "all mine"), ("https://x/licenses/other/1.0", None)]
+
+
+@query(
+    "WITH v(url, rights) AS (VALUES " + ", ".join("(" + ", ".join("NULL" if x is None else f"'{x}'" for x in r) + ")" for r in _LICENSES) + ") SELECT url, rights, CASE WHEN regexp_extract(lower(url), '/licenses/(by[^/]*)', 1) <> '' THEN 'cc-' || regexp_extract(lower(url), '/licenses/(by[^/]*)', 1) WHEN contains(url, 'publicdomain/mark') THEN 'pd-mark' WHEN contains(url, 'publicdomain/zero') THEN 'cc0-1.0' WHEN lower(rights) = 'public domain in the usa.' THEN 'pd-us' END AS license FROM v"
+)
+def license_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame(_LICENSES, "url string, rights string")
+    return rows.withColumn("license", text.license_from_url_and_rights(F.col("url"), F.col("rights")))
+
+
+@query(r"SELECT page_id, CASE WHEN regexp_matches(split_part(split_part(url, '?', 1), '#', 1), '(?i)\.(mp3|flac|ogg|oga|wav|m4a|opus|aac)$') THEN 'AudioFile' WHEN regexp_matches(split_part(split_part(url, '?', 1), '#', 1), '(?i)\.(mp4|m4v|mkv|webm|avi|mov|mpg|mpeg)$') THEN 'VideoFile' WHEN regexp_matches(split_part(split_part(url, '?', 1), '#', 1), '(?i)\.(pdf|epub|doc|docx|ppt|pptx|txt)$') THEN 'DocumentFile' ELSE 'Page' END AS kind FROM pages")
+def task_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "pages").select("page_id", urls.task_kind(F.col("url")).alias("kind"))
