@@ -66,14 +66,16 @@ def one_job_budget(passed: DataFrame, options: Admission = Admission()) -> DataF
     """Budgets when no domain is shared by several jobs: rank within the domain, then rank of the survivors within the job.
 
     Equal to the greedy order: once a job is full nothing later of it is accepted, so its refusals cannot use up a domain.
+    The reason follows from how many of the domain were accepted before.
     """
-    by_domain = F.row_number().over(Window.partitionBy("root").orderBy("seq"))
-    rows = passed.withColumn("_d", by_domain)
     cap = F.least(F.lit(options.global_domain_cap), F.coalesce("max_pages_per_domain", F.lit(2**62)))
-    rows = rows.withColumn("reason", F.when(F.col("_d") > options.global_domain_cap, "domain_cap").when(F.col("_d") > cap, "job_domain_cap"))
-    fits = rows.filter("reason is null").withColumn("_j", F.row_number().over(Window.partitionBy("job_id").orderBy("seq")))
-    fits = fits.withColumn("reason", F.when(F.col("_j") > F.col("max_pages"), "job_cap")).drop("_j")
-    return fits.unionByName(rows.filter("reason is not null")).drop("_d")
+    rows = passed.withColumn("_fits", F.row_number().over(Window.partitionBy("root").orderBy("seq")) <= cap)
+    before = Window.partitionBy("job_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    within = F.sum(F.col("_fits").cast("long")).over(before) <= F.coalesce("max_pages", F.lit(2**62))
+    rows = rows.withColumn("_ok", F.col("_fits") & within)
+    taken = F.coalesce(F.sum(F.col("_ok").cast("long")).over(Window.partitionBy("root").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    reason = F.when(taken >= options.global_domain_cap, "domain_cap").when(taken >= F.col("max_pages_per_domain"), "job_domain_cap").otherwise("job_cap")
+    return rows.withColumn("reason", F.when(~F.col("_ok"), reason)).drop("_fits", "_ok")
 
 
 def greedy_budget(passed: DataFrame, options: Admission = Admission()) -> DataFrame:

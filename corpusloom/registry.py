@@ -380,7 +380,7 @@ def attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.filter(f"section = 1 and rank between 1 and {2**31 - 2}").select("license", "rank", "line")
 
 
-@query("WITH d AS (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) AS r FROM orders), j AS (SELECT *, row_number() OVER (ORDER BY o_orderkey) AS q FROM d WHERE r <= 100) SELECT o_orderkey AS seq, CASE WHEN r > 100 THEN 'job_domain_cap' END AS reason FROM d WHERE r > 100 UNION ALL SELECT o_orderkey, CASE WHEN q > 300 THEN 'job_cap' END FROM j")
+@query("WITH d AS (SELECT o_orderkey, o_orderpriority, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) <= 100 AS fits FROM orders), j AS (SELECT *, fits AND sum(fits::INT) OVER (ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING) <= 300 AS ok FROM d), t AS (SELECT *, coalesce(sum(ok::INT) OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS taken FROM j) SELECT o_orderkey AS seq, CASE WHEN ok THEN NULL WHEN taken >= 100 THEN 'job_domain_cap' ELSE 'job_cap' END AS reason FROM t")
 def budget_one_job(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("seq"), F.col("o_orderpriority").alias("root"), F.lit("job").alias("job_id"), F.lit(100).cast("long").alias("max_pages_per_domain"), F.lit(300).cast("long").alias("max_pages"), F.lit(None).cast("string").alias("reason"))
     return admission.one_job_budget(rows).select("seq", "reason")
