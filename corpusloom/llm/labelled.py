@@ -24,7 +24,8 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, allowed: Column, limi
     chosen = labels.filter(F.col(id_col).isNotNull() & F.col(label).isNotNull() & allowed).groupBy(id_col).agg(F.min(label).cast("int").alias("label"))
     chosen = chosen.withColumn("order", F.xxhash64(F.lit(label), id_col)).orderBy("order", id_col).limit(limit)
     chosen = chosen.select(F.col(id_col).alias("_id"), "label", "order")
-    return docs.join(F.broadcast(chosen), F.col(id_col) == F.col("_id")).select("order", "label", F.col(text).alias("text"))
+    rows = docs.select(F.col(id_col).alias("_doc"), F.col(text).alias("text"))
+    return rows.join(F.broadcast(chosen), F.col("_doc") == F.col("_id")).select("order", "label", "text")
 
 
 def fit_in_one_task(rows: DataFrame, train: Callable[[np.ndarray, list[np.ndarray]], np.ndarray]) -> np.ndarray:
