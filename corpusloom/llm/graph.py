@@ -23,7 +23,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 @contextmanager
 def tidy(spark: SparkSession) -> Iterator[None]:
-    """Within it, the shuffle files of an action are deleted as soon as its result is written."""
+    """Frames made within it (a select will do) delete their shuffle files as soon as an action's result is written."""
     name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     before = spark.conf.get(name)
     spark.conf.set(name, "true")
@@ -37,7 +37,7 @@ def keep(df: DataFrame) -> DataFrame:
     """Write a frame to the shared folder and read it back: its lineage ends there, and a lost executor costs nothing."""
     shared_dir(df.sparkSession)
     with tidy(df.sparkSession):
-        return df.checkpoint(eager=True)
+        return df.select("*").checkpoint(eager=True)
 
 
 def scratch(spark: SparkSession, name: str) -> str:

@@ -7,7 +7,7 @@ about ten windows.
 
 `FingerprintIndex` holds immutable runs, each sorted by fingerprint: (fp, n). A batch is aggregated
 into a run of its own, which is merge-joined with the earlier runs; fingerprints with two or more occurrences are
-candidates. When there are FANOUT runs they are compacted into one. Windows at candidate fingerprints are then verified
+candidates. When there are FANOUT runs they are compacted into one before the next batch. Windows at candidate fingerprints are then verified
 by a 128-bit hash of their words, so the index decides only what is verified, never what is removed.
 """
 
@@ -178,22 +178,25 @@ class FingerprintIndex:
         self.made += 1
         path = f"{self.path}/run-{self.made:05d}"
         with tidy(self.spark):
-            run.sortWithinPartitions("fp").write.parquet(path)
+            run.sortWithinPartitions("fp").select("fp", "n").write.parquet(path)
         return path
 
     def run(self, path: str) -> DataFrame:
         return self.spark.read.schema("fp long, n long").parquet(path)
 
     def append(self, fingerprints: DataFrame) -> DataFrame:
-        """Add a batch as a new run; return (fp, n) of its fingerprints that now have two occurrences or more, n in all runs."""
+        """Add a batch as a new run; return (fp, n) of its fingerprints that now have two occurrences or more, n in all runs.
+
+        When there are `fanout` runs, they are compacted first. The result reads the runs and holds until the next call.
+        """
+        if len(self.runs) >= self.fanout:
+            self.compact()
         earlier = list(self.runs)
         self.runs.append(self._write(fingerprints.groupBy("fp").agg(F.sum("n").alias("n"))))
         known = self.run(self.runs[-1])
         for path in earlier:
             old = self.run(path).withColumnRenamed("n", "m")
             known = known.join(old, "fp", "left").select("fp", (F.col("n") + F.coalesce("m", F.lit(0))).alias("n"))
-        if len(self.runs) >= self.fanout:
-            self.compact()
         return known.filter("n > 1")
 
     def compact(self) -> None:
