@@ -228,3 +228,13 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector: str = "e
     known = F.col("_id").isNotNull()
     component = F.when(known, F.coalesce("component", "_id"))
     return out.select(F.col("_id").alias(id_col), F.when(known, F.coalesce("links", F.lit(0))).otherwise(0).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("_id") == component, F.lit(False)).alias("kept"))
+
+
+ORACLE = """
+WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+  l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.95),
+  r(id, c) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.id, l.b FROM r JOIN l ON r.c = l.a),
+  k AS (SELECT id, min(c) AS c FROM r GROUP BY id), n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT vec_id, coalesce(n.n, 0) AS n_links, k.c AS component_id, vec_id = k.c AS kept FROM embeddings JOIN k ON vec_id = id LEFT JOIN n ON vec_id = a
+"""

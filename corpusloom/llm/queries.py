@@ -78,4 +78,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_mixing": mixing.ORACLE}
+    return {"op2_embedding_near_dedup": embedding.ORACLE, "op3_substring_dedup": substring.ORACLE, "op6_mixing": mixing.ORACLE}

@@ -273,3 +273,14 @@ def remove_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text: str
     repeated = keep(grouped.mapInArrow(_repeated, "key long, start int").groupBy("key").agg(F.collect_set("start").alias("starts")))
     out = named.join(repeated, F.col("_key") == F.col("key"), "left").select("_id", "_text", "starts")
     return out.mapInArrow(_strip(width), "id long, n_words long, n_removed long, kept string").withColumnRenamed("id", id_col)
+
+
+ORACLE = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+  p AS (SELECT rid, generate_subscripts(w, 1) AS pos, unnest(w) AS word FROM d),
+  g AS (SELECT rid, pos, md5(array_to_string(list(word) OVER f, ' ')) AS h, count(*) OVER f AS n FROM p WINDOW f AS (PARTITION BY rid ORDER BY pos ROWS BETWEEN CURRENT ROW AND 34 FOLLOWING)),
+  s AS (SELECT rid, pos, count(*) OVER (PARTITION BY h) > 1 AS again FROM g WHERE n = 35),
+  c AS (SELECT p.rid, p.pos, p.word, coalesce(max(again::INT) OVER (PARTITION BY p.rid ORDER BY p.pos ROWS BETWEEN 34 PRECEDING AND CURRENT ROW), 0) AS gone FROM p LEFT JOIN s ON p.rid = s.rid AND p.pos = s.pos),
+  k AS (SELECT rid, CAST(sum(gone) AS BIGINT) AS n_removed, string_agg(word, ' ' ORDER BY pos) FILTER (WHERE gone = 0) AS kept FROM c GROUP BY rid)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k ON d.rid = k.rid
+"""
