@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,6 +36,7 @@ def first_in_batch(edges: DataFrame, key: list[str], order: str = "seq") -> Colu
 def screened(edges: DataFrame, jobs: DataFrame, pages: DataFrame | None = None, seen: DataFrame | None = None, options: Admission = Admission()) -> DataFrame:
     """Edges (url, source_url, job_id, depth, seq) with url_norm, root, kind and `reason` of the gates before the budgets (null: passed)."""
     named = edges.withColumn("_u", url_parts("url")).select("*", F.col("_u.norm").alias("url_norm"), F.coalesce("_u.root", F.lit("unknown")).alias("root")).drop("_u")
+    named = named.persist(StorageLevel.MEMORY_AND_DISK)  # parsed once; several branches read it
     key = ["url_norm"] if options.url_across_jobs else ["job_id", "url_norm"]
     valid = named.filter("url_norm is not null").withColumn("_first", first_in_batch(named, key))
     policy = with_seed_roots(jobs).select(F.col("id").alias("_job"), *_JOB)
