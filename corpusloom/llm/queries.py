@@ -48,8 +48,7 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    encoded = bpe.encode(table(spark, sf_dir, "documents"))
-    decoded = bpe.decode(encoded)
+    decoded = bpe.encode(table(spark, sf_dir, "documents"), decoded=True)
     digest = F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256)
     return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), digest.alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 

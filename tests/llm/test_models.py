@@ -79,6 +79,8 @@ def test_bpe(spark):
     assert len(got) == len(rows)
     for r in got:
         assert list(r.ids) == real.encode_ordinary(r.text or "") and bytes(r.decoded) == (r.text or "").encode()
+    both = bpe.encode(docs(spark, rows), carry=("doc_id", "text"), decoded=True).collect()
+    assert Counter((r.doc_id, tuple(r.ids), bytes(r.decoded)) for r in both) == Counter((r.doc_id, tuple(r.ids), bytes(r.decoded)) for r in got)
     words = ["hello", " world", "a", "", "ñandú", "zzzzqqqq", "\n\n", "antidisestablishment"]
     folded = bpe.encode_words(spark.createDataFrame([(bytearray(w.encode()),) for w in words], "word binary"), ranks).collect()
     assert [list(r.ids) for r in folded] == [real.encode_ordinary(w) if w else [] for w in words]
