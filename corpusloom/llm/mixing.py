@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import keep
+
 WORD_GAP = r"[\x20\x09-\x0D]+"
 #: Hex digits of the key that name its range: 16 ** RANGE_DIGITS ranges for each source.
 RANGE_DIGITS = 3
@@ -46,15 +48,14 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str
 
     A null source is a source of its own, the last in order; a null text has size 0. Ties of the key (repeated ids) are
     broken by size and text hash, and rows equal in all of these are interchangeable. Empty documents are taken as
-    often as their place says, with 0 words. An empty table gives an empty result. The size of a source is the only thing
+    often as their place says, with 0 words. Columns of `docs` with
+    these names, or that begin with _mix_, are replaced. An empty table gives an empty result. The size of a source is the only thing
     collected, one number for each source.
     """
-    clash = {c for c in docs.columns if c.startswith("_mix_")}
-    if clash:
-        raise ValueError(f"reserved column names: {sorted(clash)}")
+    docs = docs.drop(*[c for c in docs.columns if c.startswith("_mix_") or c in ("_size", "_source_size", "_target", "_copies")])
     key = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
-    rows = docs.withColumn("_size", n_words(F.col(text))).withColumn("_mix_key", key).withColumn("_mix_range", F.substring(key, 1, RANGE_DIGITS))
-    ranges = rows.groupBy(F.col(source).alias("_mix_s"), F.col("_mix_range").alias("_mix_r")).agg(F.sum("_size").alias("_mix_n"))
+    rows = docs.withColumn("_size", n_words(F.col(text))).withColumn("_mix_key", key).withColumn("_mix_range", F.substring(key, 1, RANGE_DIGITS)).withColumn("_mix_hash", F.xxhash64(text))
+    ranges = keep(rows.groupBy(F.col(source).alias("_mix_s"), F.col("_mix_range").alias("_mix_r")).agg(F.sum("_size").alias("_mix_n")))
     sums = [(r[0], r[1]) for r in ranges.groupBy("_mix_s").agg(F.sum("_mix_n")).collect()]
     wanted = targets(sums, weights, share, epochs)
     starts = ranges.withColumn("_mix_at", F.sum("_mix_n").over(Window.partitionBy("_mix_s").orderBy("_mix_r").rowsBetween(Window.unboundedPreceding, -1)))
@@ -62,14 +63,14 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str
     plan = docs.sparkSession.createDataFrame([(s, n, wanted[s]) for s, n in sums], "_mix_src string, _source_size long, _target double")
     starts = starts.join(F.broadcast(plan), F.col("_mix_s").eqNullSafe(F.col("_mix_src"))).drop("_mix_src")
     both = rows.join(starts, F.col(source).eqNullSafe(F.col("_mix_s")) & (F.col("_mix_range") == F.col("_mix_r")))
-    within = Window.partitionBy("_mix_s", "_mix_r").orderBy("_mix_key", id_col, "_size", F.xxhash64(text)).rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("_mix_s", "_mix_r").orderBy("_mix_key", id_col, "_size", "_mix_hash").rowsBetween(Window.unboundedPreceding, -1)
     before = F.col("_mix_at") + F.coalesce(F.sum("_size").over(within), F.lit(0))
     whole = F.when(F.col("_source_size") > 0, F.floor(F.col("_target") / F.col("_source_size"))).otherwise(0)
     placed = both.withColumn("_mix_before", before).withColumn("_mix_whole", whole.cast("int"))
     rest = F.col("_target") - F.col("_mix_whole") * F.col("_source_size")
     copies = F.col("_mix_whole") + (F.col("_mix_before") + F.col("_size") / 2.0 <= rest).cast("int")
     placed = placed.withColumn("_copies", F.least(copies, F.lit(epochs)))
-    return placed.drop("_mix_key", "_mix_range", "_mix_s", "_mix_r", "_mix_at", "_mix_before", "_mix_whole")
+    return placed.drop("_mix_key", "_mix_range", "_mix_hash", "_mix_s", "_mix_r", "_mix_at", "_mix_before", "_mix_whole")
 
 
 def repeated(mixed: DataFrame, columns: list[str]) -> DataFrame:
