@@ -1,11 +1,17 @@
 """Near-duplicate lines by a segment-partition edit join.
 
-Lines within EDITS edits of one another are linked. A line is cut into EDITS + 1 segments; two linked lines
-share at least one segment, at places that differ by little. Each line is indexed by its segments and probes, for
+Two lines are linked when their edit distance is at most `limit` of the shorter one: PERCENT of its length, EDITS at least.
+Where that is EDITS, a line is cut into EDITS + 1 segments; two linked lines share at least one segment, at places that differ by little. Each line is indexed by its segments and probes, for
 every length from its own down to EDITS less, the substrings that can match a segment of a line of
 that length (multi-match-aware selection, as in Pass-Join). Lines that share a key are verified by banded bit-parallel
 edit distance after the common prefix and suffix are taken off.
 
+Longer lines meet by winnowed grams, which do not multiply with the limit t. Of t + 1 disjoint windows of a line t edits
+leave one whole, and the gram of least hash in it is found by every line that holds the window. So the grams of a line's
+first t + 1 disjoint windows are indexed and those of all its windows probe. The window's width is the largest that fits
+t + 1 times into every line of a band of lengths. Lengths, places and counts of characters bound the distance from below
+and drop pairs without their texts. Both ways find every link.
+
 Keys are made of hashes; texts are fetched only for lines that share a key with another line. A key shared by
 more than `BLOCK` lines is cut into blocks and every two blocks meet. Pairs already connected are not verified.
 """
@@ -24,9 +30,15 @@ from pyspark.sql import functions as F
 from .graph import components, drop_path, keep, salted_join, scratch
 
 EDITS = 2
+PERCENT = 5
 MIN_CHARS = 20
 BLOCK = 500
-_FULL = (1 << 64) - 1
+GRAM = 10
+BANDS = (100, 200, 400)
+#: The gram keys are dealt over this many passes, so that one pass's shuffle is on disk at a time.
+PASSES = 4
+#: Gram rows of one task.
+ROWS = 1 << 20
 
 
 def line_hash(line: bytes) -> int:
@@ -43,6 +55,31 @@ def lines_of(text: bytes, min_chars: int) -> list[tuple[int, bytes]]:
     return found
 
 
+def limit(length: int, edits: int = EDITS, percent: int = PERCENT) -> int:
+    """Most edits between two linked lines of which the shorter has this length."""
+    return max(edits, length * percent // 100)
+
+
+def first_long(edits: int, percent: int) -> int | None:
+    """The least length whose limit is above `edits`."""
+    return -(-100 * (edits + 1) // percent) if percent else None
+
+
+def bands(edits: int, percent: int) -> list[tuple[int, int, int]]:
+    """(least length, least length of the next band, window) of the bands of long lines, by the shorter line of a pair."""
+    start = first_long(edits, percent)
+    if start is None:
+        return []
+    starts = [start, *(b for b in BANDS if b > start), 1 << 31]
+    out = []
+    for a, b in zip(starts[:-1], starts[1:], strict=True):
+        window = min(n // (limit(n, edits, percent) + 1) for n in range(a, min(b, 4 * a + 400)))
+        if window < GRAM:
+            raise ValueError(f"{percent} % of edits leave no common run of {GRAM} characters")
+        out.append((a, b, window))
+    return out
+
+
 def segments(length: int, edits: int) -> list[tuple[int, int]]:
     """(start, length) of the edits + 1 segments of a line; the last ones are longer by one where it does not divide."""
     parts = edits + 1
@@ -96,21 +133,23 @@ def within(a: str, b: str, edits: int) -> bool:
     at: dict[str, int] = {}
     for i, c in enumerate(a):
         at[c] = at.get(c, 0) | 1 << i
-    up, down, distance, shift = (_FULL << (64 - edits - 1)) & _FULL, 0, edits, edits + 1 - 64
-    across, most = 1 << 62, 2 * edits + len(b) - len(a)
+    width = max(64, 2 * edits + 8)
+    full = (1 << width) - 1
+    up, down, distance, shift = (full << (width - edits - 1)) & full, 0, edits, edits + 1 - width
+    across, most = 1 << (width - 2), 2 * edits + len(b) - len(a)
     for i, c in enumerate(b):
         bits = at.get(c, 0)
-        x = ((bits >> shift) if shift >= 0 else (bits << -shift)) & _FULL
-        d = ((((x & up) + up) & _FULL) ^ up) | x | down
-        plus, minus = down | (~(d | up) & _FULL), d & up
+        x = ((bits >> shift) if shift >= 0 else (bits << -shift)) & full
+        d = ((((x & up) + up) & full) ^ up) | x | down
+        plus, minus = down | (~(d | up) & full), d & up
         if i < len(a) - edits:
-            distance += not d >> 63
+            distance += not d >> (width - 1)
         else:
             distance += bool(plus & across) - bool(minus & across)
             across >>= 1
         if distance > most:
             return False
-        up, down = minus | (~((d >> 1) | plus) & _FULL), (d >> 1) & plus
+        up, down = minus | (~((d >> 1) | plus) & full), (d >> 1) & plus
         shift += 1
     return distance <= edits
 
@@ -160,7 +199,10 @@ def _occurrences(min_chars: int):
     return run
 
 
-def _signatures(min_chars: int, edits: int):
+def _signatures(min_chars: int, edits: int, percent: int):
+    start = first_long(edits, percent)
+    longest = start - 1 + edits if start else None
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[int, list] = {}
         digest = xxhash.xxh3_64_intdigest
@@ -169,6 +211,8 @@ def _signatures(min_chars: int, edits: int):
                 sig, own, lines, counts = [], [], [], []
                 for line in {x for text in _bytes(cut.column(0)) for _, x in lines_of(text, min_chars)}:
                     s = line.decode("utf-8", "replace")
+                    if longest and len(s) > longest:
+                        continue
                     plan = cache.get(len(s))
                     if plan is None:
                         plan = cache[len(s)] = [(p, p + size, other * 8 + i + 1, mine) for other, i, p, size, mine in probes(len(s), edits)]
@@ -224,7 +268,7 @@ def _texts(min_chars: int):
     return run
 
 
-def _verify(edits: int):
+def _verify(edits: int, percent: int):
     """Rows (sig, x, y, line, own, words) sorted by (sig, x, y): a spanning forest of the verified links."""
 
     def solve(lines: list[int], own: list[bool], words: list[str]) -> list[tuple[int, int]]:
@@ -239,7 +283,7 @@ def _verify(edits: int):
         found = []
         for a in range(len(lines)):
             for b in range(a):
-                if (own[a] or own[b]) and (x := root(a)) != (y := root(b)) and within(words[a], words[b], edits):
+                if (own[a] or own[b]) and (x := root(a)) != (y := root(b)) and within(words[a], words[b], limit(min(len(words[a]), len(words[b])), edits, percent)):
                     up[x] = y
                     found.append((lines[a], lines[b]))
         return found
@@ -261,9 +305,154 @@ def _verify(edits: int):
     return run
 
 
-def link_edges(texts: DataFrame, min_chars: int = MIN_CHARS, edits: int = EDITS) -> DataFrame:
-    """Edges (src, dst) between line hashes that connect what links of at most `edits` edits connect; `texts` has one text column."""
-    keys = texts.mapInArrow(_signatures(min_chars, edits), "sig long, line long, own boolean")
+def _sliding(f: np.ufunc, x: np.ndarray, width: int) -> np.ndarray:
+    """f over each `width` values in a row."""
+    done = 1
+    while done < width:
+        step = min(done, width - done)
+        x = f(x[:-step], x[step:])
+        done += step
+    return x
+
+
+def _grams(min_chars: int, edits: int, percent: int, part: int):
+    """Rows (sig, line, counts, meta) of the long lines' winnowed grams of one pass; counts holds 8 bytes, meta place + 1 (0: several), length and own."""
+    plans = bands(edits, percent)
+
+    def of_band(lines: list[tuple[bytes, str]], seed: int, window: int) -> list[np.ndarray]:
+        size = np.array([len(s) for _, s in lines], dtype=np.int64)
+        start = np.cumsum(size) - size
+        code = np.frombuffer("".join(s for _, s in lines).encode("utf-32-le", "replace"), dtype=np.uint32)
+        owner = np.repeat(np.arange(len(lines)), size)
+        counts = np.minimum(np.bincount(owner * 8 + (code & 7), minlength=8 * len(lines)), 255).astype(np.uint8)
+        h = code.astype(np.uint64) + np.uint64(seed + 1)
+        width = 1
+        while width < GRAM:  # hashes of twice the width, and of GRAM from two that overlap
+            step = min(width, GRAM - width)
+            n = len(h) - step
+            h = (h[:n] * np.uint64(0x9E3779B97F4A7C15)) ^ ((h[step:] ^ (h[step:] >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9))
+            width += step
+        h ^= h >> np.uint64(32)
+        h *= np.uint64(0x94D049BB133111EB)
+        h ^= h >> np.uint64(31)
+        steps = window - GRAM + 1
+        least = _sliding(np.minimum, h, steps)
+        # A gram is the least of a window if it equals the largest of the minima of the windows it lies in.
+        good, mine = np.zeros(len(least) + 2 * (steps - 1), dtype=np.uint64), np.zeros(len(least) + 2 * (steps - 1), dtype=np.uint64)
+        inner = good[steps - 1 : steps - 1 + len(least)]
+        inner[:] = least
+        for i in (start + size).tolist():
+            inner[i - window + 1 : i] = 0
+        tops = np.minimum(np.maximum(edits, size * percent // 100) + 1, size // window)
+        firsts = np.repeat(start, tops) + (np.arange(tops.sum()) - np.repeat(np.cumsum(tops) - tops, tops)) * window
+        mine[steps - 1 + firsts] = least[firsts]
+        taken, own = h == _sliding(np.maximum, good, steps), h == _sliding(np.maximum, mine, steps)
+        place = np.arange(len(code)) - start[owner]
+        at = np.flatnonzero(taken & (h % np.uint64(PASSES) == part))
+        at = at[np.lexsort((h[at], owner[at]))]
+        head = np.ones(len(at), dtype=bool)
+        head[1:] = (h[at][1:] != h[at][:-1]) | (owner[at][1:] != owner[at][:-1])
+        group = np.cumsum(head) - 1
+        several, any_own = np.bincount(group) > 1, np.bincount(group, weights=own[at]) > 0
+        at = at[head]
+        meta = np.where(several, 0, place[at] + 1) << 33 | size[owner[at]] << 1 | any_own
+        return [h[at], np.array([line_hash(x) for x, _ in lines], dtype=np.uint64)[owner[at]], counts.view(np.uint64).ravel()[owner[at]], meta]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for cut in _cuts(batch):
+                lines = [(x, x.decode("utf-8", "replace")) for x in {x for text in _bytes(cut.column(0)) for _, x in lines_of(text, min_chars)}]
+                for k, (a, b, window) in enumerate(plans):
+                    # A line just above a band may be the longer one of a pair.
+                    own = [x for x in lines if a <= len(x[1]) < b + limit(b - 1, edits, percent)]
+                    cols, held, chars = [], [], 0
+                    for j, x in enumerate(own):
+                        held.append(x)
+                        chars += len(x[1])
+                        if chars > 1 << 15 or j == len(own) - 1:  # small arrays stay in the processor's cache
+                            cols.append(of_band(held, k, window))
+                            held, chars = [], 0
+                    if cols:
+                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).view(np.int64)) for c in zip(*cols, strict=True)], names=["sig", "line", "counts", "meta"])
+
+    return run
+
+
+def _near(edits: int, percent: int):
+    """Of all rows of a partition: pairs (src, dst) of different lines that share a key, one of them indexed, and that lengths, places and counts do not tell apart."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [[c.to_numpy(zero_copy_only=False) for c in b.columns] for b in batches if b.num_rows]
+        if not held:
+            return
+        sig, line, counts, meta = [np.concatenate(c) for c in zip(*held, strict=True)]
+        held.clear()
+        at = np.argsort(sig, kind="stable")
+        more = sig[at][1:] == sig[at][:-1]
+        at = at[np.concatenate([[False], more]) | np.concatenate([more, [False]])]
+        at = at[np.lexsort((line[at], meta[at] >> 1 & 0x7FFFFFFF, sig[at]))]
+        sig, line, counts, meta = sig[at], line[at], counts[at], meta[at]
+        new = np.ones(len(sig), dtype=bool)
+        new[1:] = (sig[1:] != sig[:-1]) | (line[1:] != line[:-1])
+        sig, line, counts, meta = sig[new], line[new], counts[new].view(np.uint8).reshape(-1, 8), meta[new]
+        place, size, own = meta >> 33, meta >> 1 & 0x7FFFFFFF, meta & 1
+        most = np.maximum(edits, size * percent // 100)
+        alive, lag = np.arange(len(sig)), 0
+        src, dst = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+        while True:
+            lag += 1
+            alive = alive[alive + lag < len(sig)]
+            alive = alive[(sig[alive] == sig[alive + lag]) & (size[alive + lag] - size[alive] <= most[alive])]
+            if not len(alive):
+                break
+            other = alive + lag
+            # A shift before a common gram and the rest of the difference in length after it are edits.
+            shift = np.where((place[alive] == 0) | (place[other] == 0), 0, place[other] - place[alive])
+            ok = (own[alive] | own[other] > 0) & (np.abs(shift) + np.abs(size[other] - size[alive] - shift) <= most[alive])
+            a, b = alive[ok], other[ok]
+            apart = counts[a].astype(np.int16) - counts[b]
+            ok = np.maximum(np.maximum(apart, 0).sum(1), np.maximum(-apart, 0).sum(1)) <= most[a]
+            src.append(np.minimum(line[a[ok]], line[b[ok]]))
+            dst.append(np.maximum(line[a[ok]], line[b[ok]]))
+        pairs = np.unique(np.stack([np.concatenate(src), np.concatenate(dst)], axis=1), axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["src", "dst"])
+
+    return run
+
+
+def _linked(edits: int, percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = [within(a, b, limit(min(len(a), len(b)), edits, percent)) for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            yield batch.select(["src", "dst"]).filter(pa.array(good, pa.bool_()))
+
+    return run
+
+
+def long_edges(texts: DataFrame, min_chars: int = MIN_CHARS, edits: int = EDITS, percent: int = PERCENT) -> DataFrame:
+    """All linked pairs (src, dst) of line hashes whose shorter line has a limit above `edits`."""
+    chars = texts.agg(F.sum(F.length(F.col(texts.columns[0])))).first()[0] or 0
+    parts = max(8, chars // 4 // PASSES // ROWS + 1)
+    found = None
+    for part in range(PASSES):
+        keys = texts.mapInArrow(_grams(min_chars, edits, percent, part), "sig long, line long, counts long, meta long")
+        near = keep(keys.repartition(parts, "sig").mapInArrow(_near(edits, percent), "src long, dst long").distinct())
+        found = near if found is None else found.union(near)
+    pairs = keep(found.distinct())
+    wanted = pairs.select(F.explode(F.array("src", "dst")).alias("line")).distinct()
+    words = keep(texts.mapInArrow(_texts(min_chars), "line long, words string").join(wanted, "line").groupBy("line").agg(F.first("words").alias("words")))
+    first, second = words.select(F.col("line").alias("src"), F.col("words").alias("a")), words.select(F.col("line").alias("dst"), F.col("words").alias("b"))
+    linked = None
+    for part in range(PASSES):  # texts are dealt to a part of the pairs at a time
+        some, ends = (x.filter(F.pmod("dst", F.lit(PASSES)) == part) for x in (pairs, second))
+        good = keep(some.join(first, "src").join(ends, "dst").select("src", "dst", "a", "b").mapInArrow(_linked(edits, percent), "src long, dst long"))
+        linked = good if linked is None else linked.union(good)
+    return linked
+
+
+def link_edges(texts: DataFrame, min_chars: int = MIN_CHARS, edits: int = EDITS, percent: int = PERCENT) -> DataFrame:
+    """Edges (src, dst) between line hashes that connect what links of at most `limit` edits connect; `texts` has one text column."""
+    keys = texts.mapInArrow(_signatures(min_chars, edits, percent), "sig long, line long, own boolean")
     hits = keep(keys.repartition("sig").sortWithinPartitions("sig", "line").mapInArrow(_shared, "sig long, size long, line long, own boolean"))
     wanted = hits.groupBy("line").agg(F.count(F.lit(1)).alias("n"))
     words = texts.mapInArrow(_texts(min_chars), "line long, words string").join(wanted, "line").groupBy("line").agg(F.first("words").alias("words"))
@@ -272,7 +461,8 @@ def link_edges(texts: DataFrame, min_chars: int = MIN_CHARS, edits: int = EDITS)
     meets = F.transform(F.sequence(F.lit(0), cut - 1), lambda o: F.struct(F.least(o, block).alias("x"), F.greatest(o, block).alias("y")))
     dealt = hits.join(words, "line").select("sig", F.explode(meets).alias("m"), "line", "own", "words").select("sig", "m.x", "m.y", "line", "own", "words")
     groups = dealt.repartition("sig", "x", "y").sortWithinPartitions("sig", "x", "y")
-    return groups.mapInArrow(_verify(edits), "src long, dst long")
+    short = groups.mapInArrow(_verify(edits, percent), "src long, dst long")
+    return keep(short).union(long_edges(texts, min_chars, edits, percent)) if percent else short
 
 
 def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -289,7 +479,7 @@ def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*cut.columns[:-2], pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], names=[*cut.schema.names[:-2], "n_lines", "n_removed", "kept"])
 
 
-def remove_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", carry: tuple[str, ...] = (), min_chars: int = MIN_CHARS, edits: int = EDITS) -> DataFrame:
+def remove_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", carry: tuple[str, ...] = (), min_chars: int = MIN_CHARS, edits: int = EDITS, percent: int = PERCENT) -> DataFrame:
     """One row per row of `docs`: id_col, `carry`, n_lines, n_removed, kept (the text without the removed lines).
 
     Lines are compared without surrounding white space. Lines of min_chars code points or more that are equal or linked,
@@ -305,7 +495,7 @@ def remove_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "
     places = spark.read.schema("key long, id long, place int, line long").parquet(path)
     order = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("key").alias("key"), F.col("place").alias("place"))
     nodes = places.groupBy("line").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n"))
-    joined = keep(components(link_edges(rows.select("_text"), min_chars, edits)))
+    joined = keep(components(link_edges(rows.select("_text"), min_chars, edits, percent)))
     labels = nodes.join(joined, nodes["line"] == joined["node"], "left").select("line", F.coalesce("component", "line").alias("class"), "first", "n", F.col("node").isNotNull().alias("linked"))
     several = labels.filter("linked")
     leads = several.groupBy("class").agg(F.min("first").alias("lead"))

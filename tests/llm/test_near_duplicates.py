@@ -193,3 +193,33 @@ def test_lines(spark, monkeypatch):
     assert {i: r.n_removed for i, r in got.items()} == {i: gone[i] for i, _ in rows}
     assert got[100].kept is None and got[101].kept == "" and all("short" in got[i].kept for i in range(40))
     assert linededup.remove_repeated_lines(docs(spark, [])).count() == 0
+
+
+def test_wide_edit_distance():
+    rng = random.Random(8)
+    for _ in range(150):
+        a = "".join(rng.choice("abc") for _ in range(rng.randrange(60, 160)))
+        b = edited(rng, a, rng.randrange(70))
+        t = rng.choice([5, 20, 31, 32, 45])
+        assert linededup.within(a, b, t) == (linededup._plain(a, b) <= t)
+
+
+def test_long_lines_link_by_their_length(spark):
+    rng = random.Random(9)
+    pool = ["".join(rng.choice("abcdefgh éß") for _ in range(n)).strip().ljust(n, "x") for n in (57, 60, 61, 80, 99, 100, 104, 140, 199, 200, 209, 399, 400, 420)]
+    pool += ["-" * 90, "ab" * 60]
+    lines = sorted({edited(rng, x, rng.randrange(2 * linededup.limit(len(x)))).strip() for x in pool for _ in range(9)})
+    texts = spark.createDataFrame([("\n".join(lines[k::5]),) for k in range(5)], "text string")
+    lines = [x for x in lines if len(x) >= linededup.MIN_CHARS]
+    near = {(a, b): linededup._plain(a, b) <= linededup.limit(min(len(a), len(b))) for k, a in enumerate(lines) for b in lines[:k] if abs(len(a) - len(b)) <= 30}
+    lab = spread(len(lines), lambda a, b: near.get((lines[a], lines[b]), False))
+    names = [int(np.uint64(linededup.line_hash(x.encode())).view(np.int64)) for x in lines]
+    got = dict(map(tuple, graph.components(linededup.link_edges(texts)).collect()))
+    least = {}
+    for name, r in zip(names, lab, strict=True):
+        least[r] = min(least.get(r, name), name)
+    assert all(got.get(name, name) == least[r] for name, r in zip(names, lab, strict=True))
+    pairs = {frozenset(r) for r in linededup.long_edges(texts).collect()}
+    at = dict(zip(lines, names, strict=True))
+    assert {frozenset((at[a], at[b])) for (a, b), yes in near.items() if yes and min(len(a), len(b)) >= 60} <= pairs
+    assert len(pairs) > 50
