@@ -420,11 +420,28 @@ def _near(edits: int, percent: int):
     return run
 
 
+def _pairs_of(words: list[str], classes: int = 512) -> np.ndarray:
+    """Counts of hashed pairs of neighbouring characters, a row a line."""
+    size = np.array([len(x) for x in words], dtype=np.int64)
+    code = np.frombuffer("".join(words).encode("utf-32-le", "replace"), dtype=np.uint32)
+    both = (code[1:] * np.uint32(31) + code[:-1]) % np.uint32(classes)
+    owner = np.repeat(np.arange(len(words)), size)
+    inside = owner[1:] == owner[:-1]
+    return np.bincount(owner[1:][inside] * classes + both[inside], minlength=classes * len(words)).reshape(-1, classes)
+
+
 def _linked(edits: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = [within(a, b, limit(min(len(a), len(b)), edits, percent)) for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-            yield batch.select(["src", "dst"]).filter(pa.array(good, pa.bool_()))
+            for at in range(0, batch.num_rows, 64):
+                cut = batch.slice(at, 64)
+                a, b = cut.column(2).to_pylist(), cut.column(3).to_pylist()
+                most = [limit(min(len(x), len(y)), edits, percent) for x, y in zip(a, b, strict=True)]
+                apart = _pairs_of(a) - _pairs_of(b)
+                # One edit takes two pairs away at most and adds two at most.
+                more, less = np.maximum(apart, 0).sum(1), np.maximum(-apart, 0).sum(1)
+                good = [max(m, n) <= 2 * t and within(x, y, t) for x, y, t, m, n in zip(a, b, most, more.tolist(), less.tolist(), strict=True)]
+                yield cut.select(["src", "dst"]).filter(pa.array(good, pa.bool_()))
 
     return run
 
