@@ -496,19 +496,19 @@ def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*cut.columns[:-2], pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], names=[*cut.schema.names[:-2], "n_lines", "n_removed", "kept"])
 
 
-def remove_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", carry: tuple[str, ...] = (), min_chars: int = MIN_CHARS, edits: int = EDITS, percent: int = PERCENT) -> DataFrame:
+def remove_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", carry: tuple[str, ...] = (), min_chars: int = MIN_CHARS, edits: int = EDITS, percent: int = PERCENT, exact_from: int | None = None) -> DataFrame:
     """One row per row of `docs`: id_col, `carry`, n_lines, n_removed, kept (the text without the removed lines).
 
     Lines are compared without surrounding white space. Lines of min_chars code points or more that are equal or linked,
     directly or over others, are one class; of its occurrences the first by (id, place) stays and the others go. Shorter
-    lines always stay. A null text stays null and has no lines; an empty text has one empty line. A null id sorts last.
+    lines of `exact_from` code points or more (1: all but blank ones) are in a class with their equals alone; lines shorter still always stay. A null text stays null and has no lines; an empty text has one empty line. A null id sorts last.
     Identical rows (same id and text) are one document and keep the same lines; rows that share an id but not a text are
     ordered by a hash of the text. An empty table gives an empty result; columns not in `carry` are ignored.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), *carry, F.col(text).alias("_text")).withColumn("_key", F.xxhash64("_id", "_text"))
     path = scratch(spark, "lines")
-    rows.select("_key", "_id", "_text").mapInArrow(_occurrences(min_chars), "key long, id long, place int, line long").write.parquet(path)
+    rows.select("_key", "_id", "_text").mapInArrow(_occurrences(min_chars if exact_from is None else min(min_chars, exact_from)), "key long, id long, place int, line long").write.parquet(path)
     places = spark.read.schema("key long, id long, place int, line long").parquet(path)
     order = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("key").alias("key"), F.col("place").alias("place"))
     nodes = places.groupBy("line").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n"))

@@ -4,7 +4,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from corpusloom.llm import embedding, graph, linededup, simhash, substring
+from corpusloom.llm import embedding, graph, linededup, queries, simhash, substring
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, n long, fp string, key string"
 
@@ -223,3 +223,12 @@ def test_long_lines_link_by_their_length(spark):
     at = dict(zip(lines, names, strict=True))
     assert {frozenset((at[a], at[b])) for (a, b), yes in near.items() if yes and min(len(a), len(b)) >= 60} <= pairs
     assert len(pairs) > 50
+
+
+def test_short_lines_repeat_once(spark, tmp_path):
+    rows = [(1, "Les.\n\nAnd ornd.\nLes."), (2, " Les. \n\nAnd ornd!\nb"), (3, "b\n" + "a longer line of some words" + "\nLes"), (None, "b")]
+    docs(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.n_removed for r in queries.op1_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, None: 1}
+    kept = {r.doc_id: r.kept for r in linededup.remove_repeated_lines(docs(spark, rows), exact_from=1).collect()}
+    assert kept == {1: "Les.\n\nAnd ornd.", 2: "\nAnd ornd!\nb", 3: "a longer line of some words\nLes", None: ""}
