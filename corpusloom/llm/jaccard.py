@@ -1,0 +1,104 @@
+"""Near-duplicates by the exact Jaccard similarity of word shingles.
+
+Two texts of which the sets of shingles have a similarity of PERCENT or more share a shingle among the first
+n - ceil(PERCENT n) + 1 of each in any common order (prefix filter); the order is that of the hashes. Texts that share
+such a key and whose sets are near enough in size are compared whole, so every link is found. Equal texts are one node.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .graph import components, keep
+from .linededup import _cuts
+
+WIDTH, PERCENT = 5, 80
+#: Key rows of one task.
+ROWS = 1 << 20
+
+
+def shingles(text: bytes, width: int = WIDTH) -> np.ndarray:
+    """Sorted hashes of the different shingles of lower-case words; with fewer words than `width` all words are the one shingle."""
+    words = text.lower().split()
+    return np.unique(np.array([xxhash.xxh3_64_intdigest(b" ".join(words[i : i + width])) for i in range(max(1, len(words) - width + 1))], dtype=np.uint64))
+
+
+def _keys(width: int, percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for cut in _cuts(batch):
+                sig, size = [], []
+                for text in cut.column(1):
+                    own = shingles(text.as_buffer().to_pybytes(), width)
+                    size.append(len(own))
+                    sig.append(own[: len(own) - -(-percent * len(own) // 100) + 1])
+                counts = [len(x) for x in sig]
+                node = np.repeat(cut.column(0).to_numpy(), counts)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sig).view(np.int64)), pa.array(node), pa.array(np.repeat(np.array(size, dtype=np.int64), counts))], names=["sig", "node", "size"])
+
+    return run
+
+
+def _candidates(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [[c.to_numpy(zero_copy_only=False) for c in b.columns] for b in batches if b.num_rows]
+        if not held:
+            return
+        sig, node, size = [np.concatenate(c) for c in zip(*held, strict=True)]
+        at = np.lexsort((node, size, sig))
+        sig, node, size = sig[at], node[at], size[at]
+        new = np.ones(len(sig), dtype=bool)
+        new[1:] = (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])
+        sig, node, size = sig[new], node[new], size[new]
+        alive, lag, found = np.arange(len(sig)), 0, [np.zeros((0, 2), dtype=np.int64)]
+        while True:
+            lag += 1
+            alive = alive[alive + lag < len(sig)]
+            alive = alive[(sig[alive] == sig[alive + lag]) & (100 * size[alive] >= percent * size[alive + lag])]
+            if not len(alive):
+                break
+            a, b = node[alive], node[alive + lag]
+            found.append(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1))
+        pairs = np.unique(np.concatenate(found), axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["src", "dst"])
+
+    return run
+
+
+def similar(a: bytes, b: bytes, width: int = WIDTH, percent: int = PERCENT) -> bool:
+    x, y = shingles(a, width), shingles(b, width)
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
+def _verified(width: int, percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = [similar(a.as_buffer().to_pybytes(), b.as_buffer().to_pybytes(), width, percent) for a, b in zip(batch.column(2), batch.column(3), strict=True)]
+            yield batch.select(["src", "dst"]).filter(pa.array(good, pa.bool_()))
+
+    return run
+
+
+def link_edges(texts: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """All pairs (src, dst) of nodes whose texts are similar; `texts` has node (long, one text each) and text, never null."""
+    chars = texts.agg(F.sum(F.length("text"))).first()[0] or 0
+    keys = texts.select("node", "text").mapInArrow(_keys(width, percent), "sig long, node long, size long")
+    near = keys.repartition(max(8, chars // 20 // ROWS + 1), "sig").mapInArrow(_candidates(percent), "src long, dst long")
+    pairs = keep(near.distinct())
+    wanted = pairs.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+    words = keep(texts.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")))
+    first, second = words.select(F.col("node").alias("src"), F.col("text").alias("a")), words.select(F.col("node").alias("dst"), F.col("text").alias("b"))
+    return pairs.join(first, "src").join(second, "dst").select("src", "dst", "a", "b").mapInArrow(_verified(width, percent), "src long, dst long")
+
+
+def components_of(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(node, component) of the texts that are similar to another one; a node is F.xxhash64 of the text, a null one taken as empty."""
+    whole = F.coalesce(F.col(text), F.lit(""))
+    return components(keep(link_edges(docs.select(F.xxhash64(whole).alias("node"), whole.alias("text")))))
