@@ -58,3 +58,11 @@ def test_near_copies_by_similarity(spark):
                     label[a] = label[b] = min(label[a], label[b])
     assert len(set(label)) < len(texts) - 1
     assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()} == set(label)
+
+
+def test_near_dedup_keeps_unlike_texts_of_an_id(spark):
+    text = lambda k: " ".join(f"word{k}x{i}" for i in range(30))
+    rows = [(1, text(1)), (1, text(2)), (1, text(2)), (2, text(2)), (3, text(3)), (None, text(3)), (None, text(4)), (None, text(4)), (None, text(4) + " tail")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r.doc_id, r.text.removesuffix(" tail")) for r in corpus_pipeline.near_dedup(spark, docs, "").collect()]
+    assert sorted(got, key=str) == sorted([(1, text(1)), (1, text(2)), (3, text(3)), (None, text(4))], key=str)
