@@ -178,6 +178,12 @@ def text_sniff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "documents").select("doc_id", media.text_sniff(F.substring("text", 1, 1000).cast("binary")).alias("is_text"))
 
 
+@query()
+def text_sniff_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts on the operator's own window; SQL has no test for a code point cut at its end."""
+    return _t(spark, sf_dir, "documents").select("doc_id", media.text_sniff(F.col("text").cast("binary")).alias("is_text"))
+
+
 @query("SELECT (n_chars <= 1500) AS fits, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents GROUP BY 1")
 def size_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "documents").groupBy(text.is_within_size_limit(F.col("n_chars"), 1500).alias("fits")).agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("chars"))
