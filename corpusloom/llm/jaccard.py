@@ -21,6 +21,8 @@ from .linededup import _cuts
 WIDTH, PERCENT = 5, 80
 #: Key rows of one task.
 ROWS = 1 << 20
+#: Candidate pairs are compared in this many parts, so that one part's texts are on disk at a time.
+PASSES = 8
 
 
 def shingles(text: bytes, width: int = WIDTH) -> np.ndarray:
@@ -95,7 +97,12 @@ def link_edges(texts: DataFrame, width: int = WIDTH, percent: int = PERCENT) ->
     wanted = pairs.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
     words = keep(texts.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")))
     first, second = words.select(F.col("node").alias("src"), F.col("text").alias("a")), words.select(F.col("node").alias("dst"), F.col("text").alias("b"))
-    return pairs.join(first, "src").join(second, "dst").select("src", "dst", "a", "b").mapInArrow(_verified(width, percent), "src long, dst long")
+    linked = None
+    for part in range(PASSES):  # texts are dealt to a part of the pairs at a time
+        some, ends = (x.filter(F.pmod("dst", F.lit(PASSES)) == part) for x in (pairs, second))
+        good = keep(some.join(first, "src").join(ends, "dst").select("src", "dst", "a", "b").mapInArrow(_verified(width, percent), "src long, dst long"))
+        linked = good if linked is None else linked.union(good)
+    return linked
 
 
 def components_of(docs: DataFrame, text: str = "text") -> DataFrame:
