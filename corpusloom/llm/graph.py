@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,7 +53,7 @@ def drop_path(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def salted_join(left: DataFrame, right: DataFrame, key: str, spread: str, count: str, total: int, parts: int = 512, salts: int = 64) -> DataFrame:
+def salted_join(left: DataFrame, right: DataFrame, key: str | list[str], spread: str, count: str, total: int, parts: int = 512, salts: int = 64) -> DataFrame:
     """Left join on a key that few rows of `right` may share with very many of `left`.
 
     `right` has one row for each key with the number of its rows in `left` in column `count`, whose sum is
@@ -61,12 +62,14 @@ def salted_join(left: DataFrame, right: DataFrame, key: str, spread: str, count:
     the hot rows of `right` are repeated for each.
     """
     least = max(2, -(-total // parts))
-    hot = right.filter(F.col(count) >= least).select(F.col(key).alias("_hot"))
+    keys = [key] if isinstance(key, str) else key
+    hot = right.filter(F.col(count) >= least).select(*[F.col(k).alias(f"_hot{i}") for i, k in enumerate(keys)], F.lit(True).alias("_hot"))
+    same = reduce(lambda x, y: x & y, [F.col(k) == F.col(f"_hot{i}") for i, k in enumerate(keys)])
     salt = F.when(F.col("_hot").isNotNull(), F.pmod(F.xxhash64(spread), F.lit(salts))).otherwise(F.lit(0)).cast("int")
-    dealt = left.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left").withColumn("_salt", salt).drop("_hot")
+    dealt = left.join(F.broadcast(hot), same, "left").withColumn("_salt", salt).drop("_hot", *[f"_hot{i}" for i in range(len(keys))])
     copies = F.when(F.col(count) >= least, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
     repeated = right.withColumn("_salt", F.explode(copies)).drop(count)
-    return dealt.join(repeated, [key, "_salt"], "left").drop("_salt")
+    return dealt.join(repeated, [*keys, "_salt"], "left").drop("_salt")
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:

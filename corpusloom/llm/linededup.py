@@ -1,19 +1,21 @@
 """Near-duplicate lines by a segment-partition edit join.
 
 Two lines are linked when their edit distance is at most `limit` of the shorter one: PERCENT of its length, EDITS at least.
-Where that is EDITS, a line is cut into EDITS + 1 segments; two linked lines share at least one segment, at places that differ by little. Each line is indexed by its segments and probes, for
-every length from its own down to EDITS less, the substrings that can match a segment of a line of
-that length (multi-match-aware selection, as in Pass-Join). Lines that share a key are verified by banded bit-parallel
-edit distance after the common prefix and suffix are taken off.
-
-Longer lines meet by winnowed grams, which do not multiply with the limit t. Of t + 1 disjoint windows of a line t edits
-leave one whole, and the gram of least hash in it is found by every line that holds the window. So the grams of a line's
-first t + 1 disjoint windows are indexed and those of all its windows probe. The window's width is the largest that fits
-t + 1 times into every line of a band of lengths. Lengths, places and counts of characters bound the distance from below
-and drop pairs without their texts. Both ways find every link.
-
-Keys are made of hashes; texts are fetched only for lines that share a key with another line. A key shared by
-more than `BLOCK` lines is cut into blocks and every two blocks meet. Pairs already connected are not verified.
+Equal lines are one node, known by a 128-bit hash; the edit join works on one row for each different line.
+
+Where the limit t is EDITS, a line is cut into t + 1 segments; two linked lines share at least one segment, at places that
+differ by little. Each line is indexed by its segments and probes, for every length from its own down to t less, the
+substrings that can match a segment of a line of that length (multi-match-aware selection, as in Pass-Join).
+
+Longer lines are cut into t + 1 disjoint windows of one width for each band of lengths, of which t edits leave one whole.
+A window is known by the gram in it whose first four characters have the least hash, so every line that holds the
+window at any place holds the gram: the grams of the t + 1 windows are indexed and those of all windows probe. A key meets
+only lines whose length and place fit the limit. Keys travel as packed 64-bit words, many to a row, and in PASSES parts.
+
+Candidate pairs, each once, are told apart by counts of characters and then verified by banded bit-parallel edit distance, many
+pairs at a time. A line that meets more than FIRST lines by one key takes FIRST of them; the others wait until these links have been
+united and are compared only with lines that are still apart, so a large group of copies never gives all its pairs. Both ways find all links, directly or over
+others.
 """
 
 from __future__ import annotations
@@ -24,35 +26,30 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .graph import components, drop_path, keep, salted_join, scratch
+from .graph import components, drop_path, keep, salted_join, scratch, tidy
 
 EDITS = 2
 PERCENT = 5
 MIN_CHARS = 20
 BLOCK = 500
-GRAM = 10
-BANDS = (100, 200, 400)
-#: The gram keys are dealt over this many passes, so that one pass's shuffle is on disk at a time.
-PASSES = 4
-#: Gram rows of one task.
-ROWS = 1 << 20
-
-
-def line_hash(line: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(line)
-
-
-def lines_of(text: bytes, min_chars: int) -> list[tuple[int, bytes]]:
-    """(place, line) of the \\n-separated lines with at least min_chars code points once surrounding ASCII white space is gone."""
-    found = []
-    for k, line in enumerate(text.split(b"\n")):
-        line = line.strip()
-        if len(line) >= min_chars and (len(line) >= 4 * min_chars or len(line.decode("utf-8", "replace")) >= min_chars):
-            found.append((k, line))
-    return found
+#: Least lengths of the bands of long lines beyond the first.
+BANDS = (80, 100, 140, 200, 280, 400, 560, 800, 1200, 2400)
+#: Places in a window at which its gram may begin: few give long, telling grams and many keys.
+STEPS = 6
+#: The packed keys are dealt over this many passes, so that one pass's shuffle is on disk at a time.
+PASSES = 2
+#: Packed keys of one bucket; a bucket is matched by one task.
+KEYS = 1 << 21
+#: Partners that a line takes from one key before links are united; FIRST times as many each time after.
+FIRST = 32
+#: Candidate pairs are compared in this many parts, so that one part's texts are on disk at a time.
+PARTS = 2
+SPACES = " \t\r\x0b\x0c"
+
+_U = np.uint64
 
 
 def limit(length: int, edits: int = EDITS, percent: int = PERCENT) -> int:
@@ -65,7 +62,7 @@ def first_long(edits: int, percent: int) -> int | None:
     return -(-100 * (edits + 1) // percent) if percent else None
 
 
-def bands(edits: int, percent: int) -> list[tuple[int, int, int]]:
+def bands(edits: int, percent: int, steps: int = STEPS) -> list[tuple[int, int, int]]:
     """(least length, least length of the next band, window) of the bands of long lines, by the shorter line of a pair."""
     start = first_long(edits, percent)
     if start is None:
@@ -74,8 +71,8 @@ def bands(edits: int, percent: int) -> list[tuple[int, int, int]]:
     out = []
     for a, b in zip(starts[:-1], starts[1:], strict=True):
         window = min(n // (limit(n, edits, percent) + 1) for n in range(a, min(b, 4 * a + 400)))
-        if window < GRAM:
-            raise ValueError(f"{percent} % of edits leave no common run of {GRAM} characters")
+        if not 4 <= window - steps + 1 <= 16:
+            raise ValueError(f"{percent} % of edits leave windows of {window} characters, which do not fit grams of 4 to 16")
         out.append((a, b, window))
     return out
 
@@ -178,28 +175,8 @@ def _cuts(batch: pa.RecordBatch, max_bytes: int = 4 << 20) -> Iterator[pa.Record
         at = to
 
 
-def _bytes(column: pa.Array) -> Iterator[bytes]:
-    for t in column:
-        yield t.as_buffer().to_pybytes() if t.is_valid else b""
-
-
-def _occurrences(min_chars: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for cut in _cuts(batch):
-                row, place, line = [], [], []
-                for r, text in enumerate(_bytes(cut.column(2))):
-                    own = lines_of(text, min_chars)
-                    row += [r] * len(own)
-                    place += [k for k, _ in own]
-                    line += [line_hash(x) for _, x in own]
-                at = pa.array(row, pa.int64())
-                yield pa.RecordBatch.from_arrays([cut.column(0).take(at), cut.column(1).take(at), pa.array(place, pa.int32()), _signed(line)], names=["key", "id", "place", "line"])
-
-    return run
-
-
-def _signatures(min_chars: int, edits: int, percent: int):
+def _signatures(edits: int, percent: int):
+    """Rows (sig, line, own) of the short lines among rows (line, words)."""
     start = first_long(edits, percent)
     longest = start - 1 + edits if start else None
 
@@ -208,23 +185,19 @@ def _signatures(min_chars: int, edits: int, percent: int):
         digest = xxhash.xxh3_64_intdigest
         for batch in batches:
             for cut in _cuts(batch):
-                sig, own, lines, counts = [], [], [], []
-                for line in {x for text in _bytes(cut.column(0)) for _, x in lines_of(text, min_chars)}:
-                    s = line.decode("utf-8", "replace")
+                sig, own, rows, counts = [], [], [], []
+                for r, s in enumerate(cut.column(1).to_pylist()):
                     if longest and len(s) > longest:
                         continue
                     plan = cache.get(len(s))
                     if plan is None:
                         plan = cache[len(s)] = [(p, p + size, other * 8 + i + 1, mine) for other, i, p, size, mine in probes(len(s), edits)]
-                    if len(s) == len(line):
-                        sig += [digest(line[a:b], seed) for a, b, seed, _ in plan]
-                    else:
-                        sig += [digest(s[a:b].encode("utf-8", "replace"), seed) for a, b, seed, _ in plan]
+                    sig += [digest(s[a:b].encode("utf-8", "replace"), seed) for a, b, seed, _ in plan]
                     own += [mine for _, _, _, mine in plan]
-                    lines.append(line_hash(line))
+                    rows.append(r)
                     counts.append(len(plan))
-                lines = np.repeat(np.array(lines, dtype=np.uint64), counts)
-                yield pa.RecordBatch.from_arrays([_signed(sig), pa.array(lines.view(np.int64)), pa.array(own, pa.bool_())], names=["sig", "line", "own"])
+                lines = cut.column(0).take(pa.array(np.repeat(np.array(rows, dtype=np.int64), counts)))
+                yield pa.RecordBatch.from_arrays([_signed(sig), lines, pa.array(own, pa.bool_())], names=["sig", "line", "own"])
 
     return run
 
@@ -258,16 +231,6 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out(*rest)
 
 
-def _texts(min_chars: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for cut in _cuts(batch):
-                own = list({x for text in _bytes(cut.column(0)) for _, x in lines_of(text, min_chars)})
-                yield pa.RecordBatch.from_arrays([_signed([line_hash(x) for x in own]), pa.array([x.decode("utf-8", "replace") for x in own], pa.string())], names=["line", "words"])
-
-    return run
-
-
 def _verify(edits: int, percent: int):
     """Rows (sig, x, y, line, own, words) sorted by (sig, x, y): a spanning forest of the verified links."""
 
@@ -305,187 +268,388 @@ def _verify(edits: int, percent: int):
     return run
 
 
-def _sliding(f: np.ufunc, x: np.ndarray, width: int) -> np.ndarray:
-    """f over each `width` values in a row."""
-    done = 1
-    while done < width:
-        step = min(done, width - done)
-        x = f(x[:-step], x[step:])
+def _codes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """One byte for each code point (equal ones alike) and the first one of each row, as one more than there are rows."""
+    offsets = np.frombuffer(column.buffers()[1], dtype=np.int32, count=len(column) + 1, offset=column.offset * 4).astype(np.int64)
+    data = np.frombuffer(column.buffers()[2], dtype=np.uint8)[offsets[0] : offsets[-1]] if offsets[-1] else np.zeros(0, dtype=np.uint8)
+    offsets -= offsets[0]
+    if not len(data) or int(data.max()) < 128:
+        return data, offsets
+    mixed = data.copy()
+    mixed[:-1] ^= (data[:-1] >= 0xC0) * (data[1:] * np.uint8(29))
+    mixed[:-2] ^= (data[:-2] >= 0xE0) * (data[2:] * np.uint8(101))
+    head = (data & 0xC0) != 0x80
+    starts = np.zeros(len(data) + 1, dtype=np.int32)
+    np.cumsum(head, out=starts[1:], dtype=np.int32)
+    return mixed[head], starts[offsets].astype(np.int64)
+
+
+def _least(codes: np.ndarray, steps: int) -> np.ndarray:
+    """For each place the one of the `steps` places from it on whose four characters have the least hash, the first of equals."""
+    n = len(codes) - 16
+    order = np.ndarray((n,), dtype="<u4", buffer=codes, strides=(1,)) * np.uint32(0x9E3779B1)
+    order ^= order >> np.uint32(15)
+    order *= np.uint32(0x85EBCA77)
+    best, done = order.astype(np.uint64) << _U(32) | np.arange(n, dtype=np.uint64), 1
+    while done < steps:
+        step = min(done, steps - done)
+        best = np.minimum(best[:-step], best[step:])
         done += step
-    return x
-
-
-def _grams(min_chars: int, edits: int, percent: int, part: int):
-    """Rows (sig, line, counts, meta) of the long lines' winnowed grams of one pass; counts holds 8 bytes, meta place + 1 (0: several), length and own."""
-    plans = bands(edits, percent)
-
-    def of_band(lines: list[tuple[bytes, str]], seed: int, window: int) -> list[np.ndarray]:
-        size = np.array([len(s) for _, s in lines], dtype=np.int64)
-        start = np.cumsum(size) - size
-        code = np.frombuffer("".join(s for _, s in lines).encode("utf-32-le", "replace"), dtype=np.uint32)
-        owner = np.repeat(np.arange(len(lines)), size)
-        counts = np.minimum(np.bincount(owner * 8 + (code & 7), minlength=8 * len(lines)), 255).astype(np.uint8)
-        h = code.astype(np.uint64) + np.uint64(seed + 1)
-        width = 1
-        while width < GRAM:  # hashes of twice the width, and of GRAM from two that overlap
-            step = min(width, GRAM - width)
-            n = len(h) - step
-            h = (h[:n] * np.uint64(0x9E3779B97F4A7C15)) ^ ((h[step:] ^ (h[step:] >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9))
-            width += step
-        h ^= h >> np.uint64(32)
-        h *= np.uint64(0x94D049BB133111EB)
-        h ^= h >> np.uint64(31)
-        steps = window - GRAM + 1
-        least = _sliding(np.minimum, h, steps)
-        # A gram is the least of a window if it equals the largest of the minima of the windows it lies in.
-        good, mine = np.zeros(len(least) + 2 * (steps - 1), dtype=np.uint64), np.zeros(len(least) + 2 * (steps - 1), dtype=np.uint64)
-        inner = good[steps - 1 : steps - 1 + len(least)]
-        inner[:] = least
-        for i in (start + size).tolist():
-            inner[i - window + 1 : i] = 0
-        tops = np.minimum(np.maximum(edits, size * percent // 100) + 1, size // window)
-        firsts = np.repeat(start, tops) + (np.arange(tops.sum()) - np.repeat(np.cumsum(tops) - tops, tops)) * window
-        mine[steps - 1 + firsts] = least[firsts]
-        taken, own = h == _sliding(np.maximum, good, steps), h == _sliding(np.maximum, mine, steps)
-        place = np.arange(len(code)) - start[owner]
-        at = np.flatnonzero(taken & (h % np.uint64(PASSES) == part))
-        at = at[np.lexsort((h[at], owner[at]))]
-        head = np.ones(len(at), dtype=bool)
-        head[1:] = (h[at][1:] != h[at][:-1]) | (owner[at][1:] != owner[at][:-1])
-        group = np.cumsum(head) - 1
-        several, any_own = np.bincount(group) > 1, np.bincount(group, weights=own[at]) > 0
-        at = at[head]
-        meta = np.where(several, 0, place[at] + 1) << 33 | size[owner[at]] << 1 | any_own
-        return [h[at], np.array([line_hash(x) for x, _ in lines], dtype=np.uint64)[owner[at]], counts.view(np.uint64).ravel()[owner[at]], meta]
+    return (best & _U(0xFFFFFFFF)).astype(np.int64)
+
+
+def _tile(codes: np.ndarray, starts: np.ndarray, names: np.ndarray, plans: list, edits: int, percent: int, steps: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(hash, packed word without the hash) of the keys of lines that lie one after the other; `names` are their numbers below 65536."""
+    size = np.diff(starts)
+    padded = np.concatenate([codes, np.zeros(24, dtype=np.uint8)])
+    chosen = _least(padded, steps)
+    wide = np.ndarray((len(codes) + 17,), dtype="<u8", buffer=padded, strides=(1,))
+    most = np.maximum(edits, size * percent // 100)
+    length = np.minimum((32 * np.log2(np.maximum(size, 1))).astype(np.int64), 511)
+    out = []
+    for k, (a, b, window) in enumerate(plans):
+        # A line just above a band may be the longer one of a pair.
+        mine = np.flatnonzero((size >= a) & (size < b + limit(b - 1, edits, percent)))
+        if not len(mine):
+            continue
+        counts = size[mine] - window + 1
+        ends = np.cumsum(counts)
+        who = np.repeat(mine, counts)
+        at = chosen[np.arange(ends[-1]) + np.repeat(starts[mine] - ends + counts, counts)]
+        new = np.ones(len(at), dtype=bool)
+        new[1:] = at[1:] != at[:-1]
+        at, who = at[new], who[new]
+        parts = np.minimum(most[mine] + 1, size[mine] // window)
+        firsts = np.repeat(starts[mine], parts) + (np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)) * window
+        indexed = np.zeros(len(codes) + 1, dtype=bool)
+        indexed[chosen[firsts]] = True
+        gram = window - steps + 1
+        h = wide[at]
+        if gram < 8:
+            h &= _U((1 << 8 * gram) - 1)
+        h = (h + _U(k + 1)) * _U(0x9E3779B97F4A7C15)
+        if gram > 8:
+            tail = wide[at + (gram - 8)] * _U(0xC2B2AE3D27D4EB4F)
+            h ^= tail ^ (tail >> _U(29))
+        h ^= h >> _U(32)
+        h *= _U(0x94D049BB133111EB)
+        h ^= h >> _U(29)
+        place = ((at - starts[who]) >> 3) % 255
+        h, rest = _once(h, (length[who] << 25 | place << 17 | indexed[at] << 16 | names[who]).astype(np.uint64))
+        out.append((h, rest))
+    return out
+
+
+def _once(h: np.ndarray, rest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys that a line holds several times once, at place 255 (any), indexed if one of them is."""
+    both = h << _U(16) | rest & _U(0xFFFF)
+    ordered = np.sort(both)
+    again = ordered[1:][ordered[1:] == ordered[:-1]]
+    if not len(again):
+        return h, rest
+    table = np.zeros(1 << 16, dtype=bool)
+    table[((again >> _U(16)) & _U(0xFFFF)).astype(np.int64)] = True
+    some = table[(h & _U(0xFFFF)).astype(np.int64)]
+    own = np.flatnonzero(some)
+    own = own[np.lexsort((h[own], rest[own] & _U(0xFFFF)))]
+    head = np.ones(len(own), dtype=bool)
+    name = rest[own] & _U(0xFFFF)
+    head[1:] = (h[own][1:] != h[own][:-1]) | (name[1:] != name[:-1])
+    group = np.cumsum(head) - 1
+    several, indexed = np.bincount(group) > 1, np.bincount(group, weights=(rest[own] >> _U(16)) & _U(1)) > 0
+    first = own[head]
+    merged = np.where(several, rest[first] & ~_U(0xFF << 17) | _U(255 << 17) | indexed.astype(np.uint64) << _U(16), rest[first])
+    return np.concatenate([h[~some], h[first]]), np.concatenate([rest[~some], merged])
+
+
+def _keys(edits: int, percent: int, steps: int, buckets: int, part: int):
+    """Rows (bucket, base, data) of the long lines among rows (line, words): packed keys, whose line is base plus the lowest 16 bits.
+
+    A packed key has 30 bits of hash, 9 of length (32 to a doubling), 8 of place (in eights), 1 if indexed and 16 of line. Buckets are
+    dealt by other bits of the hash; those whose number leaves `part` are made.
+    """
+    plans = bands(edits, percent, steps)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for cut in _cuts(batch):
-                lines = [(x, x.decode("utf-8", "replace")) for x in {x for text in _bytes(cut.column(0)) for _, x in lines_of(text, min_chars)}]
-                for k, (a, b, window) in enumerate(plans):
-                    # A line just above a band may be the longer one of a pair.
-                    own = [x for x in lines if a <= len(x[1]) < b + limit(b - 1, edits, percent)]
-                    cols, held, chars = [], [], 0
-                    for j, x in enumerate(own):
-                        held.append(x)
-                        chars += len(x[1])
-                        if chars > 1 << 15 or j == len(own) - 1:  # small arrays stay in the processor's cache
-                            cols.append(of_band(held, k, window))
-                            held, chars = [], 0
-                    if cols:
-                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).view(np.int64)) for c in zip(*cols, strict=True)], names=["sig", "line", "counts", "meta"])
+                lines, at = cut.column(0).to_numpy(), 0
+                while at < len(lines):  # line numbers of one row of the result lie within 65536
+                    off = (lines[at:] < lines[at]) | (lines[at:] - lines[at] > 65535)
+                    to = at + (int(np.argmax(off)) if off.any() else len(off))
+                    names = lines[at:to] - lines[at]
+                    codes, starts = _codes(cut.column(1).slice(at, to - at))
+                    tiles, first = [], 0
+                    while first < to - at:  # small arrays stay in the processor's cache
+                        last = max(first + 1, int(np.searchsorted(starts, starts[first] + (1 << 15), side="right")) - 1)
+                        tiles += _tile(codes[starts[first] : starts[last]], starts[first : last + 1] - starts[first], names[first:last], plans, edits, percent, steps)
+                        first = last
+                    base, at = int(lines[at]), to
+                    if not tiles:
+                        continue
+                    h, rest = np.concatenate([t[0] for t in tiles]), np.concatenate([t[1] for t in tiles])
+                    bucket = (h >> _U(34)) % _U(buckets * PASSES)
+                    mine = np.flatnonzero(bucket % _U(PASSES) == part)
+                    bucket = bucket[mine].astype(np.uint16 if buckets * PASSES <= 1 << 16 else np.uint32)
+                    order = np.argsort(bucket, kind="stable")
+                    bucket, packed = bucket[order], ((h[mine] << _U(34)) | rest[mine])[order]
+                    cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]])) if len(bucket) else np.zeros(1, dtype=np.int64)
+                    data = pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer((cuts * 8).astype(np.int32).tobytes()), pa.py_buffer(packed.tobytes())])
+                    yield pa.RecordBatch.from_arrays([pa.array(bucket[cuts[:-1]].astype(np.int64)), pa.array(np.full(len(cuts) - 1, base)), data], names=["bucket", "base", "data"])
 
     return run
 
 
-def _near(edits: int, percent: int):
-    """Of all rows of a partition: pairs (src, dst) of different lines that share a key, one of them indexed, and that lengths, places and counts do not tell apart."""
+def _met(sig: np.ndarray, size: np.ndarray, place: np.ndarray, own: np.ndarray, line: np.ndarray, percent: int, low: int, high: int, label: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of keys sorted by (sig, size, place, own, line): the pairs that length and place allow, those numbered low to high - 1 of each key's first line and with unlike labels, and the signatures with further ones."""
+    n, near = len(sig), int(32 * np.log2(1 + percent / 100)) + 1
+    # A shift in place is an edit each, and the length code bounds the number of edits.
+    reach = ((np.exp2((size + 1) / 32) * percent / 100 + 1) // 8 + 1).astype(np.int64)
+    taken, alive, lag = np.zeros(n, dtype=np.int64), np.arange(n), 0
+    left, right, more = [], [], []
+    while True:
+        lag += 1
+        alive = alive[alive + lag < n]
+        alive = alive[(sig[alive] == sig[alive + lag]) & (size[alive + lag] - size[alive] <= near)]
+        if not len(alive):
+            break
+        other = alive + lag
+        apart = np.abs(place[alive] - place[other])
+        ok = (np.minimum(apart, 255 - apart) <= reach[other]) | (place[alive] == 255) | (place[other] == 255)
+        ok &= (own[alive] | own[other]) & (line[alive] != line[other])
+        a, b = alive[ok], other[ok]
+        full = taken[a] >= high
+        if full.any():
+            more.append(np.unique(sig[a[full]]))
+            alive = np.setdiff1d(alive, a[full], assume_unique=True)
+        good = ~full & (taken[a] >= low)
+        taken[a] += 1
+        if label is not None:
+            good &= label[a] != label[b]
+        left.append(line[a[good]])
+        right.append(line[b[good]])
+    none = np.zeros(0, dtype=np.int64)
+    a, b = np.concatenate([none, *left]), np.concatenate([none, *right])
+    pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
+    return pairs[:, 0], pairs[:, 1], np.unique(np.concatenate(more)) if more else np.zeros(0, dtype=sig.dtype)
+
+
+def _candidates(percent: int, high: int):
+    """Of rows (bucket, base, data) sorted by bucket: rows (src, dst, sig, key), candidate pairs (sig null), and the keys of signatures with further ones (dst null)."""
+
+    def solve(bucket: int, bases: list[int], data: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        packed = np.concatenate(data)
+        ordered = np.sort(packed)
+        sig, size = ordered >> _U(34), (ordered >> _U(25)) & _U(511)
+        near = np.flatnonzero((sig[1:] == sig[:-1]) & (size[1:] - size[:-1] <= int(32 * np.log2(1 + percent / 100)) + 1))
+        if not len(near):
+            return
+        table = np.zeros(1 << 22, dtype=bool)  # keys whose signature meets none need no exact order
+        table[(sig[near] & _U((1 << 22) - 1)).astype(np.int64)] = True
+        some = np.flatnonzero(table[((packed >> _U(34)) & _U((1 << 22) - 1)).astype(np.int64)])
+        line = np.repeat(np.array(bases, dtype=np.int64), [len(d) for d in data])[some]
+        packed = packed[some]
+        line += (packed & _U(0xFFFF)).astype(np.int64)
+        at = np.lexsort((line, packed >> _U(16)))
+        line, packed = line[at], packed[at]
+        number = lambda shift, bits: ((packed >> _U(shift)) & _U((1 << bits) - 1)).astype(np.int64)
+        sig, own = number(34, 30), number(16, 1) > 0
+        src, dst, more = _met(sig, number(25, 9), number(17, 8), own, line, percent, 0, high)
+        none = pa.nulls(len(src), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(src), pa.array(dst), none, none], names=["src", "dst", "sig", "key"])
+        if len(more):
+            held = np.flatnonzero(np.isin(sig, more))
+            yield pa.RecordBatch.from_arrays([pa.array(line[held]), pa.nulls(len(held), pa.int64()), pa.array(bucket << 30 | sig[held]), pa.array(number(16, 18)[held])], names=["src", "dst", "sig", "key"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [[c.to_numpy(zero_copy_only=False) for c in b.columns] for b in batches if b.num_rows]
-        if not held:
-            return
-        sig, line, counts, meta = [np.concatenate(c) for c in zip(*held, strict=True)]
-        held.clear()
-        at = np.argsort(sig, kind="stable")
-        more = sig[at][1:] == sig[at][:-1]
-        at = at[np.concatenate([[False], more]) | np.concatenate([more, [False]])]
-        at = at[np.lexsort((line[at], meta[at] >> 1 & 0x7FFFFFFF, sig[at]))]
-        sig, line, counts, meta = sig[at], line[at], counts[at], meta[at]
-        new = np.ones(len(sig), dtype=bool)
-        new[1:] = (sig[1:] != sig[:-1]) | (line[1:] != line[:-1])
-        sig, line, counts, meta = sig[new], line[new], counts[new].view(np.uint8).reshape(-1, 8), meta[new]
-        place, size, own = meta >> 33, meta >> 1 & 0x7FFFFFFF, meta & 1
-        most = np.maximum(edits, size * percent // 100)
-        alive, lag = np.arange(len(sig)), 0
-        src, dst = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
-        while True:
-            lag += 1
-            alive = alive[alive + lag < len(sig)]
-            alive = alive[(sig[alive] == sig[alive + lag]) & (size[alive + lag] - size[alive] <= most[alive])]
-            if not len(alive):
-                break
-            other = alive + lag
-            # A shift before a common gram and the rest of the difference in length after it are edits.
-            shift = np.where((place[alive] == 0) | (place[other] == 0), 0, place[other] - place[alive])
-            ok = (own[alive] | own[other] > 0) & (np.abs(shift) + np.abs(size[other] - size[alive] - shift) <= most[alive])
-            a, b = alive[ok], other[ok]
-            apart = counts[a].astype(np.int16) - counts[b]
-            ok = np.maximum(np.maximum(apart, 0).sum(1), np.maximum(-apart, 0).sum(1)) <= most[a]
-            src.append(np.minimum(line[a[ok]], line[b[ok]]))
-            dst.append(np.maximum(line[a[ok]], line[b[ok]]))
-        pairs = np.unique(np.stack([np.concatenate(src), np.concatenate(dst)], axis=1), axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["src", "dst"])
+        name, bases, data = None, [], []
+        for batch in batches:
+            for bucket, base, blob in zip(*batch.columns, strict=True):
+                if bucket.as_py() != name:
+                    if data:
+                        yield from solve(name, bases, data)
+                    name, bases, data = bucket.as_py(), [], []
+                bases.append(base.as_py())
+                data.append(np.frombuffer(blob.as_buffer(), dtype="<u8").copy())
+        if data:
+            yield from solve(name, bases, data)
+
+    return run
+
+
+def _further(percent: int, low: int, high: int):
+    """Of rows (sig, key, line, label) sorted by (sig, key, line): rows (src, dst, sig), further candidate pairs (sig null) and the signatures that have yet more (src null)."""
+
+    def solve(cols: list[np.ndarray]) -> pa.RecordBatch:
+        sig, key, line, label = cols
+        src, dst, more = _met(sig, key >> 9, (key >> 1) & 255, (key & 1) > 0, line, percent, low, high, label)
+        n, m = len(src), len(more)
+        return pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array(src), pa.nulls(m, pa.int64())]), pa.concat_arrays([pa.array(dst), pa.nulls(m, pa.int64())]), pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(more, pa.int64())])], names=["src", "dst", "sig"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: list[np.ndarray] | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            if rest is not None:
+                cols = [np.concatenate([x, y]) for x, y in zip(rest, cols, strict=True)]
+            last = int(np.searchsorted(cols[0], cols[0][-1]))
+            if last:
+                yield solve([c[:last] for c in cols])
+            rest = [c[last:] for c in cols]
+        if rest is not None:
+            yield solve(rest)
 
     return run
 
 
-def _pairs_of(words: list[str], classes: int = 512) -> np.ndarray:
-    """Counts of hashed pairs of neighbouring characters, a row a line."""
-    size = np.array([len(x) for x in words], dtype=np.int64)
-    code = np.frombuffer("".join(words).encode("utf-32-le", "replace"), dtype=np.uint32)
-    both = (code[1:] * np.uint32(31) + code[:-1]) % np.uint32(classes)
-    owner = np.repeat(np.arange(len(words)), size)
-    inside = owner[1:] == owner[:-1]
-    return np.bincount(owner[1:][inside] * classes + both[inside], minlength=classes * len(words)).reshape(-1, classes)
+def distances(a: list[np.ndarray], b: list[np.ndarray], edits: int) -> np.ndarray:
+    """Edit distances of many pairs of arrays of code points above 1, a[i] not shorter than b[i] and by at most `edits`, both longer than it: right where at most `edits`, above it elsewhere.
+
+    A band of bits about the diagonal moves along all pairs at once (Hyyrö 2003), in as many 64-bit words as the band is wide.
+    """
+    k, size_a, size_b = len(a), np.array([len(x) for x in a]), np.array([len(x) for x in b])
+    words = -(-(2 * edits + 8) // 64)
+    width = 64 * words
+    left = width - edits - 1
+    kind = np.result_type(*{x.dtype for x in (*a, *b)})
+    first, second = np.zeros((k, max(left + int(size_a.max()), int(size_b.max()) + width)), dtype=kind), np.ones((k, int(size_b.max())), dtype=kind)
+    for i, (x, y) in enumerate(zip(a, b, strict=True)):
+        first[i, left : left + len(x)] = x
+        second[i, : len(y)] = y
+    start = ((1 << width) - 1) << left & ((1 << width) - 1)
+    up = np.array([[start >> 64 * w & (1 << 64) - 1] * k for w in range(words)], dtype=np.uint64)
+    down, across = np.zeros_like(up), np.empty_like(up)
+    found, one, top, rows = np.full(k, edits, dtype=np.int64), _U(1), _U(63), np.arange(k)
+    for i in range(second.shape[1]):
+        same = np.packbits(first[:, i : i + width] == second[:, i : i + 1], axis=1, bitorder="little").view("<u8").T
+        carry = np.zeros(k, dtype=np.uint64)
+        for w in range(words):
+            x = same[w] & up[w]
+            y = x + up[w]
+            z = y + carry
+            carry = ((y < x) | (z < y)).astype(np.uint64)
+            across[w] = (z ^ up[w]) | same[w] | down[w]
+        plus, minus = down | ~(across | up), across & up
+        inner = i < size_a - edits
+        bit = np.clip(width - 2 - (i - (size_a - edits)), 0, width - 1)
+        word, by = bit >> 6, (bit & 63).astype(np.uint64)
+        last = ((plus[word, rows] >> by) & one).astype(np.int64) - ((minus[word, rows] >> by) & one).astype(np.int64)
+        found += np.where(i < size_b, np.where(inner, 1 - (across[-1] >> top).astype(np.int64), last), 0)
+        moved = across >> one
+        moved[:-1] |= across[1:] << top
+        up, down = minus | ~(moved | plus), moved & plus
+    return found
 
 
 def _linked(edits: int, percent: int):
+    """Of rows (src, dst, a, b) with the texts of two lines: those whose distance is within the limit."""
+
+    def counts(flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Counts of 32 classes of characters, a row a line."""
+        owner = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+        return np.bincount(owner * 32 + (flat & 31), minlength=32 * (len(starts) - 1)).reshape(-1, 32)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                cut = batch.slice(at, 64)
-                a, b = cut.column(2).to_pylist(), cut.column(3).to_pylist()
-                most = [limit(min(len(x), len(y)), edits, percent) for x, y in zip(a, b, strict=True)]
-                apart = _pairs_of(a) - _pairs_of(b)
-                # One edit takes two pairs away at most and adds two at most.
-                more, less = np.maximum(apart, 0).sum(1), np.maximum(-apart, 0).sum(1)
-                good = [max(m, n) <= 2 * t and within(x, y, t) for x, y, t, m, n in zip(a, b, most, more.tolist(), less.tolist(), strict=True)]
-                yield cut.select(["src", "dst"]).filter(pa.array(good, pa.bool_()))
+            for cut in _cuts(batch):
+                ab = [_codes(pc.cast(cut.column(c), pa.string())) for c in (2, 3)]
+                size = [np.diff(s) for _, s in ab]
+                shorter = np.minimum(*size)
+                most = np.maximum(edits, shorter * percent // 100)
+                apart = counts(*ab[0]) - counts(*ab[1])
+                # One edit makes at most one character too many and one too few.
+                some = np.flatnonzero(np.maximum(np.maximum(apart, 0).sum(1), np.maximum(-apart, 0).sum(1)) <= most)
+                some = some[np.argsort(shorter[some], kind="stable")]
+                good, at = np.zeros(cut.num_rows, dtype=bool), 0
+                while at < len(some):
+                    length = int(shorter[some[at]])
+                    band = max(edits, (length + length // 8) * percent // 100)
+                    room = max(1, (1 << 21) // (length + length // 8 + 2 * band + 128))
+                    to = at + 1
+                    while to < len(some) and to - at < room and shorter[some[to]] <= length + length // 8:
+                        to += 1
+                    rows = some[at:to]
+                    at = to
+                    texts = [(x, y) if len(x) >= len(y) else (y, x) for x, y in zip(cut.column(2).take(pa.array(rows)).to_pylist(), cut.column(3).take(pa.array(rows)).to_pylist(), strict=True)]
+                    if length <= band:
+                        good[rows] = [within(x, y, int(t)) for (x, y), t in zip(texts, most[rows], strict=True)]
+                        continue
+                    points = [[np.frombuffer(s.encode("utf-32-le", "surrogatepass"), dtype="<u4") + np.uint32(2) for s in side] for side in zip(*texts, strict=True)]
+                    if all(int(x.max()) < 1 << 16 for side in points for x in side):
+                        points = [[x.astype(np.uint16) for x in side] for side in points]
+                    good[rows] = distances(*points, band) <= most[rows]
+                yield cut.select(["src", "dst"]).filter(pa.array(good))
 
     return run
 
 
-def long_edges(texts: DataFrame, min_chars: int = MIN_CHARS, edits: int = EDITS, percent: int = PERCENT) -> DataFrame:
-    """All linked pairs (src, dst) of line hashes whose shorter line has a limit above `edits`."""
-    chars = texts.agg(F.sum(F.length(F.col(texts.columns[0])))).first()[0] or 0
-    parts = max(8, chars // 4 // PASSES // ROWS + 1)
-    found = None
-    for part in range(PASSES):
-        keys = texts.mapInArrow(_grams(min_chars, edits, percent, part), "sig long, line long, counts long, meta long")
-        near = keep(keys.repartition(parts, "sig").mapInArrow(_near(edits, percent), "src long, dst long").distinct())
-        found = near if found is None else found.union(near)
-    pairs = keep(found.distinct())
+def _verified(pairs: DataFrame, lines: DataFrame, edits: int, percent: int) -> DataFrame:
+    """Those of the different pairs (src, dst) that are linked; `lines` has line and words."""
     wanted = pairs.select(F.explode(F.array("src", "dst")).alias("line")).distinct()
-    words = keep(texts.mapInArrow(_texts(min_chars), "line long, words string").join(wanted, "line").groupBy("line").agg(F.first("words").alias("words")))
+    path = scratch(lines.sparkSession, "words")
+    lines.join(wanted, "line", "left_semi").select("line", "words").write.parquet(path)
+    words = lines.sparkSession.read.schema("line long, words string").parquet(path)
     first, second = words.select(F.col("line").alias("src"), F.col("words").alias("a")), words.select(F.col("line").alias("dst"), F.col("words").alias("b"))
-    linked = None
-    for part in range(PASSES):  # texts are dealt to a part of the pairs at a time
-        some, ends = (x.filter(F.pmod("dst", F.lit(PASSES)) == part) for x in (pairs, second))
+    found = None
+    for part in range(PARTS):  # texts are dealt to a part of the pairs at a time
+        some, ends = (x.filter(F.pmod("dst", F.lit(PARTS)) == part) for x in (pairs, second))
         good = keep(some.join(first, "src").join(ends, "dst").select("src", "dst", "a", "b").mapInArrow(_linked(edits, percent), "src long, dst long"))
-        linked = good if linked is None else linked.union(good)
-    return linked
+        found = good if found is None else found.union(good)
+    drop_path(lines.sparkSession, path)
+    return found
 
 
-def link_edges(texts: DataFrame, min_chars: int = MIN_CHARS, edits: int = EDITS, percent: int = PERCENT) -> DataFrame:
-    """Edges (src, dst) between line hashes that connect what links of at most `limit` edits connect; `texts` has one text column."""
-    keys = texts.mapInArrow(_signatures(min_chars, edits, percent), "sig long, line long, own boolean")
+def long_edges(lines: DataFrame, edits: int = EDITS, percent: int = PERCENT, steps: int = STEPS, first: int = FIRST) -> DataFrame:
+    """Edges (src, dst) that connect what links with a limit above `edits` connect; `lines` has line (long, neighbours in a file near each other), words (all different) and size (code points)."""
+    spark = lines.sparkSession
+    long = lines.filter(F.col("size") >= first_long(edits, percent)).select("line", "words")
+    chars = lines.agg(F.sum("size")).first()[0] or 0
+    buckets = max(4, int(chars * 2 / (steps + 1)) // PASSES // KEYS + 1)
+    path = scratch(spark, "candidates")
+    kind = "src long, dst long, sig long, key long"
+    with tidy(spark):
+        for part in range(PASSES):
+            dealt = long.mapInArrow(_keys(edits, percent, steps, buckets, part), "bucket long, base long, data binary")
+            dealt.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_candidates(percent, first), kind).write.mode("append").parquet(path)
+    met = spark.read.schema(kind).parquet(path)
+    edges = _verified(keep(met.filter("sig is null").select("src", "dst").distinct()), lines, edits, percent)
+    waiting, low, high = met.filter("sig is not null").select("sig", "key", F.col("src").alias("line")), first, first * first
+    while waiting.limit(1).count():
+        labels = keep(components(edges))
+        named = waiting.join(labels, waiting["line"] == labels["node"], "left").select("sig", "key", "line", F.coalesce("component", "line").alias("label"))
+        apart = named.groupBy("sig").agg(F.min("label").alias("l"), F.max("label").alias("m")).filter("l < m").select("sig")
+        waiting = keep(named.join(apart, "sig", "left_semi"))
+        grouped = waiting.repartition("sig").sortWithinPartitions("sig", "key", "line")
+        more = keep(grouped.mapInArrow(_further(percent, low, high), "src long, dst long, sig long"))
+        edges = edges.union(_verified(keep(more.filter("sig is null").select("src", "dst").distinct()), lines, edits, percent))
+        waiting = waiting.drop("label").join(more.filter("sig is not null").select("sig").distinct(), "sig", "left_semi")
+        low, high = high, high * first
+    drop_path(spark, path)
+    return edges
+
+
+def link_edges(lines: DataFrame, edits: int = EDITS, percent: int = PERCENT) -> DataFrame:
+    """Edges (src, dst) between different lines that connect what links of at most `limit` edits connect; `lines` has line (long), words and size."""
+    start = first_long(edits, percent)
+    short = lines.filter(F.col("size") < start + edits) if start else lines
+    keys = short.select("line", "words").mapInArrow(_signatures(edits, percent), "sig long, line long, own boolean")
     hits = keep(keys.repartition("sig").sortWithinPartitions("sig", "line").mapInArrow(_shared, "sig long, size long, line long, own boolean"))
-    wanted = hits.groupBy("line").agg(F.count(F.lit(1)).alias("n"))
-    words = texts.mapInArrow(_texts(min_chars), "line long, words string").join(wanted, "line").groupBy("line").agg(F.first("words").alias("words"))
+    wanted = hits.select("line").distinct()
+    words = short.select("line", "words").join(wanted, "line", "left_semi")
     cut = F.ceil(F.col("size") / BLOCK).cast("int")
     block = F.pmod(F.xxhash64("line"), cut).cast("int")
     meets = F.transform(F.sequence(F.lit(0), cut - 1), lambda o: F.struct(F.least(o, block).alias("x"), F.greatest(o, block).alias("y")))
     dealt = hits.join(words, "line").select("sig", F.explode(meets).alias("m"), "line", "own", "words").select("sig", "m.x", "m.y", "line", "own", "words")
     groups = dealt.repartition("sig", "x", "y").sortWithinPartitions("sig", "x", "y")
-    short = groups.mapInArrow(_verify(edits, percent), "src long, dst long")
-    return keep(short).union(long_edges(texts, min_chars, edits, percent)) if percent else short
+    found = groups.mapInArrow(_verify(edits, percent), "src long, dst long")
+    return keep(found).union(long_edges(lines, edits, percent)) if percent else found
 
 
 def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for at in range(0, batch.num_rows, 500):
-            cut = batch.slice(at, 500)
+        for cut in _cuts(batch, 2 << 20):
             kept, total, removed = [], [], []
             for text, gone in zip(cut.column(cut.num_columns - 1), cut.column(cut.num_columns - 2), strict=True):
                 lines = text.as_buffer().to_pybytes().split(b"\n") if text.is_valid else []
@@ -493,7 +657,23 @@ def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 total.append(len(lines))
                 removed.append(len(out))
                 kept.append((b"\n".join(x for k, x in enumerate(lines) if k not in out) if out else text.as_buffer().to_pybytes()) if text.is_valid else None)
-            yield pa.RecordBatch.from_arrays([*cut.columns[:-2], pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], names=[*cut.schema.names[:-2], "n_lines", "n_removed", "kept"])
+            names = [*cut.schema.names[:-2], "n_lines", "n_removed", "kept"]
+            yield pa.RecordBatch.from_arrays([*cut.columns[:-2], pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).view(pa.string())], names=names)
+
+
+def split_lines(rows: DataFrame, least: int, *names: str, text: str = "_text") -> DataFrame:
+    """`names`, place, words, h1 and h2 (a 128-bit hash) of the \n-separated lines with at least `least` code points once surrounding ASCII white space is gone."""
+    parts = rows.select(*names, F.posexplode(F.split(F.col(text), "\n", -1)).alias("place", "_line_part"))
+    words = parts.select(*names, "place", F.btrim("_line_part", F.lit(SPACES)).alias("words")).filter(F.length("words") >= max(1, least))
+    return words.withColumn("h1", F.xxhash64("words")).withColumn("h2", F.xxhash64(F.lit("line"), "words"))
+
+
+def different_lines(lines: DataFrame, path: str, order: Column) -> DataFrame:
+    """One row for each different line, written to `path`: line (its number), h1, h2, n, first (the least `order` of its rows), size and words."""
+    nodes = lines.groupBy("h1", "h2").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n"), F.first("words").alias("words"))
+    with tidy(lines.sparkSession):
+        nodes.select(F.monotonically_increasing_id().alias("line"), "h1", "h2", "n", "first", F.length("words").alias("size"), "words").write.parquet(path)
+    return lines.sparkSession.read.parquet(path)
 
 
 def remove_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", carry: tuple[str, ...] = (), min_chars: int = MIN_CHARS, edits: int = EDITS, percent: int = PERCENT, exact_from: int | None = None) -> DataFrame:
@@ -503,26 +683,33 @@ def remove_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "
     directly or over others, are one class; of its occurrences the first by (id, place) stays and the others go. Shorter
     lines of `exact_from` code points or more (1: all but blank ones) are in a class with their equals alone; lines shorter still always stay. A null text stays null and has no lines; an empty text has one empty line. A null id sorts last.
     Identical rows (same id and text) are one document and keep the same lines; rows that share an id but not a text are
-    ordered by a hash of the text. An empty table gives an empty result; columns not in `carry` are ignored.
+    ordered by a hash of the text. An empty table gives an empty result; columns not in `carry` are ignored, and those in it that
+    are named like a column of the result are left out.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("_id"), *carry, F.col(text).alias("_text")).withColumn("_key", F.xxhash64("_id", "_text"))
-    path = scratch(spark, "lines")
-    rows.select("_key", "_id", "_text").mapInArrow(_occurrences(min_chars if exact_from is None else min(min_chars, exact_from)), "key long, id long, place int, line long").write.parquet(path)
-    places = spark.read.schema("key long, id long, place int, line long").parquet(path)
-    order = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("key").alias("key"), F.col("place").alias("place"))
-    nodes = places.groupBy("line").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n"))
-    joined = keep(components(link_edges(rows.select("_text"), min_chars, edits, percent)))
-    labels = nodes.join(joined, nodes["line"] == joined["node"], "left").select("line", F.coalesce("component", "line").alias("class"), "first", "n", F.col("node").isNotNull().alias("linked"))
-    several = labels.filter("linked")
-    leads = several.groupBy("class").agg(F.min("first").alias("lead"))
-    lead = several.join(leads, "class").select("line", "lead", "n").union(labels.filter("not linked and n > 1").select("line", F.col("first").alias("lead"), "n"))
-    lead = keep(lead.select("line", F.col("lead.key").alias("lead_key"), F.col("lead.place").alias("lead_place"), "n"))
+    carry = tuple(c for c in carry if c not in (id_col, "n_lines", "n_removed", "kept"))
+    rows = docs.select(F.col(id_col).cast("long").alias("_line_id"), *[F.col(c).alias(f"_line_c{k}") for k, c in enumerate(carry)], F.col(text).alias("_text"))
+    rows = rows.withColumn("_line_key", F.xxhash64("_line_id", "_text")).withColumn("_line_twin", F.xxhash64(F.lit("row"), "_line_id", "_text"))
+    path, nodes = scratch(spark, "places"), scratch(spark, "lines")
+    found = split_lines(rows, min_chars if exact_from is None else min(min_chars, exact_from), "_line_id", "_line_key", "_line_twin")
+    kind = "h1 long, h2 long, id long, key long, twin long, place int"
+    found.select("h1", "h2", F.col("_line_id").alias("id"), F.col("_line_key").alias("key"), F.col("_line_twin").alias("twin"), "place").write.parquet(path)
+    places = spark.read.schema(kind).parquet(path)
+    order = F.struct(F.col("_line_id").isNull().alias("none"), F.col("_line_id").alias("id"), F.col("_line_key").alias("key"), F.col("_line_twin").alias("twin"), F.col("place").alias("place"))
+    lines = different_lines(found, nodes, order)
+    joined = keep(components(link_edges(lines.filter(F.col("size") >= min_chars).select("line", "words", "size"), edits, percent)))
+    names = lines.select("line", "h1", "h2", "first", "n")
+    several = names.join(joined, names["line"] == joined["node"])
+    leads = several.groupBy("component").agg(F.min("first").alias("lead"))
+    alone = names.filter("n > 1").join(joined, names["line"] == joined["node"], "left_anti")
+    lead = several.join(leads, "component").select("h1", "h2", "lead", "n").union(alone.select("h1", "h2", "first", "n"))
+    lead = keep(lead.select("h1", "h2", F.col("lead.key").alias("lead_key"), F.col("lead.twin").alias("lead_twin"), F.col("lead.place").alias("lead_place"), "n"))
     total = lead.agg(F.sum("n")).first()[0] or 0
-    gone = salted_join(places, lead, "line", "key", "n", total).filter("lead_key is not null and not (lead_key = key and lead_place = place)")
-    marks = keep(gone.groupBy("key").agg(F.collect_set("place").alias("gone")))
+    gone = salted_join(places, lead, ["h1", "h2"], "key", "n", total).filter("lead_key is not null and not (lead_key = key and lead_twin = twin and lead_place = place)")
+    marks = keep(gone.groupBy("key", "twin").agg(F.collect_set("place").alias("gone")))
     drop_path(spark, path)
-    out = rows.join(marks, rows["_key"] == marks["key"], "left").select("_id", *carry, "gone", "_text")
+    drop_path(spark, nodes)
+    out = rows.join(marks, (rows["_line_key"] == marks["key"]) & (rows["_line_twin"] == marks["twin"]), "left").select("_line_id", *[f"_line_c{k}" for k in range(len(carry))], "gone", "_text")
     fields = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
-    schema = "_id long, " + "".join(f"`{c}` {fields[c]}, " for c in carry) + "n_lines long, n_removed long, kept string"
-    return out.mapInArrow(_strip, schema).withColumnRenamed("_id", id_col)
+    schema = "_line_id long, " + "".join(f"_line_c{k} {fields[c]}, " for k, c in enumerate(carry)) + "n_lines long, n_removed long, kept string"
+    return out.mapInArrow(_strip, schema).toDF(id_col, *carry, "n_lines", "n_removed", "kept")

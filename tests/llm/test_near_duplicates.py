@@ -175,6 +175,15 @@ def edited(rng, line, edits):
     return "".join(line)
 
 
+def stripped(text, least=20):
+    """(place, line) of the lines that take part in the edit join."""
+    return [(k, line.strip(linededup.SPACES)) for k, line in enumerate((text or "").split("\n")) if len(line.strip(linededup.SPACES)) >= least]
+
+
+def different(spark, lines):
+    return spark.createDataFrame([(k, x, len(x)) for k, x in enumerate(lines)], "line long, words string, size int")
+
+
 def test_lines(spark, monkeypatch):
     rng = random.Random(7)
     pool = ["".join(rng.choice("abcdefgh éß") for _ in range(rng.randrange(22, 60))).strip().ljust(22, "x") for _ in range(25)]
@@ -183,7 +192,7 @@ def test_lines(spark, monkeypatch):
     monkeypatch.setattr(linededup, "BLOCK", 3)
     got = {r.doc_id: r for r in linededup.remove_repeated_lines(docs(spark, rows)).collect()}
     order = sorted(range(len(rows)), key=lambda k: (rows[k][0] is None, rows[k][0] or 0))
-    occ = [(k, p, line.decode()) for k in order for p, line in linededup.lines_of((rows[k][1] or "").encode(), 20)]
+    occ = [(k, p, line) for k in order for p, line in stripped(rows[k][1])]
     texts = sorted({x for _, _, x in occ})
     lab = dict(zip(texts, spread(len(texts), lambda a, b: linededup._plain(texts[a], texts[b]) <= 2), strict=True))
     seen, gone = set(), Counter()
@@ -209,20 +218,41 @@ def test_long_lines_link_by_their_length(spark):
     pool = ["".join(rng.choice("abcdefgh éß") for _ in range(n)).strip().ljust(n, "x") for n in (57, 60, 61, 80, 99, 100, 104, 140, 199, 200, 209, 399, 400, 420)]
     pool += ["-" * 90, "ab" * 60]
     lines = sorted({edited(rng, x, rng.randrange(2 * linededup.limit(len(x)))).strip() for x in pool for _ in range(9)})
-    texts = spark.createDataFrame([("\n".join(lines[k::5]),) for k in range(5)], "text string")
     lines = [x for x in lines if len(x) >= linededup.MIN_CHARS]
     near = {(a, b): linededup._plain(a, b) <= linededup.limit(min(len(a), len(b))) for k, a in enumerate(lines) for b in lines[:k] if abs(len(a) - len(b)) <= 30}
     lab = spread(len(lines), lambda a, b: near.get((lines[a], lines[b]), False))
-    names = [int(np.uint64(linededup.line_hash(x.encode())).view(np.int64)) for x in lines]
-    got = dict(map(tuple, graph.components(linededup.link_edges(texts)).collect()))
     least = {}
-    for name, r in zip(names, lab, strict=True):
-        least[r] = min(least.get(r, name), name)
-    assert all(got.get(name, name) == least[r] for name, r in zip(names, lab, strict=True))
-    pairs = {frozenset(r) for r in linededup.long_edges(texts).collect()}
-    at = dict(zip(lines, names, strict=True))
+    for k, r in enumerate(lab):
+        least[r] = min(least.get(r, k), k)
+    table = different(spark, lines)
+    got = dict(map(tuple, graph.components(linededup.link_edges(table)).collect()))
+    assert all(got.get(k, k) == least[r] for k, r in enumerate(lab))
+    at = {x: k for k, x in enumerate(lines)}
+    pairs = {frozenset(r) for r in linededup.long_edges(table, first=10**6).collect()}
     assert {frozenset((at[a], at[b])) for (a, b), yes in near.items() if yes and min(len(a), len(b)) >= 60} <= pairs
     assert len(pairs) > 50
+    # With two partners at a time the rest waits, and the same lines are connected.
+    few = linededup.long_edges(table, first=2)
+    assert few.count() < len(pairs)
+    both = graph.components(few), graph.components(linededup.long_edges(table, first=10**6))
+    assert sorted(map(tuple, both[0].collect())) == sorted(map(tuple, both[1].collect()))
+
+
+def test_banded_distances_of_many_pairs():
+    rng = random.Random(10)
+    for edits in (3, 9, 28, 29, 70):
+        a, b = [], []
+        while len(a) < 24:
+            x = "".join(rng.choice("abcd") for _ in range(rng.randrange(edits + 5, 5 * edits + 40)))
+            y = edited(rng, x, rng.randrange(edits + 4)) if len(a) % 3 else "".join(rng.sample(x, len(x)))
+            x, y = (x, y) if len(x) >= len(y) else (y, x)
+            if len(x) - len(y) <= edits < len(y):
+                a.append(x)
+                b.append(y)
+        points = [[np.frombuffer(s.encode("utf-32-le"), dtype="<u4") + np.uint32(2) for s in side] for side in (a, b)]
+        for x, y, d in zip(a, b, linededup.distances(*points, edits), strict=True):
+            true = linededup._plain(x, y)
+            assert d == true if true <= edits else d > edits
 
 
 def test_short_lines_repeat_once(spark, tmp_path):
