@@ -26,7 +26,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components, drop_path, keep, salted_join, scratch, tidy
@@ -38,16 +39,15 @@ BLOCK = 500
 #: Least lengths of the bands of long lines beyond the first.
 BANDS = (80, 100, 140, 200, 280, 400, 560, 800, 1200, 2400)
 #: Places in a window at which its gram may begin: few give long, telling grams and many keys.
-STEPS = 6
+STEPS = 5
 #: The packed keys are dealt over this many passes, so that one pass's shuffle is on disk at a time.
-PASSES = 2
+PASSES = 3
 #: Packed keys of one bucket; a bucket is matched by one task.
 KEYS = 1 << 21
 #: Partners that a line takes from one key before links are united; FIRST times as many each time after.
 FIRST = 32
 #: Candidate pairs are compared in this many parts, so that one part's texts are on disk at a time.
 PARTS = 2
-SPACES = " \t\r\x0b\x0c"
 
 _U = np.uint64
 
@@ -71,8 +71,8 @@ def bands(edits: int, percent: int, steps: int = STEPS) -> list[tuple[int, int,
     out = []
     for a, b in zip(starts[:-1], starts[1:], strict=True):
         window = min(n // (limit(n, edits, percent) + 1) for n in range(a, min(b, 4 * a + 400)))
-        if not 4 <= window - steps + 1 <= 16:
-            raise ValueError(f"{percent} % of edits leave windows of {window} characters, which do not fit grams of 4 to 16")
+        if window - steps + 1 < 8:
+            raise ValueError(f"{percent} % of edits leave windows of {window} characters, too narrow for grams of 8")
         out.append((a, b, window))
     return out
 
@@ -175,6 +175,10 @@ def _cuts(batch: pa.RecordBatch, max_bytes: int = 4 << 20) -> Iterator[pa.Record
         at = to
 
 
+def _strings(column: pa.Array) -> list[str]:
+    return [x.decode("utf-8", "replace") for x in column.view(pa.binary()).to_pylist()]
+
+
 def _signatures(edits: int, percent: int):
     """Rows (sig, line, own) of the short lines among rows (line, words)."""
     start = first_long(edits, percent)
@@ -186,7 +190,7 @@ def _signatures(edits: int, percent: int):
         for batch in batches:
             for cut in _cuts(batch):
                 sig, own, rows, counts = [], [], [], []
-                for r, s in enumerate(cut.column(1).to_pylist()):
+                for r, s in enumerate(_strings(cut.column(1))):
                     if longest and len(s) > longest:
                         continue
                     plan = cache.get(len(s))
@@ -255,7 +259,7 @@ def _verify(edits: int, percent: int):
         name, held = None, ([], [], [])
         for batch in batches:
             pairs: list[tuple[int, int]] = []
-            for sig, x, y, line, own, words in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            for sig, x, y, line, own, words in zip(*[c.to_pylist() for c in batch.columns[:-1]], _strings(batch.column(5)), strict=True):
                 if name != (sig, x, y):
                     pairs += solve(*held)
                     name, held = (sig, x, y), ([], [], [])
@@ -284,60 +288,75 @@ def _codes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return mixed[head], starts[offsets].astype(np.int64)
 
 
-def _least(codes: np.ndarray, steps: int) -> np.ndarray:
-    """For each place the one of the `steps` places from it on whose four characters have the least hash, the first of equals."""
-    n = len(codes) - 16
-    order = np.ndarray((n,), dtype="<u4", buffer=codes, strides=(1,)) * np.uint32(0x9E3779B1)
-    order ^= order >> np.uint32(15)
-    order *= np.uint32(0x85EBCA77)
-    best, done = order.astype(np.uint64) << _U(32) | np.arange(n, dtype=np.uint64), 1
-    while done < steps:
-        step = min(done, steps - done)
-        best = np.minimum(best[:-step], best[step:])
-        done += step
-    return (best & _U(0xFFFFFFFF)).astype(np.int64)
-
-
-def _tile(codes: np.ndarray, starts: np.ndarray, names: np.ndarray, plans: list, edits: int, percent: int, steps: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(hash, packed word without the hash) of the keys of lines that lie one after the other; `names` are their numbers below 65536."""
-    size = np.diff(starts)
-    padded = np.concatenate([codes, np.zeros(24, dtype=np.uint8)])
-    chosen = _least(padded, steps)
-    wide = np.ndarray((len(codes) + 17,), dtype="<u8", buffer=padded, strides=(1,))
+def _least(codes: np.ndarray, starts: np.ndarray, steps: int) -> np.ndarray:
+    """For each place the one of the `steps` places from it on whose four characters have the least hash, the first of equals; right within a row. `codes` has 24 more than the rows."""
+    n, first = int(starts[-1]), 0
+    out = np.empty(n, dtype=np.int32)
+    while first < len(starts) - 1:  # small arrays stay in the processor's cache
+        last = max(first + 1, int(np.searchsorted(starts, starts[first] + (1 << 15), side="right")) - 1)
+        a, b = int(starts[first]), int(starts[last])
+        first = last
+        size = b - a + steps - 1
+        order = np.ndarray((size,), dtype="<u4", buffer=codes, offset=a, strides=(1,)) * np.uint32(0x9E3779B1)
+        order ^= order >> np.uint32(15)
+        order *= np.uint32(0x85EBCA77)
+        if size <= 1 << 16:
+            best, low = (order & np.uint32(0xFFFF0000)) | np.arange(size, dtype=np.uint32), np.uint32(0xFFFF)
+        else:
+            best, low = (order.astype(np.uint64) >> _U(16) << _U(32)) | np.arange(size, dtype=np.uint64), _U(0xFFFFFFFF)
+        done = 1
+        while done < steps:
+            step = min(done, steps - done)
+            best = np.minimum(best[:-step], best[step:])
+            done += step
+        np.add(best & low, a, out=out[a:b], casting="unsafe")
+    return out
+
+
+def _windows(codes: np.ndarray, starts: np.ndarray, names: np.ndarray, plans: list, edits: int, percent: int, steps: int, part: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(hash, packed word without the hash) of the keys of lines that lie one after the other, those of one pass; `names` are their numbers below 65536."""
+    size, n = np.diff(starts), int(starts[-1])
+    codes = np.concatenate([codes, np.zeros(24, dtype=np.uint8)])
+    chosen = _least(codes, starts, steps)
+    other = np.ones(n, dtype=bool)
+    other[1:] = chosen[1:] != chosen[:-1]
+    other[starts[:-1][size > 0]] = True
+    line = np.repeat(np.arange(len(size), dtype=np.int32), size)
+    wide = np.ndarray((n + 17,), dtype="<u8", buffer=codes, strides=(1,))
     most = np.maximum(edits, size * percent // 100)
     length = np.minimum((32 * np.log2(np.maximum(size, 1))).astype(np.int64), 511)
-    out = []
-    for k, (a, b, window) in enumerate(plans):
+    least, ends, width = (np.array([p[k] for p in plans]) for k in range(3))
+    reach = np.array([b + limit(b - 1, edits, percent) for _, b, _ in plans])
+    band = np.searchsorted(least, size, side="right") - 1
+    while (band >= 0).any():
         # A line just above a band may be the longer one of a pair.
-        mine = np.flatnonzero((size >= a) & (size < b + limit(b - 1, edits, percent)))
+        mine = np.flatnonzero((band >= 0) & (size < reach[band]))
         if not len(mine):
-            continue
-        counts = size[mine] - window + 1
-        ends = np.cumsum(counts)
-        who = np.repeat(mine, counts)
-        at = chosen[np.arange(ends[-1]) + np.repeat(starts[mine] - ends + counts, counts)]
-        new = np.ones(len(at), dtype=bool)
-        new[1:] = at[1:] != at[:-1]
-        at, who = at[new], who[new]
-        parts = np.minimum(most[mine] + 1, size[mine] // window)
-        firsts = np.repeat(starts[mine], parts) + (np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)) * window
-        indexed = np.zeros(len(codes) + 1, dtype=bool)
+            return
+        window = width[band]
+        inside = np.zeros(n + 1, dtype=np.int8)
+        inside[starts[mine]] = 1
+        inside[starts[mine] + size[mine] - window[mine] + 1] = -1
+        valid = np.cumsum(inside[:n], dtype=np.int8).view(bool)
+        at = chosen[valid & other]
+        parts = np.minimum(most[mine] + 1, size[mine] // window[mine])
+        firsts = np.repeat(starts[mine], parts) + (np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)) * np.repeat(window[mine], parts)
+        indexed = np.zeros(n, dtype=bool)
         indexed[chosen[firsts]] = True
-        gram = window - steps + 1
         h = wide[at]
-        if gram < 8:
-            h &= _U((1 << 8 * gram) - 1)
-        h = (h + _U(k + 1)) * _U(0x9E3779B97F4A7C15)
-        if gram > 8:
-            tail = wide[at + (gram - 8)] * _U(0xC2B2AE3D27D4EB4F)
-            h ^= tail ^ (tail >> _U(29))
+        now = ((h & _U(0xFFFFFFFF)) * _U(0x9E3779B97F4A7C15) >> _U(40)) % _U(PASSES) == part
+        at, h = at[now], h[now]
+        who = line[at]
+        gram = np.minimum(window[who] - steps + 1, 16)
+        tail = wide[at + (gram - 8)] * _U(0xC2B2AE3D27D4EB4F)
+        h = (h + (band[who] + 1).astype(np.uint64)) * _U(0x9E3779B97F4A7C15)
+        h ^= tail ^ (tail >> _U(29))
         h ^= h >> _U(32)
         h *= _U(0x94D049BB133111EB)
         h ^= h >> _U(29)
         place = ((at - starts[who]) >> 3) % 255
-        h, rest = _once(h, (length[who] << 25 | place << 17 | indexed[at] << 16 | names[who]).astype(np.uint64))
-        out.append((h, rest))
-    return out
+        yield _once(h, (length[who] << 25 | place << 17 | indexed[at].astype(np.int64) << 16 | names[who]).astype(np.uint64))
+        band = np.where(band >= 0, band - 1, -1)
 
 
 def _once(h: np.ndarray, rest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -366,42 +385,40 @@ def _keys(edits: int, percent: int, steps: int, buckets: int, part: int):
     """Rows (bucket, base, data) of the long lines among rows (line, words): packed keys, whose line is base plus the lowest 16 bits.
 
     A packed key has 30 bits of hash, 9 of length (32 to a doubling), 8 of place (in eights), 1 if indexed and 16 of line. Buckets are
-    dealt by other bits of the hash; those whose number leaves `part` are made.
+    dealt by other bits of the hash; the pass by a hash of the gram's first four characters.
     """
     plans = bands(edits, percent, steps)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for cut in _cuts(batch):
+            for cut in _cuts(batch, 2 << 20):
                 lines, at = cut.column(0).to_numpy(), 0
                 while at < len(lines):  # line numbers of one row of the result lie within 65536
                     off = (lines[at:] < lines[at]) | (lines[at:] - lines[at] > 65535)
                     to = at + (int(np.argmax(off)) if off.any() else len(off))
-                    names = lines[at:to] - lines[at]
                     codes, starts = _codes(cut.column(1).slice(at, to - at))
-                    tiles, first = [], 0
-                    while first < to - at:  # small arrays stay in the processor's cache
-                        last = max(first + 1, int(np.searchsorted(starts, starts[first] + (1 << 15), side="right")) - 1)
-                        tiles += _tile(codes[starts[first] : starts[last]], starts[first : last + 1] - starts[first], names[first:last], plans, edits, percent, steps)
-                        first = last
+                    found = list(_windows(codes, starts, lines[at:to] - lines[at], plans, edits, percent, steps, part))
                     base, at = int(lines[at]), to
-                    if not tiles:
+                    if not found:
                         continue
-                    h, rest = np.concatenate([t[0] for t in tiles]), np.concatenate([t[1] for t in tiles])
-                    bucket = (h >> _U(34)) % _U(buckets * PASSES)
-                    mine = np.flatnonzero(bucket % _U(PASSES) == part)
-                    bucket = bucket[mine].astype(np.uint16 if buckets * PASSES <= 1 << 16 else np.uint32)
-                    order = np.argsort(bucket, kind="stable")
-                    bucket, packed = bucket[order], ((h[mine] << _U(34)) | rest[mine])[order]
-                    cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]])) if len(bucket) else np.zeros(1, dtype=np.int64)
-                    data = pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer((cuts * 8).astype(np.int32).tobytes()), pa.py_buffer(packed.tobytes())])
-                    yield pa.RecordBatch.from_arrays([pa.array(bucket[cuts[:-1]].astype(np.int64)), pa.array(np.full(len(cuts) - 1, base)), data], names=["bucket", "base", "data"])
+                    h, rest = np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found])
+                    yield _dealt(((h >> _U(34)) % _U(buckets)).astype(np.uint16 if buckets <= 1 << 16 else np.uint32), (h << _U(34)) | rest, base)
 
     return run
 
 
-def _met(sig: np.ndarray, size: np.ndarray, place: np.ndarray, own: np.ndarray, line: np.ndarray, percent: int, low: int, high: int, label: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of keys sorted by (sig, size, place, own, line): the pairs that length and place allow, those numbered low to high - 1 of each key's first line and with unlike labels, and the signatures with further ones."""
+def _dealt(bucket: np.ndarray, values: np.ndarray, base: int) -> pa.RecordBatch:
+    """Rows (bucket, base, data): the values of each bucket as bytes."""
+    order = np.argsort(bucket, kind="stable")
+    bucket, values = bucket[order], values[order]
+    cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]])) if len(bucket) else np.zeros(1, dtype=np.int64)
+    width = values.dtype.itemsize * (values.shape[1] if values.ndim > 1 else 1)
+    data = pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer((cuts * width).astype(np.int32).tobytes()), pa.py_buffer(values.tobytes())])
+    return pa.RecordBatch.from_arrays([pa.array(bucket[cuts[:-1]].astype(np.int64)), pa.array(np.full(len(cuts) - 1, base, dtype=np.int64)), data], names=["bucket", "base", "data"])
+
+
+def _met(sig: np.ndarray, size: np.ndarray, place: np.ndarray, own: np.ndarray, line: np.ndarray, percent: int, high: int, label: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of keys sorted by (sig, size): the pairs with unlike labels that length and place allow, the first `high` of each key's line, and the signatures with further ones."""
     n, near = len(sig), int(32 * np.log2(1 + percent / 100)) + 1
     # A shift in place is an edit each, and the length code bounds the number of edits.
     reach = ((np.exp2((size + 1) / 32) * percent / 100 + 1) // 8 + 1).astype(np.int64)
@@ -417,25 +434,25 @@ def _met(sig: np.ndarray, size: np.ndarray, place: np.ndarray, own: np.ndarray,
         apart = np.abs(place[alive] - place[other])
         ok = (np.minimum(apart, 255 - apart) <= reach[other]) | (place[alive] == 255) | (place[other] == 255)
         ok &= (own[alive] | own[other]) & (line[alive] != line[other])
+        if label is not None:
+            ok &= label[alive] != label[other]
         a, b = alive[ok], other[ok]
         full = taken[a] >= high
         if full.any():
             more.append(np.unique(sig[a[full]]))
             alive = np.setdiff1d(alive, a[full], assume_unique=True)
-        good = ~full & (taken[a] >= low)
+            a, b = a[~full], b[~full]
         taken[a] += 1
-        if label is not None:
-            good &= label[a] != label[b]
-        left.append(line[a[good]])
-        right.append(line[b[good]])
+        left.append(line[a])
+        right.append(line[b])
     none = np.zeros(0, dtype=np.int64)
     a, b = np.concatenate([none, *left]), np.concatenate([none, *right])
     pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
     return pairs[:, 0], pairs[:, 1], np.unique(np.concatenate(more)) if more else np.zeros(0, dtype=sig.dtype)
 
 
-def _candidates(percent: int, high: int):
-    """Of rows (bucket, base, data) sorted by bucket: rows (src, dst, sig, key), candidate pairs (sig null), and the keys of signatures with further ones (dst null)."""
+def _candidates(percent: int, high: int, buckets: int):
+    """Of rows (bucket, base, data) sorted by bucket: rows (bucket, base, data) of candidate pairs, 16 bytes each, bucketed by their first line (base -1), and of the signatures with further ones their (line, signature and key), 16 bytes each (base 0)."""
 
     def solve(bucket: int, bases: list[int], data: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         packed = np.concatenate(data)
@@ -445,21 +462,22 @@ def _candidates(percent: int, high: int):
         if not len(near):
             return
         table = np.zeros(1 << 22, dtype=bool)  # keys whose signature meets none need no exact order
-        table[(sig[near] & _U((1 << 22) - 1)).astype(np.int64)] = True
-        some = np.flatnonzero(table[((packed >> _U(34)) & _U((1 << 22) - 1)).astype(np.int64)])
+        table[(sig[near] & _U((1 << 22) - 1)).astype(np.int32)] = True
+        del ordered, sig, size, near
+        some = np.flatnonzero(table[((packed >> _U(34)) & _U((1 << 22) - 1)).astype(np.int32)])
         line = np.repeat(np.array(bases, dtype=np.int64), [len(d) for d in data])[some]
         packed = packed[some]
         line += (packed & _U(0xFFFF)).astype(np.int64)
-        at = np.lexsort((line, packed >> _U(16)))
+        at = np.argsort(packed)
         line, packed = line[at], packed[at]
         number = lambda shift, bits: ((packed >> _U(shift)) & _U((1 << bits) - 1)).astype(np.int64)
-        sig, own = number(34, 30), number(16, 1) > 0
-        src, dst, more = _met(sig, number(25, 9), number(17, 8), own, line, percent, 0, high)
-        none = pa.nulls(len(src), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(src), pa.array(dst), none, none], names=["src", "dst", "sig", "key"])
+        sig = number(34, 30)
+        src, dst, more = _met(sig, number(25, 9), number(17, 8), number(16, 1) > 0, line, percent, high)
+        yield _dealt((src % buckets).astype(np.uint16 if buckets <= 1 << 16 else np.uint32), np.stack([src, dst], axis=1), -1)
         if len(more):
             held = np.flatnonzero(np.isin(sig, more))
-            yield pa.RecordBatch.from_arrays([pa.array(line[held]), pa.nulls(len(held), pa.int64()), pa.array(bucket << 30 | sig[held]), pa.array(number(16, 18)[held])], names=["src", "dst", "sig", "key"])
+            key = ((bucket & 0x7FFF) << 48) | (sig[held] << 18) | number(16, 18)[held]
+            yield _dealt(np.zeros(len(held), dtype=np.uint16), np.stack([line[held], key], axis=1), 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, bases, data = None, [], []
@@ -477,12 +495,47 @@ def _candidates(percent: int, high: int):
     return run
 
 
-def _further(percent: int, low: int, high: int):
-    """Of rows (sig, key, line, label) sorted by (sig, key, line): rows (src, dst, sig), further candidate pairs (sig null) and the signatures that have yet more (src null)."""
+def _numbers(data: pa.Array) -> np.ndarray:
+    """The pairs of numbers in a binary column, a row each."""
+    found = [np.frombuffer(x.as_buffer(), dtype="<i8").reshape(-1, 2) for x in data]
+    return np.concatenate(found) if found else np.zeros((0, 2), dtype=np.int64)
+
+
+def _different(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (bucket, data) sorted by bucket: each different pair (src, dst) once."""
+
+    def solve(held: list[np.ndarray]) -> pa.RecordBatch:
+        pairs = np.concatenate(held)
+        pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
+        new = np.ones(len(pairs), dtype=bool)
+        new[1:] = (pairs[1:] != pairs[:-1]).any(axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[new, 0]), pa.array(pairs[new, 1])], names=["src", "dst"])
+
+    name, held = None, []
+    for batch in batches:
+        for k, bucket in enumerate(batch.column(0).to_pylist()):
+            if bucket != name and held:
+                yield solve(held)
+                held = []
+            name = bucket
+            held.append(_numbers(batch.column(1).slice(k, 1)))
+    if held:
+        yield solve(held)
+
+
+def _waiting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (sig, key, line) of a binary column of (line, signature and key)."""
+    for batch in batches:
+        held = _numbers(batch.column(0))
+        yield pa.RecordBatch.from_arrays([pa.array(held[:, 1] >> 18), pa.array(held[:, 1] & 0x3FFFF), pa.array(held[:, 0])], names=["sig", "key", "line"])
+
+
+def _further(percent: int, high: int):
+    """Of rows (sig, key, line, label) sorted by (sig, key): rows (src, dst, sig), candidate pairs with unlike labels (sig null) and the signatures that have yet more (src null)."""
 
     def solve(cols: list[np.ndarray]) -> pa.RecordBatch:
         sig, key, line, label = cols
-        src, dst, more = _met(sig, key >> 9, (key >> 1) & 255, (key & 1) > 0, line, percent, low, high, label)
+        src, dst, more = _met(sig, key >> 9, (key >> 1) & 255, (key & 1) > 0, line, percent, high, label)
         n, m = len(src), len(more)
         return pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array(src), pa.nulls(m, pa.int64())]), pa.concat_arrays([pa.array(dst), pa.nulls(m, pa.int64())]), pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(more, pa.int64())])], names=["src", "dst", "sig"])
 
@@ -505,82 +558,131 @@ def _further(percent: int, low: int, high: int):
 
 
 def distances(a: list[np.ndarray], b: list[np.ndarray], edits: int) -> np.ndarray:
-    """Edit distances of many pairs of arrays of code points above 1, a[i] not shorter than b[i] and by at most `edits`, both longer than it: right where at most `edits`, above it elsewhere.
+    """Edit distances of many pairs of arrays of code points above 2, a[i] not shorter than b[i] and by at most `edits`, both longer than it: right where at most `edits`, above it elsewhere.
 
-    A band of bits about the diagonal moves along all pairs at once (Hyyrö 2003), in as many 64-bit words as the band is wide.
+    A band of bits about the diagonal moves along all pairs at once (Hyyrö 2003), in as many 64-bit words as the band is wide. Both
+    texts of a pair are lengthened by the same run, which leaves their distance, until all a[i] are equally long.
     """
-    k, size_a, size_b = len(a), np.array([len(x) for x in a]), np.array([len(x) for x in b])
+    k, size_b = len(a), np.array([len(x) for x in b])
+    size_a = np.array([len(x) for x in a])
+    long = int(size_a.max())
+    size_b += long - size_a
     words = -(-(2 * edits + 8) // 64)
     width = 64 * words
     left = width - edits - 1
     kind = np.result_type(*{x.dtype for x in (*a, *b)})
-    first, second = np.zeros((k, max(left + int(size_a.max()), int(size_b.max()) + width)), dtype=kind), np.ones((k, int(size_b.max())), dtype=kind)
+    first, second = np.zeros((k, max(left + long, long + width)), dtype=kind), np.ones((k, long), dtype=kind)
+    first[:, left : left + long] = 2
     for i, (x, y) in enumerate(zip(a, b, strict=True)):
         first[i, left : left + len(x)] = x
+        second[i, : size_b[i]] = 2
         second[i, : len(y)] = y
+    second = np.ascontiguousarray(second.T)
     start = ((1 << width) - 1) << left & ((1 << width) - 1)
     up = np.array([[start >> 64 * w & (1 << 64) - 1] * k for w in range(words)], dtype=np.uint64)
     down, across = np.zeros_like(up), np.empty_like(up)
-    found, one, top, rows = np.full(k, edits, dtype=np.int64), _U(1), _U(63), np.arange(k)
-    for i in range(second.shape[1]):
-        same = np.packbits(first[:, i : i + width] == second[:, i : i + 1], axis=1, bitorder="little").view("<u8").T
-        carry = np.zeros(k, dtype=np.uint64)
+    out, rows = np.full(k, edits + 1, dtype=np.int64), np.arange(k)
+    found, most, one, top = np.full(k, edits, dtype=np.int64), 2 * edits + size_b - long, _U(1), _U(63)
+    for i in range(long):
+        if i % 32 == 31:  # pairs beyond the limit end early
+            alive = found <= most
+            if alive.mean() < 0.8:
+                if not alive.any():
+                    return out
+                first, second, up, down, found, most, rows, size_b = first[alive], np.ascontiguousarray(second[:, alive]), up[:, alive], down[:, alive], found[alive], most[alive], rows[alive], size_b[alive]
+                across = np.empty_like(up)
+        same = np.packbits(first[:, i : i + width] == second[i][:, None], axis=1, bitorder="little").view("<u8").T
+        carry = None
         for w in range(words):
             x = same[w] & up[w]
             y = x + up[w]
-            z = y + carry
-            carry = ((y < x) | (z < y)).astype(np.uint64)
+            if carry is None:
+                z = y
+                carry = y < x if words > 1 else None
+            else:
+                z = y + carry.astype(np.uint64)
+                carry = (y < x) | (z < y)
             across[w] = (z ^ up[w]) | same[w] | down[w]
         plus, minus = down | ~(across | up), across & up
-        inner = i < size_a - edits
-        bit = np.clip(width - 2 - (i - (size_a - edits)), 0, width - 1)
-        word, by = bit >> 6, (bit & 63).astype(np.uint64)
-        last = ((plus[word, rows] >> by) & one).astype(np.int64) - ((minus[word, rows] >> by) & one).astype(np.int64)
-        found += np.where(i < size_b, np.where(inner, 1 - (across[-1] >> top).astype(np.int64), last), 0)
+        if i < long - edits:
+            found += 1
+            found -= (across[-1] >> top).astype(np.int64)
+        else:
+            bit = width - 2 - (i - (long - edits))
+            last = ((plus[bit >> 6] >> _U(bit & 63)) & one).astype(np.int64) - ((minus[bit >> 6] >> _U(bit & 63)) & one).astype(np.int64)
+            found += np.where(i < size_b, last, 0)
         moved = across >> one
-        moved[:-1] |= across[1:] << top
+        if words > 1:
+            moved[:-1] |= across[1:] << top
         up, down = minus | ~(moved | plus), moved & plus
-    return found
+    out[rows] = found
+    return out
+
+
+#: Pairs of like length from which the vectorised distance pays.
+MANY = 48
 
 
-def _linked(edits: int, percent: int):
-    """Of rows (src, dst, a, b) with the texts of two lines: those whose distance is within the limit."""
+def _within_all(pairs: list[tuple[str, str]], most: np.ndarray) -> np.ndarray:
+    """Whether each pair's distance is at most its limit."""
+    good = np.zeros(len(pairs), dtype=bool)
+    size = np.array([max(len(x), len(y)) for x, y in pairs], dtype=np.int64)
+    order, at = np.argsort(size, kind="stable"), 0
+    while at < len(order):
+        length = int(size[order[at]])
+        to = min(int(np.searchsorted(size[order], length + length // 4, side="right")), at + max(1, (1 << 21) // (length + 128)))
+        own = order[at:to]
+        at = to
+        band = int(most[own].max())
+        shortest = min(min(len(x), len(y)) for x, y in (pairs[i] for i in own))
+        if len(own) < MANY or shortest <= band or len(own) < length // 16:
+            good[own] = [within(*pairs[i], int(most[i])) for i in own]
+            continue
+        points = [[np.frombuffer(s.encode("utf-32-le", "surrogatepass"), dtype="<u4") + np.uint32(3) for s in side] for side in zip(*[sorted(pairs[i], key=len, reverse=True) for i in own], strict=True)]
+        if all(int(x.max()) < 1 << 16 for side in points for x in side):
+            points = [[x.astype(np.uint16) for x in side] for side in points]
+        good[own] = distances(*points, band) <= most[own]
+    return good
+
 
-    def counts(flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """Counts of 32 classes of characters, a row a line."""
-        owner = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
-        return np.bincount(owner * 32 + (flat & 31), minlength=32 * (len(starts) - 1)).reshape(-1, 32)
+def _linked(edits: int, percent: int, held: int = 1 << 22):
+    """Of rows (src, dst, a, b) with the texts of two lines: those whose distance is within the limit. About `held` characters wait to be compared together."""
+
+    def counts(codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Counts of 512 classes of neighbouring characters, a row a line."""
+        owner = np.repeat(np.arange(len(starts) - 1, dtype=np.int32), np.diff(starts))
+        both = (codes[1:].astype(np.int32) * 31 + codes[:-1]) & 511
+        inside = owner[1:] == owner[:-1]
+        return np.bincount((owner[1:] * 512 + both)[inside], minlength=512 * (len(starts) - 1)).reshape(-1, 512)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting, texts, limits, chars = [], [], [], 0
+
+        def out() -> pa.RecordBatch:
+            good = _within_all(texts, np.concatenate(limits) if limits else np.zeros(0, dtype=np.int64))
+            table = pa.Table.from_batches(waiting, schema=pa.schema([("src", pa.int64()), ("dst", pa.int64())])).combine_chunks()
+            return table.filter(pa.array(good, pa.bool_())).combine_chunks().to_batches()
+
         for batch in batches:
-            for cut in _cuts(batch):
-                ab = [_codes(pc.cast(cut.column(c), pa.string())) for c in (2, 3)]
-                size = [np.diff(s) for _, s in ab]
-                shorter = np.minimum(*size)
-                most = np.maximum(edits, shorter * percent // 100)
+            for at in range(0, batch.num_rows, 64):
+                cut = batch.slice(at, 64)
+                ab = [_codes(cut.column(c)) for c in (2, 3)]
+                most = np.maximum(edits, np.minimum(*[np.diff(s) for _, s in ab]) * percent // 100)
                 apart = counts(*ab[0]) - counts(*ab[1])
-                # One edit makes at most one character too many and one too few.
-                some = np.flatnonzero(np.maximum(np.maximum(apart, 0).sum(1), np.maximum(-apart, 0).sum(1)) <= most)
-                some = some[np.argsort(shorter[some], kind="stable")]
-                good, at = np.zeros(cut.num_rows, dtype=bool), 0
-                while at < len(some):
-                    length = int(shorter[some[at]])
-                    band = max(edits, (length + length // 8) * percent // 100)
-                    room = max(1, (1 << 21) // (length + length // 8 + 2 * band + 128))
-                    to = at + 1
-                    while to < len(some) and to - at < room and shorter[some[to]] <= length + length // 8:
-                        to += 1
-                    rows = some[at:to]
-                    at = to
-                    texts = [(x, y) if len(x) >= len(y) else (y, x) for x, y in zip(cut.column(2).take(pa.array(rows)).to_pylist(), cut.column(3).take(pa.array(rows)).to_pylist(), strict=True)]
-                    if length <= band:
-                        good[rows] = [within(x, y, int(t)) for (x, y), t in zip(texts, most[rows], strict=True)]
-                        continue
-                    points = [[np.frombuffer(s.encode("utf-32-le", "surrogatepass"), dtype="<u4") + np.uint32(2) for s in side] for side in zip(*texts, strict=True)]
-                    if all(int(x.max()) < 1 << 16 for side in points for x in side):
-                        points = [[x.astype(np.uint16) for x in side] for side in points]
-                    good[rows] = distances(*points, band) <= most[rows]
-                yield cut.select(["src", "dst"]).filter(pa.array(good))
+                # One edit takes two pairs of neighbours away at most and adds two at most.
+                some = np.flatnonzero(np.maximum(np.maximum(apart, 0).sum(1), np.maximum(-apart, 0).sum(1)) <= 2 * most)
+                if not len(some):
+                    continue
+                rows = pa.array(some)
+                waiting.append(cut.select(["src", "dst"]).take(rows))
+                own = list(zip(*[_strings(cut.column(c).take(rows)) for c in (2, 3)], strict=True))
+                texts += own
+                limits.append(most[some])
+                chars += sum(len(x) for x, _ in own)
+                if chars > held:
+                    yield from out()
+                    waiting, texts, limits, chars = [], [], [], 0
+        yield from out()
 
     return run
 
@@ -607,26 +709,29 @@ def long_edges(lines: DataFrame, edits: int = EDITS, percent: int = PERCENT, ste
     long = lines.filter(F.col("size") >= first_long(edits, percent)).select("line", "words")
     chars = lines.agg(F.sum("size")).first()[0] or 0
     buckets = max(4, int(chars * 2 / (steps + 1)) // PASSES // KEYS + 1)
-    path = scratch(spark, "candidates")
-    kind = "src long, dst long, sig long, key long"
+    path, kind = scratch(spark, "candidates"), "bucket long, base long, data binary"
     with tidy(spark):
         for part in range(PASSES):
-            dealt = long.mapInArrow(_keys(edits, percent, steps, buckets, part), "bucket long, base long, data binary")
-            dealt.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_candidates(percent, first), kind).write.mode("append").parquet(path)
+            dealt = long.mapInArrow(_keys(edits, percent, steps, buckets, part), kind)
+            dealt.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_candidates(percent, first, buckets), kind).write.mode("append").parquet(path)
     met = spark.read.schema(kind).parquet(path)
-    edges = _verified(keep(met.filter("sig is null").select("src", "dst").distinct()), lines, edits, percent)
-    waiting, low, high = met.filter("sig is not null").select("sig", "key", F.col("src").alias("line")), first, first * first
+    pairs = met.filter("base = -1").select("bucket", "data").repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    known = keep(pairs.mapInArrow(_different, "src long, dst long"))
+    edges = _verified(known, lines, edits, percent)
+    waiting = keep(met.filter("base = 0").select("data").mapInArrow(_waiting, "sig long, key long, line long"))
+    drop_path(spark, path)
+    high = first
     while waiting.limit(1).count():
+        high *= first
         labels = keep(components(edges))
         named = waiting.join(labels, waiting["line"] == labels["node"], "left").select("sig", "key", "line", F.coalesce("component", "line").alias("label"))
         apart = named.groupBy("sig").agg(F.min("label").alias("l"), F.max("label").alias("m")).filter("l < m").select("sig")
-        waiting = keep(named.join(apart, "sig", "left_semi"))
-        grouped = waiting.repartition("sig").sortWithinPartitions("sig", "key", "line")
-        more = keep(grouped.mapInArrow(_further(percent, low, high), "src long, dst long, sig long"))
-        edges = edges.union(_verified(keep(more.filter("sig is null").select("src", "dst").distinct()), lines, edits, percent))
-        waiting = waiting.drop("label").join(more.filter("sig is not null").select("sig").distinct(), "sig", "left_semi")
-        low, high = high, high * first
-    drop_path(spark, path)
+        grouped = named.join(apart, "sig", "left_semi").repartition("sig").sortWithinPartitions("sig", "key")
+        more = keep(grouped.mapInArrow(_further(percent, high), "src long, dst long, sig long"))
+        pairs = keep(more.filter("sig is null").select("src", "dst").distinct().join(known, ["src", "dst"], "left_anti"))
+        known = known.union(pairs)
+        edges = edges.union(_verified(pairs, lines, edits, percent))
+        waiting = keep(waiting.join(more.filter("sig is not null").select("sig").distinct(), "sig", "left_semi"))
     return edges
 
 
@@ -661,19 +766,81 @@ def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*cut.columns[:-2], pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).view(pa.string())], names=names)
 
 
-def split_lines(rows: DataFrame, least: int, *names: str, text: str = "_text") -> DataFrame:
-    """`names`, place, words, h1 and h2 (a 128-bit hash) of the \n-separated lines with at least `least` code points once surrounding ASCII white space is gone."""
-    parts = rows.select(*names, F.posexplode(F.split(F.col(text), "\n", -1)).alias("place", "_line_part"))
-    words = parts.select(*names, "place", F.btrim("_line_part", F.lit(SPACES)).alias("words")).filter(F.length("words") >= max(1, least))
-    return words.withColumn("h1", F.xxhash64("words")).withColumn("h2", F.xxhash64(F.lit("line"), "words"))
+def _lines_of(text: bytes, least: int) -> tuple[list[int], list[bytes]]:
+    """Places and words of the \n-separated lines with at least `least` code points once surrounding ASCII white space is gone."""
+    places, found = [], []
+    for k, line in enumerate(text.split(b"\n")):
+        line = line.strip()
+        if len(line) >= least and (len(line) >= 4 * least or len(line.decode("utf-8", "replace")) >= least):
+            places.append(k)
+            found.append(line)
+    return places, found
+
+
+def _hashes(lines: list[bytes]) -> list[pa.Array]:
+    """The halves of a 128-bit hash of each line."""
+    digest = xxhash.xxh3_128_digest
+    found = np.frombuffer(b"".join([digest(x) for x in lines]), dtype=">i8").reshape(-1, 2).astype(np.int64)
+    return [pa.array(found[:, 0]), pa.array(found[:, 1])]
+
+
+def _bytes(column: pa.Array) -> Iterator[bytes]:
+    for t in column:
+        yield t.as_buffer().to_pybytes() if t.is_valid else b""
+
+
+def _occurrences(least: int):
+    """Rows (h1, h2, id, key, twin, place) of the lines of rows (id, key, twin, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for cut in _cuts(batch):
+                row, place, lines = [], [], []
+                for r, text in enumerate(_bytes(cut.column(3))):
+                    places, own = _lines_of(text, max(1, least))
+                    row += [r] * len(own)
+                    place += places
+                    lines += own
+                at = pa.array(row, pa.int64())
+                yield pa.RecordBatch.from_arrays([*_hashes(lines), *[cut.column(k).take(at) for k in range(3)], pa.array(place, pa.int32())], names=["h1", "h2", "id", "key", "twin", "place"])
+
+    return run
+
+
+def _words(least: int):
+    """Rows (h1, h2, size, words) of the lines of a text column, each different line of a batch once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for cut in _cuts(batch):
+                lines = list(dict.fromkeys(x for text in _bytes(cut.column(0)) for x in _lines_of(text, max(1, least))[1]))
+                size = [len(x) if x.isascii() else len(x.decode("utf-8", "replace")) for x in lines]
+                yield pa.RecordBatch.from_arrays([*_hashes(lines), pa.array(size, pa.int32()), pa.array(lines, pa.binary()).view(pa.string())], names=["h1", "h2", "size", "words"])
+
+    return run
+
+
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (h1, h2, size, words), with equal ones in the same task, each once with a number of its own."""
+    task, count, seen = TaskContext.get().partitionId(), 0, np.zeros(0, dtype=[("a", "<i8"), ("b", "<i8")])
+    for batch in batches:
+        own = np.empty(batch.num_rows, dtype=seen.dtype)
+        own["a"], own["b"] = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        fresh, at = np.unique(own, return_index=True)
+        at = np.sort(at[~np.isin(fresh, seen)])
+        seen = np.concatenate([seen, own[at]])
+        line = np.arange(count, count + len(at), dtype=np.int64) + (task << 33)
+        count += len(at)
+        yield pa.RecordBatch.from_arrays([pa.array(line), *[c.take(pa.array(at)) for c in batch.columns]], names=["line", *batch.schema.names])
 
 
-def different_lines(lines: DataFrame, path: str, order: Column) -> DataFrame:
-    """One row for each different line, written to `path`: line (its number), h1, h2, n, first (the least `order` of its rows), size and words."""
-    nodes = lines.groupBy("h1", "h2").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n"), F.first("words").alias("words"))
-    with tidy(lines.sparkSession):
-        nodes.select(F.monotonically_increasing_id().alias("line"), "h1", "h2", "n", "first", F.length("words").alias("size"), "words").write.parquet(path)
-    return lines.sparkSession.read.parquet(path)
+def different_lines(texts: DataFrame, least: int, path: str) -> DataFrame:
+    """One row for each different line of a text column, written to `path`: line (its number), h1, h2, size and words."""
+    kind = "h1 long, h2 long, size int, words string"
+    with tidy(texts.sparkSession):
+        dealt = texts.mapInArrow(_words(least), kind).repartition("h1", "h2")
+        dealt.mapInArrow(_numbered, f"line long, {kind}").write.option("compression", "zstd").parquet(path)
+    return texts.sparkSession.read.schema(f"line long, {kind}").parquet(path)
 
 
 def remove_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", carry: tuple[str, ...] = (), min_chars: int = MIN_CHARS, edits: int = EDITS, percent: int = PERCENT, exact_from: int | None = None) -> DataFrame:
@@ -690,25 +857,24 @@ def remove_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "
     carry = tuple(c for c in carry if c not in (id_col, "n_lines", "n_removed", "kept"))
     rows = docs.select(F.col(id_col).cast("long").alias("_line_id"), *[F.col(c).alias(f"_line_c{k}") for k, c in enumerate(carry)], F.col(text).alias("_text"))
     rows = rows.withColumn("_line_key", F.xxhash64("_line_id", "_text")).withColumn("_line_twin", F.xxhash64(F.lit("row"), "_line_id", "_text"))
-    path, nodes = scratch(spark, "places"), scratch(spark, "lines")
-    found = split_lines(rows, min_chars if exact_from is None else min(min_chars, exact_from), "_line_id", "_line_key", "_line_twin")
-    kind = "h1 long, h2 long, id long, key long, twin long, place int"
-    found.select("h1", "h2", F.col("_line_id").alias("id"), F.col("_line_key").alias("key"), F.col("_line_twin").alias("twin"), "place").write.parquet(path)
+    path, table = scratch(spark, "places"), scratch(spark, "lines")
+    kind, least = "h1 long, h2 long, id long, key long, twin long, place int", min_chars if exact_from is None else min(min_chars, exact_from)
+    rows.select("_line_id", "_line_key", "_line_twin", "_text").mapInArrow(_occurrences(least), kind).write.parquet(path)
     places = spark.read.schema(kind).parquet(path)
-    order = F.struct(F.col("_line_id").isNull().alias("none"), F.col("_line_id").alias("id"), F.col("_line_key").alias("key"), F.col("_line_twin").alias("twin"), F.col("place").alias("place"))
-    lines = different_lines(found, nodes, order)
-    joined = keep(components(link_edges(lines.filter(F.col("size") >= min_chars).select("line", "words", "size"), edits, percent)))
-    names = lines.select("line", "h1", "h2", "first", "n")
-    several = names.join(joined, names["line"] == joined["node"])
-    leads = several.groupBy("component").agg(F.min("first").alias("lead"))
-    alone = names.filter("n > 1").join(joined, names["line"] == joined["node"], "left_anti")
-    lead = several.join(leads, "component").select("h1", "h2", "lead", "n").union(alone.select("h1", "h2", "first", "n"))
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "key", "twin", "place")
+    nodes = places.groupBy("h1", "h2").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n"))
+    lines = different_lines(rows.select("_text"), min_chars, table)
+    joined = keep(components(link_edges(lines.select("line", "words", "size"), edits, percent)))
+    linked = keep(lines.select("line", "h1", "h2").join(joined, F.col("line") == F.col("node")).select("h1", "h2", "component"))
+    classes = keep(nodes.join(linked, ["h1", "h2"], "left").filter("n > 1 or component is not null"))
+    leads = classes.filter("component is not null").groupBy("component").agg(F.min("first").alias("lead"))
+    lead = classes.join(leads, "component", "left").withColumn("lead", F.coalesce("lead", "first"))
     lead = keep(lead.select("h1", "h2", F.col("lead.key").alias("lead_key"), F.col("lead.twin").alias("lead_twin"), F.col("lead.place").alias("lead_place"), "n"))
     total = lead.agg(F.sum("n")).first()[0] or 0
     gone = salted_join(places, lead, ["h1", "h2"], "key", "n", total).filter("lead_key is not null and not (lead_key = key and lead_twin = twin and lead_place = place)")
     marks = keep(gone.groupBy("key", "twin").agg(F.collect_set("place").alias("gone")))
     drop_path(spark, path)
-    drop_path(spark, nodes)
+    drop_path(spark, table)
     out = rows.join(marks, (rows["_line_key"] == marks["key"]) & (rows["_line_twin"] == marks["twin"]), "left").select("_line_id", *[f"_line_c{k}" for k in range(len(carry))], "gone", "_text")
     fields = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     schema = "_line_id long, " + "".join(f"_line_c{k} {fields[c]}, " for k, c in enumerate(carry)) + "n_lines long, n_removed long, kept string"
