@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .labelled import fit_in_one_task, remainder, sample
-from .textkernel import Block, blocks
+from .textkernel import Block, blocks, settled
 
 PASSAGE = 50
 HASHED = 16
@@ -155,7 +155,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, allowed, limit: int = TR
                 lists = pa.ListArray.from_arrays(pa.array((first * WIDTH).astype(np.int32)), pa.array(x.ravel().astype(np.float32)))
                 yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), lists], names=["order", "label", "features"])
 
-    rows = sample(docs, labels, label, allowed, limit).mapInArrow(run, "order long, label int, features array<float>")
+    rows = sample(docs, labels, label, allowed, limit).mapInArrow(settled(run), "order long, label int, features array<float>")
     return fit_in_one_task(rows, train)
 
 
@@ -176,7 +176,7 @@ def score(docs: DataFrame, flat: np.ndarray, carry: tuple[str, ...] = ("doc_id",
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(total), pa.array(top)], names=[*carry, "score", "attention"])
 
     schema = "".join(f"`{c}` {fields[c]}, " for c in carry) + "score double, attention double"
-    return docs.select(*carry, F.col(text).alias("_text")).mapInArrow(run, schema)
+    return docs.select(*carry, F.col(text).alias("_text")).mapInArrow(settled(run), schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", modulus: int = 4, held: int = 2, threshold: float = 0.7) -> DataFrame:

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components, keep, salted_join
+from .textkernel import settled
 
 SAMPLE = 16384
 BLOCK = 1000
@@ -204,7 +205,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector: str = "e
         forest = fit_forest(unit(_matrix(sample)), n, trees, leaf, seed)
         margin = spill * float(np.sqrt(max(0.0, 2 - 2 * threshold))) / float(np.sqrt(dims))
         kind = nodes.schema["_v"].dataType.simpleString()
-        indexed = keep(own.mapInArrow(_index(forest, margin), f"id long, vector {kind}, n long, leaves array<int>"))
+        indexed = keep(own.mapInArrow(settled(_index(forest, margin)), f"id long, vector {kind}, n long, leaves array<int>"))
         sizes = indexed.select(F.explode("leaves").alias("leaf")).groupBy("leaf").count()
         size = {r[0]: r[1] for r in sizes.filter(f"count > {BLOCK}").collect()}  # at most 2 ** depth leaves a tree
         large = F.create_map(*[F.lit(x) for kv in size.items() for x in kv]) if size else None
@@ -214,7 +215,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector: str = "e
         meets = F.transform(F.sequence(F.lit(0), cut - 1), lambda o: F.struct(F.least(o, block).alias("x"), F.greatest(o, block).alias("y")))
         dealt = some.select("leaf", F.explode(meets).alias("m"), "id", "vector", "n", "leaves", block.alias("block"))
         groups = dealt.select("leaf", "m.x", "m.y", "id", "vector", "n", "leaves", "block").repartition("leaf", "x", "y").sortWithinPartitions("leaf", "x", "y")
-        part = groups.mapInArrow(_compare(threshold), "id long, links long, root long")
+        part = groups.mapInArrow(settled(_compare(threshold)), "id long, links long, root long")
         found = part if found is None else found.union(part)
     if found is None:
         return rows.select(F.col("_id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("_id").alias("component_id"), F.col("_id").isNotNull().alias("kept"))

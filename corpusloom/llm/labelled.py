@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .textkernel import settled
+
 
 def remainder(id_col: str, modulus: int) -> Column:
     """crc32(id as text) mod modulus."""
@@ -41,7 +43,7 @@ def fit_in_one_task(rows: DataFrame, train: Callable[[np.ndarray, list[np.ndarra
         out = train(np.concatenate(labels) if labels else np.zeros(0, dtype=np.int32), features)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(out), dtype=np.int64)), pa.array(out.astype(np.float64))], names=["at", "value"])
 
-    held = rows.repartition(1).sortWithinPartitions("order").mapInArrow(run, "at long, value double").filter("value <> 0 or at = 0").toArrow()
+    held = rows.repartition(1).sortWithinPartitions("order").mapInArrow(settled(run), "at long, value double").filter("value <> 0 or at = 0").toArrow()
     at, value = held.column(0).to_numpy(), held.column(1).to_numpy()
     out = np.zeros(int(at.max()) + 1 if len(at) else 1)
     out[at] = value

@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textkernel import blocks
+from .textkernel import blocks, settled
 
 ORDER = 3
 PER_LANG = 1500
@@ -167,7 +167,7 @@ def fit(rows: DataFrame, lang: str = "lang", text: str = "text", id_col: str = "
     spread = F.pmod(F.xxhash64(F.lit("ppm"), F.col(id_col)), F.lit(1 << 30))
     limit = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, int(min(1.0, per_lang / n) * (1 << 30)))])
     sample = known.filter(spread < limit[F.col(lang)]).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
-    found = sample.mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
+    found = sample.mapInArrow(settled(_count), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
     counts = {k: (g["gram"].to_numpy(np.int64), g["n"].to_numpy(np.float64)) for k, g in found.groupby("lang")}
     return Model(counts) if counts else None
 
@@ -203,7 +203,7 @@ def predict(docs: DataFrame, model: Model | None, carry: tuple[str, ...] = ("doc
                         lang[at], score[at], rate[at] = own.langs[best[r]], min(1.0, chance[r]), low[r] / (b - a)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(lang, pa.string()), pa.array(score), pa.array(rate, from_pandas=True)], names=[*carry, "lang_pred", "score", "bits"])
 
-    return docs.select(*carry, F.col(text).alias("_text")).mapInArrow(run, schema)
+    return docs.select(*carry, F.col(text).alias("_text")).mapInArrow(settled(run), schema)
 
 
 def identify(docs: DataFrame) -> DataFrame:

@@ -31,9 +31,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components, drop_path, keep, salted_join, scratch, tidy
+from .textkernel import settled
 
 EDITS = 2
 PERCENT = 5
+CLASSES = 32
 MIN_CHARS = 20
 BLOCK = 500
 #: Least lengths of the bands of long lines beyond the first.
@@ -41,13 +43,13 @@ BANDS = (80, 100, 140, 200, 280, 400, 560, 800, 1200, 2400)
 #: Places in a window at which its gram may begin: few give long, telling grams and many keys.
 STEPS = 5
 #: The packed keys are dealt over this many passes, so that one pass's shuffle is on disk at a time.
-PASSES = 3
+PASSES = 2
 #: Packed keys of one bucket; a bucket is matched by one task.
 KEYS = 1 << 21
 #: Partners that a line takes from one key before links are united; FIRST times as many each time after.
 FIRST = 32
 #: Candidate pairs are compared in this many parts, so that one part's texts are on disk at a time.
-PARTS = 2
+PARTS = 3
 
 _U = np.uint64
 
@@ -423,7 +425,7 @@ def _met(sig: np.ndarray, size: np.ndarray, place: np.ndarray, own: np.ndarray,
     # A shift in place is an edit each, and the length code bounds the number of edits.
     reach = ((np.exp2((size + 1) / 32) * percent / 100 + 1) // 8 + 1).astype(np.int64)
     taken, alive, lag = np.zeros(n, dtype=np.int64), np.arange(n), 0
-    left, right, more = [], [], []
+    left, right, hot = [], [], np.zeros(n, dtype=bool)
     while True:
         lag += 1
         alive = alive[alive + lag < n]
@@ -439,8 +441,8 @@ def _met(sig: np.ndarray, size: np.ndarray, place: np.ndarray, own: np.ndarray,
         a, b = alive[ok], other[ok]
         full = taken[a] >= high
         if full.any():
-            more.append(np.unique(sig[a[full]]))
-            alive = np.setdiff1d(alive, a[full], assume_unique=True)
+            hot[a[full]] = True
+            alive = alive[~hot[alive]]
             a, b = a[~full], b[~full]
         taken[a] += 1
         left.append(line[a])
@@ -448,7 +450,7 @@ def _met(sig: np.ndarray, size: np.ndarray, place: np.ndarray, own: np.ndarray,
     none = np.zeros(0, dtype=np.int64)
     a, b = np.concatenate([none, *left]), np.concatenate([none, *right])
     pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
-    return pairs[:, 0], pairs[:, 1], np.unique(np.concatenate(more)) if more else np.zeros(0, dtype=sig.dtype)
+    return pairs[:, 0], pairs[:, 1], np.unique(sig[hot])
 
 
 def _candidates(percent: int, high: int, buckets: int):
@@ -687,8 +689,32 @@ def _linked(edits: int, percent: int, held: int = 1 << 22):
     return run
 
 
+def _counts(codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Counts of CLASSES classes of characters up to 255, a row a line."""
+    owner = np.repeat(np.arange(len(starts) - 1, dtype=np.int32), np.diff(starts))
+    found = np.bincount(owner * CLASSES + (codes & (CLASSES - 1)), minlength=CLASSES * (len(starts) - 1))
+    return np.minimum(found, 255).astype(np.uint8).reshape(-1, CLASSES)
+
+
+def _alike(edits: int, percent: int):
+    """Of rows (src, dst, m, n, a, b) with the sizes and counts of two lines: those that the limit allows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            most = np.maximum(edits, np.minimum(batch.column(2).to_numpy(), batch.column(3).to_numpy()) * percent // 100)
+            a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), dtype=np.uint8).reshape(-1, CLASSES).astype(np.int16) for k in (4, 5))
+            # One edit makes at most one character too many and one too few.
+            good = np.maximum(np.maximum(a - b, 0).sum(1), np.maximum(b - a, 0).sum(1)) <= most
+            yield batch.select(["src", "dst"]).filter(pa.array(good))
+
+    return run
+
+
 def _verified(pairs: DataFrame, lines: DataFrame, edits: int, percent: int) -> DataFrame:
-    """Those of the different pairs (src, dst) that are linked; `lines` has line and words."""
+    """Those of the different pairs (src, dst) that are linked; `lines` has line, words, size and counts."""
+    left, right = (lines.select(F.col("line").alias(end), F.col("size").alias(m), F.col("counts").alias(c)) for end, m, c in (("src", "m", "a"), ("dst", "n", "b")))
+    alike = pairs.join(left, "src").join(right, "dst").select("src", "dst", "m", "n", "a", "b")
+    pairs = keep(alike.mapInArrow(settled(_alike(edits, percent)), "src long, dst long"))
     wanted = pairs.select(F.explode(F.array("src", "dst")).alias("line")).distinct()
     path = scratch(lines.sparkSession, "words")
     lines.join(wanted, "line", "left_semi").select("line", "words").write.parquet(path)
@@ -697,14 +723,14 @@ def _verified(pairs: DataFrame, lines: DataFrame, edits: int, percent: int) -> D
     found = None
     for part in range(PARTS):  # texts are dealt to a part of the pairs at a time
         some, ends = (x.filter(F.pmod("dst", F.lit(PARTS)) == part) for x in (pairs, second))
-        good = keep(some.join(first, "src").join(ends, "dst").select("src", "dst", "a", "b").mapInArrow(_linked(edits, percent), "src long, dst long"))
+        good = keep(some.join(first, "src").join(ends, "dst").select("src", "dst", "a", "b").mapInArrow(settled(_linked(edits, percent)), "src long, dst long"))
         found = good if found is None else found.union(good)
     drop_path(lines.sparkSession, path)
     return found
 
 
 def long_edges(lines: DataFrame, edits: int = EDITS, percent: int = PERCENT, steps: int = STEPS, first: int = FIRST) -> DataFrame:
-    """Edges (src, dst) that connect what links with a limit above `edits` connect; `lines` has line (long, neighbours in a file near each other), words (all different) and size (code points)."""
+    """Edges (src, dst) that connect what links with a limit above `edits` connect; `lines` has line (long, neighbours in a file near each other), words (all different), size (code points) and counts (`_counts`)."""
     spark = lines.sparkSession
     long = lines.filter(F.col("size") >= first_long(edits, percent)).select("line", "words")
     chars = lines.agg(F.sum("size")).first()[0] or 0
@@ -712,13 +738,13 @@ def long_edges(lines: DataFrame, edits: int = EDITS, percent: int = PERCENT, ste
     path, kind = scratch(spark, "candidates"), "bucket long, base long, data binary"
     with tidy(spark):
         for part in range(PASSES):
-            dealt = long.mapInArrow(_keys(edits, percent, steps, buckets, part), kind)
-            dealt.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_candidates(percent, first, buckets), kind).write.mode("append").parquet(path)
+            dealt = long.mapInArrow(settled(_keys(edits, percent, steps, buckets, part)), kind)
+            dealt.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(settled(_candidates(percent, first, buckets)), kind).write.mode("append").parquet(path)
     met = spark.read.schema(kind).parquet(path)
     pairs = met.filter("base = -1").select("bucket", "data").repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    known = keep(pairs.mapInArrow(_different, "src long, dst long"))
+    known = keep(pairs.mapInArrow(settled(_different), "src long, dst long"))
     edges = _verified(known, lines, edits, percent)
-    waiting = keep(met.filter("base = 0").select("data").mapInArrow(_waiting, "sig long, key long, line long"))
+    waiting = keep(met.filter("base = 0").select("data").mapInArrow(settled(_waiting), "sig long, key long, line long"))
     drop_path(spark, path)
     high = first
     while waiting.limit(1).count():
@@ -727,7 +753,7 @@ def long_edges(lines: DataFrame, edits: int = EDITS, percent: int = PERCENT, ste
         named = waiting.join(labels, waiting["line"] == labels["node"], "left").select("sig", "key", "line", F.coalesce("component", "line").alias("label"))
         apart = named.groupBy("sig").agg(F.min("label").alias("l"), F.max("label").alias("m")).filter("l < m").select("sig")
         grouped = named.join(apart, "sig", "left_semi").repartition("sig").sortWithinPartitions("sig", "key")
-        more = keep(grouped.mapInArrow(_further(percent, high), "src long, dst long, sig long"))
+        more = keep(grouped.mapInArrow(settled(_further(percent, high)), "src long, dst long, sig long"))
         pairs = keep(more.filter("sig is null").select("src", "dst").distinct().join(known, ["src", "dst"], "left_anti"))
         known = known.union(pairs)
         edges = edges.union(_verified(pairs, lines, edits, percent))
@@ -739,8 +765,8 @@ def link_edges(lines: DataFrame, edits: int = EDITS, percent: int = PERCENT) ->
     """Edges (src, dst) between different lines that connect what links of at most `limit` edits connect; `lines` has line (long), words and size."""
     start = first_long(edits, percent)
     short = lines.filter(F.col("size") < start + edits) if start else lines
-    keys = short.select("line", "words").mapInArrow(_signatures(edits, percent), "sig long, line long, own boolean")
-    hits = keep(keys.repartition("sig").sortWithinPartitions("sig", "line").mapInArrow(_shared, "sig long, size long, line long, own boolean"))
+    keys = short.select("line", "words").mapInArrow(settled(_signatures(edits, percent)), "sig long, line long, own boolean")
+    hits = keep(keys.repartition("sig").sortWithinPartitions("sig", "line").mapInArrow(settled(_shared), "sig long, size long, line long, own boolean"))
     wanted = hits.select("line").distinct()
     words = short.select("line", "words").join(wanted, "line", "left_semi")
     cut = F.ceil(F.col("size") / BLOCK).cast("int")
@@ -748,7 +774,7 @@ def link_edges(lines: DataFrame, edits: int = EDITS, percent: int = PERCENT) ->
     meets = F.transform(F.sequence(F.lit(0), cut - 1), lambda o: F.struct(F.least(o, block).alias("x"), F.greatest(o, block).alias("y")))
     dealt = hits.join(words, "line").select("sig", F.explode(meets).alias("m"), "line", "own", "words").select("sig", "m.x", "m.y", "line", "own", "words")
     groups = dealt.repartition("sig", "x", "y").sortWithinPartitions("sig", "x", "y")
-    found = groups.mapInArrow(_verify(edits, percent), "src long, dst long")
+    found = groups.mapInArrow(settled(_verify(edits, percent)), "src long, dst long")
     return keep(found).union(long_edges(lines, edits, percent)) if percent else found
 
 
@@ -808,38 +834,40 @@ def _occurrences(least: int):
 
 
 def _words(least: int):
-    """Rows (h1, h2, size, words) of the lines of a text column, each different line of a batch once."""
+    """Rows (h1, h2, size, counts, words) of the lines of a text column, each different line of a batch once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for cut in _cuts(batch):
                 lines = list(dict.fromkeys(x for text in _bytes(cut.column(0)) for x in _lines_of(text, max(1, least))[1]))
-                size = [len(x) if x.isascii() else len(x.decode("utf-8", "replace")) for x in lines]
-                yield pa.RecordBatch.from_arrays([*_hashes(lines), pa.array(size, pa.int32()), pa.array(lines, pa.binary()).view(pa.string())], names=["h1", "h2", "size", "words"])
+                words = pa.array(lines, pa.binary()).view(pa.string())
+                codes, starts = _codes(words)
+                counts = pa.Array.from_buffers(pa.binary(CLASSES), len(lines), [None, pa.py_buffer(_counts(codes, starts).tobytes())]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([*_hashes(lines), pa.array(np.diff(starts).astype(np.int32)), counts, words], names=["h1", "h2", "size", "counts", "words"])
 
     return run
 
 
 def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows (h1, h2, size, words), with equal ones in the same task, each once with a number of its own."""
-    task, count, seen = TaskContext.get().partitionId(), 0, np.zeros(0, dtype=[("a", "<i8"), ("b", "<i8")])
+    """Of rows that begin with (h1, h2), with equal ones in the same task, each once with a number of its own."""
+    task, count, seen = TaskContext.get().partitionId(), 0, set()
     for batch in batches:
-        own = np.empty(batch.num_rows, dtype=seen.dtype)
-        own["a"], own["b"] = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        fresh, at = np.unique(own, return_index=True)
-        at = np.sort(at[~np.isin(fresh, seen)])
-        seen = np.concatenate([seen, own[at]])
+        at = []
+        for k, name in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+            if name not in seen:
+                seen.add(name)
+                at.append(k)
         line = np.arange(count, count + len(at), dtype=np.int64) + (task << 33)
         count += len(at)
         yield pa.RecordBatch.from_arrays([pa.array(line), *[c.take(pa.array(at)) for c in batch.columns]], names=["line", *batch.schema.names])
 
 
 def different_lines(texts: DataFrame, least: int, path: str) -> DataFrame:
-    """One row for each different line of a text column, written to `path`: line (its number), h1, h2, size and words."""
-    kind = "h1 long, h2 long, size int, words string"
+    """One row for each different line of a text column, written to `path`: line (its number), h1, h2, size, counts (of classes of characters) and words."""
+    kind = "h1 long, h2 long, size int, counts binary, words string"
     with tidy(texts.sparkSession):
-        dealt = texts.mapInArrow(_words(least), kind).repartition("h1", "h2")
-        dealt.mapInArrow(_numbered, f"line long, {kind}").write.option("compression", "zstd").parquet(path)
+        dealt = texts.mapInArrow(settled(_words(least)), kind).repartition("h1", "h2")
+        dealt.mapInArrow(settled(_numbered), f"line long, {kind}").write.option("compression", "zstd").parquet(path)
     return texts.sparkSession.read.schema(f"line long, {kind}").parquet(path)
 
 
@@ -859,12 +887,12 @@ def remove_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "
     rows = rows.withColumn("_line_key", F.xxhash64("_line_id", "_text")).withColumn("_line_twin", F.xxhash64(F.lit("row"), "_line_id", "_text"))
     path, table = scratch(spark, "places"), scratch(spark, "lines")
     kind, least = "h1 long, h2 long, id long, key long, twin long, place int", min_chars if exact_from is None else min(min_chars, exact_from)
-    rows.select("_line_id", "_line_key", "_line_twin", "_text").mapInArrow(_occurrences(least), kind).write.parquet(path)
+    rows.select("_line_id", "_line_key", "_line_twin", "_text").mapInArrow(settled(_occurrences(least)), kind).write.parquet(path)
     places = spark.read.schema(kind).parquet(path)
     order = F.struct(F.col("id").isNull().alias("none"), "id", "key", "twin", "place")
     nodes = places.groupBy("h1", "h2").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n"))
     lines = different_lines(rows.select("_text"), min_chars, table)
-    joined = keep(components(link_edges(lines.select("line", "words", "size"), edits, percent)))
+    joined = keep(components(link_edges(lines.select("line", "words", "size", "counts"), edits, percent)))
     linked = keep(lines.select("line", "h1", "h2").join(joined, F.col("line") == F.col("node")).select("h1", "h2", "component"))
     classes = keep(nodes.join(linked, ["h1", "h2"], "left").filter("n > 1 or component is not null"))
     leads = classes.filter("component is not null").groupBy("component").agg(F.min("first").alias("lead"))
@@ -878,4 +906,4 @@ def remove_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "
     out = rows.join(marks, (rows["_line_key"] == marks["key"]) & (rows["_line_twin"] == marks["twin"]), "left").select("_line_id", *[f"_line_c{k}" for k in range(len(carry))], "gone", "_text")
     fields = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     schema = "_line_id long, " + "".join(f"_line_c{k} {fields[c]}, " for k, c in enumerate(carry)) + "n_lines long, n_removed long, kept string"
-    return out.mapInArrow(_strip, schema).toDF(id_col, *carry, "n_lines", "n_removed", "kept")
+    return out.mapInArrow(settled(_strip), schema).toDF(id_col, *carry, "n_lines", "n_removed", "kept")

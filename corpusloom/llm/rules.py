@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .labelled import sample
-from .textkernel import blocks, span_hashes, splitmix, window_hashes
+from .textkernel import blocks, settled, span_hashes, splitmix, window_hashes
 
 TRAIN = 15000
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_digits", "n_marks"]
@@ -70,7 +70,7 @@ def statistics(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), text: str
                 yield pa.RecordBatch.from_arrays([*rows.columns[:-1], *[pa.array(np.asarray(x).astype(np.int64)) for x in found]], names=[*carry, *COUNTS])
 
     schema = "".join(f"`{c}` {fields[c]}, " for c in carry) + ", ".join(f"{c} long" for c in COUNTS)
-    return docs.select(*carry, F.col(text).alias("_text")).mapInArrow(run, schema)
+    return docs.select(*carry, F.col(text).alias("_text")).mapInArrow(settled(run), schema)
 
 
 #: Features over the counts, as (name, numerator, denominator); a denominator of 0 counts as 1. All are shares, so that a

@@ -15,7 +15,7 @@ group yields a spanning forest of its links, not all of its pairs.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -24,9 +24,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .graph import components, keep, salted_join
+from .graph import components, drop_path, keep, salted_join, scratch, tidy
+from .linededup import _cuts
+from .textkernel import blocks, settled, window_hashes
 
 BLOCK = 1000
+#: The same where links are verified, as wider thresholds make larger groups.
+LARGE = 4096
+#: Partners that a text takes in one group before links are united, where links are verified; FURTHER times as many each time after.
+FIRST, FURTHER = 1, 64
+#: Candidate pairs are compared in this many parts, so that one part's texts are on disk at a time.
+PARTS = 4
 SAMPLE = 4096
 #: Seconds for one probe row that is shuffled, and for one candidate pair that is compared.
 ROW_COST, PAIR_COST = 4e-6, 4e-9
@@ -65,7 +73,7 @@ def with_fingerprint(docs: DataFrame, text: str = "text", width: int = 3, seed:
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found.view(np.int64))], names=[*carry, "fp"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for c in carry for f in fields if f.name == c) + ", fp long"
-    return docs.select(*carry, F.col(text).alias("_text")).mapInArrow(run, schema)
+    return docs.select(*carry, F.col(text).alias("_text")).mapInArrow(settled(run), schema)
 
 
 def plan(sample: np.ndarray, n: int, radius: int) -> list[tuple[list[int], int]]:
@@ -78,6 +86,7 @@ def plan(sample: np.ndarray, n: int, radius: int) -> list[tuple[list[int], int]]
         differ = 2 * mean * (1 - mean)
     else:
         related, differ = np.eye(64), np.full(64, 0.5)
+    n = max(n, SAMPLE)  # the changed keys of a wide threshold are listed whatever the size of the table
     pairs, best = n * (n - 1) / 2, None
     for m in range(1, radius + 2):
         parts = _group(related, m)
@@ -239,20 +248,172 @@ def _links(radius: int):
     return run
 
 
+def _groups(nodes: DataFrame, parts: list[tuple[list[int], int]], most: int) -> DataFrame:
+    """Rows (part, key, x, y, fp, id, own, block) that lie together by the first four: the nodes that share a probe key, two blocks of at most about `most` at a time."""
+    probes = nodes.select("fp", "id").mapInArrow(settled(_probes(parts)), "part int, key long, fp long, id long, own boolean")
+    sizes = keep(probes.groupBy("part", "key").agg(F.count(F.lit(1)).alias("size"), F.max("own").alias("any")).filter("any and size > 1").select("part", "key", "size", F.col("size").alias("n")))
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    found = salted_join(probes, sizes, ["part", "key"], "id", "n", total).filter("size is not null")
+    cut = F.ceil(F.col("size") / most).cast("int")
+    block = F.pmod(F.xxhash64("id"), cut).cast("int")
+    meets = F.when(cut <= 1, F.array(F.struct(F.lit(0).alias("x"), F.lit(0).alias("y")))).otherwise(F.transform(F.sequence(F.lit(0), cut - 1), lambda o: F.struct(F.least(o, block).alias("x"), F.greatest(o, block).alias("y"))))
+    dealt = found.select("part", "key", F.explode(meets).alias("m"), "fp", "id", "own", block.alias("block"))
+    return dealt.select("part", "key", "m.x", "m.y", "fp", "id", "own", "block")
+
+
+def _parts(nodes: DataFrame, radius: int) -> list[tuple[list[int], int]]:
+    sample = nodes.select("fp").orderBy(F.xxhash64("fp", "id")).limit(SAMPLE).toPandas()["fp"].to_numpy(dtype=np.int64).view(np.uint64)
+    return plan(sample, nodes.count(), radius)
+
+
 def link_edges(nodes: DataFrame, radius: int = 3) -> DataFrame:
     """Edges (src, dst) that connect exactly what links of at most `radius` bits connect. `nodes` has fp (different) and id (long)."""
-    n = nodes.count()
-    sample = nodes.select("fp").orderBy(F.xxhash64("fp")).limit(SAMPLE).toPandas()["fp"].to_numpy(dtype=np.int64).view(np.uint64)
-    parts = plan(sample, n, radius)
-    probes = nodes.select("fp", "id").mapInArrow(_probes(parts), "part int, key long, fp long, id long, own boolean")
-    sizes = probes.groupBy("part", "key").agg(F.count(F.lit(1)).alias("size"), F.max("own").alias("any")).filter("any and size > 1")
-    found = probes.join(sizes.select("part", "key", "size"), ["part", "key"])
-    cut = F.ceil(F.col("size") / BLOCK).cast("int")
-    block = F.pmod(F.xxhash64("fp"), cut).cast("int")
-    meets = F.when(cut <= 1, F.array(F.struct(F.lit(0).alias("x"), F.lit(0).alias("y")))).otherwise(F.transform(F.sequence(F.lit(0), cut - 1), lambda o: F.struct(F.least(o, block).alias("x"), F.greatest(o, block).alias("y"))))
-    dealt = found.select("part", "key", F.explode(meets).alias("m"), "fp", "id", "own").select("part", "key", "m.x", "m.y", "fp", "id", "own")
-    groups = dealt.repartition("part", "key", "x", "y").sortWithinPartitions("part", "key", "x", "y")
-    return groups.mapInArrow(_links(radius), "src long, dst long")
+    groups = _groups(nodes, _parts(nodes, radius), BLOCK).drop("block").repartition("part", "key", "x", "y").sortWithinPartitions("part", "key", "x", "y")
+    return groups.mapInArrow(settled(_links(radius)), "src long, dst long")
+
+
+def _partners(radius: int, cap: int):
+    """For each group (part, key, block pair), whose rows lie together: of each own row the first `cap` partners with at most `radius` differing bits and another label; a row (id, null) if there are more."""
+
+    def solve(x: int, y: int, fp: np.ndarray, ids: np.ndarray, own: np.ndarray, block: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray, bool]:
+        left, right, more = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)], False
+        mine = np.flatnonzero(own)
+        step, place = max(1, (1 << 20) // len(fp)), np.arange(len(fp))
+        for at in range(0, len(mine), step):
+            rows = mine[at : at + step]
+            near = (np.bitwise_count(fp[rows][:, None] ^ fp[None, :]) <= radius) & (label[rows][:, None] != label[None, :])
+            near &= ~own[None, :] | (place[None, :] > rows[:, None])  # two own rows meet once
+            if x != y:
+                near &= block[rows][:, None] != block[None, :]
+            a, b = np.nonzero(near)
+            rank = np.arange(len(a)) - np.searchsorted(a, a)
+            more |= bool((rank >= cap).any())
+            a, b = a[rank < cap], b[rank < cap]
+            left.append(ids[rows[a]])
+            right.append(ids[b])
+        return np.concatenate(left), np.concatenate(right), more
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: list[np.ndarray] | None = None
+
+        def out(cols: list[np.ndarray], cuts: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                if b - a > 1:
+                    src, dst, more = solve(int(cols[2][a]), int(cols[3][a]), cols[4][a:b].view(np.uint64), cols[5][a:b], cols[6][a:b].astype(bool), cols[7][a:b], cols[8][a:b])
+                    if len(src):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(src, dst)), pa.array(np.maximum(src, dst))], names=["src", "dst"])
+                    if more:
+                        yield pa.RecordBatch.from_arrays([pa.array([int(src[0])], pa.int64()), pa.nulls(1, pa.int64())], names=["src", "dst"])
+
+        for batch in batches:
+            cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            if not len(cols[0]):
+                continue
+            if rest is not None:
+                cols = [np.concatenate([x, y]) for x, y in zip(rest, cols, strict=True)]
+            change = np.zeros(len(cols[0]), dtype=bool)
+            for c in cols[:4]:
+                change[1:] |= c[1:] != c[:-1]
+            cuts = np.concatenate([[0], np.flatnonzero(change)])
+            yield from out(cols, cuts)
+            rest = [c[cuts[-1] :] for c in cols]
+        if rest is not None:
+            yield from out(rest, np.array([0, len(rest[0])]))
+
+    return run
+
+
+def shingle_sets(column: pa.Array, width: int) -> list[np.ndarray]:
+    """Sorted hashes of the different shingles of each text's lower-case words; with fewer words than `width` all words are the one shingle."""
+    found = []
+    for block in blocks(column, lowered=True):
+        words = block.hashes()
+        grams = window_hashes(words, width)
+        for a, b in zip(block.rows[:-1].tolist(), block.rows[1:].tolist(), strict=True):
+            found.append(np.unique(grams[a : b - width + 1]) if b - a >= width else window_hashes(words[a:b], max(1, b - a)))
+    return found
+
+
+def _similar(width: int, similarity: float):
+    """Of rows (src, dst, a, b) with two texts: those whose sets of shingles have at least this Jaccard similarity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for cut in _cuts(batch):
+                good = []
+                for x, y in zip(shingle_sets(cut.column(2), width), shingle_sets(cut.column(3), width), strict=True):
+                    both = len(np.intersect1d(x, y, assume_unique=True))
+                    good.append(both >= similarity * (len(x) + len(y) - both))
+                yield cut.select(["src", "dst"]).filter(pa.array(good, pa.bool_()))
+
+    return run
+
+
+def verified_edges(nodes: DataFrame, texts: Callable[[DataFrame], DataFrame], radius: int, width: int, similarity: float) -> DataFrame:
+    """Edges (src, dst) that connect exactly what links connect: at most `radius` differing bits and the similarity of shingles. `nodes` has fp and id, `texts` gives id and text, one row for each wanted id.
+
+    A text takes FIRST partners of a group; once these links are united, only texts that are still apart take more, so a
+    large group of copies does not give all its pairs.
+    """
+    spark = nodes.sparkSession
+    groups, path = keep(_groups(nodes, _parts(nodes, radius), LARGE)), scratch(spark, "similar")
+    edges, known, cap = None, None, FIRST
+    while True:
+        if edges is None:
+            named = groups.withColumn("label", F.col("id"))
+        else:
+            labels = keep(components(edges)).withColumnRenamed("node", "id")
+            named = groups.join(labels, "id", "left").select(*groups.columns, F.coalesce("component", "id").alias("label"))
+        dealt = named.repartition("part", "key", "x", "y").sortWithinPartitions("part", "key", "x", "y")
+        met = keep(dealt.mapInArrow(settled(_partners(radius, cap)), "src long, dst long").distinct())
+        pairs = met.filter("dst is not null")
+        pairs = pairs if known is None else keep(pairs.join(known, ["src", "dst"], "left_anti"))
+        known = pairs if known is None else known.union(pairs)
+        wanted = pairs.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+        with tidy(spark):
+            texts(wanted).select("id", "text").write.mode("overwrite").parquet(path)
+        words = spark.read.schema("id long, text string").parquet(path)
+        first, second = words.select(F.col("id").alias("src"), F.col("text").alias("a")), words.select(F.col("id").alias("dst"), F.col("text").alias("b"))
+        for part in range(PARTS):  # texts are dealt to a part of the pairs at a time
+            some, ends = (x.filter(F.pmod("dst", F.lit(PARTS)) == part) for x in (pairs, second))
+            good = keep(some.join(first, "src").join(ends, "dst").select("src", "dst", "a", "b").mapInArrow(settled(_similar(width, similarity)), "src long, dst long"))
+            edges = good if edges is None else edges.union(good)
+        if not met.filter("dst is null").limit(1).count():
+            drop_path(spark, path)
+            return edges
+        cap *= FURTHER
+
+
+def first_of_each(docs: DataFrame, id_col: str = "doc_id", text: str = "text", radius: int = 12, width: int = 5, similarity: float = 0.8, seed: int = 42) -> DataFrame:
+    """One row of each group of near-duplicate rows of `docs`, with its columns.
+
+    Rows with equal texts (a null text counts as empty) are one group, and so are those connected over links: fingerprints that differ in at most `radius`
+    bits and sets of shingles with at least this Jaccard similarity. The first row by (id, hash of the text, the other columns) stays, a null id
+    last, whatever the order of the rows; columns must be of types that can be ordered. Rows that repeat an id with unlike texts are rows of their own. An empty table gives an empty result.
+    """
+    spark = docs.sparkSession
+    others = [c for c in docs.columns if c not in (id_col, text)]
+    whole = F.coalesce(F.col(text), F.lit(""))
+    rows = docs.select(F.xxhash64(whole).alias("_h1"), F.xxhash64(F.lit("text"), whole).alias("_h2"), F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.xxhash64(whole).alias("h"), F.col(text).isNull().alias("empty"), *[F.col(c).alias(f"c{k}") for k, c in enumerate(others)]).alias("_row"), whole.alias("_t"))
+    prints = with_fingerprint(rows, "_t", width, seed, ("_h1", "_h2", "_row"))
+    path = scratch(spark, "nodes")
+    prints.groupBy("_h1", "_h2", "fp").agg(F.min("_row").alias("first")).select(F.monotonically_increasing_id().alias("id"), "_h1", "_h2", "fp", "first").write.parquet(path)
+    nodes = spark.read.parquet(path)
+    named = rows.select("_h1", "_h2", F.col("_row").alias("first"), F.col("_t").alias("text"))
+
+    def texts(wanted: DataFrame) -> DataFrame:
+        # Copies of a text are spread over the tasks by their whole row.
+        return named.join(nodes.join(wanted, "id").select("_h1", "_h2", "first", "id"), ["_h1", "_h2", "first"]).dropDuplicates(["id"])
+
+    edges = verified_edges(nodes.select("fp", "id"), texts, radius, width, similarity)
+    joined = keep(components(edges))
+    behind = nodes.join(joined, nodes["id"] == joined["node"])
+    leads = behind.groupBy("component").agg(F.min("first").alias("lead"))
+    gone = keep(behind.join(leads, "component").filter("first <> lead").select("id"))
+    left = nodes.join(gone, "id", "left_anti").select("_h1", "_h2", "first")
+    found = named.join(left, ["_h1", "_h2", "first"]).dropDuplicates(["_h1", "_h2"])
+    columns = {id_col: F.col("first.id"), text: F.when(~F.col("first.empty"), F.col("text"))} | {c: F.col(f"first.c{k}") for k, c in enumerate(others)}
+    return found.select(*[columns[c].alias(c) for c in docs.columns])
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", radius: int = 3, width: int = 3, seed: int = 42) -> DataFrame:

@@ -5,14 +5,17 @@ of one word gram in it, the one of least hash (winnowing): equal windows choose
 places, so a window that occurs twice has a fingerprint that occurs twice, and one fingerprint stands for
 about ten windows.
 
-`FingerprintIndex` holds immutable runs, each sorted by fingerprint: (fp, n). A batch is aggregated
-into a run of its own, which is merge-joined with the earlier runs; fingerprints with two or more occurrences are
-candidates. When there are FANOUT runs they are compacted into one before the next batch. Windows at candidate fingerprints are then verified
+`FingerprintIndex` holds immutable runs (fp, n), bucketed and sorted by fingerprint, in a folder that outlives a session. A batch is
+aggregated into a run of its own, which is merge-joined with the earlier runs, bucket by bucket and without a shuffle of the history;
+the batch's fingerprints that now have two occurrences or more are its candidates. When there are FANOUT runs they are merged into one
+before the next batch. Windows at candidate fingerprints are then verified
 by a 128-bit hash of their words, so the index decides only what is verified, never what is removed.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,13 +24,15 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.sinks import put_text
 from .graph import drop_path, keep, salted_join, scratch, tidy
-from .textkernel import Block, blocks, slide_min, splitmix, window_hashes
+from .linededup import _cuts
+from .textkernel import Block, blocks, settled, slide_min, splitmix, window_hashes
 
 WIDTH = 35
 GRAM = 16
-FANOUT = 4
-BATCHES = 2
+FANOUT = 2
+BATCHES = 3
 _PLACE = np.uint64((1 << 24) - 1)
 
 
@@ -75,7 +80,7 @@ def _fingerprints(width: int, gram: int):
 
 
 def _occurrences(width: int, gram: int):
-    """Rows (fp, id, at) of the chosen grams; `at` is a word's place in its document."""
+    """Rows (fp, key, at) of the chosen grams of rows (key, text); `at` is a word's place in its document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -83,7 +88,7 @@ def _occurrences(width: int, gram: int):
             for block in blocks(batch.column(1)):
                 _, _, at, fp = anchors(block, width, gram)
                 row = block.row_of_word()[at] if len(at) else at
-                yield pa.RecordBatch.from_arrays([pa.array(fp.view(np.int64)), ids.slice(block.first, block.last - block.first).take(pa.array(row)), pa.array((at - block.rows[row]).astype(np.int32))], names=["fp", "id", "at"])
+                yield pa.RecordBatch.from_arrays([pa.array(fp.view(np.int64)), ids.slice(block.first, block.last - block.first).take(pa.array(row)), pa.array((at - block.rows[row]).astype(np.int32))], names=["fp", "key", "at"])
 
     return run
 
@@ -167,56 +172,87 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class FingerprintIndex:
-    """Runs (fp, n) sorted by fp, in a folder of the shared file system."""
+    """Runs (fp, n) in a folder of the shared file system, each with one row for a fingerprint, bucketed and sorted by it.
 
-    def __init__(self, spark: SparkSession, path: str, fanout: int = FANOUT):
+    An index opened on a folder that holds runs goes on with them; `buckets` counts for a new one alone.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, fanout: int = FANOUT, buckets: int | None = None):
         self.spark, self.path, self.fanout = spark, path, fanout
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.tables: dict[str, str] = {}
         self.runs: list[str] = []
-        self.made = 0
+        listed = self._listed()
+        if listed:
+            self.buckets, self.runs = listed["buckets"], listed["runs"]
+
+    def _listed(self) -> dict | None:
+        jvm = self.spark.sparkContext._jvm
+        at = jvm.org.apache.hadoop.fs.Path(f"{self.path}/runs.json")
+        if not at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+            return None
+        return json.loads("".join(r.value for r in self.spark.read.text(f"{self.path}/runs.json").collect()))
+
+    def _list(self) -> None:
+        put_text(self.spark, f"{self.path}/runs.json", json.dumps({"buckets": self.buckets, "runs": self.runs}))
 
     def _write(self, run: DataFrame) -> str:
-        self.made += 1
-        path = f"{self.path}/run-{self.made:05d}"
+        """Write rows (fp, n) that already lie together by bucket as a run; return its name."""
+        name = f"run_{uuid.uuid4().hex}"
         with tidy(self.spark):
-            run.sortWithinPartitions("fp").select("fp", "n").write.parquet(path)
-        return path
+            run.select("fp", "n").write.format("parquet").bucketBy(self.buckets, "fp").sortBy("fp").option("path", f"{self.path}/{name}").saveAsTable(f"corpusloom_{name}")
+        self.tables[name] = f"corpusloom_{name}"
+        return name
+
+    def run(self, name: str) -> DataFrame:
+        if name not in self.tables:
+            self.spark.sql(f"CREATE TABLE IF NOT EXISTS corpusloom_{name} (fp BIGINT, n BIGINT) USING parquet CLUSTERED BY (fp) SORTED BY (fp) INTO {self.buckets} BUCKETS LOCATION '{self.path}/{name}'")
+            self.tables[name] = f"corpusloom_{name}"
+        return self.spark.table(self.tables[name])
 
-    def run(self, path: str) -> DataFrame:
-        return self.spark.read.schema("fp long, n long").parquet(path)
+    def _forget(self, names: list[str]) -> None:
+        for name in names:
+            if name in self.tables:
+                self.spark.sql(f"DROP TABLE IF EXISTS {self.tables.pop(name)}")
 
     def append(self, fingerprints: DataFrame) -> DataFrame:
-        """Add a batch as a new run; return (fp, n) of its fingerprints that now have two occurrences or more, n in all runs.
+        """Add a batch (fp, n) as a new run; return (fp, n) of its fingerprints that now have two occurrences or more, n in all runs.
 
-        When there are `fanout` runs, they are compacted first. The result reads the runs and holds until the next call.
+        When there are `fanout` runs, they are compacted first. The result is kept apart from the runs.
         """
         if len(self.runs) >= self.fanout:
             self.compact()
         earlier = list(self.runs)
-        self.runs.append(self._write(fingerprints.groupBy("fp").agg(F.sum("n").alias("n"))))
-        known = self.run(self.runs[-1])
-        for path in earlier:
-            old = self.run(path).withColumnRenamed("n", "m")
+        new = self._write(fingerprints.repartition(self.buckets, "fp").groupBy("fp").agg(F.sum("n").alias("n")))
+        known = self.run(new)
+        for name in earlier:
+            old = self.run(name).withColumnRenamed("n", "m").hint("merge")
             known = known.join(old, "fp", "left").select("fp", (F.col("n") + F.coalesce("m", F.lit(0))).alias("n"))
-        return known.filter("n > 1")
+        found = keep(known.filter("n > 1"))
+        self.runs.append(new)
+        self._list()
+        return found
 
     def compact(self) -> None:
-        """Merge all runs into one; the old ones are deleted once the new one is whole."""
+        """Merge all runs into one; the old ones are deleted once the new one is whole and listed."""
         if len(self.runs) < 2:
             return
-        merged = self.run(self.runs[0])
-        for path in self.runs[1:]:
-            merged = merged.union(self.run(path))
-        new = self._write(merged.groupBy("fp").agg(F.sum("n").alias("n")))
-        for path in self.runs:
-            drop_path(self.spark, path)
-        self.runs = [new]
-
-    def repeated(self) -> DataFrame:
-        """(fp, n) of all fingerprints with two occurrences or more."""
-        self.compact()
-        return self.run(self.runs[0]).filter("n > 1")
+        old, merged = list(self.runs), self.run(self.runs[0])
+        for name in old[1:]:
+            other = self.run(name).withColumnRenamed("n", "m").hint("merge")
+            merged = merged.join(other, "fp", "full_outer").select("fp", (F.coalesce("n", F.lit(0)) + F.coalesce("m", F.lit(0))).alias("n"))
+        self.runs = [self._write(merged)]
+        self._list()
+        self._forget(old)
+        for name in old:
+            drop_path(self.spark, f"{self.path}/{name}")
+
+    def close(self) -> None:
+        """Forget the session's tables; the runs stay in their folder."""
+        self._forget(list(self.tables))
 
     def drop(self) -> None:
+        self.close()
         drop_path(self.spark, self.path)
 
 
@@ -225,10 +261,9 @@ def _strip(width: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                cut = batch.slice(at, 500)
+            for cut in _cuts(batch, 2 << 20):
                 kept, total, removed = [], [], []
-                for text, starts in zip(cut.column(1), cut.column(2), strict=True):
+                for text, starts in zip(cut.column(2), cut.column(1), strict=True):
                     words = text.as_buffer().to_pybytes().split() if text.is_valid else []
                     gone = np.zeros(len(words) + 1, dtype=np.int64)
                     if starts.is_valid and len(words):
@@ -239,40 +274,41 @@ def _strip(width: int):
                     total.append(len(words))
                     removed.append(int(covered.sum()))
                     kept.append(b" ".join([w for w, c in zip(words, covered.tolist(), strict=True) if not c] if removed[-1] else words))
-                yield pa.RecordBatch.from_arrays([cut.column(0), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], names=["id", "n_words", "n_removed", "kept"])
+                yield pa.RecordBatch.from_arrays([cut.column(0), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).view(pa.string())], names=["id", "n_words", "n_removed", "kept"])
 
     return run
 
 
-def remove_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = WIDTH, gram: int = GRAM, batches: int = BATCHES) -> DataFrame:
+def remove_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = WIDTH, gram: int = GRAM, batches: int = BATCHES, fanout: int = FANOUT) -> DataFrame:
     """One row per row of `docs`: id_col, n_words, n_removed, kept (the words left, joined by one space).
 
     A word goes if a window of `width` words that covers it also starts anywhere else, in this or another row, all rows
     judged as given. A null or empty text has no words. Identical rows (same id and text) repeat one another, rows
     that share an id but not a text are texts of their own, a null id is an id like any other. There are no ties to break:
-    every copy goes. An empty table gives an empty result; other columns are ignored. `batches` documents by
-    a hash of the id enter the index one batch after the other.
+    every copy goes. An empty table gives an empty result; other columns are ignored. `batches` parts of the documents, by
+    a hash of id and text, enter a new index one after the other; each is merge-joined with the runs before it.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text).alias("_text"))
-    index = FingerprintIndex(spark, scratch(spark, "fingerprints"))
-    batch_of = F.pmod(F.xxhash64(F.lit("batch"), "_id"), F.lit(batches))
+    named = rows.withColumn("_key", F.xxhash64("_id", "_text"))
+    index, candidates = FingerprintIndex(spark, scratch(spark, "fingerprints"), fanout), None
     for k in range(batches):
-        part = rows.filter(batch_of == k).select("_text").mapInArrow(_fingerprints(width, gram), "fp long, n long")
-        index.append(part)
-    candidates = keep(index.repeated())
-    total = candidates.agg(F.sum("n")).first()[0] or 0
-    places = rows.select("_id", "_text").mapInArrow(_occurrences(width, gram), "fp long, id long, at int")
-    hits = salted_join(places, candidates.withColumn("hit", F.lit(True)), "fp", "id", "n", total).filter("hit")
-    spots = keep(hits.groupBy("id").agg(F.collect_set("at").alias("spots")))
+        part = named.filter(F.pmod(F.xxhash64(F.lit("batch"), "_key"), F.lit(batches)) == k).select("_text")
+        found = index.append(part.mapInArrow(settled(_fingerprints(width, gram)), "fp long, n long"))
+        candidates = found if candidates is None else candidates.union(found)
+    # A fingerprint is found again with each batch that holds it, at last with all its occurrences.
+    candidates = keep(candidates.groupBy("fp").agg(F.max("n").alias("n")))
     index.drop()
-    named = rows.withColumn("_key", F.xxhash64("_id", "_text"))
-    suspects = named.join(spots, F.col("_id").eqNullSafe(F.col("id"))).select("_key", "_text", "spots")
-    windows = suspects.mapInArrow(_windows(width, gram), "w1 long, w2 long, key long, start int, known boolean")
+    total = candidates.agg(F.sum("n")).first()[0] or 0
+    places = named.select("_key", "_text").mapInArrow(settled(_occurrences(width, gram)), "fp long, key long, at int")
+    hits = salted_join(places, candidates.withColumn("hit", F.lit(True)), "fp", "key", "n", total).filter("hit")
+    spots = keep(hits.groupBy("key").agg(F.collect_set("at").alias("spots")))
+    suspects = named.join(spots, F.col("_key") == F.col("key")).select("_key", "_text", "spots")
+    windows = suspects.mapInArrow(settled(_windows(width, gram)), "w1 long, w2 long, key long, start int, known boolean")
     grouped = windows.repartition("w1", "w2").sortWithinPartitions("w1", "w2")
-    repeated = keep(grouped.mapInArrow(_repeated, "key long, start int").groupBy("key").agg(F.collect_set("start").alias("starts")))
-    out = named.join(repeated, F.col("_key") == F.col("key"), "left").select("_id", "_text", "starts")
-    return out.mapInArrow(_strip(width), "id long, n_words long, n_removed long, kept string").withColumnRenamed("id", id_col)
+    repeated = keep(grouped.mapInArrow(settled(_repeated), "key long, start int").groupBy("key").agg(F.collect_set("start").alias("starts")))
+    out = named.join(repeated, F.col("_key") == F.col("key"), "left").select("_id", "starts", "_text")
+    return out.mapInArrow(settled(_strip(width)), "id long, n_words long, n_removed long, kept string").withColumnRenamed("id", id_col)
 
 
 ORACLE = r"""

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .labelled import fit_in_one_task, remainder, sample
-from .textkernel import PUNCTUATION, Block, blocks, splitmix
+from .textkernel import Block, PUNCTUATION, blocks, settled, splitmix
 
 BITS = 20
 TRAIN = 16000
@@ -74,7 +74,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, allowed, limit: int = TR
                 own = batch.slice(block.first, n)
                 yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), lists], names=["order", "label", "features"])
 
-    rows = sample(docs, labels, label, allowed, limit).mapInArrow(run, "order long, label int, features array<int>")
+    rows = sample(docs, labels, label, allowed, limit).mapInArrow(settled(run), "order long, label int, features array<int>")
     return fit_in_one_task(rows, ftrl)
 
 
@@ -98,7 +98,7 @@ def score(docs: DataFrame, weights: np.ndarray, carry: tuple[str, ...] = ("doc_i
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(p)], names=[*carry, "score"])
 
     schema = "".join(f"`{c}` {fields[c]}, " for c in carry) + "score double"
-    return docs.select(*carry, F.col(text).alias("_text")).mapInArrow(run, schema)
+    return docs.select(*carry, F.col(text).alias("_text")).mapInArrow(settled(run), schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int = 5, held: int = 0, threshold: float = 0.5) -> DataFrame:

@@ -2,6 +2,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from corpusloom.llm import embedding, graph, linededup, queries, simhash, substring
@@ -148,16 +149,40 @@ def test_substrings(spark):
 
 
 def test_index_merges_and_compacts(spark):
-    index = substring.FingerprintIndex(spark, graph.scratch(spark, "test"), fanout=2)
+    path = graph.scratch(spark, "test")
+    index = substring.FingerprintIndex(spark, path, fanout=2)
     frame = lambda *fps: spark.createDataFrame([(f, 1) for f in fps], "fp long, n long")
     assert index.append(frame(1, 2, 2)).collect() == [(2, 2)]
     assert sorted(map(tuple, index.append(frame(1, 3)).collect())) == [(1, 2)]
-    assert sorted(map(tuple, index.append(frame(3, 2)).collect())) == [(2, 3), (3, 2)]
     assert len(index.runs) == 2
-    assert sorted(map(tuple, index.repeated().collect())) == [(1, 2), (2, 3), (3, 2)] and len(index.runs) == 1
+    index.close()
+    index = substring.FingerprintIndex(spark, path, fanout=2)  # goes on with the runs of the folder
+    found = index.append(frame(3, 2, 4))
+    assert sorted(map(tuple, found.collect())) == [(2, 3), (3, 2)]
+    assert len(index.runs) == 2 and sorted(map(tuple, index.run(index.runs[0]).collect())) == [(1, 2), (2, 2), (3, 1)]
+    joined = index.run(index.runs[1]).join(index.run(index.runs[0]).hint("merge"), "fp")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in joined and "Exchange" not in joined
     index.drop()
 
 
+@pytest.mark.parametrize("fanout", [1, 2, 5])
+def test_batches_in_turn_equal_brute_force(spark, fanout):
+    rows = corpus(11, 40)
+    got = substring.remove_repeated_passages(docs(spark, rows), batches=4, fanout=fanout)
+    assert Counter(map(tuple, got.collect())) == brute_passages(rows, 35)
+
+
+def test_passages_need_the_merge_join(spark, monkeypatch):
+    """Copies that lie in unlike batches are found by the join alone."""
+    monkeypatch.setattr(substring.FingerprintIndex, "run", lambda self, name: spark.table(self.tables[name]).filter("n < 0") if name in self.runs else spark.table(self.tables[name]))
+    passages = [" ".join(f"p{j}x{k}" for k in range(40)) for j in range(12)]
+    rows = [(2 * j + k, f"{p} own{j}x{k}") for j, p in enumerate(passages) for k in range(2)]
+    got = [r.n_removed for r in substring.remove_repeated_passages(docs(spark, rows), batches=2).collect()]
+    monkeypatch.undo()
+    whole = [r.n_removed for r in substring.remove_repeated_passages(docs(spark, rows), batches=2).collect()]
+    assert whole == [40] * 24 and sum(got) < sum(whole)
+
+
 def test_edit_distance():
     rng = random.Random(6)
     for _ in range(3000):
@@ -181,7 +206,8 @@ def stripped(text, least=20):
 
 
 def different(spark, lines):
-    return spark.createDataFrame([(k, x, len(x)) for k, x in enumerate(lines)], "line long, words string, size int")
+    counts = linededup._counts(*linededup._codes(pa.array(lines))) if lines else []
+    return spark.createDataFrame([(k, x, len(x), bytearray(c.tobytes())) for k, (x, c) in enumerate(zip(lines, counts, strict=True))], "line long, words string, size int, counts binary")
 
 
 def test_lines(spark, monkeypatch):

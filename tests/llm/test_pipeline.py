@@ -3,7 +3,7 @@ import random
 import duckdb
 
 import corpus_pipeline
-from corpusloom.llm import bpe, jaccard, mixing, queries
+from corpusloom.llm import bpe, mixing, queries, simhash
 
 
 def test_mix_matches_sql(spark, sf_dir):
@@ -38,25 +38,35 @@ def test_stages(spark, tmp_path):
         assert stage(spark, empty, "").count() == 0
 
 
-def test_near_copies_by_similarity(spark):
+def shingles(text, width=5):
+    words = text.lower().split()
+    return {tuple(words[i : i + width]) for i in range(max(1, len(words) - width + 1))}
+
+
+def test_near_copies_by_similarity(spark, monkeypatch):
     rng = random.Random(3)
-    base = [f"w{rng.randrange(10**6)}" for _ in range(120)]
-    texts = [" ".join(base)]
-    for n in (1, 2, 3, 4, 8):
-        words = list(base)
-        for k in range(n):
-            words[10 + 12 * k] = f"x{n}y{k}"
-        texts.append(" ".join(words))
-    texts += ["a b", "A  B", "c d e f g h", " ".join(rng.sample(base, 120))]
+    texts = []
+    for _ in range(4):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(120)]
+        texts.append(" ".join(base))
+        for n in (1, 2, 3, 4, 8):
+            words = list(base)
+            for k in range(n):
+                words[10 + 12 * k] = f"x{n}y{k}"
+            texts.append(" ".join(words))
+        texts.append(" ".join(rng.sample(base, 120)))
+    texts += ["a b", "A  B", "c d e f g h"]
     docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
-    sets = [set(jaccard.shingles(t.encode()).tolist()) for t in texts]
+    sets, prints = [shingles(t) for t in texts], [simhash.fingerprint(t.encode(), 5) for t in texts]
     label = list(range(len(texts)))
     for _ in texts:
         for a in range(len(texts)):
             for b in range(len(texts)):
-                if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                if (prints[a] ^ prints[b]).bit_count() <= 12 and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
                     label[a] = label[b] = min(label[a], label[b])
-    assert len(set(label)) < len(texts) - 1
+    assert len(set(label)) < len(texts) - 6
+    assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()} == set(label)
+    monkeypatch.setattr(simhash, "LARGE", 3)
     assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()} == set(label)
 
 
