@@ -7,6 +7,7 @@ import re
 from xml.parsers import expat
 
 import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, LongType, StringType, StructField, StructType
 
@@ -63,6 +64,20 @@ def sitemap_urls(content_type: str | None, body: bytes | None, limit: int = 200,
     return {"urls": [e["loc"] for e in found["entries"]][:limit], "children": found["children"], "error": found["error"]}
 
 
+def harvested_sitemaps(maps: DataFrame, bodies: DataFrame, max_children: int = 8, per_map: int = 200) -> DataFrame:
+    """(url, link, place): page links of fetched sitemaps. `maps` has url, content_type and body; `bodies` the same for child maps that were fetched.
+
+    An index gives the links of its first `max_children` children, one level deep: a child that is itself an index, was not
+    fetched or does not parse gives nothing. Each map gives `per_map` links at most.
+    """
+    top = maps.select("url", _harvest_col("content_type", "body").alias("m"))
+    own = top.select("url", F.lit(0).alias("child"), F.posexplode(F.slice("m.urls", 1, per_map)).alias("at", "link"))
+    children = top.select("url", F.posexplode(F.slice("m.children", 1, max_children)).alias("child", "loc"))
+    found = bodies.select(F.col("url").alias("loc"), _harvest_col("content_type", "body").alias("c")).filter(F.size("c.children") == 0)
+    below = children.join(found, "loc").select("url", (F.col("child") + 1).alias("child"), F.posexplode(F.slice("c.urls", 1, per_map)).alias("at", "link"))
+    return own.unionByName(below).select("url", "link", (F.col("child").cast("long") * per_map + F.col("at")).alias("place"))
+
+
 def _audio(url: str, mime: str | None) -> bool:
     mime = (mime or "").lower()
     path = re.split(r"[?#]", url, maxsplit=1)[0]
@@ -259,6 +274,14 @@ def sitemap_col(body: pd.Series) -> pd.DataFrame:
     return _frame([parse_sitemap(_raw(b)) or {} for b in body], SITEMAP.names)
 
 
+HARVEST = StructType([StructField("urls", ArrayType(StringType())), StructField("children", ArrayType(StringType())), StructField("error", StringType())])
+
+
+@F.pandas_udf(HARVEST)
+def _harvest_col(content_type: pd.Series, body: pd.Series) -> pd.DataFrame:
+    return _frame([sitemap_urls(c, _raw(b), limit=2**31) for c, b in zip(content_type, body, strict=True)], HARVEST.names)
+
+
 @F.pandas_udf(FEED)
 def feed_col(content_type: pd.Series, body: pd.Series, base: pd.Series) -> pd.DataFrame:
     return _frame([harvest_feed(c, _raw(b), u) for c, b, u in zip(content_type, body, base, strict=True)], FEED.names)

@@ -1,6 +1,7 @@
 """Registrable domains by the public suffix list.
 
-The list is the copy inside one of Spark's own jars; it is read once on the driver and evaluated by longest rule.
+The list is the copy inside one of Spark's own jars; each Python worker reads it once, and it is evaluated by longest rule. Without it
+there is no right answer, so its absence is an error.
 """
 
 from __future__ import annotations
@@ -38,7 +39,7 @@ def rules() -> frozenset[str]:
                         except UnicodeError:
                             pass
             return frozenset(found)
-    return frozenset()
+    raise FileNotFoundError("no public suffix list: Spark's httpclient jar was not found under " + jar_folder())
 
 
 def registrable(host: str, known: frozenset[str] | None = None) -> str | None:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.urls import stable_id, task_kind, url_parts
 from ..plans.options import Admission
+from .dedup import ordered_distinct
 from .policy import external_allowed, running, url_allowed, with_seed_roots
 
 REASONS = ["invalid_or_unsafe", "dup_in_batch", "job_not_running", "job_policy", "external_link", "seen", "already_crawled", "no_license", "domain_cap", "job_domain_cap", "job_cap"]
@@ -33,10 +34,12 @@ def first_in_batch(edges: DataFrame, key: list[str], order: str = "seq") -> Colu
     return F.row_number().over(Window.partitionBy(*key).orderBy(order)) == 1
 
 
-def screened(edges: DataFrame, jobs: DataFrame, pages: DataFrame | None = None, seen: DataFrame | None = None, options: Admission = Admission()) -> DataFrame:
+def screened(edges: DataFrame, jobs: DataFrame, pages: DataFrame | None = None, seen: DataFrame | None = None, options: Admission = Admission(), kept: list | None = None) -> DataFrame:
     """Edges (url, source_url, job_id, depth, seq) with url_norm, root, kind and `reason` of the gates before the budgets (null: passed)."""
     named = edges.withColumn("_u", url_parts("url")).select("*", F.col("_u.norm").alias("url_norm"), F.coalesce("_u.root", F.lit("unknown")).alias("root")).drop("_u")
     named = named.persist(StorageLevel.MEMORY_AND_DISK)  # parsed once; several branches read it
+    if kept is not None:
+        kept.append(named)
     key = ["url_norm"] if options.url_across_jobs else ["job_id", "url_norm"]
     valid = named.filter("url_norm is not null").withColumn("_first", first_in_batch(named, key))
     policy = with_seed_roots(jobs).select(F.col("id").alias("_job"), *_JOB)
@@ -64,23 +67,53 @@ def screened(edges: DataFrame, jobs: DataFrame, pages: DataFrame | None = None,
     return rows.unionByName(bad, allowMissingColumns=True)
 
 
-def one_job_budget(passed: DataFrame, options: Admission = Admission()) -> DataFrame:
+def _with_used(passed: DataFrame, used: DataFrame | None) -> DataFrame:
+    """Adds _root_used and _job_used: what earlier batches have accepted, from rows (root, job_id, n)."""
+    if used is None:
+        return passed.withColumn("_root_used", F.lit(0).cast("long")).withColumn("_job_used", F.lit(0).cast("long"))
+    roots = used.groupBy(F.col("root").alias("_r")).agg(F.sum("n").alias("_root_used"))
+    jobs = used.groupBy(F.col("job_id").alias("_j")).agg(F.sum("n").alias("_job_used"))
+    rows = passed.join(roots, passed["root"] == F.col("_r"), "left").join(jobs, passed["job_id"] == F.col("_j"), "left").drop("_r", "_j")
+    return rows.fillna(0, ["_root_used", "_job_used"])
+
+
+def accepted_counts(admitted: DataFrame) -> DataFrame:
+    """(root, job_id, n) of the admitted rows: what later batches start from."""
+    return admitted.filter("reason is null").groupBy("root", "job_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+def running_count(rows: DataFrame, by: str, order: str, flag: str, out: str, ranges: int = 64) -> DataFrame:
+    """Adds `out`: how many rows of `by` up to this one in `order` have the flag.
+
+    A single value of `by` may hold most rows, so the order is cut into ranges at estimated quantiles: counts of (by, range) are
+    added up, and a window runs within each range alone. Any cuts give the same counts.
+    """
+    cuts = sorted(set(rows.approxQuantile(order, [k / ranges for k in range(1, ranges)], 0.01)))
+    place = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < F.col(order))) if cuts else F.lit(0)
+    dealt = rows.withColumn("_range", place)
+    sums = dealt.groupBy(F.col(by).alias("_by"), F.col("_range").alias("_at")).agg(F.sum(F.col(flag).cast("long")).alias("_n"))
+    before = sums.select("_by", "_at", (F.sum("_n").over(Window.partitionBy("_by").orderBy("_at")) - F.col("_n")).alias("_before"))
+    joined = dealt.join(before, F.col(by).eqNullSafe(F.col("_by")) & (F.col("_range") == F.col("_at")))
+    inner = F.sum(F.col(flag).cast("long")).over(Window.partitionBy(by, "_range").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return joined.withColumn(out, inner + F.col("_before")).drop("_range", "_by", "_at", "_before")
+
+
+def one_job_budget(passed: DataFrame, options: Admission = Admission(), used: DataFrame | None = None) -> DataFrame:
     """Budgets when no domain is shared by several jobs: rank within the domain, then rank of the survivors within the job.
 
     Equal to the greedy order: once a job is full nothing later of it is accepted, so its refusals cannot use up a domain.
-    The reason follows from how many of the domain were accepted before.
+    The reason follows from how many of the domain were accepted before. `used` holds what earlier batches accepted.
     """
     cap = F.least(F.lit(options.global_domain_cap), F.coalesce("max_pages_per_domain", F.lit(2**62)))
-    rows = passed.withColumn("_fits", F.row_number().over(Window.partitionBy("root").orderBy("seq")) <= cap)
-    before = Window.partitionBy("job_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    within = F.sum(F.col("_fits").cast("long")).over(before) <= F.coalesce("max_pages", F.lit(2**62))
-    rows = rows.withColumn("_ok", F.col("_fits") & within)
-    taken = F.coalesce(F.sum(F.col("_ok").cast("long")).over(Window.partitionBy("root").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = _with_used(passed, used).withColumn("_fits", F.row_number().over(Window.partitionBy("root").orderBy("seq")) + F.col("_root_used") <= cap)
+    rows = running_count(rows, "job_id", "seq", "_fits", "_rank")
+    rows = rows.withColumn("_ok", F.col("_fits") & (F.col("_rank") + F.col("_job_used") <= F.coalesce("max_pages", F.lit(2**62))))
+    taken = F.col("_root_used") + F.coalesce(F.sum(F.col("_ok").cast("long")).over(Window.partitionBy("root").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     reason = F.when(taken >= options.global_domain_cap, "domain_cap").when(taken >= F.col("max_pages_per_domain"), "job_domain_cap").otherwise("job_cap")
-    return rows.withColumn("reason", F.when(~F.col("_ok"), reason)).drop("_fits", "_ok")
+    return rows.withColumn("reason", F.when(~F.col("_ok"), reason)).drop("_fits", "_ok", "_rank", "_root_used", "_job_used")
 
 
-def greedy_budget(passed: DataFrame, options: Admission = Admission()) -> DataFrame:
+def greedy_budget(passed: DataFrame, options: Admission = Admission(), used: DataFrame | None = None) -> DataFrame:
     """Budgets in arrival order when jobs share domains: counters rise on acceptance alone.
 
     The order is total over a group of jobs connected by shared domains, so such a group is folded by one task in sorted
@@ -94,10 +127,10 @@ def greedy_budget(passed: DataFrame, options: Admission = Admission()) -> DataFr
         group = None
         for rows in batches:
             reasons = []
-            for g, root, job, own, most in zip(rows["_group"], rows["root"], rows["job_id"], rows["max_pages_per_domain"], rows["max_pages"], strict=True):
+            for g, root, job, own, most, spent, sent in zip(rows["_group"], rows["root"], rows["job_id"], rows["max_pages_per_domain"], rows["max_pages"], rows["_root_used"], rows["_job_used"], strict=True):
                 if g != group:
                     group, domains, jobs = g, {}, {}
-                d, j = domains.get(root, 0), jobs.get(job, 0)
+                d, j = domains.get(root, spent), jobs.get(job, sent)
                 if d >= options.global_domain_cap:
                     reasons.append("domain_cap")
                 elif not pd.isna(own) and d >= own:
@@ -107,10 +140,10 @@ def greedy_budget(passed: DataFrame, options: Admission = Admission()) -> DataFr
                 else:
                     reasons.append(None)
                     domains[root], jobs[job] = d + 1, j + 1
-            yield rows.drop(columns="_group").assign(reason=pd.Series(reasons, index=rows.index, dtype=object))
+            yield rows.drop(columns=["_group", "_root_used", "_job_used"]).assign(reason=pd.Series(reasons, index=rows.index, dtype=object))
 
     groups = job_groups(passed)
-    joined = passed.join(F.broadcast(groups), passed["job_id"].eqNullSafe(groups["_j"]), "left").drop("_j")
+    joined = _with_used(passed.join(F.broadcast(groups), passed["job_id"].eqNullSafe(groups["_j"]), "left").drop("_j"), used)
     ordered = joined.select("*").repartition("_group").sortWithinPartitions("_group", "seq")
     return ordered.mapInPandas(fold, kept)
 
@@ -135,13 +168,19 @@ def job_groups(passed: DataFrame) -> DataFrame:
     return passed.sparkSession.createDataFrame(rows, "_j string, _group string")
 
 
-def admit(edges: DataFrame, jobs: DataFrame, pages: DataFrame | None = None, seen: DataFrame | None = None, options: Admission = Admission(), shared_domains: bool | None = None) -> DataFrame:
-    """Every edge with url_norm, root, kind and reason; null reason: admitted. `shared_domains` chooses the budget fold (None: looked up)."""
-    rows = screened(edges, jobs, pages, seen, options)
+def admit(edges: DataFrame, jobs: DataFrame, pages: DataFrame | None = None, seen: DataFrame | None = None, options: Admission = Admission(), shared_domains: bool | None = None, used: DataFrame | None = None, kept: list | None = None) -> DataFrame:
+    """Every edge with url_norm, root, kind and reason; null reason: admitted. `shared_domains` chooses the budget fold (None: looked up).
+
+    `used` (root, job_id, n) is what earlier batches accepted. The screened rows are persisted, as three branches read them; `kept` gets
+    them, so that the caller can unpersist them.
+    """
+    rows = screened(edges, jobs, pages, seen, options, kept).persist(StorageLevel.MEMORY_AND_DISK)
+    if kept is not None:
+        kept.append(rows)
     passed = rows.filter("reason is null")
     if shared_domains is None:
         shared_domains = bool(passed.select("root", "job_id").distinct().groupBy("root").count().filter("count > 1").limit(1).count())
-    done = greedy_budget(passed, options) if shared_domains else one_job_budget(passed, options)
+    done = greedy_budget(passed, options, used) if shared_domains else one_job_budget(passed, options, used)
     return rows.filter("reason is not null").unionByName(done)
 
 
@@ -165,6 +204,8 @@ def seed_tasks(seeds: DataFrame, job_id: str) -> DataFrame:
 
 
 def page_edges(pages: DataFrame) -> DataFrame:
-    """One edge per link of a page: (url, source_url, job_id, depth + 1), in link order."""
-    out = pages.select(F.col("url").alias("source_url"), "job_id", (F.col("depth") + 1).alias("depth"), F.posexplode("links").alias("position", "link"))
+    """One edge per different link of a page: (url, source_url, job_id, depth + 1). Page links come first, then those of harvested sitemaps
+    and feeds, then audio, video, documents and feed enclosures, each in order; list columns that `pages` lacks give none."""
+    lists = [F.col(c) for c in ("links", "discovered", "audio", "video", "docs", "enclosures") if c in pages.columns]
+    out = pages.select(F.col("url").alias("source_url"), "job_id", (F.col("depth") + 1).alias("depth"), F.posexplode(ordered_distinct(*lists)).alias("position", "link"))
     return out.withColumnRenamed("link", "url")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .manifest import latest
@@ -37,23 +39,55 @@ def best_files(files: DataFrame, preference: Column) -> DataFrame:
 
 
 class Bloom:
-    """A bloom filter of URLs built by Spark: no false negatives, about `fpp` false positives; for a prefilter before an exact check.
+    """A bloom filter of URLs made by DataFrame aggregation: no false negatives, about `fpp` false positives; for a prefilter before an exact check.
 
-    Its size is fixed by `capacity` and `fpp` whatever it is given, so it may be broadcast.
+    Its words (64 bits each) are fixed in number by `capacity` and `fpp` whatever it is given, so a filter whose `capacity` fits may be
+    broadcast; a larger one is joined by word, like any table.
     """
 
-    def __init__(self, capacity: int, fpp: float = 0.001):
-        self.capacity, self.fpp, self.count, self.filter = capacity, fpp, 0, None
+    def __init__(self, capacity: int, fpp: float = 0.001, broadcast_words: int = 1 << 20):
+        bits = max(64, math.ceil(-capacity * math.log(fpp) / math.log(2) ** 2))
+        self.words, self.hashes = -(-bits // 64), max(1, round(bits / capacity * math.log(2)))
+        self.small, self.count, self.table = self.words <= broadcast_words, 0, None
+
+    def _bits(self, column: str) -> Column:
+        """The places (word, mask) of a value: double hashing of two 64-bit hashes."""
+        size = F.lit(self.words * 64).cast("long")
+        first, second = F.pmod(F.xxhash64(column), size), F.pmod(F.xxhash64(F.lit("bloom"), column), size)
+        at = lambda k: F.pmod(first + k * second, size)
+        return F.transform(F.sequence(F.lit(0).cast("long"), F.lit(self.hashes - 1).cast("long")), lambda k: F.struct((at(k) / 64).cast("long").alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(at(k), F.lit(64)).cast("int")).alias("mask")))
 
     def mark(self, rows: DataFrame, column: str) -> Bloom:
-        """Add all values of a column. `count` is the number of values added, repeats included."""
-        made = rows.select(column)._jdf.stat().bloomFilter(column, self.capacity, self.fpp)
-        self.filter = made if self.filter is None else self.filter.mergeInPlace(made)
-        self.count += rows.count()
+        """Add all values of a column; nulls are left out. `count` grows by the number of rows, repeats included, as counted in the same pass."""
+        seen = Observation()
+        bits = rows.observe(seen, F.count(column).alias("n")).filter(F.col(column).isNotNull()).select(F.explode(self._bits(column)).alias("b")).select("b.*")
+        table = bits if self.table is None else bits.union(self.table)
+        self.table = table.groupBy("word").agg(F.bit_or("mask").alias("mask")).persist()
+        self.table.count()
+        self.count += seen.get["n"]
         return self
 
+    def split(self, rows: DataFrame, column: str) -> DataFrame:
+        """`rows` with `maybe_seen`: false only for values that were never added. Null values were not."""
+        if self.table is None:
+            return rows.withColumn("maybe_seen", F.lit(False))
+        own = rows.select(column).filter(F.col(column).isNotNull()).distinct().withColumn("b", F.explode(self._bits(column)))
+        known = F.broadcast(self.table) if self.small else self.table
+        hit = own.join(known.withColumnRenamed("mask", "_m"), F.col("b.word") == F.col("word")).filter(F.col("b.mask").bitwiseAND(F.col("_m")) != 0)
+        seen = hit.groupBy(F.col(column).alias("_v")).agg(F.count_distinct("b").alias("_n")).join(own.groupBy(F.col(column).alias("_w")).agg(F.count_distinct("b").alias("_all")), F.col("_v") == F.col("_w")).filter("_n = _all").select("_v")
+        return rows.join(seen, F.col(column) == F.col("_v"), "left").withColumn("maybe_seen", F.col("_v").isNotNull()).drop("_v")
+
+    def unseen(self, rows: DataFrame, column: str, exact: DataFrame) -> DataFrame:
+        """Rows whose value is not in `exact` (which has the column): only those that may have been seen meet the exact table."""
+        parted = self.split(rows, column)
+        checked = parted.filter("maybe_seen").join(exact.select(column), column, "left_anti").select(*parted.columns)
+        return parted.filter("not maybe_seen").union(checked).drop("maybe_seen")
+
     def probably_seen(self, value: str) -> bool:
-        return self.filter is not None and self.filter.mightContainString(value)
+        if self.table is None:
+            return False
+        one = self.table.sparkSession.createDataFrame([(value,)], "v string")
+        return bool(self.split(one, "v").first()["maybe_seen"])
 
 
 def approx_seen(rows: DataFrame, column: str) -> DataFrame:

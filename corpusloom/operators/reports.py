@@ -57,8 +57,8 @@ def attribution_lines(tracks: DataFrame, engine: str = "corpusloom") -> DataFram
     gaps = groups.select(F.lit(1).alias("section"), "license", F.lit(2**31 - 1).alias("rank"), F.lit("").alias("line"))
     terms = groups.select(F.lit(3).alias("section"), "license", F.lit(0).alias("rank"), F.concat("license", F.lit(": "), "deed").alias("line"))
     first = tracks.agg(F.coalesce(F.min_by("source", F.struct("license", "source", "source_id")), F.lit("unknown")).alias("source"))
-    top = first.select(F.lit(0).alias("section"), F.lit(None).cast("string").alias("license"), F.lit(0).alias("rank"), F.concat(F.lit(f"ATTRIBUTION\n===========\nGenerated by {engine} from source '"), "source", F.lit("'.\n\nEach track below is credited with its title, artist, source identifier,\nand origin URL. License terms are grouped at the end of this file.\n")).alias("line"))
-    middle = tracks.sparkSession.createDataFrame([(2, None, 0, "LICENSE TERMS\n=============")], "section int, license string, rank int, line string")
+    top = first.select(F.lit(0).alias("section"), F.lit(None).cast("string").alias("license"), F.lit(0).alias("rank"), F.concat(F.lit(f"CREDITS\n=======\nWritten by {engine} for the catalog '"), "source", F.lit("'.\n\nTracks are listed by license: title and artist first, then where the track comes from.\nThe last section says where each license can be read.\n")).alias("line"))
+    middle = tracks.sparkSession.createDataFrame([(2, None, 0, "LICENSES\n========")], "section int, license string, rank int, line string")
     return top.unionByName(heads).unionByName(tracks_).unionByName(gaps).unionByName(middle).unionByName(terms)
 
 

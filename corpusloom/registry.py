@@ -27,10 +27,14 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
+    from . import coverage  # noqa: F401  registers its queries
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from . import coverage  # noqa: F401
+
     return dict(_ORACLES)
 
 
@@ -173,14 +177,13 @@ def exact_dup_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.content_groups(_t(spark, sf_dir, "documents"), "text", "doc_id").filter("copies > 1")
 
 
-@query(r"WITH d AS (SELECT doc_id, left(text, 1000) AS t FROM documents) SELECT doc_id, (strlen(regexp_replace(t, '[^\x21-\x7e \t\n\r\x0c]', '', 'g')) * 100 >= strlen(t) * 90) AS is_text FROM d")
+@query(
+    r"""WITH d AS (SELECT doc_id, text, CASE WHEN strlen(text) > 4096 THEN substr(hex(encode(text)), 8193, 2) BETWEEN '80' AND 'BF' ELSE FALSE END AS cut FROM documents),
+    p AS (SELECT doc_id, cut, CASE WHEN cut THEN '' WHEN strlen(text) > 4096 THEN decode(unhex(substr(hex(encode(text)), 1, 8192))) ELSE text END AS t FROM d)
+    SELECT doc_id, NOT cut AND NOT contains(t, chr(0)) AND strlen(regexp_replace(t, '[^\x21-\x7e \t\n\r\x0c]', '', 'g')) * 100 >= strlen(t) * 90 AS is_text FROM p"""
+)
 def text_sniff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _t(spark, sf_dir, "documents").select("doc_id", media.text_sniff(F.substring("text", 1, 1000).cast("binary")).alias("is_text"))
-
-
-@query()
-def text_sniff_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Verdicts on the operator's own window; SQL has no test for a code point cut at its end."""
+    """Verdicts on the operator's own window of 4096 bytes; a code point cut at its end is no text."""
     return _t(spark, sf_dir, "documents").select("doc_id", media.text_sniff(F.col("text").cast("binary")).alias("is_text"))
 
 

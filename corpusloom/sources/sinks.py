@@ -61,6 +61,59 @@ def page_artifacts(pages: DataFrame, folder: str) -> DataFrame:
     return named.dropDuplicates(["path"]).select("path", "sha256", F.col("body").alias("content"))
 
 
+def published(rows: DataFrame, path: str, mode: str = "append") -> None:
+    """Messages as files of JSON lines, nulls included: tasks, results and edges in the form that `tables.messages` and `crawl.edges` read."""
+    rows.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value")).write.mode(mode).text(path)
+
+
+def store_objects(objects: DataFrame, root: str) -> DataFrame:
+    """Write (path, content) below `root`, one file for each path that is not there yet; return (path, object_path, bytes, written).
+
+    Tasks write through Hadoop's file system, each file under a name of its own first and then renamed, so that readers see whole files and
+    a repeated task changes nothing.
+    """
+    lookup = stored_objects(objects.select("path").distinct(), root)
+    wanted = objects.dropDuplicates(["path"]).join(lookup, "path")
+    kind = "path string, object_path string, bytes long, written boolean"
+    return wanted.select("path", "object_path", "stored", "content").mapInPandas(_writer(root), kind)
+
+
+def stored_objects(paths: DataFrame, root: str) -> DataFrame:
+    """(path, object_path, stored): whether each path below `root` holds a file, from one listing of the store."""
+    spark, base = paths.sparkSession, root.rstrip("/")
+    p, fs, _ = _fs(spark, base)
+    if not fs.exists(p):
+        return paths.select("path", F.concat(F.lit(base + "/"), "path").alias("object_path"), F.lit(False).alias("stored"))
+    prefix = fs.makeQualified(p).toString() + "/"
+    there = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*").load(base).select(F.replace("path", F.lit(prefix), F.lit("")).alias("path"), F.lit(True).alias("_there"))
+    return paths.join(there, "path", "left").select("path", F.concat(F.lit(base + "/"), "path").alias("object_path"), F.coalesce("_there", F.lit(False)).alias("stored"))
+
+
+def _writer(root: str):
+    base = root.rstrip("/")
+
+    def run(batches):
+        import os
+
+        import pandas as pd
+        from pyarrow import fs as pafs
+
+        system, top = pafs.FileSystem.from_uri(base) if "://" in base else (pafs.LocalFileSystem(), base)
+        for rows in batches:
+            done = []
+            for path, target, stored, content in rows.itertuples(index=False):
+                if not stored:
+                    name, part = f"{top}/{path}", f"{top}/{path}.{uuid.uuid4().hex}.part"
+                    system.create_dir(os.path.dirname(name), recursive=True)
+                    with system.open_output_stream(part) as out:
+                        out.write(bytes(content))
+                    system.move(part, name)
+                done.append((path, target, len(content), not stored))
+            yield pd.DataFrame(done, columns=["path", "object_path", "bytes", "written"])
+
+    return run
+
+
 def new_objects(objects: DataFrame, stored: DataFrame) -> DataFrame:
     """Objects whose path is not stored yet, one per path."""
     return objects.dropDuplicates(["path"]).join(stored.select("path"), "path", "left_anti")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from ..operators.admission import admit, decode_edges, tasks
+from ..operators.admission import accepted_counts, admit, decode_edges, tasks
 from ..operators.manifest import PAGE_KEY, insert_if_absent, merge_tracks, page_rows, result_tracks
 from ..plans.options import Admission
 from ..sources import sinks
@@ -29,7 +29,8 @@ def edges(raw: DataFrame, payload: str = "value") -> tuple[DataFrame, DataFrame]
 def admission_stream(raw: DataFrame, jobs: Callable[[], DataFrame], pages: Callable[[], DataFrame | None], out: str, checkpoint: str, options: Admission = Admission()) -> StreamingQuery:
     """Admit each micro-batch against the jobs and pages as they are then, and the tasks written so far; refused rows go beside the tasks.
 
-    A batch's tasks are written under its number, and a replay overwrites them, so a crash between write and commit
+    Budgets hold over the life of the stream: each batch starts from what the earlier ones accepted, which is kept as counts by
+    domain and job, added up every `TOTALS` batches. A batch's tasks and counts are written under its number, and a replay overwrites them, so a crash between write and commit
     leaves no repeats. Any failure in the existence check fails the batch, which is then replayed.
     """
 
@@ -38,18 +39,47 @@ def admission_stream(raw: DataFrame, jobs: Callable[[], DataFrame], pages: Calla
         good, bad = edges(batch)
         good = good.withColumn("seq", F.monotonically_increasing_id())
         seen = _earlier(spark, f"{out}/tasks", number)
-        rows = admit(good, jobs(), pages(), seen, options).persist()
+        kept: list[DataFrame] = []
+        rows = admit(good, jobs(), pages(), seen, options, used=_used(spark, out, number), kept=kept).persist()
+        kept.append(rows)
         try:
             done = tasks(rows, options)
+            accepted_counts(rows).write.mode("overwrite").parquet(f"{out}/counts/batch={number}")
             done.select("*", F.col("url").alias("url_norm")).write.mode("overwrite").parquet(f"{out}/tasks/batch={number}")
             rows.filter("reason is not null").select("url", "job_id", "reason").write.mode("overwrite").parquet(f"{out}/rejected/batch={number}")
             bad.write.mode("overwrite").parquet(f"{out}/malformed/batch={number}")
         finally:
-            rows.unpersist()
+            for frame in kept:
+                frame.unpersist()
 
     return raw.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+#: Batches after which the counts by domain and job are added up.
+TOTALS = 32
+
+
+def _used(spark: SparkSession, out: str, number: int) -> DataFrame | None:
+    """(root, job_id, n) of all batches before this one: the last totals and the counts since."""
+    def read(kind: str, least: int) -> DataFrame | None:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{out}/{kind}")
+        if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
+            return None
+        return spark.read.option("basePath", f"{out}/{kind}").parquet(f"{out}/{kind}").filter((F.col("batch") >= least) & (F.col("batch") < number if kind == "counts" else F.col("batch") <= least)).select("root", "job_id", "n")
+
+    since = number // TOTALS * TOTALS
+    counts = read("counts", since)
+    if since == 0:
+        return counts
+    before = read("totals", since)
+    if before is None or not before.limit(1).count():  # the first batch after a full round adds it up
+        older, last = read("counts", since - TOTALS), read("totals", since - TOTALS) if since > TOTALS else None
+        whole = older.filter("n > 0") if last is None else older.union(last)
+        whole.groupBy("root", "job_id").agg(F.sum("n").alias("n")).write.mode("overwrite").parquet(f"{out}/totals/batch={since}")
+        before = read("totals", since)
+    return before if counts is None else before.union(counts)
+
+
 def _earlier(spark: SparkSession, path: str, number: int) -> DataFrame | None:
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
