@@ -18,7 +18,7 @@ def remainder(id_col: str, modulus: int) -> Column:
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, allowed: Column, limit: int, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(order, label, text) of at most `limit` labelled documents, those with the smallest hash of the id.
+    """(order, label, text) of at most `limit` labelled documents, those with the smallest hash of the id; of rows that share an id one, the text of least hash.
 
     Rows with a null id or label do not count; of several labels of an id the smallest counts. The list of ids is bounded by
     `limit`, so it is broadcast.
@@ -27,7 +27,8 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, allowed: Column, limi
     chosen = chosen.withColumn("order", F.xxhash64(F.lit(label), id_col)).orderBy("order", id_col).limit(limit)
     chosen = chosen.select(F.col(id_col).alias("_id"), "label", "order")
     rows = docs.select(F.col(id_col).alias("_doc"), F.col(text).alias("text"))
-    return rows.join(F.broadcast(chosen), F.col("_doc") == F.col("_id")).select("order", "label", "text")
+    found = rows.join(F.broadcast(chosen), F.col("_doc") == F.col("_id"))
+    return found.groupBy("order", "label", "_id").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("order", "label", "text")
 
 
 def fit_in_one_task(rows: DataFrame, train: Callable[[np.ndarray, list[np.ndarray]], np.ndarray]) -> np.ndarray:
