@@ -1,6 +1,6 @@
 """Mixing sources to target weights.
 
-Each document gets a hash-random key. Documents are ordered by key within their source: the key space
+Each document gets a hash-random key, made of its id and text. Documents are ordered by key within their source: the key space
 is cut into ranges, token counts are summed per (source, range), a running sum over the ranges gives each
 range its start, and a running sum within a range gives each document its start. A source whose target is beyond its
 size is taken in whole epochs first; the rest is cut at the document boundary nearest to the budget.
@@ -53,7 +53,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str
     collected, one number for each source.
     """
     docs = docs.drop(*[c for c in docs.columns if c.startswith("_mix_") or c in ("_size", "_source_size", "_target", "_copies")])
-    key = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
+    # The text is in the key, so that rows without an id are spread like any others.
+    key = F.md5(F.concat_ws("/", F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.md5(F.coalesce(F.col(text), F.lit("")))))
     rows = docs.withColumn("_size", n_words(F.col(text))).withColumn("_mix_key", key).withColumn("_mix_range", F.substring(key, 1, RANGE_DIGITS)).withColumn("_mix_hash", F.xxhash64(text))
     ranges = keep(rows.groupBy(F.col(source).alias("_mix_s"), F.col("_mix_range").alias("_mix_r")).agg(F.sum("_size").alias("_mix_n")))
     sums = [(r[0], r[1]) for r in ranges.groupBy("_mix_s").agg(F.sum("_mix_n")).collect()]
@@ -79,7 +80,7 @@ def repeated(mixed: DataFrame, columns: list[str]) -> DataFrame:
 
 
 ORACLE = r"""
-WITH d AS (SELECT doc_id, source, text, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS k,
+WITH d AS (SELECT doc_id, source, text, md5(coalesce(CAST(doc_id AS VARCHAR), '') || '/' || md5(coalesce(text, ''))) AS k,
              CAST(len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS BIGINT) AS size FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, CAST(2 * sum(size) AS BIGINT) AS cap,
         CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END AS w FROM d GROUP BY source),
