@@ -9,8 +9,10 @@ substrings that can match a segment of a line of that length (multi-match-aware
 
 Longer lines are cut into t + 1 disjoint windows of one width for each band of lengths, of which t edits leave one whole.
 A window is known by the gram in it whose first four characters have the least hash, so every line that holds the
-window at any place holds the gram: the grams of the t + 1 windows are indexed and those of all windows probe. A key meets
-only lines whose length and place fit the limit. Keys travel as packed 64-bit words, many to a row, and in PASSES parts.
+window at any place holds the gram: the grams of the t + 1 windows are indexed and those of all windows probe. Of two linked lines some
+window i of the shorter one is whole, with at most i edits before it and t - i after it (let E(i) be the edits before window i: E(i) - i
+starts at 0, ends below -(t - edits) and falls by one at whole windows alone), so a key meets only lines whose
+length and place fit that. Keys travel as packed 64-bit words, many to a row, and in PASSES parts.
 
 Candidate pairs, each once, are told apart by counts of characters and then verified by banded bit-parallel edit distance, many
 pairs at a time. A line that meets more than FIRST lines by one key takes FIRST of them; the others wait until these links have been
@@ -36,6 +38,8 @@ from .textkernel import settled
 EDITS = 2
 PERCENT = 5
 CLASSES = 32
+#: Lengths from TALL on are not told apart in a key; places are numbers below ANY, which stands for several (or for any in a line so long).
+TALL, ANY = (1 << 14) - 1, (1 << 12) - 1
 MIN_CHARS = 20
 BLOCK = 500
 #: Least lengths of the bands of long lines beyond the first.
@@ -45,9 +49,9 @@ STEPS = 5
 #: The packed keys are dealt over this many passes, so that one pass's shuffle is on disk at a time.
 PASSES = 2
 #: Packed keys of one bucket; a bucket is matched by one task.
-KEYS = 1 << 21
-#: Partners that a line takes from one key before links are united; FIRST times as many each time after.
-FIRST = 32
+KEYS = 1 << 20
+#: Partners that a line takes from one key before links are united; 32 times as many each time after.
+FIRST = 8
 #: Candidate pairs are compared in this many parts, so that one part's texts are on disk at a time.
 PARTS = 3
 
@@ -326,7 +330,7 @@ def _windows(codes: np.ndarray, starts: np.ndarray, names: np.ndarray, plans: li
     line = np.repeat(np.arange(len(size), dtype=np.int32), size)
     wide = np.ndarray((n + 17,), dtype="<u8", buffer=codes, strides=(1,))
     most = np.maximum(edits, size * percent // 100)
-    length = np.minimum((32 * np.log2(np.maximum(size, 1))).astype(np.int64), 511)
+    length = np.minimum(size, TALL)
     least, ends, width = (np.array([p[k] for p in plans]) for k in range(3))
     reach = np.array([b + limit(b - 1, edits, percent) for _, b, _ in plans])
     band = np.searchsorted(least, size, side="right") - 1
@@ -344,7 +348,7 @@ def _windows(codes: np.ndarray, starts: np.ndarray, names: np.ndarray, plans: li
         parts = np.minimum(most[mine] + 1, size[mine] // window[mine])
         firsts = np.repeat(starts[mine], parts) + (np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)) * np.repeat(window[mine], parts)
         indexed = np.zeros(n, dtype=bool)
-        indexed[chosen[firsts]] = True
+        indexed[chosen[firsts[size[line[firsts]] < ends[band[line[firsts]]]]]] = True
         h = wide[at]
         now = ((h & _U(0xFFFFFFFF)) * _U(0x9E3779B97F4A7C15) >> _U(40)) % _U(PASSES) == part
         at, h = at[now], h[now]
@@ -356,13 +360,13 @@ def _windows(codes: np.ndarray, starts: np.ndarray, names: np.ndarray, plans: li
         h ^= h >> _U(32)
         h *= _U(0x94D049BB133111EB)
         h ^= h >> _U(29)
-        place = ((at - starts[who]) >> 3) % 255
-        yield _once(h, (length[who] << 25 | place << 17 | indexed[at].astype(np.int64) << 16 | names[who]).astype(np.uint64))
+        place = (at - starts[who]) % ANY
+        yield _once(h, (length[who] << 29 | place << 17 | indexed[at].astype(np.int64) << 16 | names[who]).astype(np.uint64))
         band = np.where(band >= 0, band - 1, -1)
 
 
 def _once(h: np.ndarray, rest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Keys that a line holds several times once, at place 255 (any), indexed if one of them is."""
+    """Keys that a line holds several times once, at the place ANY, indexed if one of them is."""
     both = h << _U(16) | rest & _U(0xFFFF)
     ordered = np.sort(both)
     again = ordered[1:][ordered[1:] == ordered[:-1]]
@@ -379,14 +383,14 @@ def _once(h: np.ndarray, rest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     group = np.cumsum(head) - 1
     several, indexed = np.bincount(group) > 1, np.bincount(group, weights=(rest[own] >> _U(16)) & _U(1)) > 0
     first = own[head]
-    merged = np.where(several, rest[first] & ~_U(0xFF << 17) | _U(255 << 17) | indexed.astype(np.uint64) << _U(16), rest[first])
+    merged = np.where(several, rest[first] & ~_U(ANY << 17) | _U(ANY << 17) | indexed.astype(np.uint64) << _U(16), rest[first])
     return np.concatenate([h[~some], h[first]]), np.concatenate([rest[~some], merged])
 
 
 def _keys(edits: int, percent: int, steps: int, buckets: int, part: int):
     """Rows (bucket, base, data) of the long lines among rows (line, words): packed keys, whose line is base plus the lowest 16 bits.
 
-    A packed key has 30 bits of hash, 9 of length (32 to a doubling), 8 of place (in eights), 1 if indexed and 16 of line. Buckets are
+    A packed key has 21 bits of hash, 14 of length (at most TALL), 12 of place (ANY: several), 1 if indexed and 16 of line. Buckets are
     dealt by other bits of the hash; the pass by a hash of the gram's first four characters.
     """
     plans = bands(edits, percent, steps)
@@ -404,7 +408,7 @@ def _keys(edits: int, percent: int, steps: int, buckets: int, part: int):
                     if not found:
                         continue
                     h, rest = np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found])
-                    yield _dealt(((h >> _U(34)) % _U(buckets)).astype(np.uint16 if buckets <= 1 << 16 else np.uint32), (h << _U(34)) | rest, base)
+                    yield _dealt(((h >> _U(34)) % _U(buckets)).astype(np.uint16 if buckets <= 1 << 16 else np.uint32), (h << _U(43)) | rest, base)
 
     return run
 
@@ -419,23 +423,25 @@ def _dealt(bucket: np.ndarray, values: np.ndarray, base: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(bucket[cuts[:-1]].astype(np.int64)), pa.array(np.full(len(cuts) - 1, base, dtype=np.int64)), data], names=["bucket", "base", "data"])
 
 
-def _met(sig: np.ndarray, size: np.ndarray, place: np.ndarray, own: np.ndarray, line: np.ndarray, percent: int, high: int, label: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _met(sig: np.ndarray, size: np.ndarray, place: np.ndarray, own: np.ndarray, line: np.ndarray, edits: int, percent: int, high: int, label: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of keys sorted by (sig, size): the pairs with unlike labels that length and place allow, the first `high` of each key's line, and the signatures with further ones."""
-    n, near = len(sig), int(32 * np.log2(1 + percent / 100)) + 1
-    # A shift in place is an edit each, and the length code bounds the number of edits.
-    reach = ((np.exp2((size + 1) / 32) * percent / 100 + 1) // 8 + 1).astype(np.int64)
+    n, plans = len(sig), bands(edits, percent)
+    most = np.maximum(edits, size * percent // 100)
+    width = np.array([p[2] for p in plans])[np.maximum(np.searchsorted(np.array([p[0] for p in plans]), size, side="right") - 1, 0)]
+    window, free = place // width, (place == ANY) | (size >= ANY)
     taken, alive, lag = np.zeros(n, dtype=np.int64), np.arange(n), 0
     left, right, hot = [], [], np.zeros(n, dtype=bool)
     while True:
         lag += 1
         alive = alive[alive + lag < n]
-        alive = alive[(sig[alive] == sig[alive + lag]) & (size[alive + lag] - size[alive] <= near)]
+        alive = alive[(sig[alive] == sig[alive + lag]) & (size[alive + lag] - size[alive] <= most[alive])]
         if not len(alive):
             break
         other = alive + lag
-        apart = np.abs(place[alive] - place[other])
-        ok = (np.minimum(apart, 255 - apart) <= reach[other]) | (place[alive] == 255) | (place[other] == 255)
-        ok &= (own[alive] | own[other]) & (line[alive] != line[other])
+        longer, shift = size[other] - size[alive], place[other] - place[alive]
+        ok = own[alive] & (free[alive] | free[other] | (np.abs(shift) <= window[alive]) & (np.abs(longer - shift) <= most[alive] - window[alive]))
+        ok |= own[other] & (longer == 0) & (free[alive] | free[other] | (np.abs(shift) <= np.minimum(window[other], most[other] - window[other])))
+        ok &= line[alive] != line[other]
         if label is not None:
             ok &= label[alive] != label[other]
         a, b = alive[ok], other[ok]
@@ -453,32 +459,32 @@ def _met(sig: np.ndarray, size: np.ndarray, place: np.ndarray, own: np.ndarray,
     return pairs[:, 0], pairs[:, 1], np.unique(sig[hot])
 
 
-def _candidates(percent: int, high: int, buckets: int):
+def _candidates(edits: int, percent: int, high: int, buckets: int):
     """Of rows (bucket, base, data) sorted by bucket: rows (bucket, base, data) of candidate pairs, 16 bytes each, bucketed by their first line (base -1), and of the signatures with further ones their (line, signature and key), 16 bytes each (base 0)."""
 
     def solve(bucket: int, bases: list[int], data: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         packed = np.concatenate(data)
         ordered = np.sort(packed)
-        sig, size = ordered >> _U(34), (ordered >> _U(25)) & _U(511)
-        near = np.flatnonzero((sig[1:] == sig[:-1]) & (size[1:] - size[:-1] <= int(32 * np.log2(1 + percent / 100)) + 1))
+        sig, size = ordered >> _U(43), ((ordered >> _U(29)) & _U(TALL)).astype(np.int64)
+        near = np.flatnonzero((sig[1:] == sig[:-1]) & (size[1:] - size[:-1] <= np.maximum(edits, size[:-1] * percent // 100)))
         if not len(near):
             return
-        table = np.zeros(1 << 22, dtype=bool)  # keys whose signature meets none need no exact order
-        table[(sig[near] & _U((1 << 22) - 1)).astype(np.int32)] = True
+        table = np.zeros(1 << 21, dtype=bool)  # keys whose signature meets none need no exact order
+        table[sig[near].astype(np.int32)] = True
         del ordered, sig, size, near
-        some = np.flatnonzero(table[((packed >> _U(34)) & _U((1 << 22) - 1)).astype(np.int32)])
+        some = np.flatnonzero(table[(packed >> _U(43)).astype(np.int32)])
         line = np.repeat(np.array(bases, dtype=np.int64), [len(d) for d in data])[some]
         packed = packed[some]
         line += (packed & _U(0xFFFF)).astype(np.int64)
         at = np.argsort(packed)
         line, packed = line[at], packed[at]
         number = lambda shift, bits: ((packed >> _U(shift)) & _U((1 << bits) - 1)).astype(np.int64)
-        sig = number(34, 30)
-        src, dst, more = _met(sig, number(25, 9), number(17, 8), number(16, 1) > 0, line, percent, high)
+        sig = number(43, 21)
+        src, dst, more = _met(sig, number(29, 14), number(17, 12), number(16, 1) > 0, line, edits, percent, high)
         yield _dealt((src % buckets).astype(np.uint16 if buckets <= 1 << 16 else np.uint32), np.stack([src, dst], axis=1), -1)
         if len(more):
             held = np.flatnonzero(np.isin(sig, more))
-            key = ((bucket & 0x7FFF) << 48) | (sig[held] << 18) | number(16, 18)[held]
+            key = ((bucket & 0x7FFF) << 48) | (sig[held] << 27) | number(16, 27)[held]
             yield _dealt(np.zeros(len(held), dtype=np.uint16), np.stack([line[held], key], axis=1), 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -529,15 +535,15 @@ def _waiting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (sig, key, line) of a binary column of (line, signature and key)."""
     for batch in batches:
         held = _numbers(batch.column(0))
-        yield pa.RecordBatch.from_arrays([pa.array(held[:, 1] >> 18), pa.array(held[:, 1] & 0x3FFFF), pa.array(held[:, 0])], names=["sig", "key", "line"])
+        yield pa.RecordBatch.from_arrays([pa.array(held[:, 1] >> 27), pa.array(held[:, 1] & 0x7FFFFFF), pa.array(held[:, 0])], names=["sig", "key", "line"])
 
 
-def _further(percent: int, high: int):
+def _further(edits: int, percent: int, high: int):
     """Of rows (sig, key, line, label) sorted by (sig, key): rows (src, dst, sig), candidate pairs with unlike labels (sig null) and the signatures that have yet more (src null)."""
 
     def solve(cols: list[np.ndarray]) -> pa.RecordBatch:
         sig, key, line, label = cols
-        src, dst, more = _met(sig, key >> 9, (key >> 1) & 255, (key & 1) > 0, line, percent, high, label)
+        src, dst, more = _met(sig, key >> 13, (key >> 1) & ANY, (key & 1) > 0, line, edits, percent, high, label)
         n, m = len(src), len(more)
         return pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array(src), pa.nulls(m, pa.int64())]), pa.concat_arrays([pa.array(dst), pa.nulls(m, pa.int64())]), pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(more, pa.int64())])], names=["src", "dst", "sig"])
 
@@ -739,7 +745,7 @@ def long_edges(lines: DataFrame, edits: int = EDITS, percent: int = PERCENT, ste
     with tidy(spark):
         for part in range(PASSES):
             dealt = long.mapInArrow(settled(_keys(edits, percent, steps, buckets, part)), kind)
-            dealt.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(settled(_candidates(percent, first, buckets)), kind).write.mode("append").parquet(path)
+            dealt.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(settled(_candidates(edits, percent, first, buckets)), kind).write.mode("append").parquet(path)
     met = spark.read.schema(kind).parquet(path)
     pairs = met.filter("base = -1").select("bucket", "data").repartition(buckets, "bucket").sortWithinPartitions("bucket")
     known = keep(pairs.mapInArrow(settled(_different), "src long, dst long"))
@@ -748,12 +754,12 @@ def long_edges(lines: DataFrame, edits: int = EDITS, percent: int = PERCENT, ste
     drop_path(spark, path)
     high = first
     while waiting.limit(1).count():
-        high *= first
+        high *= 32
         labels = keep(components(edges))
         named = waiting.join(labels, waiting["line"] == labels["node"], "left").select("sig", "key", "line", F.coalesce("component", "line").alias("label"))
         apart = named.groupBy("sig").agg(F.min("label").alias("l"), F.max("label").alias("m")).filter("l < m").select("sig")
         grouped = named.join(apart, "sig", "left_semi").repartition("sig").sortWithinPartitions("sig", "key")
-        more = keep(grouped.mapInArrow(settled(_further(percent, high)), "src long, dst long, sig long"))
+        more = keep(grouped.mapInArrow(settled(_further(edits, percent, high)), "src long, dst long, sig long"))
         pairs = keep(more.filter("sig is null").select("src", "dst").distinct().join(known, ["src", "dst"], "left_anti"))
         known = known.union(pairs)
         edges = edges.union(_verified(pairs, lines, edits, percent))
