@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import media, text, urls
 from .operators import admission, dedup, manifest, metrics, reports, schedule
-from .registry import _HOST, _NORM, _TRACKS, _t, _tracks, query
+from .registry import _HOST, _NORM, _SAMPLES, _TRACKS, _one_per_time, _samples, _t, _tracks, query
 from .sources import catalogs, sinks, tables
+from .streaming import crawl
 
 _ROOT = rf"regexp_extract({_HOST}, '([^.]+\.[^.]+)$', 1)"
 
@@ -448,3 +452,30 @@ def budget_continued(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _t(spark, sf_dir, "orders").selectExpr("o_orderkey AS seq", "o_orderpriority AS root", "'job' AS job_id", "bigint(20) AS max_pages_per_domain", "bigint(60) AS max_pages", "string(null) AS reason")
     used = rows.select("root", "job_id").distinct().withColumn("n", F.lit(5).cast("long"))
     return admission.one_job_budget(rows, used=used).select("seq", F.col("reason").isNull().alias("admitted"))
+
+
+@query(_SAMPLES + ", l AS (SELECT *, lag(value) OVER (PARTITION BY component, metric ORDER BY ts) AS p FROM e), i AS (SELECT ts, metric, CASE WHEN p IS NULL THEN 0.0::DOUBLE WHEN value < p THEN value ELSE value - p END AS d FROM l) SELECT date_trunc('hour', ts) - to_hours(k) AS window_start, metric, sum(d) / 7200 AS rate FROM i, range(2) r(k) GROUP BY ALL")
+def rate_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rates over two hours, one such window beginning every hour."""
+    rows = metrics.rate(_one_per_time(_samples(spark, sf_dir)), "2 hours", 7200, slide="1 hour")
+    return rows.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "metric", "rate")
+
+
+def _streamed(spark: SparkSession, sf_dir: str, transform: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What a stream over the events' files has written when it has read them all."""
+    out = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_streams/{uuid.uuid4().hex}"
+    raw = spark.readStream.schema(_t(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/event*.parquet")
+    transform(raw).writeStream.format("parquet").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start(f"{out}/rows").awaitTermination()
+    return spark.read.parquet(f"{out}/rows")
+
+
+@query("SELECT DISTINCT user_id, event_type FROM events")
+def stream_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _streamed(spark, sf_dir, lambda raw: crawl.first_seen(raw.select("user_id", "event_type"), ["user_id", "event_type"]))
+
+
+@query("SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n FROM events WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) GROUP BY ALL")
+def stream_window_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of the windows that the watermark has closed."""
+    found = _streamed(spark, sf_dir, lambda raw: crawl.windowed_counts(raw, "ts", "1 hour", "0 seconds", ["event_type"]))
+    return found.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n")

@@ -25,10 +25,10 @@ def increases(samples: DataFrame, series: list[str] | None = None) -> DataFrame:
     return samples.withColumn("increase", F.when(last.isNull(), 0.0).when(F.col("value") < last, F.col("value")).otherwise(F.col("value") - last))
 
 
-def rate(samples: DataFrame, window: str = "1 minute", seconds: int = 60, by: list[str] | None = None) -> DataFrame:
-    """Sum over series of the increase per second in tumbling windows."""
+def rate(samples: DataFrame, window: str = "1 minute", seconds: int = 60, by: list[str] | None = None, slide: str | None = None) -> DataFrame:
+    """Sum over series of the increase per second in windows that follow one another, or that begin every `slide`."""
     keys = ["metric"] if by is None else by
-    return increases(samples).groupBy(F.window("ts", window).start.alias("window_start"), *keys).agg((F.sum("increase") / seconds).alias("rate"))
+    return increases(samples).groupBy(F.window("ts", window, slide or window).start.alias("window_start"), *keys).agg((F.sum("increase") / seconds).alias("rate"))
 
 
 def histogram_quantile(buckets: DataFrame, q: float, by: list[str]) -> DataFrame:
@@ -51,13 +51,21 @@ def latest_sum(samples: DataFrame, by: list[str], series: list[str] | None = Non
 
 
 def held_above(series: DataFrame, threshold: float, seconds: int, value: str = "value", by: list[str] | None = None) -> DataFrame:
-    """Samples at which the value has been above the threshold for `seconds`: the alert fires there."""
+    """Samples at which the value has been above the threshold for `seconds`: the alert fires there.
+
+    Time is cut into spans of `seconds`; a sample also lies, as one that is only looked back at, in the next span, so a window
+    runs within a span and a single series is spread over many tasks.
+    """
     by = by or []
     keyed = series.withColumn("_t", F.col("ts").cast("timestamp").cast("long"))
-    w = Window.partitionBy(*(by or [F.lit(0)])).orderBy("_t").rangeBetween(-seconds, 0)
-    whole = Window.partitionBy(*(by or [F.lit(0)]))
-    firing = (F.min(value).over(w) > threshold) & (F.col("_t") - F.min("_t").over(whole) >= seconds)
-    return keyed.withColumn("firing", firing).drop("_t")
+    first = keyed.groupBy(*by).agg(F.min("_t").alias("_first"))
+    span = F.floor(F.col("_t") / seconds)
+    twice = F.explode(F.array(F.struct(span.alias("span"), F.lit(True).alias("own")), F.struct((span + 1).alias("span"), F.lit(False).alias("own"))))
+    dealt = keyed.withColumn("_s", twice).select("*", F.col("_s.span").alias("_span"), F.col("_s.own").alias("_own")).drop("_s")
+    low = F.min(value).over(Window.partitionBy(*by, "_span").orderBy("_t").rangeBetween(-seconds, 0))
+    own = dealt.withColumn("_low", low).filter("_own")
+    both = own.join(F.broadcast(first), by, "left") if by else own.crossJoin(F.broadcast(first))  # one row where there are no keys
+    return both.withColumn("firing", (F.col("_low") > threshold) & (F.col("_t") - F.col("_first") >= seconds)).drop("_t", "_span", "_own", "_low", "_first")
 
 
 def ratio_alert(top: Column, bottom: Column, least: float = 1e-9) -> Column:
