@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -12,10 +13,13 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where it is unset (tests) a folder of the warehouse."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or where it is unset a folder of the warehouse. The latter holds for a session of
+    one process alone (tests); on a cluster an unset folder is an error."""
     sc = spark.sparkContext
     known = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not known:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         known = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(known)

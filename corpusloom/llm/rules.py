@@ -11,6 +11,7 @@ statistics of its whole text.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .labelled import sample
-from .textkernel import blocks, settled, span_hashes, splitmix, window_hashes
+from .textkernel import blocks, same_spans, settled, span_hashes, splitmix, window_hashes
 
 TRAIN = 15000
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_digits", "n_marks"]
@@ -28,6 +29,14 @@ COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
 _SYMBOL, _UPPER, _DIGIT, _MARK = (np.isin(np.arange(256), list(x)) for x in (b"#*$%&|<>", bytes(range(65, 91)), b"0123456789", b"!?"))
 
 
+def plain_counts(text: bytes) -> tuple[int, int]:
+    """Lines with a word equal to an earlier line, and words in 3-word windows found twice or more."""
+    lines, words = [x for x in text.split(b"\n") if x.split()], text.split()
+    seen = Counter(tuple(words[i : i + 3]) for i in range(len(words) - 2))
+    covered = {i + k for i in range(len(words) - 2) if seen[tuple(words[i : i + 3])] > 1 for k in range(3)}
+    return len(lines) - len(set(lines)), len(covered)
+
+
 def statistics(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
     """`carry` and the COUNTS (long): words, code points in words, symbols, lines equal to an earlier line, words in 3-word windows found twice or more, lines with a word, A-Z, digits, ! and ?."""
     fields = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
@@ -38,7 +47,7 @@ def statistics(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), text: str
                 data, row, h = block.data, block.row_of_word(), block.hashes()
                 n = block.last - block.first
                 own = splitmix(np.arange(n, dtype=np.uint64))
-                lead = (data & 0xC0) != 0x80
+                point = (data & 0xC0) != 0x80
                 inside = np.zeros(len(data) + 1, dtype=np.int64)
                 inside[block.starts] += 1
                 inside[block.ends] -= 1
@@ -54,18 +63,31 @@ def statistics(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), text: str
                 ends = np.maximum(np.minimum(ends, block.offsets[owner + 1]), starts)
                 words = np.searchsorted(block.starts, ends) - np.searchsorted(block.starts, starts)
                 some = words > 0
-                line = span_hashes(data, starts[some], ends[some]) ^ own[owner[some]]
-                n_lines = np.bincount(owner[some], minlength=n)
-                first = np.unique(line, return_index=True)[1]
-                n_dup = n_lines - np.bincount(owner[some][first], minlength=n)
+                starts, ends, owner = starts[some], ends[some], owner[some]
+                line = span_hashes(data, starts, ends) ^ own[owner]
+                n_lines = np.bincount(owner, minlength=n)
+                _, first, of = np.unique(line, return_index=True, return_inverse=True)
+                n_dup = n_lines - np.bincount(owner[first], minlength=n)
+                again = np.flatnonzero(first[of] != np.arange(len(of)))
+                lead = first[of[again]]
+                wrong = [owner[again[~(same_spans(data, starts, ends, again, lead) & (owner[again] == owner[lead]))]]]
                 windows = window_hashes(h, 3)
                 at = np.flatnonzero(np.arange(len(windows)) + 3 <= block.row_end_of_word()[: len(windows)])
-                _, of, count = np.unique(windows[at] ^ own[row[at]], return_inverse=True, return_counts=True)
-                again = at[count[of] > 1]
+                _, first, of, count = np.unique(windows[at] ^ own[row[at]], return_index=True, return_inverse=True, return_counts=True)
+                again, lead = at[count[of] > 1], at[first[of[count[of] > 1]]]
+                alike = row[again] == row[lead]
+                for k in range(3):
+                    alike &= h[again + k] == h[lead + k]
+                used = np.unique(np.concatenate([again, again + 1, again + 2]))
+                _, first, of = np.unique(h[used], return_index=True, return_inverse=True)
+                wrong += [row[again[~alike]], row[used[~same_spans(data, block.starts, block.ends, used, used[first[of]])]]]
                 covered = np.zeros(len(h) + 3, dtype=bool)
                 for k in range(3):
                     covered[again + k] = True
-                found = [block.n_words, block.row_sums(lead & inside), block.row_sums(_SYMBOL[data]), n_dup, block.word_sums(covered[: len(h)]), n_lines, block.row_sums(_UPPER[data]), block.row_sums(_DIGIT[data]), block.row_sums(_MARK[data])]
+                repeated = block.word_sums(covered[: len(h)])
+                for r in np.unique(np.concatenate(wrong)).tolist():  # hashes that collide: count by the words themselves
+                    n_dup[r], repeated[r] = plain_counts(data[block.offsets[r] : block.offsets[r + 1]].tobytes())
+                found = [block.n_words, block.row_sums(point & inside), block.row_sums(_SYMBOL[data]), n_dup, repeated, n_lines, block.row_sums(_UPPER[data]), block.row_sums(_DIGIT[data]), block.row_sums(_MARK[data])]
                 rows = batch.slice(block.first, n)
                 yield pa.RecordBatch.from_arrays([*rows.columns[:-1], *[pa.array(np.asarray(x).astype(np.int64)) for x in found]], names=[*carry, *COUNTS])
 

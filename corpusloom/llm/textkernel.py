@@ -133,6 +133,17 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return splitmix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
+def same_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, at: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Whether byte span at[i] equals byte span other[i]; hashes alone can be made to collide."""
+    same = ends[at] - starts[at] == ends[other] - starts[other]
+    some = np.flatnonzero(same)
+    size = (ends - starts)[at[some]]
+    inner = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    unlike = data[np.repeat(starts[at[some]], size) + inner] != data[np.repeat(starts[other[some]], size) + inner]
+    same[some] = np.bincount(np.repeat(np.arange(len(some)), size), weights=unlike, minlength=len(some)) == 0
+    return same
+
+
 def window_hashes(hashes: np.ndarray, width: int) -> np.ndarray:
     """A 64-bit hash of each run of `width` items; item i of the result starts at item i."""
     n = len(hashes) - width + 1
