@@ -188,7 +188,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector: str = "e
     n_links counts the other rows linked directly (cosine >= threshold), component_id is the smallest id reachable over
     links, kept says that this is the row's own id. Vectors that are null, empty, zero or hold null or non-finite
     components, and vectors of unlike lengths, link with nothing. Equal vectors are one node; each repeated row counts
-    as a vector. Ids are one per vector: rows that repeat an id with other vectors share one node's links. A row
+    as a vector, and rows that share an id but not a vector are vectors of their own. A row
     with a null id links with nothing and has a null component_id and kept = false. The margin of a split is
     `spill` times the deviation that a pair at the threshold has along a random direction. An empty table gives an
     empty result; other columns are ignored.
@@ -196,11 +196,11 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector: str = "e
     rows = keep(vectors.select(F.col(id_col).cast("long").alias("_id"), F.col(vector).alias("_v")))
     sound = F.col("_id").isNotNull() & F.col("_v").isNotNull() & (F.size("_v") > 0)
     finite = ~F.exists("_v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("_v", lambda x: x != 0)
-    nodes = keep(rows.filter(sound).filter(finite).groupBy("_v").agg(F.min("_id").alias("id"), F.count(F.lit(1)).alias("n")))
+    nodes = keep(rows.filter(sound).filter(finite).groupBy("_v").agg(F.min("_id").alias("id"), F.count(F.lit(1)).alias("n")).withColumn("node", F.monotonically_increasing_id()))
     found = None
     for dims, n in sorted((r[0], r[1]) for r in nodes.groupBy(F.size("_v")).count().collect()):
-        own = nodes.filter(F.size("_v") == dims).select("id", F.col("_v").alias("vector"), "n")
-        sample = own.select("vector").orderBy(F.xxhash64("id")).limit(SAMPLE).toArrow().column(0).combine_chunks()
+        own = nodes.filter(F.size("_v") == dims).select(F.col("node").alias("id"), F.col("_v").alias("vector"), "n")
+        sample = own.select("vector").orderBy(F.xxhash64("vector"), "id").limit(SAMPLE).toArrow().column(0).combine_chunks()
         sample = sample.chunk(0) if isinstance(sample, pa.ChunkedArray) else sample
         forest = fit_forest(unit(_matrix(sample)), n, trees, leaf, seed)
         margin = spill * float(np.sqrt(max(0.0, 2 - 2 * threshold))) / float(np.sqrt(dims))
@@ -220,10 +220,11 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector: str = "e
     if found is None:
         return rows.select(F.col("_id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("_id").alias("component_id"), F.col("_id").isNotNull().alias("kept"))
     found = keep(found)
-    counts = found.groupBy("id").agg(F.sum("links").alias("links"))
-    joined = components(found.select(F.col("id").alias("src"), F.col("root").alias("dst")))
-    labels = nodes.join(counts, "id", "left").join(joined, nodes["id"] == joined["node"], "left")
-    labels = labels.select("_v", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"), F.coalesce("component", "id").alias("component"), "n")
+    counts = found.groupBy(F.col("id").alias("node")).agg(F.sum("links").alias("links"))
+    joined = keep(components(found.select(F.col("id").alias("src"), F.col("root").alias("dst"))))
+    least = nodes.join(joined, "node").groupBy("component").agg(F.min("id").alias("least"))
+    labels = nodes.join(counts, "node", "left").join(joined.join(least, "component").select("node", "least"), "node", "left")
+    labels = labels.select("_v", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"), F.coalesce("least", "id").alias("component"), "n")
     total = nodes.agg(F.sum("n")).first()[0] or 0
     out = salted_join(rows, labels, "_v", "_id", "n", total)
     known = F.col("_id").isNotNull()

@@ -128,6 +128,12 @@ def test_embeddings(spark, monkeypatch):
     assert embedding.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_embeddings_that_share_an_id(spark):
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [2.0, 0.01]), (3, [0.01, 3.0]), (4, [1.0, 1.0]), (4, [1.0, 1.0])]
+    got = embedding.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
+    assert sorted(map(tuple, got)) == [(1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 1, 1, False), (4, 1, 4, True), (4, 1, 4, True)]
+
+
 def brute_passages(rows, width):
     words = [(t or "").encode().split() for _, t in rows]
     counts = Counter(b" ".join(w[i : i + width]) for w in words for i in range(len(w) - width + 1))
