@@ -51,7 +51,9 @@ PASSES = 2
 #: Packed keys of one bucket; a bucket is matched by one task.
 KEYS = 1 << 20
 #: Partners that a line takes from one key before links are united; 32 times as many each time after.
-FIRST = 8
+FIRST = 32
+#: So few line numbers (of 8 bytes) are broadcast to fetch their texts; more are joined.
+FEW = 1 << 17
 #: Candidate pairs are compared in this many parts, so that one part's texts are on disk at a time.
 PARTS = 3
 
@@ -721,7 +723,9 @@ def _verified(pairs: DataFrame, lines: DataFrame, edits: int, percent: int) -> D
     left, right = (lines.select(F.col("line").alias(end), F.col("size").alias(m), F.col("counts").alias(c)) for end, m, c in (("src", "m", "a"), ("dst", "n", "b")))
     alike = pairs.join(left, "src").join(right, "dst").select("src", "dst", "m", "n", "a", "b")
     pairs = keep(alike.mapInArrow(settled(_alike(edits, percent)), "src long, dst long"))
-    wanted = pairs.select(F.explode(F.array("src", "dst")).alias("line")).distinct()
+    wanted = keep(pairs.select(F.explode(F.array("src", "dst")).alias("line")).distinct())
+    if wanted.count() <= FEW:
+        wanted = F.broadcast(wanted)
     path = scratch(lines.sparkSession, "words")
     lines.join(wanted, "line", "left_semi").select("line", "words").write.parquet(path)
     words = lines.sparkSession.read.schema("line long, words string").parquet(path)
