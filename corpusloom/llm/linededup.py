@@ -51,7 +51,7 @@ PASSES = 2
 #: Packed keys of one bucket; a bucket is matched by one task.
 KEYS = 1 << 20
 #: Partners that a line takes from one key before links are united; 32 times as many each time after.
-FIRST = 32
+FIRST = 8
 #: So few line numbers (of 8 bytes) are broadcast to fetch their texts; more are joined.
 FEW = 1 << 17
 #: Candidate pairs are compared in this many parts, so that one part's texts are on disk at a time.
@@ -425,8 +425,8 @@ def _dealt(bucket: np.ndarray, values: np.ndarray, base: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(bucket[cuts[:-1]].astype(np.int64)), pa.array(np.full(len(cuts) - 1, base, dtype=np.int64)), data], names=["bucket", "base", "data"])
 
 
-def _met(sig: np.ndarray, size: np.ndarray, place: np.ndarray, own: np.ndarray, line: np.ndarray, edits: int, percent: int, high: int, label: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of keys sorted by (sig, size): the pairs with unlike labels that length and place allow, the first `high` of each key's line, and the signatures with further ones."""
+def _met(sig: np.ndarray, size: np.ndarray, place: np.ndarray, own: np.ndarray, line: np.ndarray, edits: int, percent: int, high: int, label: np.ndarray | None = None, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of keys sorted by (sig, size): the pairs with unlike labels that length, place and counts of characters allow, the first `high` of each key's line, and the signatures with further ones."""
     n, plans = len(sig), bands(edits, percent)
     most = np.maximum(edits, size * percent // 100)
     width = np.array([p[2] for p in plans])[np.maximum(np.searchsorted(np.array([p[0] for p in plans]), size, side="right") - 1, 0)]
@@ -447,6 +447,9 @@ def _met(sig: np.ndarray, size: np.ndarray, place: np.ndarray, own: np.ndarray,
         if label is not None:
             ok &= label[alive] != label[other]
         a, b = alive[ok], other[ok]
+        if counts is not None and len(a):
+            good = _near_counts(counts[a], counts[b], most[a])
+            a, b = a[good], b[good]
         full = taken[a] >= high
         if full.any():
             hot[a[full]] = True
@@ -541,11 +544,11 @@ def _waiting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _further(edits: int, percent: int, high: int):
-    """Of rows (sig, key, line, label) sorted by (sig, key): rows (src, dst, sig), candidate pairs with unlike labels (sig null) and the signatures that have yet more (src null)."""
+    """Of rows (sig, key, line, label, counts) sorted by (sig, key): rows (src, dst, sig), candidate pairs with unlike labels (sig null) and the signatures that have yet more (src null)."""
 
     def solve(cols: list[np.ndarray]) -> pa.RecordBatch:
-        sig, key, line, label = cols
-        src, dst, more = _met(sig, key >> 13, (key >> 1) & ANY, (key & 1) > 0, line, edits, percent, high, label)
+        sig, key, line, label, counts = cols
+        src, dst, more = _met(sig, key >> 13, (key >> 1) & ANY, (key & 1) > 0, line, edits, percent, high, label, counts)
         n, m = len(src), len(more)
         return pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array(src), pa.nulls(m, pa.int64())]), pa.concat_arrays([pa.array(dst), pa.nulls(m, pa.int64())]), pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(more, pa.int64())])], names=["src", "dst", "sig"])
 
@@ -554,7 +557,7 @@ def _further(edits: int, percent: int, high: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            cols = [*[c.to_numpy(zero_copy_only=False) for c in batch.columns[:4]], _matrix(batch.column(4))]
             if rest is not None:
                 cols = [np.concatenate([x, y]) for x, y in zip(rest, cols, strict=True)]
             last = int(np.searchsorted(cols[0], cols[0][-1]))
@@ -704,16 +707,23 @@ def _counts(codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.minimum(found, 255).astype(np.uint8).reshape(-1, CLASSES)
 
 
+def _matrix(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(-1, CLASSES)
+
+
+def _near_counts(a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Whether counts allow so many edits: one makes at most one character too many and one too few."""
+    apart = a.astype(np.int16) - b
+    return np.maximum(np.maximum(apart, 0).sum(1), np.maximum(-apart, 0).sum(1)) <= most
+
+
 def _alike(edits: int, percent: int):
     """Of rows (src, dst, m, n, a, b) with the sizes and counts of two lines: those that the limit allows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             most = np.maximum(edits, np.minimum(batch.column(2).to_numpy(), batch.column(3).to_numpy()) * percent // 100)
-            a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), dtype=np.uint8).reshape(-1, CLASSES).astype(np.int16) for k in (4, 5))
-            # One edit makes at most one character too many and one too few.
-            good = np.maximum(np.maximum(a - b, 0).sum(1), np.maximum(b - a, 0).sum(1)) <= most
-            yield batch.select(["src", "dst"]).filter(pa.array(good))
+            yield batch.select(["src", "dst"]).filter(pa.array(_near_counts(_matrix(batch.column(4)), _matrix(batch.column(5)), most)))
 
     return run
 
@@ -762,7 +772,7 @@ def long_edges(lines: DataFrame, edits: int = EDITS, percent: int = PERCENT, ste
         labels = keep(components(edges))
         named = waiting.join(labels, waiting["line"] == labels["node"], "left").select("sig", "key", "line", F.coalesce("component", "line").alias("label"))
         apart = named.groupBy("sig").agg(F.min("label").alias("l"), F.max("label").alias("m")).filter("l < m").select("sig")
-        grouped = named.join(apart, "sig", "left_semi").repartition("sig").sortWithinPartitions("sig", "key")
+        grouped = named.join(apart, "sig", "left_semi").join(lines.select("line", "counts"), "line").select("sig", "key", "line", "label", "counts").repartition("sig").sortWithinPartitions("sig", "key")
         more = keep(grouped.mapInArrow(settled(_further(edits, percent, high)), "src long, dst long, sig long"))
         pairs = keep(more.filter("sig is null").select("src", "dst").distinct().join(known, ["src", "dst"], "left_anti"))
         known = known.union(pairs)
