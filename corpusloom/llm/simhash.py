@@ -37,7 +37,7 @@ FIRST, FURTHER = 1, 64
 PARTS = 4
 SAMPLE = 4096
 #: Seconds for one probe row that is shuffled, and for one candidate pair that is compared.
-ROW_COST, PAIR_COST = 4e-6, 4e-9
+ROW_COST, PAIR_COST = 4e-6, 8e-9
 
 
 def fingerprint(text: bytes, width: int = 3, seed: int = 42, chunk: int = 1 << 15) -> int:
