@@ -479,3 +479,8 @@ def stream_window_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of the windows that the watermark has closed."""
     found = _streamed(spark, sf_dir, lambda raw: crawl.windowed_counts(raw, "ts", "1 hour", "0 seconds", ["event_type"]))
     return found.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n")
+
+
+@query(_SAMPLES + """, l AS (SELECT component, metric, arg_max(value, ts) AS value FROM e GROUP BY ALL) SELECT metric, metric || '{component="' || component || '"} ' || CAST(value AS BIGINT) AS line FROM l""")
+def metrics_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.exposition(_one_per_time(_samples(spark, sf_dir)))

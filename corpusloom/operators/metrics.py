@@ -50,6 +50,15 @@ def latest_sum(samples: DataFrame, by: list[str], series: list[str] | None = Non
     return last.groupBy(*by).agg(F.sum("value").alias("value"))
 
 
+def exposition(samples: DataFrame) -> DataFrame:
+    """(metric, line): the last value of each series as a line of the text that scrapers read, whole numbers without a point."""
+    last = samples.groupBy(*SERIES).agg(F.max_by("value", "ts").alias("value"))
+    number = F.when(F.col("value") == F.floor("value"), F.col("value").cast("long").cast("string")).otherwise(F.col("value").cast("string"))
+    bound = F.when(F.col("le") == float("inf"), "+Inf").otherwise(F.col("le").cast("string"))
+    labels = F.concat_ws(",", F.concat(F.lit('component="'), "component", F.lit('"')), F.concat(F.lit('le="'), bound, F.lit('"')))
+    return last.select("metric", F.concat("metric", F.lit("{"), labels, F.lit("} "), number).alias("line"))
+
+
 def held_above(series: DataFrame, threshold: float, seconds: int, value: str = "value", by: list[str] | None = None) -> DataFrame:
     """Samples at which the value has been above the threshold for `seconds`: the alert fires there.
 

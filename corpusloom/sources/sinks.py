@@ -39,16 +39,42 @@ def current(spark: SparkSession, table: str) -> str | None:
 
 
 def publish(rows: DataFrame, table: str, partition_by: list[str] | None = None) -> str:
-    """Write a new version beside the old one, then move the pointer; readers never see half a version."""
-    name = f"v-{uuid.uuid4().hex}"
+    """Write a new version beside the old one, then move the pointer; readers never see half a version.
+
+    The version before stays for those who still read it; older ones are deleted.
+    """
+    spark, name = rows.sparkSession, f"v-{uuid.uuid4().hex}"
+    before = current(spark, table)
     rows.write.partitionBy(*(partition_by or [])).parquet(f"{table}/{name}")
-    put_text(rows.sparkSession, f"{table}/_current", name)
+    put_text(spark, f"{table}/_current", name)
+    p, fs, _ = _fs(spark, table)
+    for status in fs.listStatus(p):
+        other = status.getPath().getName()
+        if other.startswith("v-") and other != name and f"{table}/{other}" != before:
+            fs.delete(status.getPath(), True)
     return f"{table}/{name}"
 
 
 def read_table(spark: SparkSession, table: str) -> DataFrame | None:
+    """The current version of a published table, or all batches of one that grows by batches; None where there is neither."""
     path = current(spark, table)
-    return spark.read.parquet(path) if path else None
+    if path:
+        return spark.read.parquet(path)
+    return read_batches(spark, table)
+
+
+def write_batch(rows: DataFrame, table: str, number: int) -> None:
+    """Rows of one batch beside those of the others; a repeated batch replaces itself."""
+    rows.write.mode("overwrite").parquet(f"{table}/batch={number}")
+
+
+def read_batches(spark: SparkSession, table: str, before: int | None = None) -> DataFrame | None:
+    """Rows of all batches, or of those before a number."""
+    p, fs, _ = _fs(spark, table)
+    if not fs.exists(p):
+        return None
+    rows = spark.read.parquet(table)
+    return (rows if before is None else rows.filter(F.col("batch") < before)).drop("batch")
 
 
 def append(rows: DataFrame, path: str, partition_by: list[str] | None = None) -> None:

@@ -88,15 +88,17 @@ def _earlier(spark: SparkSession, path: str, number: int) -> DataFrame | None:
 
 
 def result_stream(results: DataFrame, table: str, checkpoint: str, now: Callable[[], F.Column] = F.current_timestamp) -> StreamingQuery:
-    """Append page rows of new keys and merge media rows into the manifest, both as new table versions."""
+    """Append page rows of new keys, batch by batch, and merge media rows into the manifest as a new version of it.
+
+    Pages are never written again: a batch adds its own rows, whose keys earlier batches do not hold.
+    """
 
     def run(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         rows = page_rows(batch, now()).withColumn("seq", F.monotonically_increasing_id())
-        old = sinks.read_table(spark, f"{table}/pages")
+        old = sinks.read_batches(spark, f"{table}/pages", before=number)
         empty = rows.drop("seq").limit(0)
-        new = insert_if_absent(rows, old if old is not None else empty, PAGE_KEY).drop("seq")
-        sinks.publish(new if old is None else old.unionByName(new), f"{table}/pages")
+        sinks.write_batch(insert_if_absent(rows, old if old is not None else empty, PAGE_KEY).drop("seq"), f"{table}/pages", number)
         merged = result_tracks(batch).withColumn("seq", F.lit(number).cast("long"))
         tracks = sinks.read_table(spark, f"{table}/tracks")
         base = tracks if tracks is not None else merged.drop("seq").limit(0)
