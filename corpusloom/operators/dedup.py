@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import xxhash
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
@@ -48,7 +49,7 @@ class Bloom:
     def __init__(self, capacity: int, fpp: float = 0.001, broadcast_words: int = 1 << 20):
         bits = max(64, math.ceil(-capacity * math.log(fpp) / math.log(2) ** 2))
         self.words, self.hashes = -(-bits // 64), max(1, round(bits / capacity * math.log(2)))
-        self.small, self.count, self.table = self.words <= broadcast_words, 0, None
+        self.small, self.count, self.table, self._held = self.words <= broadcast_words, 0, None, None
 
     def _bits(self, column: str) -> Column:
         """The places (word, mask) of a value: double hashing of two 64-bit hashes."""
@@ -64,6 +65,7 @@ class Bloom:
         table = bits if self.table is None else bits.union(self.table)
         self.table = table.groupBy("word").agg(F.bit_or("mask").alias("mask")).persist()
         self.table.count()
+        self._held = None
         self.count += seen.get["n"]
         return self
 
@@ -84,10 +86,20 @@ class Bloom:
         return parted.filter("not maybe_seen").union(checked).drop("maybe_seen")
 
     def probably_seen(self, value: str) -> bool:
+        """The same for one value; the words, whose number is fixed, are fetched once."""
         if self.table is None:
             return False
-        one = self.table.sparkSession.createDataFrame([(value,)], "v string")
-        return bool(self.split(one, "v").first()["maybe_seen"])
+        if self._held is None:
+            self._held = {r["word"]: r["mask"] for r in self.table.collect()}
+        size, data = self.words * 64, value.encode()
+        first = _signed(xxhash.xxh64_intdigest(data, 42)) % size
+        second = _signed(xxhash.xxh64_intdigest(data, xxhash.xxh64_intdigest(b"bloom", 42))) % size
+        places = [(first + k * second) % size for k in range(self.hashes)]
+        return all(self._held.get(p // 64, 0) >> p % 64 & 1 for p in places)
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
 
 
 def approx_seen(rows: DataFrame, column: str) -> DataFrame:
