@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import attention, bpe, embedding, langid, linededup, mixing, rules, simhash, substring, toxicity
+from . import attention, bpe, codebooks, embedding, langid, linededup, mixing, negatives, rules, simhash, substring, toxicity, vantage
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,6 +61,19 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return attention.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codebooks.compress(table(spark, sf_dir, "embeddings"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(table(spark, sf_dir, "embeddings").withColumn("label", moved), F.col("vec_id") % 50 == 0)
+
+
+def op13_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vantage.neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_dedup": op1_line_dedup,
@@ -73,8 +86,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_byte_bpe": op8_byte_bpe,
         "op9_simhash_near_dedup": op9_simhash_near_dedup,
         "op10_quality_classifier": op10_quality_classifier,
+        "op11_vector_codes": op11_vector_codes,
+        "op12_hard_negatives": op12_hard_negatives,
+        "op13_nearest_neighbours": op13_nearest_neighbours,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_embedding_near_dedup": embedding.ORACLE, "op3_substring_dedup": substring.ORACLE, "op6_mixing": mixing.ORACLE}
+    return {"op2_embedding_near_dedup": embedding.ORACLE, "op3_substring_dedup": substring.ORACLE, "op6_mixing": mixing.ORACLE, "op11_vector_codes": codebooks.ORACLE, "op12_hard_negatives": negatives.ORACLE, "op13_nearest_neighbours": vantage.ORACLE}
