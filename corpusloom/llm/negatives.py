@@ -41,14 +41,14 @@ def scores(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return a.astype(np.int64) @ b.astype(np.int64).T
 
 
-def first_buckets(window: np.ndarray, bucket: np.ndarray, windows: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(window, bucket, count) of the buckets up to the one in which a window's count reaches k."""
-    key, n = np.unique(window * (1 << DIGIT) + bucket, return_counts=True)
+def first_buckets(window: np.ndarray, bucket: np.ndarray, n: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(window, bucket, count) of the buckets up to the one in which a window's count reaches k; n: what each place counts."""
+    key, at = np.unique(window * (1 << DIGIT) + bucket, return_inverse=True)
+    total = np.bincount(at, weights=n, minlength=len(key)).astype(np.int64)
     window, bucket = key >> DIGIT, key & ((1 << DIGIT) - 1)
-    before = np.cumsum(n) - n
-    start = np.searchsorted(window, np.arange(windows))
-    some = before - np.append(before, 0)[start[window]] < k
-    return window[some], bucket[some], n[some]
+    before = np.cumsum(total) - total
+    some = before - before[np.searchsorted(window, window)] < k
+    return window[some], bucket[some], total[some]
 
 
 def first_rows(window: np.ndarray, score: np.ndarray, ids: np.ndarray, row: np.ndarray, k: int) -> np.ndarray:
@@ -104,10 +104,8 @@ def _count(k: int, same: bool) -> Callable[[pa.Table, pa.Table], pa.Table]:
         if windows.num_rows and rows.num_rows:
             tile = Tile(windows, rows, same)
             for w, score, _ in tile.hits():
-                w2, b2, n2 = first_buckets(w, (tile.high[w] - score) >> tile.shift[w], windows.num_rows, k)
-                w2, b2, n2 = np.concatenate([window, w2]), np.concatenate([bucket, b2]), np.concatenate([n, n2])
-                key, at = np.unique(w2 * (1 << DIGIT) + b2, return_inverse=True)
-                window, bucket, n = key >> DIGIT, key & ((1 << DIGIT) - 1), np.bincount(at, weights=n2, minlength=len(key)).astype(np.int64)
+                found = (w, (tile.high[w] - score) >> tile.shift[w], np.ones(len(w), dtype=np.int64))
+                window, bucket, n = first_buckets(*(np.concatenate(x) for x in zip((window, bucket, n), found, strict=True)), k)
         name = numbers(windows.column("window"))[window] if len(window) else window
         return pa.table({"window": pa.array(name, pa.int64()), "bucket": pa.array(bucket, pa.int64()), "n": pa.array(n, pa.int64())})
 
