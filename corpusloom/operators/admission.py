@@ -6,18 +6,22 @@ as they count only what passed everything else.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.urls import stable_id, task_kind, url_parts
 from ..plans.options import Admission
+from ..sources.keyed import KeyIndex, key_of
+from ..sources.shared import keep
 from .dedup import ordered_distinct
 from .policy import external_allowed, running, url_allowed, with_seed_roots
+from .scans import carried, place
 
+#: What is known already: rows, an index of keys, or a function that tells the known keys of some rows.
+Known = DataFrame | KeyIndex | Callable[[DataFrame, list[str]], DataFrame] | None
 REASONS = ["invalid_or_unsafe", "dup_in_batch", "job_not_running", "job_policy", "external_link", "seen", "already_crawled", "no_license", "domain_cap", "job_domain_cap", "job_cap"]
 _JOB = ["status", "max_depth", "max_pages", "max_pages_per_domain", "allowed_domains", "include_patterns", "exclude_patterns", "follow_external_links", "default_license", "seed_roots"]
 
@@ -34,8 +38,23 @@ def first_in_batch(edges: DataFrame, key: list[str], order: str = "seq") -> Colu
     return F.row_number().over(Window.partitionBy(*key).orderBy(order)) == 1
 
 
-def screened(edges: DataFrame, jobs: DataFrame, pages: DataFrame | None = None, seen: DataFrame | None = None, options: Admission = Admission(), kept: list | None = None) -> DataFrame:
-    """Edges (url, source_url, job_id, depth, seq) with url_norm, root, kind and `reason` of the gates before the budgets (null: passed)."""
+def _marked(rows: DataFrame, known: Known, on: dict[str, str], flag: str) -> DataFrame:
+    """`rows` with `flag` true where their values of the columns of `on` are known: rows of a frame in which the columns have the names that `on` says, or
+    keys that an index finds for them."""
+    if isinstance(known, DataFrame):
+        old = known.select(*[F.col(theirs).alias(mine) for mine, theirs in on.items()]).distinct().withColumn(flag, F.lit(True))
+        return rows.join(old, list(on), "left")
+    columns = list(on)
+    found = (known.hits if isinstance(known, KeyIndex) else known)(rows, columns)
+    return rows.withColumn("_key", key_of(columns)).join(found.select(F.col("key").alias("_key"), F.lit(True).alias(flag)), "_key", "left").drop("_key")
+
+
+def screened(edges: DataFrame, jobs: DataFrame, pages: Known = None, seen: Known = None, options: Admission = Admission(), kept: list | None = None) -> DataFrame:
+    """Edges (url, source_url, job_id, depth, seq) with url_norm, root, kind and `reason` of the gates before the budgets (null: passed).
+
+    `seen` and `pages` are frames, key indexes, or functions of rows and key columns that return the known keys (`keyed.key_of`); an index of pages has the keys
+    (domain, job_id, url), and serves only where existence is not by URL alone.
+    """
     named = edges.withColumn("_u", url_parts("url")).select("*", F.col("_u.norm").alias("url_norm"), F.coalesce("_u.root", F.lit("unknown")).alias("root")).drop("_u")
     named = named.persist(StorageLevel.MEMORY_AND_DISK)  # parsed once; several branches read it
     if kept is not None:
@@ -47,12 +66,10 @@ def screened(edges: DataFrame, jobs: DataFrame, pages: DataFrame | None = None,
     known = F.col("_job").isNotNull()
     rows = rows.withColumn("kind", task_kind(F.col("url_norm"))).withColumn("_seen", F.lit(False)).withColumn("_page", F.lit(False))
     if seen is not None:
-        cols = [c for c in ("job_id", "url_norm") if c in seen.columns and (c in key)]
-        rows = rows.drop("_seen").join(seen.select(*cols).distinct().withColumn("_seen", F.lit(True)), cols, "left")
+        rows = _marked(rows.drop("_seen"), seen, {c: c for c in key if not isinstance(seen, DataFrame) or c in seen.columns}, "_seen")
     if pages is not None:
-        on = ["url_norm"] if options.existence_by_url else ["root", "job_id", "url_norm"]
-        old = pages.select(F.col("domain").alias("root"), "job_id", F.col("url").alias("url_norm")).select(*on).distinct().withColumn("_page", F.lit(True))
-        rows = rows.drop("_page").join(old, on, "left")
+        on = {"url_norm": "url"} if options.existence_by_url else {"root": "domain", "job_id": "job_id", "url_norm": "url"}
+        rows = _marked(rows.drop("_page"), pages, on, "_page")
     reason = (
         F.when(~F.col("_first"), "dup_in_batch")
         .when(~running(F.col("status")), "job_not_running")
@@ -82,93 +99,85 @@ def accepted_counts(admitted: DataFrame) -> DataFrame:
     return admitted.filter("reason is null").groupBy("root", "job_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-def running_count(rows: DataFrame, by: str, order: str, flag: str, out: str, ranges: int = 64) -> DataFrame:
-    """Adds `out`: how many rows of `by` up to this one in `order` have the flag.
-
-    A single value of `by` may hold most rows, so the order is cut into ranges at estimated quantiles: counts of (by, range) are
-    added up, and a window runs within each range alone. Any cuts give the same counts.
-    """
-    cuts = sorted(set(rows.approxQuantile(order, [k / ranges for k in range(1, ranges)], 0.01)))
-    place = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < F.col(order))) if cuts else F.lit(0)
-    dealt = rows.withColumn("_range", place)
-    sums = dealt.groupBy(F.col(by).alias("_by"), F.col("_range").alias("_at")).agg(F.sum(F.col(flag).cast("long")).alias("_n"))
-    before = sums.select("_by", "_at", (F.sum("_n").over(Window.partitionBy("_by").orderBy("_at")) - F.col("_n")).alias("_before"))
-    joined = dealt.join(before, F.col(by).eqNullSafe(F.col("_by")) & (F.col("_range") == F.col("_at")))
-    inner = F.sum(F.col(flag).cast("long")).over(Window.partitionBy(by, "_range").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return joined.withColumn(out, inner + F.col("_before")).drop("_range", "_by", "_at", "_before")
-
-
-def one_job_budget(passed: DataFrame, options: Admission = Admission(), used: DataFrame | None = None) -> DataFrame:
-    """Budgets when no domain is shared by several jobs: rank within the domain, then rank of the survivors within the job.
+def one_job_budget(passed: DataFrame, options: Admission = Admission(), used: DataFrame | None = None, ranges: int | None = None) -> DataFrame:
+    """Budgets when no domain is shared by several jobs: rank within the domain, then rank of the survivors within the job, by scans over ranges of the order.
 
     Equal to the greedy order: once a job is full nothing later of it is accepted, so its refusals cannot use up a domain.
     The reason follows from how many of the domain were accepted before. `used` holds what earlier batches accepted.
     """
     cap = F.least(F.lit(options.global_domain_cap), F.coalesce("max_pages_per_domain", F.lit(2**62)))
-    rows = _with_used(passed, used).withColumn("_fits", F.row_number().over(Window.partitionBy("root").orderBy("seq")) + F.col("_root_used") <= cap)
-    rows = running_count(rows, "job_id", "seq", "_fits", "_rank")
+    rows = _with_used(passed, used).withColumn("_range", place(passed, "seq", ranges))
+    rows = carried(rows, ["root"], "seq", F.lit(1).cast("long"), "_place").withColumn("_fits", F.col("_place") + F.col("_root_used") <= cap)
+    rows = carried(rows, ["job_id"], "seq", F.col("_fits").cast("long"), "_rank")
     rows = rows.withColumn("_ok", F.col("_fits") & (F.col("_rank") + F.col("_job_used") <= F.coalesce("max_pages", F.lit(2**62))))
-    taken = F.col("_root_used") + F.coalesce(F.sum(F.col("_ok").cast("long")).over(Window.partitionBy("root").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = carried(rows, ["root"], "seq", F.col("_ok").cast("long"), "_taken")
+    taken = F.col("_root_used") + F.col("_taken") - F.col("_ok").cast("long")
     reason = F.when(taken >= options.global_domain_cap, "domain_cap").when(taken >= F.col("max_pages_per_domain"), "job_domain_cap").otherwise("job_cap")
-    return rows.withColumn("reason", F.when(~F.col("_ok"), reason)).drop("_fits", "_ok", "_rank", "_root_used", "_job_used")
+    return rows.withColumn("reason", F.when(~F.col("_ok"), reason)).select(*passed.columns)
+
+
+#: `at` of a limit that earlier batches have used up.
+_SPENT = -(2**63)
 
 
-def greedy_budget(passed: DataFrame, options: Admission = Admission(), used: DataFrame | None = None) -> DataFrame:
-    """Budgets in arrival order when jobs share domains: counters rise on acceptance alone.
+def greedy_budget(passed: DataFrame, options: Admission = Admission(), used: DataFrame | None = None, ranges: int | None = None) -> DataFrame:
+    """Budgets in arrival order when jobs share domains: counters rise on acceptance alone. `seq` must differ between rows.
 
-    The order is total over a group of jobs connected by shared domains, so such a group is folded by one task in sorted
-    order, holding counters only; groups run in parallel.
+    A limit is a domain's count reaching a level or a job's count reaching its pages; it binds after one row, and a row is accepted if no limit of its own has
+    bound before it. So the greedy order is told by the `seq` at which each limit binds. These are found by rounds: from the limits of the round before
+    follows which rows are accepted, and from these where each limit is reached (counts by ranges of the order, then a rank within the one range
+    where it happens). In a round every limit up to the first wrong one comes out right, and the next after it too, so the rounds end, at the only
+    state that repeats itself: the greedy one. No task holds a job's or a domain's rows. Rows whose domain and job cannot run full are left out of the rounds.
     """
-    kept = passed.schema
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        domains: dict[str, int] = {}
-        jobs: dict[str, int] = {}
-        group = None
-        for rows in batches:
-            reasons = []
-            for g, root, job, own, most, spent, sent in zip(rows["_group"], rows["root"], rows["job_id"], rows["max_pages_per_domain"], rows["max_pages"], rows["_root_used"], rows["_job_used"], strict=True):
-                if g != group:
-                    group, domains, jobs = g, {}, {}
-                d, j = domains.get(root, spent), jobs.get(job, sent)
-                if d >= options.global_domain_cap:
-                    reasons.append("domain_cap")
-                elif not pd.isna(own) and d >= own:
-                    reasons.append("job_domain_cap")
-                elif not pd.isna(most) and j >= most:
-                    reasons.append("job_cap")
-                else:
-                    reasons.append(None)
-                    domains[root], jobs[job] = d + 1, j + 1
-            yield rows.drop(columns=["_group", "_root_used", "_job_used"]).assign(reason=pd.Series(reasons, index=rows.index, dtype=object))
-
-    groups = job_groups(passed)
-    joined = _with_used(passed.join(F.broadcast(groups), passed["job_id"].eqNullSafe(groups["_j"]), "left").drop("_j"), used)
-    ordered = joined.select("*").repartition("_group").sortWithinPartitions("_group", "seq")
-    return ordered.mapInPandas(fold, kept)
-
-
-def job_groups(passed: DataFrame) -> DataFrame:
-    """(_j, _group): jobs connected over shared domains; one row per job, found on the driver from distinct shared pairs of jobs."""
-    per = passed.select("root", "job_id").distinct()
-    lead = per.groupBy("root").agg(F.min("job_id").alias("lead"))
-    pairs = per.join(lead, "root").select("job_id", "lead").distinct().collect()  # jobs are few: one row per (job, smallest job sharing a domain)
-    up: dict = {}
-
-    def find(x):
-        while up.setdefault(x, x) != x:
-            x = up[x]
-        return x
-
-    for job, first in pairs:
-        a, b = find(job), find(first)
-        if a != b:
-            up[max(a, b, key=str)] = min(a, b, key=str)
-    rows = [(j, str(find(j))) for j in {j for j, _ in pairs}]
-    return passed.sparkSession.createDataFrame(rows, "_j string, _group string")
-
-
-def admit(edges: DataFrame, jobs: DataFrame, pages: DataFrame | None = None, seen: DataFrame | None = None, options: Admission = Admission(), shared_domains: bool | None = None, used: DataFrame | None = None, kept: list | None = None) -> DataFrame:
+    name = lambda c: F.when(F.col(c).isNull(), "-").otherwise(F.concat(F.lit("="), c))
+    top = F.lit(options.global_domain_cap).cast("long")
+    own = F.least(top, F.coalesce("max_pages_per_domain", top)).cast("long")
+    rows = _with_used(passed, used).select("seq", name("root").alias("root"), name("job_id").alias("job"), own.alias("level"), F.col("max_pages").cast("long").alias("pages"), "_root_used", "_job_used")
+    rows = keep(rows.withColumn("at", place(passed, "seq", ranges)))
+    limits = keep(_limits(rows, top))
+    busy = limits.select("kind", "key").distinct()
+    both = F.array(F.struct(F.lit("domain").alias("kind"), F.col("root").alias("key")), F.struct(F.lit("job").alias("kind"), F.col("job").alias("key")))
+    known = limits
+    while True:
+        events = _accepted(rows, known).select("seq", "at", F.explode(both).alias("e")).select("seq", "at", "e.kind", "e.key").join(busy, ["kind", "key"])
+        counts = events.groupBy("kind", "key", "at").agg(F.count(F.lit(1)).alias("n"))
+        upto = counts.withColumn("upto", F.sum("n").over(Window.partitionBy("kind", "key").orderBy("at")))  # at most one row a range
+        hit = limits.filter("left > 0").join(upto, ["kind", "key"]).filter("upto >= left and upto - n < left").select("kind", "key", "level", "at", (F.col("left") - (F.col("upto") - F.col("n"))).alias("nth"))
+        inside = events.join(hit.select("kind", "key", "at").distinct(), ["kind", "key", "at"]).withColumn("nth", F.row_number().over(Window.partitionBy("kind", "key", "at").orderBy("seq")))
+        found = inside.join(hit, ["kind", "key", "at", "nth"]).select("kind", "key", "level", F.col("seq").alias("_binds"))
+        new = keep(limits.join(found, ["kind", "key", "level"], "left").withColumn("binds", F.coalesce("_binds", "binds")).drop("_binds"))
+        changed = new.join(known.select("kind", "key", "level", F.col("binds").alias("_was")), ["kind", "key", "level"]).filter(~F.col("binds").eqNullSafe(F.col("_was"))).limit(1).count()
+        known = new
+        if not changed:
+            break
+    after = lambda kind, of: known.filter(F.col("kind") == kind).select(F.col("key").alias(f"_key{of}"), F.col("level").alias(f"_level{of}"), F.col("binds").alias(f"_binds{of}"))
+    out = passed.withColumn("_root", name("root")).withColumn("_job", name("job_id")).withColumn("_own", own)
+    out = out.join(after("domain", 0), (F.col("_root") == F.col("_key0")) & (F.col("_level0") == top), "left")
+    out = out.join(after("domain", 1), (F.col("_root") == F.col("_key1")) & (F.col("_level1") == F.col("_own")), "left")
+    out = out.join(after("job", 2), F.col("_job") == F.col("_key2"), "left")
+    late = lambda of: F.col("seq") > F.col(f"_binds{of}")
+    reason = F.when(late(0), "domain_cap").when(late(1), "job_domain_cap").when(late(2), "job_cap")
+    return out.withColumn("reason", reason).select(*passed.columns)
+
+
+def _limits(rows: DataFrame, top: Column) -> DataFrame:
+    """(kind, key, level, left, binds): the limits that could bind, given how many rows there are: how much is left of each, and `_SPENT` where nothing is."""
+    domains = rows.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.max("_root_used").alias("used"), F.array_distinct(F.array_append(F.collect_set("level"), top)).alias("levels"))  # levels: one a job at most
+    domains = domains.select(F.lit("domain").alias("kind"), F.col("root").alias("key"), F.explode("levels").alias("level"), "n", "used")
+    jobs = rows.filter("pages is not null").groupBy("job").agg(F.count(F.lit(1)).alias("n"), F.max("_job_used").alias("used"), F.max("pages").alias("level"))
+    all_ = domains.union(jobs.select(F.lit("job"), "job", "level", "n", "used")).withColumn("left", F.col("level") - F.col("used"))
+    return all_.filter("n > left").select("kind", "key", "level", "left", F.when(F.col("left") <= 0, _SPENT).cast("long").alias("binds"))
+
+
+def _accepted(rows: DataFrame, limits: DataFrame) -> DataFrame:
+    """The rows that no limit of their domain and job has bound before."""
+    domains = limits.filter("kind = 'domain' and binds is not null").select(F.col("key").alias("root"), "level", F.col("binds").alias("_d"))
+    jobs = limits.filter("kind = 'job' and binds is not null").select(F.col("key").alias("job"), F.col("binds").alias("_j"))
+    met = rows.join(domains, ["root", "level"], "left").join(jobs, "job", "left")
+    return met.filter((F.col("_d").isNull() | (F.col("seq") <= F.col("_d"))) & (F.col("_j").isNull() | (F.col("seq") <= F.col("_j"))))
+
+
+def admit(edges: DataFrame, jobs: DataFrame, pages: Known = None, seen: Known = None, options: Admission = Admission(), shared_domains: bool | None = None, used: DataFrame | None = None, kept: list | None = None) -> DataFrame:
     """Every edge with url_norm, root, kind and reason; null reason: admitted. `shared_domains` chooses the budget fold (None: looked up).
 
     `used` (root, job_id, n) is what earlier batches accepted. The screened rows are persisted, as three branches read them; `kept` gets

@@ -8,6 +8,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from ..sources.shared import keep
 from .manifest import latest
 
 
@@ -42,29 +43,39 @@ def best_files(files: DataFrame, preference: Column) -> DataFrame:
 class Bloom:
     """A bloom filter of URLs made by DataFrame aggregation: no false negatives, about `fpp` false positives; for a prefilter before an exact check.
 
-    Its words (64 bits each) are fixed in number by `capacity` and `fpp` whatever it is given, so a filter whose `capacity` fits may be
-    broadcast; a larger one is joined by word, like any table.
+    The bits lie in blocks of `BITS`. A value sets places of one block, so a probe is one join by block, and the places are tested
+    in the array of the block's words as part of one expression. The number of blocks follows from `capacity` and `fpp`, whatever the filter is given: up to
+    `broadcast_words` words of 64 bits it is broadcast, and beyond that the rows are shuffled by block, once.
     """
 
+    BITS = 4096
+
     def __init__(self, capacity: int, fpp: float = 0.001, broadcast_words: int = 1 << 20):
-        bits = max(64, math.ceil(-capacity * math.log(fpp) / math.log(2) ** 2))
-        self.words, self.hashes = -(-bits // 64), max(1, round(bits / capacity * math.log(2)))
+        bits = max(self.BITS, math.ceil(-capacity * math.log(fpp) / math.log(2) ** 2))
+        self.blocks, self.hashes = -(-bits // self.BITS), max(1, round(-math.log2(fpp)))
+        self.words = self.blocks * self.BITS // 64
         self.small, self.count, self.table, self._held = self.words <= broadcast_words, 0, None, None
 
-    def _bits(self, column: str) -> Column:
-        """The places (word, mask) of a value: double hashing of two 64-bit hashes."""
-        size = F.lit(self.words * 64).cast("long")
-        first, second = F.pmod(F.xxhash64(column), size), F.pmod(F.xxhash64(F.lit("bloom"), column), size)
-        at = lambda k: F.pmod(first + k * second, size)
-        return F.transform(F.sequence(F.lit(0).cast("long"), F.lit(self.hashes - 1).cast("long")), lambda k: F.struct((at(k) / 64).cast("long").alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(at(k), F.lit(64)).cast("int")).alias("mask")))
+    def _block(self, column: str) -> Column:
+        return F.pmod(F.xxhash64(column), F.lit(self.blocks)).cast("int")
+
+    def _places(self, column: str) -> list[Column]:
+        """The places of a value in its block: five of twelve bits from each further hash."""
+        hashes = [F.xxhash64(F.lit(f"bloom{j}"), column) for j in range(-(-self.hashes // 5))]
+        return [F.shiftright(hashes[i // 5], 12 * (i % 5)).bitwiseAND(self.BITS - 1).cast("int") for i in range(self.hashes)]
 
     def mark(self, rows: DataFrame, column: str) -> Bloom:
         """Add all values of a column; nulls are left out. `count` grows by the number of rows, repeats included, as counted in the same pass."""
         seen = Observation()
-        bits = rows.observe(seen, F.count(column).alias("n")).filter(F.col(column).isNotNull()).select(F.explode(self._bits(column)).alias("b")).select("b.*")
-        table = bits if self.table is None else bits.union(self.table)
-        self.table = table.groupBy("word").agg(F.bit_or("mask").alias("mask")).persist()
-        self.table.count()
+        own = rows.observe(seen, F.count(column).alias("n")).filter(F.col(column).isNotNull())
+        bits = own.select(self._block(column).alias("block"), F.explode(F.array(*self._places(column))).alias("at"))
+        words = bits.select("block", F.expr("int(at / 64)").alias("word"), F.expr("shiftleft(1L, at % 64)").alias("mask"))
+        if self.table is not None:
+            words = words.union(self.table.select("block", F.posexplode("words").alias("word", "mask")).filter("mask <> 0"))
+        found = words.groupBy("block", "word").agg(F.bit_or("mask").alias("mask"))  # summed up before the shuffle: one row a word at most
+        packed = found.groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("word", "mask"))).alias("m"))
+        every = F.transform(F.sequence(F.lit(0), F.lit(self.BITS // 64 - 1)), lambda w: F.coalesce(F.try_element_at("m", w), F.lit(0).cast("long")))
+        self.table = keep(packed.select("block", every.alias("words")))
         self._held = None
         self.count += seen.get["n"]
         return self
@@ -73,11 +84,12 @@ class Bloom:
         """`rows` with `maybe_seen`: false only for values that were never added. Null values were not."""
         if self.table is None:
             return rows.withColumn("maybe_seen", F.lit(False))
-        own = rows.select(column).filter(F.col(column).isNotNull()).distinct().withColumn("b", F.explode(self._bits(column)))
-        known = F.broadcast(self.table) if self.small else self.table
-        hit = own.join(known.withColumnRenamed("mask", "_m"), F.col("b.word") == F.col("word")).filter(F.col("b.mask").bitwiseAND(F.col("_m")) != 0)
-        seen = hit.groupBy(F.col(column).alias("_v")).agg(F.count_distinct("b").alias("_n")).join(own.groupBy(F.col(column).alias("_w")).agg(F.count_distinct("b").alias("_all")), F.col("_v") == F.col("_w")).filter("_n = _all").select("_v")
-        return rows.join(seen, F.col(column) == F.col("_v"), "left").withColumn("maybe_seen", F.col("_v").isNotNull()).drop("_v")
+        known = self.table.withColumnRenamed("block", "_block").withColumnRenamed("words", "_words")
+        met = rows.join(F.broadcast(known) if self.small else known, self._block(column) == F.col("_block"), "left")
+        hit = F.col("_words").isNotNull() & F.col(column).isNotNull()
+        for p in self._places(column):
+            hit = hit & (F.call_function("shiftright", F.get("_words", F.call_function("shiftright", p, F.lit(6))), p.bitwiseAND(63)).bitwiseAND(1) == 1)
+        return met.withColumn("maybe_seen", F.coalesce(hit, F.lit(False))).drop("_block", "_words")
 
     def unseen(self, rows: DataFrame, column: str, exact: DataFrame) -> DataFrame:
         """Rows whose value is not in `exact` (which has the column): only those that may have been seen meet the exact table."""
@@ -90,12 +102,12 @@ class Bloom:
         if self.table is None:
             return False
         if self._held is None:
-            self._held = {r["word"]: r["mask"] for r in self.table.collect()}
-        size, data = self.words * 64, value.encode()
-        first = _signed(xxhash.xxh64_intdigest(data, 42)) % size
-        second = _signed(xxhash.xxh64_intdigest(data, xxhash.xxh64_intdigest(b"bloom", 42))) % size
-        places = [(first + k * second) % size for k in range(self.hashes)]
-        return all(self._held.get(p // 64, 0) >> p % 64 & 1 for p in places)
+            self._held = {r["block"]: r["words"] for r in self.table.collect()}
+        data = value.encode()
+        words = self._held.get(_signed(xxhash.xxh64_intdigest(data, 42)) % self.blocks)
+        hashes = [xxhash.xxh64_intdigest(data, xxhash.xxh64_intdigest(f"bloom{j}".encode(), 42)) for j in range(-(-self.hashes // 5))]
+        places = [hashes[i // 5] >> 12 * (i % 5) & self.BITS - 1 for i in range(self.hashes)]
+        return words is not None and all(words[p // 64] >> p % 64 & 1 for p in places)
 
 
 def _signed(x: int) -> int:

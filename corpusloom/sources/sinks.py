@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import page_artifact_path
 from ..operators.reports import PAGE_CSV, attribution_lines, page_csv_lines, summary_json
+from .keyed import BucketTable
 
 
 def _fs(spark: SparkSession, path: str):
@@ -17,6 +18,11 @@ def _fs(spark: SparkSession, path: str):
     return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), jvm
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    p, fs, _ = _fs(spark, path)
+    return fs.exists(p)
+
+
 def put_text(spark: SparkSession, path: str, text: str | bytes) -> None:
     p, fs, _ = _fs(spark, path)
     out = fs.create(p, True)
@@ -56,7 +62,9 @@ def publish(rows: DataFrame, table: str, partition_by: list[str] | None = None)
 
 
 def read_table(spark: SparkSession, table: str) -> DataFrame | None:
-    """The current version of a published table, or all batches of one that grows by batches; None where there is neither."""
+    """The current version of a published table or of one by buckets, or all batches of one that grows by batches; None where there is none."""
+    if BucketTable.exists(spark, table):
+        return BucketTable(spark, table, []).read()
     path = current(spark, table)
     if path:
         return spark.read.parquet(path)

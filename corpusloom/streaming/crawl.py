@@ -15,9 +15,10 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.admission import accepted_counts, admit, decode_edges, tasks
-from ..operators.manifest import PAGE_KEY, insert_if_absent, merge_tracks, page_rows, result_tracks
+from ..operators.manifest import PAGE_KEY, TRACK_KEY, latest, merge_tracks, page_rows, result_tracks
 from ..plans.options import Admission
 from ..sources import sinks
+from ..sources.keyed import BucketTable, KeyIndex
 
 
 def edges(raw: DataFrame, payload: str = "value") -> tuple[DataFrame, DataFrame]:
@@ -26,28 +27,34 @@ def edges(raw: DataFrame, payload: str = "value") -> tuple[DataFrame, DataFrame]
     return parsed.filter("_e is not null").select(F.explode("_e").alias("e")).select("e.*"), parsed.filter("_e is null").select(payload)
 
 
-def admission_stream(raw: DataFrame, jobs: Callable[[], DataFrame], pages: Callable[[], DataFrame | None], out: str, checkpoint: str, options: Admission = Admission()) -> StreamingQuery:
+def admission_stream(raw: DataFrame, jobs: Callable[[], DataFrame], pages: Callable[[], DataFrame | KeyIndex | None], out: str, checkpoint: str, options: Admission = Admission(), publish: bool = False) -> StreamingQuery:
     """Admit each micro-batch against the jobs and pages as they are then, and the tasks written so far; refused rows go beside the tasks.
 
     Budgets hold over the life of the stream: each batch starts from what the earlier ones accepted, which is kept as counts by
-    domain and job, added up every `TOTALS` batches. A batch's tasks and counts are written under its number, and a replay overwrites them, so a crash between write and commit
-    leaves no repeats. Any failure in the existence check fails the batch, which is then replayed.
+    domain and job, added up every `TOTALS` batches. What was admitted before is told by a key index, whose runs a batch neither shuffles nor sorts; `pages`
+    may be one too (`result_stream` keeps one beside its pages). A batch's tasks, counts and keys are written under its number, and a replay
+    overwrites them, so a crash between write and commit leaves no repeats. Any failure in the existence check fails the batch, which is then replayed. With
+    `publish`, the tasks are also written as messages by batch number, in the form that `tables.messages` reads.
     """
+    seen = KeyIndex(raw.sparkSession, f"{out}/seen")
+    key = ["url_norm"] if options.url_across_jobs else ["job_id", "url_norm"]
 
     def run(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
         good, bad = edges(batch)
         good = good.withColumn("seq", F.monotonically_increasing_id())
-        seen = _earlier(spark, f"{out}/tasks", number)
         kept: list[DataFrame] = []
-        rows = admit(good, jobs(), pages(), seen, options, used=_used(spark, out, number), kept=kept).persist()
+        earlier = lambda rows, columns: seen.hits(rows, columns, number)
+        rows = admit(good, jobs(), pages(), earlier, options, used=_used(batch.sparkSession, out, number), kept=kept).persist()
         kept.append(rows)
         try:
             done = tasks(rows, options)
             accepted_counts(rows).write.mode("overwrite").parquet(f"{out}/counts/batch={number}")
             done.select("*", F.col("url").alias("url_norm")).write.mode("overwrite").parquet(f"{out}/tasks/batch={number}")
+            if publish:
+                sinks.published(done, f"{out}/messages/batch={number}", "overwrite")
             rows.filter("reason is not null").select("url", "job_id", "reason").write.mode("overwrite").parquet(f"{out}/rejected/batch={number}")
             bad.write.mode("overwrite").parquet(f"{out}/malformed/batch={number}")
+            seen.add(rows.filter("reason is null"), key, number)
         finally:
             for frame in kept:
                 frame.unpersist()
@@ -60,53 +67,54 @@ TOTALS = 32
 
 
 def _used(spark: SparkSession, out: str, number: int) -> DataFrame | None:
-    """(root, job_id, n) of all batches before this one: the last totals and the counts since."""
-    def read(kind: str, least: int) -> DataFrame | None:
-        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{out}/{kind}")
-        if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
-            return None
-        return spark.read.option("basePath", f"{out}/{kind}").parquet(f"{out}/{kind}").filter((F.col("batch") >= least) & (F.col("batch") < number if kind == "counts" else F.col("batch") <= least)).select("root", "job_id", "n")
+    """(root, job_id, n) of all batches before this one: the totals of the full rounds of `TOTALS` batches, and the counts since.
 
-    since = number // TOTALS * TOTALS
-    counts = read("counts", since)
-    if since == 0:
-        return counts
-    before = read("totals", since)
-    if before is None or not before.limit(1).count():  # the first batch after a full round adds it up
-        older, last = read("counts", since - TOTALS), read("totals", since - TOTALS) if since > TOTALS else None
-        whole = older.filter("n > 0") if last is None else older.union(last)
-        whole.groupBy("root", "job_id").agg(F.sum("n").alias("n")).write.mode("overwrite").parquet(f"{out}/totals/batch={since}")
-        before = read("totals", since)
-    return before if counts is None else before.union(counts)
+    The first batch after a round adds it up from the counts of that round and the totals before it alone; a total without rows counts as made.
+    """
 
+    def read(kind: str, batches: range) -> DataFrame | None:
+        paths = [f"{out}/{kind}/batch={n}" for n in batches if sinks.exists(spark, f"{out}/{kind}/batch={n}")]
+        return spark.read.schema("root string, job_id string, n long").parquet(*paths) if paths else None
 
-def _earlier(spark: SparkSession, path: str, number: int) -> DataFrame | None:
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
-        return None
-    return spark.read.parquet(path).filter(F.col("batch") < number).select("job_id", "url_norm")
+    def both(a: DataFrame | None, b: DataFrame | None) -> DataFrame | None:
+        return a if b is None else b if a is None else a.union(b)
+
+    since = number // TOTALS * TOTALS
+    if since and not sinks.exists(spark, f"{out}/totals/batch={since}/_SUCCESS"):
+        whole = both(read("counts", range(since - TOTALS, since)), read("totals", range(since - TOTALS, since - TOTALS + 1)))
+        if whole is not None:
+            whole.groupBy("root", "job_id").agg(F.sum("n").alias("n")).write.mode("overwrite").parquet(f"{out}/totals/batch={since}")
+    return both(read("counts", range(since, number)), read("totals", range(since, since + 1)))
 
 
 def result_stream(results: DataFrame, table: str, checkpoint: str, now: Callable[[], F.Column] = F.current_timestamp) -> StreamingQuery:
-    """Append page rows of new keys, batch by batch, and merge media rows into the manifest as a new version of it.
+    """Append page rows of new keys, batch by batch, and merge media rows into the buckets of the manifest that they fall in.
 
-    Pages are never written again: a batch adds its own rows, whose keys earlier batches do not hold.
+    Pages are never written again: a batch adds its own rows, whose keys are not in the key index of earlier batches (`page_index`). The manifest's other
+    buckets keep their files. Each step is under the batch's number and starts from what the batch before left, so a replay does the same again.
     """
+    spark = results.sparkSession
+    known, tracks = page_index(spark, table), BucketTable(spark, f"{table}/tracks", TRACK_KEY)
 
     def run(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
         rows = page_rows(batch, now()).withColumn("seq", F.monotonically_increasing_id())
-        old = sinks.read_batches(spark, f"{table}/pages", before=number)
-        empty = rows.drop("seq").limit(0)
-        sinks.write_batch(insert_if_absent(rows, old if old is not None else empty, PAGE_KEY).drop("seq"), f"{table}/pages", number)
-        merged = result_tracks(batch).withColumn("seq", F.lit(number).cast("long"))
-        tracks = sinks.read_table(spark, f"{table}/tracks")
-        base = tracks if tracks is not None else merged.drop("seq").limit(0)
-        sinks.publish(merge_tracks(base, merged, order="seq"), f"{table}/tracks")
+        fresh = known.unseen(latest(rows, PAGE_KEY, ["seq"], first=True), PAGE_KEY, number).drop("seq").persist()
+        try:
+            sinks.write_batch(fresh, f"{table}/pages", number)
+            known.add(fresh, PAGE_KEY, number)
+        finally:
+            fresh.unpersist()
+        merged = result_tracks(batch).withColumn("seq", F.monotonically_increasing_id())
+        tracks.merge(merged, lambda old, new: merge_tracks(old, new, order="seq"), number, empty=merged.drop("seq"))
 
     return results.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def page_index(spark: SparkSession, table: str) -> KeyIndex:
+    """The keys (domain, job_id, url) of a table of pages that `result_stream` writes; `admission_stream` takes it in place of the pages."""
+    return KeyIndex(spark, f"{table}/page_keys")
+
+
 def first_seen(urls: DataFrame, key: list[str], event_time: str | None = None, within: str | None = None) -> DataFrame:
     """First occurrence of each key over the whole stream, or within a watermark so that state is bounded."""
     if event_time is None or within is None:

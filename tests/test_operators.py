@@ -56,6 +56,31 @@ def test_bloom_prefilter(spark):
         assert parted.filter("maybe_seen").count() <= 1005 and not parted.filter("url is null").first().maybe_seen
         assert bloom.unseen(urls(0, 1200), "url", urls(0, 1000)).count() == 200
     assert bloom.probably_seen("https://e.com/5") and not dedup.Bloom(10).probably_seen("x")
+    both = {r.url: r.maybe_seen for r in bloom.split(urls(900, 1400), "url").collect()}
+    assert all(bloom.probably_seen(u) == seen for u, seen in both.items())
+
+
+def test_bloom_at_its_capacity_keeps_its_rate(spark):
+    urls = lambda a, b: spark.range(a, b).select(F.concat(F.lit("https://e.com/"), "id").alias("url"))
+    for fpp in (0.01, 0.001):
+        bloom = dedup.Bloom(60_000, fpp).mark(urls(0, 60_000), "url")
+        assert bloom.split(urls(0, 60_000), "url").filter("not maybe_seen").count() == 0
+        wrong = bloom.split(urls(60_000, 260_000), "url").filter("maybe_seen").count()
+        assert wrong <= 2 * fpp * 200_000
+
+
+def test_bloom_probes_without_a_row_for_each_place(spark):
+    urls = spark.range(5000).select(F.concat(F.lit("https://e.com/"), "id").alias("url"))
+    for words, exchanges in ((1 << 20, 0), (0, 1)):
+        bloom = dedup.Bloom(5000, 0.001, words).mark(urls, "url")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # what Spark would send by its own estimate of the size
+        try:
+            text = bloom.split(urls, "url")._jdf.queryExecution().executedPlan().toString()
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        assert "Generate" not in text and "explode" not in text
+        # one exchange of the rows and one of the blocks where the filter is too large to be broadcast
+        assert ("BroadcastExchange" in text) == (words > 0) and text.count("Exchange hashpartitioning") == 2 * exchanges
 
 
 def test_messages_come_back(spark, tmp_path):

@@ -90,3 +90,36 @@ def test_windows(spark, tmp_path):
     first = crawl.first_seen(spark.readStream.schema("ts timestamp, k string").json(str(raw)), ["k"], "ts", "1 hour")
     first.writeStream.format("memory").queryName("f").trigger(availableNow=True).start().awaitTermination()
     assert spark.table("f").count() == 1
+
+
+def test_budgets_over_many_batches(spark, tmp_path, monkeypatch):
+    """Forty batches, the first 33 of which admit nothing, across the rounds at which counts are added up; each batch runs twice."""
+    monkeypatch.setattr(crawl, "TOTALS", 4)
+    out, total = str(tmp_path / "out"), {}
+    for number in range(40):
+        for _ in range(2):
+            used = crawl._used(spark, out, number)
+            got = {} if used is None else {(r.root, r.job_id): r.n for r in used.groupBy("root", "job_id").agg(F.sum("n").alias("n")).collect()}
+            assert got == total, number
+            rows = [("a.com", "j", 3), (f"b{number}.com", "k", 1)] if number >= 33 else []
+            spark.createDataFrame(rows, "root string, job_id string, n long").coalesce(1).write.mode("overwrite").parquet(f"{out}/counts/batch={number}")
+        for root, j, n in rows:
+            total[root, j] = total.get((root, j), 0) + n
+
+
+def test_a_stream_keeps_to_its_budget_and_knows_its_pages(spark, tmp_path):
+    jobs = spark.createDataFrame([("j", "Running", 3, 4, None, [], [], [], True, None, [])], JOB)
+    raw, out, ck, table = tmp_path / "raw", str(tmp_path / "out"), str(tmp_path / "ck"), str(tmp_path / "t")
+    land(tmp_path / "results", {"job_id": "j", "source_url": "https://a.com/9", "domain": "a.com", "status": {"kind": "Success"}, "crawl_duration_ms": 3})
+    crawl.result_stream(spark.readStream.schema(RESULT).json(str(tmp_path / "results")), table, str(tmp_path / "ck2"), lambda: F.timestamp_millis(F.lit(0))).awaitTermination()
+    reasons = []
+    for batch in range(4):
+        land(raw, *[edge(f"https://a.com/{n}") for n in (9, batch, batch + 1, batch + 20)])
+        crawl.admission_stream(spark.readStream.text(str(raw)), lambda: jobs, lambda: crawl.page_index(spark, table), out, ck, publish=True).awaitTermination()
+        reasons.append(sorted((int(r.url.rsplit("/", 1)[1]), r.reason) for r in spark.read.parquet(f"{out}/rejected/batch={batch}").collect()))
+    assert sorted(int(r.url.rsplit("/", 1)[1]) for r in spark.read.parquet(f"{out}/tasks").collect()) == [0, 1, 2, 20]
+    assert reasons[0] == [(9, "already_crawled")] and reasons[1] == [(1, "seen"), (9, "already_crawled"), (21, "job_cap")]
+    assert reasons[2] == [(2, "seen"), (3, "job_cap"), (9, "already_crawled"), (22, "job_cap")]
+    good, bad = tables.messages(spark, f"{out}/messages/*", TASK)
+    good.writeStream.format("memory").queryName("sent").trigger(availableNow=True).start().awaitTermination()
+    assert spark.table("sent").count() == 4
