@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import csv_field, rfc3339, track_exported
-from .scans import running
+from .scans import ranked, running
 
 PAGE_CSV = ["domain", "job_id", "url", "http_status", "content_length", "content_hash", "title", "language", "content_ref", "crawled_at"]
 
@@ -46,7 +46,6 @@ def license_groups(tracks: DataFrame) -> DataFrame:
 
 def attribution_lines(tracks: DataFrame, engine: str = "corpusloom") -> DataFrame:
     """(section, license, rank, line): the attribution text in order of these columns."""
-    rank = F.row_number().over(Window.partitionBy("license").orderBy("source", "source_id"))
     line = lambda cond, text: F.when(cond, text)
     entry = F.array_compact(F.array(
         F.concat(F.lit("- "), F.coalesce("title", F.lit("(untitled)")), F.lit(" — "), F.coalesce("artist", F.lit("(unknown artist)"))),
@@ -56,7 +55,8 @@ def attribution_lines(tracks: DataFrame, engine: str = "corpusloom") -> DataFram
         F.when(F.col("license_url").isNotNull(), F.concat(F.lit("  License: "), "license", F.lit(" ("), "license_url", F.lit(")"))).otherwise(F.concat(F.lit("  License: "), "license")),
         F.concat(F.lit("  URL: "), "url"),
     ))
-    tracks_ = tracks.select(F.lit(1).alias("section"), "license", rank.alias("rank"), F.concat_ws("\n", entry).alias("line"))
+    entries = tracks.select("license", "source", "source_id", F.concat_ws("\n", entry).alias("line"))
+    tracks_ = ranked(entries, ["license"], ["source", "source_id"], "rank").select(F.lit(1).alias("section"), "license", F.col("rank").cast("int").alias("rank"), "line")
     groups = license_groups(tracks)
     heads = groups.select(F.lit(1).alias("section"), "license", F.lit(0).alias("rank"), F.format_string("== License: %s (%d tracks) ==", "license", "tracks").alias("line"))
     gaps = groups.select(F.lit(1).alias("section"), "license", F.lit(2**31 - 1).alias("rank"), F.lit("").alias("line"))
@@ -77,11 +77,15 @@ def pages_of_domain(pages: DataFrame, domain: str, job_id: str | None = None) ->
     return rows.select(*PAGE_CSV)
 
 
-def page_csv_lines(pages: DataFrame) -> DataFrame:
-    """CSV lines: text fields quoted, no length counts as 0, times in RFC 3339."""
+def page_csv_line() -> Column:
+    """A page as a CSV line: text fields quoted, no length counts as 0, times in RFC 3339."""
     text = {c: csv_field(F.col(c)) for c in ("domain", "url", "content_hash", "title", "language", "content_ref")}
     text |= {"job_id": F.col("job_id"), "http_status": F.col("http_status").cast("string"), "content_length": F.coalesce("content_length", F.lit(0)).cast("string"), "crawled_at": csv_field(rfc3339(F.col("crawled_at")))}
-    return pages.select(F.concat_ws(",", *[text[c] for c in PAGE_CSV]).alias("line"))
+    return F.concat_ws(",", *[text[c] for c in PAGE_CSV])
+
+
+def page_csv_lines(pages: DataFrame) -> DataFrame:
+    return pages.select(page_csv_line().alias("line"))
 
 
 def outcome_counts(results: DataFrame) -> DataFrame:

@@ -11,6 +11,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import keep
+
 
 def ranges_of(rows: DataFrame) -> int:
     """As many ranges as the session shuffles to, 16 at least."""
@@ -52,3 +54,19 @@ def carried(rows: DataFrame, by: list[str], order: str, value: Column, out: str,
 def running(rows: DataFrame, by: list[str], order: str, value: Column, out: str, how: str = "sum", ranges: int | None = None) -> DataFrame:
     """`carried` over ranges made for this one scan."""
     return carried(rows.withColumn("_range", place(rows, order, ranges)), by, order, value, out, how).drop("_range")
+
+
+def ranked(rows: DataFrame, by: list[str], order: list[str], out: str, ranges: int | None = None) -> DataFrame:
+    """Adds `out`: the place of each row among those with its `by`, in `order`, from 1. Rows are dealt by ranges of (by, order) and written once; a range is numbered
+    by itself and begins after the rows of its group in the ranges before, so a group of any size is spread."""
+    dealt = keep(rows.repartitionByRange(ranges or ranges_of(rows), *by, *order).withColumn("_range", F.spark_partition_id()))
+    keys = [F.col(c).alias(f"_k{i}") for i, c in enumerate(by)]
+    names = [f"_k{i}" for i in range(len(by))]
+    counts = dealt.groupBy(*keys, F.col("_range").alias("_at")).agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy(*names).orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)  # at most one row a range
+    before = counts.select(*names, "_at", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    same = F.col("_range") == F.col("_at")
+    for c, k in zip(by, names, strict=True):
+        same = same & F.col(c).eqNullSafe(F.col(k))
+    inner = F.row_number().over(Window.partitionBy(*by, "_range").orderBy(*order))
+    return dealt.withColumn("_in", inner).join(before, same).withColumn(out, F.col("_in") + F.col("_before")).drop("_range", "_in", "_at", "_before", *names)

@@ -395,9 +395,18 @@ def budget_one_job(spark: SparkSession, sf_dir: str) -> DataFrame:
     return admission.one_job_budget(rows).select("seq", "reason")
 
 
-@query()
+#: The greedy order told by recursion over what is accepted: the next accepted row is the first whose domain and job have room.
+_GREEDY = """WITH RECURSIVE o AS MATERIALIZED (SELECT o_orderkey AS seq, o_orderpriority AS root, CAST(o_custkey % 4 AS VARCHAR) AS job_id, CAST(left(o_orderpriority, 1) AS INT) AS r, CAST(o_custkey % 4 + 1 AS INT) AS j FROM orders),
+  a(seq, r, j, roots, jobs) AS (SELECT -1::BIGINT, 0, 0, [0, 0, 0, 0, 0], [0, 0, 0, 0] UNION ALL
+    SELECT n.seq, n.r, n.j, list_transform(roots, lambda x, i: CASE WHEN i = n.r THEN x + 1 ELSE x END), list_transform(jobs, lambda x, i: CASE WHEN i = n.j THEN x + 1 ELSE x END)
+    FROM (SELECT roots, jobs, min({'seq': o.seq, 'r': o.r, 'j': o.j}) AS n FROM a JOIN o ON o.seq > a.seq AND roots[o.r] < 60 AND jobs[o.j] < 70 GROUP BY ALL)),
+  t AS (SELECT o.*, a.seq IS NOT NULL AS ok, coalesce(sum((a.seq IS NOT NULL)::INT) OVER (PARTITION BY root ORDER BY o.seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS taken FROM o LEFT JOIN a ON a.seq = o.seq)
+SELECT seq, job_id, root, CASE WHEN ok THEN NULL WHEN taken >= 60 THEN 'job_domain_cap' ELSE 'job_cap' END AS reason FROM t"""
+
+
+@query(_GREEDY)
 def budget_many_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Greedy budgets of jobs that share domains: an ordered fold, beyond SQL."""
+    """Greedy budgets of jobs that share domains."""
     rows = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("seq"), F.col("o_orderpriority").alias("root"), (F.col("o_custkey") % 4).cast("string").alias("job_id"), F.lit(60).cast("long").alias("max_pages_per_domain"), F.lit(70).cast("long").alias("max_pages"), F.lit(None).cast("string").alias("reason"))
     return admission.greedy_budget(rows).select("seq", "job_id", "root", "reason")
 

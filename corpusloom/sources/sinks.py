@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import os
+import re
 import uuid
 
+import pandas as pd
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import page_artifact_path
-from ..operators.reports import PAGE_CSV, attribution_lines, page_csv_lines, summary_json
+from ..operators.reports import PAGE_CSV, attribution_lines, page_csv_line, summary_json
 from .keyed import BucketTable
 
 
@@ -100,49 +104,54 @@ def published(rows: DataFrame, path: str, mode: str = "append") -> None:
     rows.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value")).write.mode(mode).text(path)
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with its scheme and authority, as Hadoop resolves it: the same place for the driver and every task."""
+    p, fs, _ = _fs(spark, path)
+    whole = fs.makeQualified(p).toString()
+    return re.sub("^file:/(?!/)", "file:///", whole)
+
+
 def store_objects(objects: DataFrame, root: str) -> DataFrame:
     """Write (path, content) below `root`, one file for each path that is not there yet; return (path, object_path, bytes, written).
 
-    Tasks write through Hadoop's file system, each file under a name of its own first and then renamed, so that readers see whole files and
-    a repeated task changes nothing.
+    `root` is resolved once, by Hadoop, and tasks write to that very file system, each file under a name of its own first and then renamed,
+    so that readers see whole files and a repeated task changes nothing. Shared storage is up to the caller: `root` must be a place that all executors see.
     """
-    lookup = stored_objects(objects.select("path").distinct(), root)
-    wanted = objects.dropDuplicates(["path"]).join(lookup, "path")
+    base = root.rstrip("/")
+    wanted = objects.dropDuplicates(["path"]).withColumn("object_path", F.concat(F.lit(base + "/"), "path"))
     kind = "path string, object_path string, bytes long, written boolean"
-    return wanted.select("path", "object_path", "stored", "content").mapInPandas(_writer(root), kind)
+    return wanted.select("path", "object_path", "content").mapInPandas(_writer(qualified(objects.sparkSession, base)), kind)
 
 
 def stored_objects(paths: DataFrame, root: str) -> DataFrame:
-    """(path, object_path, stored): whether each path below `root` holds a file, from one listing of the store."""
-    spark, base = paths.sparkSession, root.rstrip("/")
-    p, fs, _ = _fs(spark, base)
-    if not fs.exists(p):
-        return paths.select("path", F.concat(F.lit(base + "/"), "path").alias("object_path"), F.lit(False).alias("stored"))
-    prefix = fs.makeQualified(p).toString() + "/"
-    there = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*").load(base).select(F.replace("path", F.lit(prefix), F.lit("")).alias("path"), F.lit(True).alias("_there"))
-    return paths.join(there, "path", "left").select("path", F.concat(F.lit(base + "/"), "path").alias("object_path"), F.coalesce("_there", F.lit(False)).alias("stored"))
-
-
-def _writer(root: str):
+    """(path, object_path, stored): whether each path below `root` holds a file; each is asked for by itself, in tasks, and nothing is listed."""
     base = root.rstrip("/")
+    top = qualified(paths.sparkSession, base)
 
-    def run(batches):
-        import os
+    @F.pandas_udf("boolean")
+    def there(names: pd.Series) -> pd.Series:
+        system, place = pafs.FileSystem.from_uri(top)
+        found = system.get_file_info([f"{place}/{n}" for n in names])
+        return pd.Series([f.type == pafs.FileType.File for f in found], dtype=bool)
+
+    return paths.select("path", F.concat(F.lit(base + "/"), "path").alias("object_path"), there("path").alias("stored"))
 
-        import pandas as pd
-        from pyarrow import fs as pafs
 
-        system, top = pafs.FileSystem.from_uri(base) if "://" in base else (pafs.LocalFileSystem(), base)
+def _writer(top: str):
+    def run(batches):
+        system, place = pafs.FileSystem.from_uri(top)
         for rows in batches:
             done = []
-            for path, target, stored, content in rows.itertuples(index=False):
-                if not stored:
-                    name, part = f"{top}/{path}", f"{top}/{path}.{uuid.uuid4().hex}.part"
+            for path, target, content in rows.itertuples(index=False):
+                name = f"{place}/{path}"
+                fresh = system.get_file_info(name).type != pafs.FileType.File
+                if fresh:
+                    part = f"{name}.{uuid.uuid4().hex}.part"
                     system.create_dir(os.path.dirname(name), recursive=True)
                     with system.open_output_stream(part) as out:
                         out.write(bytes(content))
                     system.move(part, name)
-                done.append((path, target, len(content), not stored))
+                done.append((path, target, len(content), fresh))
             yield pd.DataFrame(done, columns=["path", "object_path", "bytes", "written"])
 
     return run
@@ -157,17 +166,92 @@ def quarantine(rejected: DataFrame, folder: str) -> None:
     rejected.write.mode("append").partitionBy("reason").parquet(folder)
 
 
-def write_manifest(tracks: DataFrame, path: str) -> int:
-    """One JSON row per line, zstandard level 3, rows streamed in (source, source_id) order."""
-    import zstandard
+#: Rows of a part of a single-file export.
+PART_ROWS = 200_000
+
 
-    lines = tracks.orderBy("source", "source_id").select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("line"))
-    n = 0
-    with open(path, "wb") as f, zstandard.ZstdCompressor(level=3).stream_writer(f) as out:
-        for row in lines.toLocalIterator(prefetchPartitions=True):
-            out.write(row.line.encode() + b"\n")
-            n += 1
-    return n
+def write_ordered(lines: DataFrame, order: list[str], path: str, head: str = "", between: str = "\n", tail: str = "\n", compressed: bool = False) -> int:
+    """One file of the column `line` in order; return the number of rows.
+
+    Rows are dealt by ranges of the order, and each task writes its range as a part beside the target. The file system lays the parts
+    end to end, or else Hadoop copies their bytes; no row comes to the driver. With `compressed` each part is a zstandard frame of its own (level 3), and frames
+    may follow one another; then every line ends with a line feed, and there is no head.
+    """
+    spark = lines.sparkSession
+    n = lines.count()
+    folder = f"{path}.parts-{uuid.uuid4().hex}"
+    _fs(spark, folder)[1].mkdirs(_fs(spark, folder)[0])
+    dealt = lines.repartitionByRange(max(1, -(-n // PART_ROWS)), *order).sortWithinPartitions(*order).select("line")
+    done = dealt.mapInArrow(_part_writer(qualified(spark, folder), between, compressed), "part long, rows long").collect()  # one row a part
+    parts = [f"{folder}/{r['part']:08d}" for r in sorted(done, key=lambda r: r["part"])]
+    _laid_together(spark, parts, path, *(("", "", "") if compressed else (head, between, tail if parts or head else "")))
+    _fs(spark, folder)[1].delete(_fs(spark, folder)[0], True)
+    return sum(r["rows"] for r in done)
+
+
+def _part_writer(folder: str, between: str, compressed: bool):
+    def run(batches):
+        import contextlib
+
+        import pyarrow as pa
+        import zstandard
+        from pyspark import TaskContext
+
+        number, n = TaskContext.get().partitionId(), 0
+        system, place = pafs.FileSystem.from_uri(folder)
+        name, own = f"{place}/{number:08d}", f"{place}/{number:08d}.{uuid.uuid4().hex}"
+        with contextlib.ExitStack() as stack:
+            out = None
+            for batch in batches:
+                for line in batch.column(0).to_pylist():
+                    if out is None:
+                        out = stack.enter_context(system.open_output_stream(own))
+                        out = stack.enter_context(zstandard.ZstdCompressor(level=3).stream_writer(out, closefd=False)) if compressed else out
+                    elif not compressed:
+                        out.write(between.encode())
+                    out.write(line.encode() + (b"\n" if compressed else b""))
+                    n += 1
+        if n:
+            system.move(own, name)
+            yield pa.RecordBatch.from_pydict({"part": pa.array([number], pa.int64()), "rows": pa.array([n], pa.int64())})
+
+    return run
+
+
+def _laid_together(spark: SparkSession, parts: list[str], path: str, head: str, between: str, tail: str) -> None:
+    """The parts' bytes one after the other, under a name of its own until whole."""
+    p, fs, jvm = _fs(spark, path)
+    part, _, _ = _fs(spark, f"{path}.{uuid.uuid4().hex}")
+    places = [_fs(spark, x)[0] for x in parts]
+    if not head + between + tail and len(places) > 1 and fs.getScheme() == "hdfs":
+        array = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Path, len(places) - 1)
+        for i, x in enumerate(places[1:]):
+            array[i] = x
+        fs.concat(places[0], array)  # moves blocks, no bytes
+        fs.rename(places[0], part)
+    else:
+        out = fs.create(part, True)
+        try:
+            out.write(bytearray(head.encode()))
+            for i, x in enumerate(places):
+                out.write(bytearray((between if i else "").encode()))
+                source = fs.open(x)
+                try:
+                    jvm.org.apache.hadoop.io.IOUtils.copyBytes(source, out, 1 << 20, False)
+                finally:
+                    source.close()
+            out.write(bytearray(tail.encode()))
+        finally:
+            out.close()
+    fs.delete(p, False)
+    if not fs.rename(part, p):
+        raise OSError(f"cannot write {path}")
+
+
+def write_manifest(tracks: DataFrame, path: str) -> int:
+    """One JSON row per line, zstandard level 3, in (source, source_id) order; return the number of rows."""
+    lines = tracks.select("source", "source_id", F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("line"))
+    return write_ordered(lines, ["source", "source_id"], path, compressed=True)
 
 
 def write_manifest_parts(tracks: DataFrame, path: str) -> None:
@@ -176,10 +260,8 @@ def write_manifest_parts(tracks: DataFrame, path: str) -> None:
 
 
 def write_attribution(tracks: DataFrame, path: str) -> None:
-    """The attribution text, streamed in order."""
-    with open(path, "w", encoding="utf-8") as f:
-        for row in attribution_lines(tracks).orderBy("section", "license", "rank").toLocalIterator(prefetchPartitions=True):
-            f.write(row.line + "\n")
+    """The attribution text in order."""
+    write_ordered(attribution_lines(tracks), ["section", "license", "rank"], path)
 
 
 def write_summary(tracks: DataFrame, path: str, source: str, total_rows: int, generated_at) -> None:
@@ -192,16 +274,11 @@ def export_pages(pages: DataFrame, output: str, fmt: str) -> str:
     kind = fmt.lower()
     if kind not in ("json", "csv"):
         raise ValueError(f"Unsupported format '{fmt}'. Supported formats: json, csv")
-    path = output if output.endswith(f".{kind}") else f"{output}.{kind}"
-    rows = pages.orderBy("domain", "job_id", "url")
-    with open(path, "w", encoding="utf-8") as f:
-        if kind == "csv":
-            f.write(",".join(PAGE_CSV) + "\n")
-            for row in page_csv_lines(rows).toLocalIterator():
-                f.write(row.line + "\n")
-        else:
-            body = rows.select(F.to_json(F.struct(*PAGE_CSV), {"pretty": "true", "ignoreNullFields": "false"}).alias("j"))
-            for k, row in enumerate(body.toLocalIterator()):
-                f.write(("[\n" if k == 0 else ",\n") + row.j)
-            f.write("\n]\n")
+    path, order = output if output.endswith(f".{kind}") else f"{output}.{kind}", ["domain", "job_id", "url"]
+    rows = pages.withColumns({f"_o{i}": F.col(c) for i, c in enumerate(order)})
+    keys = [f"_o{i}" for i in range(len(order))]
+    if kind == "csv":
+        write_ordered(rows.select(*keys, page_csv_line().alias("line")), keys, path, head=",".join(PAGE_CSV) + "\n")
+    else:
+        write_ordered(rows.select(*keys, F.to_json(F.struct(*PAGE_CSV), {"pretty": "true", "ignoreNullFields": "false"}).alias("line")), keys, path, head="[\n", between=",\n", tail="\n]\n")
     return path

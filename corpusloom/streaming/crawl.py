@@ -19,6 +19,7 @@ from ..operators.manifest import PAGE_KEY, TRACK_KEY, latest, merge_tracks, page
 from ..plans.options import Admission
 from ..sources import sinks
 from ..sources.keyed import BucketTable, KeyIndex
+from ..sources.retry import RetryLane
 
 
 def edges(raw: DataFrame, payload: str = "value") -> tuple[DataFrame, DataFrame]:
@@ -92,9 +93,10 @@ def result_stream(results: DataFrame, table: str, checkpoint: str, now: Callable
 
     Pages are never written again: a batch adds its own rows, whose keys are not in the key index of earlier batches (`page_index`). The manifest's other
     buckets keep their files. Each step is under the batch's number and starts from what the batch before left, so a replay does the same again.
+    A merge into the manifest that fails does not hold up the pages: its rows wait in a retry lane and go with the next batches.
     """
     spark = results.sparkSession
-    known, tracks = page_index(spark, table), BucketTable(spark, f"{table}/tracks", TRACK_KEY)
+    known, tracks, lane = page_index(spark, table), BucketTable(spark, f"{table}/tracks", TRACK_KEY), RetryLane(spark, f"{table}/retries")
 
     def run(batch: DataFrame, number: int) -> None:
         rows = page_rows(batch, now()).withColumn("seq", F.monotonically_increasing_id())
@@ -104,8 +106,12 @@ def result_stream(results: DataFrame, table: str, checkpoint: str, now: Callable
             known.add(fresh, PAGE_KEY, number)
         finally:
             fresh.unpersist()
-        merged = result_tracks(batch).withColumn("seq", F.monotonically_increasing_id())
-        tracks.merge(merged, lambda old, new: merge_tracks(old, new, order="seq"), number, empty=merged.drop("seq"))
+
+        def merge(rows: DataFrame) -> None:
+            ordered = rows.withColumn("seq", F.monotonically_increasing_id())
+            tracks.merge(ordered, lambda old, new: merge_tracks(old, new, order="seq"), number, empty=rows)
+
+        lane.step(result_tracks(batch), number, merge)
 
     return results.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -1,5 +1,6 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.operators import dedup, manifest, metrics, reports, schedule
@@ -79,6 +80,27 @@ def test_reports(spark, tmp_path):
     assert json.load(open(sinks.export_pages(reports.pages_of_domain(pages, "d"), str(tmp_path / "q.json"), "json")))[0]["title"] == 'a "b"'
 
 
+@pytest.mark.parametrize("rows", [1, 7, 1000])
+def test_exports_of_many_parts_are_those_of_one(spark, tmp_path, monkeypatch, rows):
+    import zstandard
+
+    monkeypatch.setattr(sinks, "PART_ROWS", rows)
+    t = tracks(spark, *[{"source": f"s{i % 2}", "source_id": f"{i:03d}", "status": "done", "license": ("cc-by", "cc0-1.0")[i % 3 == 0], "title": f"T{i}\u00e9"} for i in range(40)])
+    assert sinks.write_manifest(t, str(tmp_path / "m.zst")) == 40
+    with (tmp_path / "m.zst").open("rb") as f:
+        lines = zstandard.ZstdDecompressor().stream_reader(f, read_across_frames=True).read().decode().splitlines()
+    assert lines == [r.j for r in t.orderBy("source", "source_id").select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("j")).collect()]
+    sinks.write_attribution(t, str(tmp_path / "a.txt"))
+    plain = "".join(r.line + "\n" for r in reports.attribution_lines(t).orderBy("section", "license", "rank").collect())
+    assert (tmp_path / "a.txt").read_text() == plain
+    pages = t.selectExpr("source AS domain", "source_id AS job_id", "title AS url", "0 AS http_status", "bigint(1) AS content_length", "'h' AS content_hash", "'a, b' AS title", "'en' AS language", "string(null) AS content_ref", "timestamp_millis(0) AS crawled_at", "1 AS crawl_duration_ms")
+    whole = json.load(open(sinks.export_pages(pages, str(tmp_path / "p"), "json")))
+    assert [(p["domain"], p["job_id"]) for p in whole] == sorted((p["domain"], p["job_id"]) for p in whole) and len(whole) == 40
+    csv = open(sinks.export_pages(pages, str(tmp_path / "p"), "csv")).read().splitlines()
+    assert len(csv) == 41 and csv[1:] == [r.line for r in reports.page_csv_lines(pages.orderBy("domain", "job_id", "url")).collect()]
+    assert json.load(open(sinks.export_pages(pages.limit(0), str(tmp_path / "e"), "json"))) == [] and not list(tmp_path.glob("*parts*"))
+
+
 def test_versions(spark, tmp_path):
     table = str(tmp_path / "t")
     assert sinks.read_table(spark, table) is None
