@@ -16,16 +16,17 @@ from pyspark.sql import functions as F
 
 from .functions.text import parse_size
 from .operators.admission import seed_tasks
-from .operators.manifest import catalog_rows, insert_if_absent, upsert_jobs
+from .operators.manifest import TRACK_KEY, catalog_rows, insert_if_absent, merge_tracks, upsert_jobs
 from .operators.reports import exported, pages_of_domain
 from .sources import catalogs, sinks, tables
+from .sources.keyed import BucketTable
 
 SOURCES = ["jamendo", "archive_org", "fma"]
 
 
 def _append(spark: SparkSession, rows, table: str) -> None:
-    old = sinks.read_table(spark, table)
-    sinks.publish(rows if old is None else old.unionByName(rows), table)
+    """Files beside those that are there; a table that older commands published in versions becomes the first batch of one that grows."""
+    sinks.append_batch(rows, table)
 
 
 def _save_job(spark: SparkSession, store: str, config: dict) -> None:
@@ -59,7 +60,9 @@ def seed(spark, a) -> None:
 def status(spark, a) -> None:
     rows = sinks.read_table(spark, f"{a.store}/jobs")
     if rows is not None:
-        (rows.filter(F.col("job_id") == a.job) if a.job else rows).select("job_id", "name", "status").show(1000, truncate=False)
+        shown = (rows.filter(F.col("job_id") == a.job) if a.job else rows).select("job_id", "name", "status").orderBy("name", "job_id")
+        for row in shown.toLocalIterator():
+            print(row.job_id, row.name, row.status, sep="\t")
 
 
 def export(spark, a) -> None:
@@ -69,19 +72,22 @@ def export(spark, a) -> None:
 def harvest(spark, a) -> None:
     """Rows of a landed catalog enter the manifest if they are new; only new ones become tasks."""
     if a.source == "jamendo":
-        items = catalogs.jamendo_items(catalogs.jamendo_pages(spark, a.path))
+        items = catalogs.jamendo_items(catalogs.jamendo_pages(spark, a.path), limit=a.limit)
     elif a.source == "archive_org":
-        items = catalogs.archive_items(spark, a.path, a.files)
+        items = catalogs.archive_items(spark, a.path, a.files, limit=a.limit)
     else:
-        items = catalogs.fma_rows(catalogs.two_header_csv(spark, a.path), a.mirror)
+        items = catalogs.up_to_admitted(catalogs.fma_rows(catalogs.two_header_csv(spark, a.path), a.mirror), sinks.read_table(spark, f"{a.store}/tracks"), a.limit)
     job = str(uuid.uuid4())
-    work, records = catalog_rows(catalogs.limited(items, "source_id", a.limit), job)
+    work, records = catalog_rows(items, job)
     old = sinks.read_table(spark, f"{a.store}/tracks")
     fresh = insert_if_absent(records.withColumn("seq", F.lit(0)), old if old is not None else records.limit(0), ["source", "source_id"]).drop("seq").cache()
     new = fresh.select("source", "source_id")
     todo = catalogs.fma_archive_task(spark, a.mirror, "fma_small", job) if a.source == "fma" else work.join(new, (F.col("media.source") == new["source"]) & (F.col("media.source_id") == new["source_id"]), "left_semi")
     _append(spark, todo, f"{a.store}/media_tasks_{a.source}")
-    _append(spark, fresh, f"{a.store}/tracks")
+    if BucketTable.exists(spark, f"{a.store}/tracks"):
+        BucketTable(spark, f"{a.store}/tracks", TRACK_KEY).merge(fresh, merge_tracks)
+    else:
+        _append(spark, fresh, f"{a.store}/tracks")
     print(fresh.count())
 
 

@@ -6,12 +6,14 @@ import io
 import zipfile
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import format_preference, license_from_cc_url, license_from_title, license_from_url_and_rights, redistributable
 from ..functions.urls import archive_details_url, archive_download_url, jamendo_download_url, subset_path
 from ..operators.dedup import best_files
+from ..operators.scans import carried, place, running
+from .shared import keep
 
 JAMENDO_PAGE = "headers struct<status:string,warnings:string,error_message:string>, results array<struct<id:string,name:string,artist_name:string,album_name:string,license_ccurl:string,audiodownload:string,audiodownload_allowed:boolean,shareurl:string>>"
 ARCHIVE_PAGE = "items array<struct<identifier:string,title:string,licenseurl:string,rights:string>>, cursor string"
@@ -22,33 +24,62 @@ def _blank_null(name: str):
     return F.nullif(F.trim(name), F.lit(""))
 
 
+def _offset() -> Column:
+    """The last number in a landed page's file name."""
+    return F.regexp_extract(F.col("page"), r"(\d+)\D*$", 1).try_cast("long")
+
+
 def jamendo_pages(spark: SparkSession, path: str) -> DataFrame:
-    """Landed pages in order of their offset (the file name): a page with a status other than success is an error row."""
-    return spark.read.schema(JAMENDO_PAGE).json(path, multiLine=True).withColumn("page", F.col("_metadata.file_name"))
-
-
-def jamendo_items(pages: DataFrame, empty_stop: int = 3) -> DataFrame:
-    """Tracks of the pages up to the `empty_stop`-th empty page in a row: downloadable, with a CC license."""
-    bad = pages.filter(F.col("headers.status") != "success")
-    sizes = pages.select("page", (F.size(F.coalesce("results", F.array())) == 0).cast("int").alias("empty")).orderBy("page").collect()  # one short row per landed page
-    stop, run = None, 0
-    for row in sizes:
-        run = run + 1 if row["empty"] else 0
-        if run >= empty_stop:
-            stop = row["page"]
-            break
-    rows = pages.join(bad.select("page"), "page", "left_anti")
-    rows = rows.filter(F.col("page") <= stop) if stop else rows
-    t = rows.select(F.explode("results").alias("t")).select("t.*").filter(F.coalesce("audiodownload_allowed", F.lit(False)) & (F.coalesce("audiodownload", F.lit("")) != ""))
+    """Landed pages with the offset in their file name: a page with a status other than success is an error row."""
+    return spark.read.schema(JAMENDO_PAGE).json(path, multiLine=True).withColumn("page", F.col("_metadata.file_name")).withColumn("offset", _offset())
+
+
+def pages_up_to(pages: DataFrame, empty: Column, counted: Column, limit: int | None = None, empty_stop: int = 1) -> DataFrame:
+    """The pages (with a number `offset`) of a walk in order of the offset that ends after the `empty_stop`-th empty page in a row, or before the first page that
+    finds `limit` reached by what the pages before it counted. So a walk may go over its limit by what one page holds.
+
+    Counts run over ranges of the offset, and runs of empty pages are found by joins on the page's place, so no task and no driver sees all pages.
+    """
+    one = keep(pages.select("offset", empty.cast("int").alias("_empty"), counted.cast("long").alias("_n")))
+    placed = one.withColumn("_range", place(one, "offset"))
+    placed = keep(carried(carried(placed, [], "offset", F.lit(1).cast("long"), "_place"), [], "offset", F.col("_n"), "_upto"))
+    run = placed.filter("_empty = 1").select("_place")
+    for back in range(1, empty_stop):
+        run = run.join(placed.filter("_empty = 1").select((F.col("_place") + back).alias("_place")), "_place", "left_semi")
+    stop = run.agg(F.min("_place").alias("_stop"))  # one row
+    walked = placed.crossJoin(F.broadcast(stop)).filter(F.col("_stop").isNull() | (F.col("_place") <= F.col("_stop")))
+    if limit is not None:
+        walked = walked.filter(F.col("_upto") - F.col("_n") < limit)
+    return pages.join(walked.select("offset"), "offset", "left_semi")
+
+
+def _wanted(t: Column) -> Column:
+    """Whether a listed track can be downloaded and has a license that is known."""
+    return F.coalesce(t["audiodownload_allowed"], F.lit(False)) & (F.coalesce(t["audiodownload"], F.lit("")) != "") & license_from_cc_url(t["license_ccurl"]).isNotNull()
+
+
+def jamendo_items(pages: DataFrame, empty_stop: int = 3, limit: int | None = None) -> DataFrame:
+    """Tracks of the pages up to the `empty_stop`-th empty page in a row: downloadable, with a CC license. `limit` counts such tracks, known ones included, and
+    is looked at before each page."""
+    good = pages.filter(F.coalesce(F.col("headers.status") == "success", F.lit(False)))
+    results = F.coalesce("results", F.array())
+    walked = pages_up_to(good, F.size(results) == 0, F.size(F.filter(results, _wanted)), limit, empty_stop)
+    t = walked.select(F.explode("results").alias("t")).select("t.*").filter(F.coalesce("audiodownload_allowed", F.lit(False)) & (F.coalesce("audiodownload", F.lit("")) != ""))
     t = t.withColumn("license", license_from_cc_url(F.col("license_ccurl"))).filter("license is not null")
     return t.select(F.lit("jamendo").alias("source"), F.col("id").alias("source_id"), jamendo_download_url(F.col("id")).alias("url"), "license", F.col("license_ccurl").alias("license_url"), F.col("shareurl").alias("origin_page_url"), F.col("album_name").alias("collection"), _blank_null("name").alias("title"), _blank_null("artist_name").alias("artist"))
 
 
-def archive_items(spark: SparkSession, items_path: str, files_path: str, collection: str = "netlabels", redistributable_only: bool = True) -> DataFrame:
+def archive_pages(pages: DataFrame, limit: int | None = None) -> DataFrame:
+    """Items of the pages (offset, items) up to the first empty one. `limit` counts items, whatever their license, and is looked at before each page."""
+    items = F.coalesce("items", F.array())
+    return pages_up_to(pages, F.size(items) == 0, F.size(items), limit).select(F.explode("items").alias("i")).select("i.*")
+
+
+def archive_items(spark: SparkSession, items_path: str, files_path: str, collection: str = "netlabels", redistributable_only: bool = True, limit: int | None = None) -> DataFrame:
     """Items joined with their file listings: one row per best file of each stem."""
-    items = spark.read.schema(ARCHIVE_PAGE).json(items_path, multiLine=True).select(F.explode("items").alias("i")).select("i.*")
+    pages = spark.read.schema(ARCHIVE_PAGE).json(items_path, multiLine=True).withColumn("page", F.col("_metadata.file_name")).withColumn("offset", _offset())
     files = spark.read.schema(ARCHIVE_FILES).json(files_path, multiLine=True)
-    return archive_rows(items, files, collection, redistributable_only)
+    return archive_rows(archive_pages(pages, limit), files, collection, redistributable_only)
 
 
 def archive_rows(items: DataFrame, files: DataFrame, collection: str = "netlabels", redistributable_only: bool = True) -> DataFrame:
@@ -68,8 +99,13 @@ def two_header_csv(spark: SparkSession, path: str) -> DataFrame:
     id go; bit rates are in kbit/s.
     """
     raw = spark.read.csv(path, header=False, quote='"', escape='"', multiLine=True)
-    head = [list(r) for r in raw.limit(10).collect()]
-    at = next(i for i, r in enumerate(head) if (r[0] or "").strip().lower() == "track_id")
+    numbered = raw.withColumn("_row", F.monotonically_increasing_id())  # a file of many lines is one partition: in order
+    is_head = F.lower(F.trim(raw.columns[0])) == "track_id"
+    found = numbered.filter(is_head).agg(F.min("_row")).first()[0]
+    if found is None:
+        raise ValueError(f"{path} has no header row that begins with track_id")
+    head = [list(r)[:-1] for r in numbered.filter(F.col("_row").isin(found - 1, found)).orderBy("_row").collect()]  # two rows
+    at = len(head) - 1
     groups, names = head[at - 1] if at else [None] * len(head[at]), head[at]
     filled, last = [], ""
     for g in groups:
@@ -114,6 +150,20 @@ def zip_members(spark: SparkSession, path: str, member: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", unzip("content").alias("content"))
 
 
+def up_to_admitted(items: DataFrame, known: DataFrame | None, limit: int | None, order: str = "source_id", key: tuple[str, ...] = ("source", "source_id")) -> DataFrame:
+    """The items up to the one that makes the `limit`-th new item, in order of a number: new is the first of its key that `known` does not hold. Items that are known
+    count nothing, those before the last new one stay, and a repeat goes with its item."""
+    if limit is None:
+        return items
+    named = items.withColumn("_order", F.col(order).cast("long"))
+    firsts = named.groupBy(*key).agg(F.min("_order").alias("_first"))
+    if known is not None:
+        firsts = firsts.join(known.select(*key).distinct(), list(key), "left_anti")
+    steps = named.select(*key, "_order").distinct().join(firsts, list(key), "left").withColumn("_new", F.coalesce((F.col("_order") == F.col("_first")).cast("long"), F.lit(0)))
+    counted = running(keep(steps), [], "_order", F.col("_new"), "_upto")  # repeats of an item are one step
+    return named.join(counted.filter(F.col("_upto") - F.col("_new") < limit).select(*key, "_order"), [*key, "_order"], "left_semi").select(*items.columns)
+
+
 def limited(items: DataFrame, order: str, limit: int | None) -> DataFrame:
     """The first `limit` items in order; none: all."""
     return items if limit is None else items.orderBy(order).limit(limit)

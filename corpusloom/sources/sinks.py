@@ -80,6 +80,21 @@ def write_batch(rows: DataFrame, table: str, number: int) -> None:
     rows.write.mode("overwrite").parquet(f"{table}/batch={number}")
 
 
+def append_batch(rows: DataFrame, table: str) -> int:
+    """Rows as the next batch of a table that grows by batches; a table of published versions goes on with its current one as its first batch. One writer at a time."""
+    spark = rows.sparkSession
+    p, fs, _ = _fs(spark, table)
+    names = [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+    numbers = [int(n.split("=")[1]) for n in names if n.startswith("batch=")]
+    if not numbers and (path := current(spark, table)):
+        write_batch(spark.read.parquet(path), table, 0)
+        numbers = [0]
+        for n in names:
+            fs.delete(_fs(spark, f"{table}/{n}")[0], True)
+    write_batch(rows, table, max(numbers, default=-1) + 1)
+    return max(numbers, default=-1) + 1
+
+
 def read_batches(spark: SparkSession, table: str, before: int | None = None) -> DataFrame | None:
     """Rows of all batches, or of those before a number."""
     p, fs, _ = _fs(spark, table)

@@ -33,7 +33,7 @@ def test_commands(spark, tmp_path, capsys):
 
 def test_listener(spark):
     class Progress:
-        timestamp, numInputRows, batchDuration, stateOperators, name, id = "2024-01-01T00:00:00.000Z", 5, 7, [], "q", "1"
+        timestamp, numInputRows, batchDuration, stateOperators, name, id, runId, observedMetrics = "2024-01-01T00:00:00.000Z", 5, 7, [], "q", "1", "r", {}
 
     class Event:
         progress = Progress
