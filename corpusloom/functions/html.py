@@ -4,16 +4,13 @@ from __future__ import annotations
 
 import codecs
 import re
-from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
-from . import urls
+from . import tree, urls
 
-VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-HEAD_ONLY = {"title", "meta", "link", "base", "style", "script", "noscript", "template"}
 #: Labels that the encoding standard reads as another encoding (fixed values).
 LABELS = {"iso-8859-1": "windows-1252", "latin1": "windows-1252", "l1": "windows-1252", "ascii": "windows-1252", "us-ascii": "windows-1252", "iso8859-1": "windows-1252", "gb2312": "gbk", "x-sjis": "shift_jis", "utf8": "utf-8", "unicode-1-1-utf-8": "utf-8"}
 
@@ -51,79 +48,6 @@ def decode_page(body: bytes | None, content_type: str | None) -> str | None:
     return text.removeprefix("﻿")
 
 
-class _Page(HTMLParser):
-    CDATA_CONTENT_ELEMENTS = ("script", "style", "noscript")
-    RCDATA_CONTENT_ELEMENTS = ("textarea", "title")
-
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.title: list[str] | None = None
-        self.in_title = self.titles = 0
-        self.lang = self.description = self.canonical = None
-        self.seen_html = False
-        self.texts: list[str] = []
-        self.tags: list[str] = []
-        self.anchors: list[tuple[str, str]] = []
-        self.sources: list[str] = []
-
-    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        a = {}
-        for k, v in attrs:
-            a.setdefault(k, v or "")
-        if tag == "html":
-            if not self.seen_html and "lang" in a:
-                self.lang = a["lang"]
-            self.seen_html = True
-            if "html" in self.tags:
-                return
-        elif "html" not in self.tags:
-            self.tags.append("html")
-        if tag not in ("html", "head", "body") and "body" not in self.tags:
-            if tag in HEAD_ONLY:
-                if "head" not in self.tags:
-                    self.tags.append("head")
-            else:
-                if "head" not in self.tags:
-                    self.tags.append("head")
-                self.tags.append("body")
-        if tag in ("head", "body") and tag in self.tags:
-            return
-        if tag == "body" and "head" not in self.tags:
-            self.tags.append("head")
-        self.tags.append(tag)
-        if tag == "title":
-            self.titles += 1
-            self.in_title = self.titles == 1
-            if self.in_title:
-                self.title = []
-        elif tag == "meta" and a.get("name") == "description" and self.description is None and "content" in a:
-            self.description = a["content"]
-        elif tag == "link" and "canonical" in a.get("rel", "").split() and a.get("rel") == "canonical" and self.canonical is None and "href" in a:
-            self.canonical = a["href"]
-        elif tag == "a" and "href" in a:
-            self.anchors.append((a["href"], a.get("rel", "")))
-        elif tag in ("audio", "source", "embed") and "src" in a:
-            self.sources.append((len(self.anchors), a["src"]))
-
-    def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        self.handle_starttag(tag, attrs)
-
-    def handle_endtag(self, tag: str) -> None:
-        if tag == "title":
-            self.in_title = 0
-
-    def handle_data(self, data: str) -> None:
-        if self.in_title and self.title is not None:
-            self.title.append(data)
-        text = data.strip()
-        if text:
-            self.texts.append(text)
-            if not self.in_title and "body" not in self.tags and self.cdata_elem is None:
-                for tag in ("html", "head", "body"):
-                    if tag not in self.tags:
-                        self.tags.append(tag)
-
-
 def _extension(url: str) -> str:
     last = re.split(r"[?#]", url, maxsplit=1)[0].rsplit("/", 1)[-1]
     return last.rsplit(".", 1)[-1].lower() if "." in last else ""
@@ -133,12 +57,12 @@ def extract(html: str | None, base: str | None) -> dict | None:
     """title, description, lang, canonical, text, skeleton, links, audio, video, docs of a page; None without html."""
     if html is None:
         return None
-    page = _Page()
-    page.feed(html)
-    page.close()
-    for tag in ("html", "head", "body"):
-        if tag not in page.tags:
-            page.tags.append(tag)
+    page = tree.parse(html)
+    elements = [n for n in tree.walk(page.document) if n.name[0] != "#"]
+    first = lambda fits: next((n for n in elements if fits(n)), None)
+    title, top = first(lambda n: n.name == "title"), first(lambda n: n.name == "html")
+    described = first(lambda n: n.name == "meta" and n.attrs.get("name") == "description")
+    canonical = first(lambda n: n.name == "link" and n.attrs.get("rel") == "canonical")
     root = urls.parse(base)
     links, media = [], {"audio": [], "video": [], "docs": []}
 
@@ -148,7 +72,7 @@ def extract(html: str | None, base: str | None) -> dict | None:
             media[kind].append(str(url))
 
     kinds = [(k, dict.fromkeys(v)) for k, v in (("audio", urls.AUDIO), ("video", urls.VIDEO), ("docs", urls.DOCUMENT))]
-    for href, rel in page.anchors:
+    for href, rel in [(n.attrs["href"], n.attrs.get("rel", "")) for n in elements if n.name == "a" and "href" in n.attrs]:
         url = urls.parse(href, root)
         if url is not None:
             links.append(str(urls.replace(url, fragment=None)))
@@ -156,15 +80,16 @@ def extract(html: str | None, base: str | None) -> dict | None:
         for kind, known in kinds:
             if ext in known or (kind == "audio" and "enclosure" in rel.lower().split()):
                 push(kind, href)
-    for _, src in page.sources:
+    for src in [n.attrs["src"] for n in elements if n.name in ("audio", "source", "embed") and "src" in n.attrs]:
         push("audio", src)
     return {
-        "title": " ".join(page.title) if page.title is not None else None,
-        "description": page.description,
-        "lang": page.lang,
-        "canonical": page.canonical,
-        "text": " ".join(page.texts),
-        "skeleton": "".join(f"<{t}>" for t in page.tags),
+        "title": None if title is None else " ".join(n.text for n in tree.walk(title) if n.name == "#text"),
+        "description": described and described.attrs.get("content"),
+        "lang": top and top.attrs.get("lang"),
+        "canonical": canonical and canonical.attrs.get("href"),
+        # texts and names in the order in which the parser made them, which for repaired markup is not that of the tree
+        "text": " ".join(t for n in page.created if n.name == "#text" and (t := n.text.strip())),
+        "skeleton": "".join(f"<{n.name}>" for n in page.created if n.name != "#text"),
         "links": links,
         **media,
     }
