@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import media, text, urls
+from .functions import feeds, media, tags, text, urls
 from .operators import admission, dedup, manifest, metrics, reports, schedule
 from .registry import _HOST, _NORM, _SAMPLES, _TRACKS, _one_per_time, _samples, _t, _tracks, query
 from .sources import catalogs, sinks, tables
-from .streaming import crawl
+from .sources.keyed import BucketTable, KeyIndex
+from .sources.shared import keep, scratch
+from .streaming import crawl, leases
 
 _ROOT = rf"regexp_extract({_HOST}, '([^.]+\.[^.]+)$', 1)"
 
@@ -463,10 +464,12 @@ def rate_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _streamed(spark: SparkSession, sf_dir: str, transform: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """What a stream over the events' files has written when it has read them all."""
-    out = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_streams/{uuid.uuid4().hex}"
+    out = scratch(spark, "stream")
     raw = spark.readStream.schema(_t(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/event*.parquet")
     transform(raw).writeStream.format("parquet").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start(f"{out}/rows").awaitTermination()
-    return spark.read.parquet(f"{out}/rows")
+    found = keep(spark.read.parquet(f"{out}/rows"))
+    sinks.delete(spark, out)
+    return found
 
 
 @query("SELECT DISTINCT user_id, event_type FROM events")
@@ -484,3 +487,102 @@ def stream_window_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_SAMPLES + """, l AS (SELECT component, metric, arg_max(value, ts) AS value FROM e GROUP BY ALL) SELECT metric, metric || '{component="' || component || '"} ' || CAST(value AS BIGINT) AS line FROM l""")
 def metrics_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.exposition(_one_per_time(_samples(spark, sf_dir)))
+
+
+# Robots, feeds, audio
+
+
+@query("""WITH o AS (SELECT o_orderkey AS k, o_orderkey % 5 AS m, o_orderkey % 4 = 1 AS named FROM orders)
+  SELECT k, CAST(k % 9 * 1500 AS BIGINT) AS delay_ms, 'https://h.com/s' || k % 100 || '.xml' AS sitemap, CASE WHEN named THEN m <> 2 ELSE m <> 1 END AS allowed FROM o""")
+def robots_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules by the longest match, delays and sitemaps of robots files with a group for all and one for a named robot."""
+    body = "concat('# robots\\nUser-agent: *\\nCrawl-delay: ', k % 9 * 1.5, '\\nDisallow: /p', k % 10, '\\nAllow: /p', k % 10, '/a\\nSitemap: /s', k % 100, '.xml\\n\\nUser-agent: Bot', k % 4, '\\nDisallow: /x', k % 7, ' # not here\\n')"
+    path = "CASE k % 5 WHEN 0 THEN concat('p', k % 10, '/a/z') WHEN 1 THEN concat('p', k % 10, '/b?c') WHEN 2 THEN concat('x', k % 7, 'q') WHEN 3 THEN concat('x', (k + 1) % 7, 'q') ELSE 'other' END"
+    rows = _t(spark, sf_dir, "orders").selectExpr("o_orderkey AS k").selectExpr("k", f"{body} AS body", f"concat('https://h.com/', {path}) AS url")
+    return rows.withColumn("r", feeds.robots_col("body", F.lit("bot1"), "url")).select("k", "r.delay_ms", F.col("r.sitemaps")[0].alias("sitemap"), "r.allowed")
+
+
+@query("""WITH e AS (SELECT c_custkey AS k, unnest(range(c_custkey % 4 + 1)) AS j FROM customer)
+  SELECT k, string_agg(CASE WHEN k % 2 = 0 THEN 'https://f.com/' || k || '/' || j ELSE 'https://f.com/a/' || j END, ' ' ORDER BY j) AS links,
+    string_agg(CASE WHEN k % 2 = 1 THEN 'https://f.com/o/' || j WHEN j % 2 = 0 THEN 'https://f.com/e' || j || '.mp3' END, ' ' ORDER BY j) AS enclosures FROM e GROUP BY k""")
+def feed_harvest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and audio enclosures of RSS and Atom feeds of several entries."""
+    rss = "concat('<item><title>t', j, '</title><link>https://f.com/', k, '/', j, '</link><enclosure url=\"e', j, if(j % 2 = 0, '.mp3\" type=\"audio/mpeg', '.mp4\" type=\"video/mp4'), '\"/></item>')"
+    atom = "concat('<entry><title>t</title><link href=\"/a/', j, '\"/><link rel=\"self\" href=\"/s\"/><link rel=\"enclosure\" type=\"audio/ogg\" href=\"/o/', j, '\"/></entry>')"
+    items = lambda x: f"array_join(transform(sequence(0, k % 4), j -> {x}), '')"
+    body = f"if(k % 2 = 0, concat('<rss><channel>', {items(rss)}, '</channel></rss>'), concat('<feed xmlns=\"http://www.w3.org/2005/Atom\">', {items(atom)}, '</feed>'))"
+    rows = _t(spark, sf_dir, "customer").selectExpr("c_custkey AS k").selectExpr("k", f"{body} AS body").withColumn("f", feeds.feed_col(F.lit("application/rss+xml"), "body", F.lit("https://f.com/feed")))
+    return rows.select("k", F.array_join("f.links", " ").alias("links"), F.array_join("f.enclosures", " ").alias("enclosures"))
+
+
+@query("SELECT p_partkey, CAST(p_partkey % 50 + 1 AS DOUBLE) / (8000 + 1000 * (p_partkey % 8)) AS duration_secs, CAST((8000 + 1000 * (p_partkey % 8)) * 16 // 1000 AS INTEGER) AS bitrate_kbps FROM part")
+def wav_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Duration and bit rate of PCM files of several lengths and rates, made as bytes."""
+    four = lambda x: f"(transform(array(7, 5, 3, 1), i -> substr(lpad(hex(bigint({x})), 8, '0'), i, 2)))"
+    little = lambda x: f"array_join({four(x)}, '')"
+    rate, size = "(8000 + 1000 * (p_partkey % 8))", "((p_partkey % 50 + 1) * 2)"
+    head = f"concat('52494646', {little(f'36 + {size}')}, '57415645666D7420', '10000000', '01000100', {little(rate)}, {little(f'{rate} * 2')}, '02001000', '64617461', {little(size)}, repeat('00', int({size})))"
+    rows = _t(spark, sf_dir, "part").selectExpr("p_partkey", f"unhex({head}) AS body").withColumn("a", tags.probe_col("body"))
+    return rows.select("p_partkey", "a.duration_secs", "a.bitrate_kbps")
+
+
+@query("SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'utf-' || event_id % 16 WHEN 1 THEN event_type WHEN 2 THEN event_type || ' x' END AS value FROM events")
+def header_params(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A parameter of header values: bare, quoted either way, with a blank inside quotes, absent."""
+    header = "CASE event_id % 4 WHEN 0 THEN concat('text/html; Charset=utf-', event_id % 16, ';q=1') WHEN 1 THEN concat('text/html;charset=\"', event_type, '\"') WHEN 2 THEN concat('x; CHARSET=\\'', event_type, ' x\\'; a=b') ELSE concat('text/plain; q=', event_id) END"
+    return _t(spark, sf_dir, "events").select("event_id", text.param_value(F.expr(header), "charset").alias("value"))
+
+
+# Walks with limits, tables by key, timers
+
+
+@query("""WITH c AS (SELECT c_custkey AS k, c_custkey // 25 AS page FROM customer), p AS (SELECT page, count(*) AS n, count(*) FILTER (WHERE k % 3 <> 0) AS good FROM c GROUP BY 1), q AS (SELECT page, sum(n) OVER (ORDER BY page) - n AS seen, sum(good) OVER (ORDER BY page) - good AS counted FROM p),
+  n AS (SELECT k, sum((k % 4 <> 0)::INT) OVER (ORDER BY k) - (k % 4 <> 0)::INT AS fresh FROM c)
+  SELECT 'scanned' AS walk, CAST(k AS VARCHAR) AS id FROM c JOIN q USING (page) WHERE seen < 60 UNION ALL SELECT 'counted', CAST(k AS VARCHAR) FROM c JOIN q USING (page) WHERE counted < 60 AND k % 3 <> 0 UNION ALL SELECT 'admitted', CAST(k AS VARCHAR) FROM n WHERE fresh < 60""")
+def harvest_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three ways a walk meets its limit of 60: by page over items scanned, by page over items that count, and item by item over new ones."""
+    c = _t(spark, sf_dir, "customer").selectExpr("c_custkey AS k", "c_custkey div 25 AS offset", "string(c_custkey) AS id")
+    scanned = c.groupBy("offset").agg(F.collect_list(F.struct(F.col("id").alias("identifier"))).alias("items"))
+    track = F.struct("id", F.lit("n").alias("name"), F.lit("a").alias("artist_name"), F.lit("c").alias("album_name"), F.lit("http://c/licenses/by/3.0/").alias("license_ccurl"), F.when(F.col("k") % 3 != 0, "x").otherwise("").alias("audiodownload"), F.lit(True).alias("audiodownload_allowed"), F.lit("s").alias("shareurl"))
+    counted = c.groupBy("offset").agg(F.collect_list(track).alias("results")).withColumn("headers", F.struct(F.lit("success").alias("status")))
+    items = c.select(F.lit("fma").alias("source"), F.col("id").alias("source_id"))
+    admitted = catalogs.up_to_admitted(items, items.filter("source_id % 4 = 0"), 60)
+    found = catalogs.archive_pages(scanned, 60).select(F.lit("scanned").alias("walk"), F.col("identifier").alias("id"))
+    return found.union(catalogs.jamendo_items(counted, limit=60).select(F.lit("counted"), "source_id")).union(admitted.select(F.lit("admitted"), "source_id"))
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 7 = 0 OR o_orderkey % 11 = 0)")
+def key_index_unseen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders of customers whose key is not in an index that grew by two batches, the second of which was replayed."""
+    rows = _t(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    index = KeyIndex(spark, scratch(spark, "keys"))
+    for number, part in ((0, "o_orderkey % 7 = 0"), (1, "o_orderkey % 11 = 0"), (1, "o_orderkey % 11 = 0")):
+        index.add(index.unseen(rows.filter(part), ["o_custkey"], number), ["o_custkey"], number)
+    found = keep(index.unseen(rows, ["o_custkey"]).select("o_orderkey"))
+    index.drop()
+    return found
+
+
+@query("WITH n AS (SELECT o_custkey AS k, arg_max(o_totalprice, o_orderkey) FILTER (WHERE o_orderkey % 2 = 0) AS a, arg_max(o_totalprice, o_orderkey) FILTER (WHERE o_orderkey % 13 = 1) AS b FROM orders GROUP BY 1) SELECT coalesce(c_custkey, k) AS key, coalesce(b, a, c_acctbal) AS value FROM customer FULL JOIN n ON c_custkey = k WHERE c_custkey IS NOT NULL OR a IS NOT NULL OR b IS NOT NULL")
+def bucket_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table by buckets after three batches: the last value of each key."""
+    orders = _t(spark, sf_dir, "orders")
+    batches = [_t(spark, sf_dir, "customer").selectExpr("c_custkey AS key", "c_acctbal AS value"), *[orders.filter(f).groupBy(F.col("o_custkey").alias("key")).agg(F.max_by("o_totalprice", "o_orderkey").alias("value")) for f in ("o_orderkey % 2 = 0", "o_orderkey % 13 = 1")]]
+    table = BucketTable(spark, scratch(spark, "buckets"), ["key"], buckets=16)
+    for number, rows in enumerate(batches):
+        table.merge(rows, lambda old, new: old.join(new, "key", "left_anti").union(new.select(*old.columns)), number)
+    found = keep(table.read())
+    table.drop()
+    return found
+
+
+@query("WITH e AS (SELECT user_id, event_type, epoch_us(ts) // 1000 AS t0, lead(epoch_us(ts) // 1000) OVER (PARTITION BY user_id ORDER BY ts) AS t1, max(epoch_us(ts) // 1000) OVER () AS t2 FROM events) SELECT CAST(user_id AS VARCHAR) AS source_id, t0 + 7200000 AS leased_until FROM e WHERE event_type IN ('view', 'click') AND t0 + 7200000 <= coalesce(t1, t2)")
+def stream_expired_leases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leases of two hours, claimed by two kinds of events and ended by the others, that ran out by the stream's time."""
+    at = F.col("ts").cast("timestamp")
+    event = F.when(F.col("event_type").isin("view", "click"), leases.CLAIMED).otherwise(leases.ENDED)
+    rows = lambda raw: raw.select(F.lit("s").alias("source"), F.col("user_id").cast("string").alias("source_id"), event.alias("event"), at.alias("ts"), (F.unix_millis(at) + 7_200_000).alias("leased_until"))
+    offset = F.unix_millis(F.lit("1970-01-01 00:00:00").cast("timestamp"))  # timestamps without a zone are read in the session's
+    with leases.timers(spark):
+        found = _streamed(spark, sf_dir, lambda raw: leases.expired_leases(rows(raw)))
+    return found.select("source_id", (F.col("leased_until") - offset).alias("leased_until"))

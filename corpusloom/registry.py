@@ -97,13 +97,31 @@ def link_fanout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _extracted(spark, sf_dir).groupBy(F.size("p.links").alias("fanout")).agg(F.count(F.lit(1)).alias("n_pages"))
 
 
-@query()
+#: Texts of a page in order: what lies between tags and comments, trimmed; the made pages have one tag inside a script.
+_UNESCAPED = """replace(replace(replace(replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&')"""
+_TEXT = f"""array_to_string(list_filter(list_transform(string_split_regex(replace(regexp_replace(html, '(?s)<!--.*?-->', '<c>', 'g'), '"</p>"', '"&lt;/p>"'), '<[^>]*>'), lambda x: regexp_replace({_UNESCAPED}, '^\\s+|\\s+$', '', 'g')), lambda x: x <> ''), ' ')"""
+#: Start tags as written, and the bold elements that later blocks with text open again, three at most.
+_BLOCKS = """SELECT page_id, 3 * sum(least(before, 3)) AS again FROM (SELECT page_id, regexp_matches(regexp_replace(seg, '<[^>]*>', '', 'g'), '\\S') AS own, coalesce(sum((length(seg) - length(replace(seg, '<b>', ''))) // 3) OVER (PARTITION BY page_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM (SELECT page_id, unnest(string_split_regex(html, '<p>|<footer>')) AS seg, unnest(range(len(string_split_regex(html, '<p>|<footer>')))) AS i FROM pages)) WHERE own GROUP BY page_id"""
+_MADE = """list_sum(list_transform(regexp_extract_all(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '<([a-z][a-z0-9]*)', 1), lambda t: length(t) + 2))"""
+_TITLE = f"""(SELECT {_UNESCAPED} FROM (SELECT regexp_extract(html, '<title>([^<]*)</title>', 1) AS x))"""
+
+
+@query(
+    f"""WITH a AS ({_BLOCKS}) SELECT p.page_id, {_TITLE} AS title, nullif(regexp_extract(html, '<meta name="description" content="([^"]*)"', 1), '') AS description, regexp_extract(html, '<html[^>]*lang="([^"]*)"', 1) AS lang, nullif(regexp_extract(html, '<link rel="canonical" href="([^"]*)"', 1), '') AS canonical,
+    CAST(length({_TEXT}) AS INTEGER) AS n_text, CAST({_MADE} + coalesce(again, 0) AS INTEGER) AS n_skeleton, CAST(len(list_distinct(regexp_extract_all(html, '(?i)href="([^"]*\\.(mp3|flac|ogg|oga|wav|m4a|opus|aac))["?#]', 1))) AS INTEGER) AS n_audio, CAST(len(list_distinct(regexp_extract_all(html, '(?i)href="([^"]*\\.(mp4|m4v|mkv|webm|avi|mov|mpg|mpeg))["?#]', 1))) AS INTEGER) AS n_video, CAST(len(list_distinct(regexp_extract_all(html, '(?i)href="([^"]*\\.(pdf|epub|doc|docx|ppt|pptx|txt))["?#]', 1))) AS INTEGER) AS n_docs FROM pages p LEFT JOIN a USING (page_id)"""
+)
 def page_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All fields of every page; an HTML tree is beyond SQL."""
+    """All fields of every page. The made pages leave bold open, which the tree repairs."""
     p = _extracted(spark, sf_dir)
     return p.select("page_id", "p.title", "p.description", "p.lang", "p.canonical", F.length("p.text").alias("n_text"), F.length("p.skeleton").alias("n_skeleton"), F.size("p.audio").alias("n_audio"), F.size("p.video").alias("n_video"), F.size("p.docs").alias("n_docs"))
 
 
+@query(f"SELECT page_id, sha256({_TEXT}) AS sha256 FROM pages")
+def page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _extracted(spark, sf_dir).select("page_id", F.sha2("p.text", 256).alias("sha256"))
+
+
 @query(f"SELECT page_id, host, CAST(r AS INTEGER) AS place FROM (SELECT page_id, {_HOST} AS host, row_number() OVER (PARTITION BY {_HOST} ORDER BY page_id) AS r FROM pages) WHERE r <= 5")
 def domain_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window
@@ -149,7 +167,20 @@ def _jobs(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, schema)
 
 
-@query()
+#: Links as edges, screened, and the greedy order told by recursion over what is accepted.
+_ADMITTED = f"""WITH RECURSIVE l AS (SELECT page_id, url AS base, link, min(i) AS i FROM (SELECT page_id, url, unnest({_HREFS}) AS link, unnest(range(len({_HREFS}))) AS i FROM pages) GROUP BY ALL),
+  e AS (SELECT lower(regexp_extract(base, '^([A-Za-z]+://[^/?#]*)', 1)) || '/' || replace(replace(url_encode(substr(link, 2)), '+', '%20'), '%2C', ',') AS url, regexp_extract(lower(base), '([^./]+\\.[^./?#]+)([/?#]|$)', 1) AS root, 'job-' || page_id % 3 AS job_id, row_number() OVER (ORDER BY page_id, i) AS seq FROM l),
+  f AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY seq) AS nth FROM e),
+  s AS MATERIALIZED (SELECT *, CASE WHEN nth > 1 THEN 'dup_in_batch' WHEN job_id = 'job-2' THEN 'job_not_running' WHEN (job_id = 'job-1' AND root NOT IN ('example.com', 'example.org')) OR (job_id = 'job-0' AND contains(url, '/tag/')) THEN 'job_policy' END AS reason FROM f),
+  o AS MATERIALIZED (SELECT *, dense_rank() OVER (ORDER BY root) AS r, CASE job_id WHEN 'job-0' THEN 60 ELSE 500 END AS own, CASE job_id WHEN 'job-0' THEN 100000 ELSE 40 END AS most, CASE job_id WHEN 'job-0' THEN 1 ELSE 2 END AS j FROM s WHERE reason IS NULL),
+  a(seq, r, j, roots, jobs) AS (SELECT 0::BIGINT, 0::BIGINT, 0, list_transform(range(50), lambda x: 0), [0, 0] UNION ALL
+    SELECT n.seq, n.r, n.j, list_transform(roots, lambda x, i: CASE WHEN i = n.r THEN x + 1 ELSE x END), list_transform(jobs, lambda x, i: CASE WHEN i = n.j THEN x + 1 ELSE x END)
+    FROM (SELECT roots, jobs, min({{'seq': o.seq, 'r': o.r, 'j': o.j}}) AS n FROM a JOIN o ON o.seq > a.seq AND roots[o.r] < own AND jobs[o.j] < most GROUP BY ALL)),
+  t AS (SELECT o.*, a.seq IS NOT NULL AS ok, coalesce(sum((a.seq IS NOT NULL)::INT) OVER (PARTITION BY root ORDER BY o.seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS taken FROM o LEFT JOIN a ON a.seq = o.seq),
+  z AS (SELECT url, job_id, reason FROM s WHERE reason IS NOT NULL UNION ALL SELECT url, job_id, CASE WHEN ok THEN NULL WHEN taken >= 500 THEN 'domain_cap' WHEN taken >= own THEN 'job_domain_cap' ELSE 'job_cap' END FROM t) """
+
+
+@query(_ADMITTED + "SELECT coalesce(reason, 'admitted') AS reason, job_id, count(*) AS n FROM z GROUP BY ALL")
 def admission_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The admission plan over all links of all pages; per reason the number of candidates."""
     edges = _edges(spark, sf_dir)
@@ -157,7 +188,7 @@ def admission_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy(F.coalesce("reason", F.lit("admitted")).alias("reason"), "job_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+@query(_ADMITTED + "SELECT url, job_id, 1 AS depth, 1 AS priority, 'Page' AS kind FROM z WHERE reason IS NULL")
 def admitted_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = admission.admit(_edges(spark, sf_dir), _jobs(spark), options=Admission(global_domain_cap=500), shared_domains=True)
     return admission.tasks(rows).select("url", "job_id", "depth", "priority", "kind")
@@ -456,24 +487,27 @@ def formatted_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "orders").select("o_orderkey", text.format_epoch_ms(ms).alias("shown"), text.format_listing_time(ms).alias("listed"))
 
 
-_V4 = ["127.0.0.1", "10.1.2.3", "172.15.0.1", "172.16.0.1", "172.32.0.1", "192.168.1.1", "192.0.2.1", "192.0.3.1", "100.63.0.1", "100.64.0.1", "100.128.0.1", "198.17.0.1", "198.18.0.1", "198.20.0.1", "198.51.100.7", "203.0.113.99", "203.0.114.1", "240.0.0.1", "8.8.8.8", "169.254.169.254"]
+#: Addresses that go through the networks, an octet at a time.
+_V4 = "concat_ws('.', CASE o_orderkey % 9 WHEN 0 THEN 10 WHEN 1 THEN 172 WHEN 2 THEN 192 WHEN 3 THEN 100 WHEN 4 THEN 198 WHEN 5 THEN 203 WHEN 6 THEN 169 ELSE o_custkey % 256 END, CASE WHEN o_custkey % 4 = 0 THEN CASE o_orderkey % 9 WHEN 2 THEN 168 WHEN 4 THEN 51 WHEN 6 THEN 254 ELSE 0 END ELSE (o_orderkey * 7 + o_custkey) % 256 END, CASE WHEN o_custkey % 3 = 0 THEN CASE o_orderkey % 9 WHEN 2 THEN 2 WHEN 4 THEN 100 WHEN 5 THEN 113 ELSE 0 END ELSE (o_orderkey + o_custkey * 5) % 256 END, o_orderkey % 250 + 1)"
 
 
-@query("WITH v(ip) AS (VALUES " + ", ".join(f"('{x}')" for x in _V4) + "), p AS (SELECT ip, string_split(ip, '.')[1]::INT a, string_split(ip, '.')[2]::INT b, string_split(ip, '.')[3]::INT c FROM v) SELECT ip, NOT (a IN (0, 10, 127) OR a >= 240 OR (a = 172 AND b BETWEEN 16 AND 31) OR (a = 192 AND b = 168) OR (a = 169 AND b = 254) OR (a = 100 AND b BETWEEN 64 AND 127) OR (a = 198 AND b IN (18, 19)) OR (a = 192 AND b = 0 AND c = 2) OR (a = 198 AND b = 51 AND c = 100) OR (a = 203 AND b = 0 AND c = 113)) AS safe FROM p")
+@query(f"WITH v AS (SELECT o_orderkey, {_V4} AS ip FROM orders), p AS (SELECT *, string_split(ip, '.')[1]::INT a, string_split(ip, '.')[2]::INT b, string_split(ip, '.')[3]::INT c FROM v) SELECT o_orderkey, ip, NOT (a IN (0, 10, 127) OR a >= 240 OR (a = 172 AND b BETWEEN 16 AND 31) OR (a = 192 AND b = 168) OR (a = 169 AND b = 254) OR (a = 100 AND b BETWEEN 64 AND 127) OR (a = 198 AND b IN (18, 19)) OR (a = 192 AND b = 0 AND c = 2) OR (a = 198 AND b = 51 AND c = 100) OR (a = 203 AND b = 0 AND c = 113)) AS safe FROM p")
 def egress_guard_ipv4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(x,) for x in _V4], "ip string")
-    return rows.select("ip", urls.is_safe_egress_col(F.concat(F.lit("http://"), "ip", F.lit("/"))).alias("safe"))
+    rows = _t(spark, sf_dir, "orders").select("o_orderkey", F.expr(_V4).alias("ip"))
+    return rows.select("o_orderkey", "ip", urls.is_safe_egress_col(F.concat(F.lit("http://"), "ip", F.lit("/"))).alias("safe"))
 
 
-_LICENSES = [("https://creativecommons.org/licenses/by-sa/4.0/", None), ("http://creativecommons.org/publicdomain/mark/1.0/", None), ("https://creativecommons.org/publicdomain/zero/1.0/", None), (None, "Public Domain in the USA."), (None, "all mine"), ("https://x/licenses/other/1.0", None)]
+#: License URLs of many kinds and versions; the same text is Spark's SQL and DuckDB's.
+_LICENSE_URL = "CASE WHEN o_orderkey % 11 = 0 THEN NULL WHEN o_orderkey % 11 < 6 THEN concat('http://CreativeCommons.org/Licenses/', CASE o_custkey % 6 WHEN 0 THEN 'BY' WHEN 1 THEN 'by-sa' WHEN 2 THEN 'by-NC' WHEN 3 THEN 'by-nc-nd' WHEN 4 THEN 'other' ELSE 'by-nc-sa' END, '/', o_orderkey % 4 + 1, '.0/') WHEN o_orderkey % 11 = 6 THEN 'http://creativecommons.org/publicdomain/mark/1.0/' WHEN o_orderkey % 11 = 7 THEN 'https://creativecommons.org/publicdomain/zero/1.0/' ELSE concat('https://e.com/', o_custkey) END"
+_RIGHTS = "CASE WHEN o_custkey % 5 = 0 THEN 'Public domain in the USA.' WHEN o_custkey % 5 = 1 THEN concat('all mine ', o_orderkey) END"
 
 
 @query(
-    "WITH v(url, rights) AS (VALUES " + ", ".join("(" + ", ".join("NULL" if x is None else f"'{x}'" for x in r) + ")" for r in _LICENSES) + ") SELECT url, rights, CASE WHEN regexp_extract(lower(url), '/licenses/(by[^/]*)', 1) <> '' THEN 'cc-' || regexp_extract(lower(url), '/licenses/(by[^/]*)', 1) WHEN contains(url, 'publicdomain/mark') THEN 'pd-mark' WHEN contains(url, 'publicdomain/zero') THEN 'cc0-1.0' WHEN lower(rights) = 'public domain in the usa.' THEN 'pd-us' END AS license FROM v"
+    f"WITH v AS (SELECT o_orderkey, {_LICENSE_URL} AS url, {_RIGHTS} AS rights FROM orders), w AS (SELECT *, CASE WHEN regexp_extract(lower(url), '/licenses/(by[^/]*)', 1) <> '' THEN 'cc-' || regexp_extract(lower(url), '/licenses/(by[^/]*)', 1) END AS cc FROM v) SELECT o_orderkey, cc, CASE WHEN cc IS NOT NULL THEN cc WHEN contains(url, 'publicdomain/mark') THEN 'pd-mark' WHEN contains(url, 'publicdomain/zero') THEN 'cc0-1.0' WHEN lower(rights) = 'public domain in the usa.' THEN 'pd-us' END AS license FROM w"
 )
 def license_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame(_LICENSES, "url string, rights string")
-    return rows.withColumn("license", text.license_from_url_and_rights(F.col("url"), F.col("rights")))
+    rows = _t(spark, sf_dir, "orders").select("o_orderkey", F.expr(_LICENSE_URL).alias("url"), F.expr(_RIGHTS).alias("rights"))
+    return rows.select("o_orderkey", text.license_from_cc_url(F.col("url")).alias("cc"), text.license_from_url_and_rights(F.col("url"), F.col("rights")).alias("license"))
 
 
 @query(r"SELECT page_id, CASE WHEN regexp_matches(split_part(split_part(url, '?', 1), '#', 1), '(?i)\.(mp3|flac|ogg|oga|wav|m4a|opus|aac)$') THEN 'AudioFile' WHEN regexp_matches(split_part(split_part(url, '?', 1), '#', 1), '(?i)\.(mp4|m4v|mkv|webm|avi|mov|mpg|mpeg)$') THEN 'VideoFile' WHEN regexp_matches(split_part(split_part(url, '?', 1), '#', 1), '(?i)\.(pdf|epub|doc|docx|ppt|pptx|txt)$') THEN 'DocumentFile' ELSE 'Page' END AS kind FROM pages")

@@ -157,6 +157,11 @@ class KeyIndex:
         self.tables = {}
 
 
+    def drop(self) -> None:
+        self.close()
+        _drop(self.spark, self.path)
+
+
 class BucketTable:
     """A table whose rows lie in folders by a hash of their key; a version names the folder of each bucket.
 
@@ -237,3 +242,6 @@ class BucketTable:
         folders = {n.split("=")[1]: f"{made}/{n}" for n in _names(self.spark, f"{self.path}/data/{made}") if n.startswith("_bucket=")}
         stay = self.states.write(self.states.numbers()[-1] + 1, {"buckets": buckets, "folders": folders, "schema": rows.schema.jsonValue()})
         self._sweep({at for s in stay for at in s["folders"].values()})
+
+    def drop(self) -> None:
+        _drop(self.spark, self.path)

@@ -27,6 +27,11 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    p, fs, _ = _fs(spark, path)
+    fs.delete(p, True)
+
+
 def put_text(spark: SparkSession, path: str, text: str | bytes) -> None:
     p, fs, _ = _fs(spark, path)
     out = fs.create(p, True)

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
@@ -19,7 +20,13 @@ EXPIRED = "source string, source_id string, leased_until long"
 
 
 class Leases(StatefulProcessor):
-    """One lease a key: a claim sets its end (ms) and a timer there, a newer claim moves both, an end clears them; the timer emits the key."""
+    """One lease a key: a claim sets its end (ms) and a timer there, a newer claim moves both, an end clears them; the timer emits the key.
+
+    With `event_time`, an event that comes at or after a lease's end finds it run out, so what runs out does not depend on how events fall into batches.
+    """
+
+    def __init__(self, event_time: bool = True):
+        self.event_time = event_time
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -32,12 +39,16 @@ class Leases(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:  # noqa: N802,N803
         events = pd.concat(list(rows)).sort_values("ts", kind="stable")  # a track's events in one batch
-        for kind, until in zip(events["event"], events["leased_until"], strict=True):
+        over = []
+        for kind, until, at in zip(events["event"], events["leased_until"], events["ts"], strict=True):
+            if self.event_time and self.until.exists() and int(self.until.get()[0]) <= at.value // 1_000_000:
+                over.append(int(self.until.get()[0]))
             self._clear()
             if kind == CLAIMED and not pd.isna(until):
                 self.until.update((int(until),))
                 self.handle.registerTimer(int(until))
-        return iter(())
+        if over:
+            yield pd.DataFrame({"source": [key[0]] * len(over), "source_id": [key[1]] * len(over), "leased_until": over})
 
     def handleExpiredTimer(self, key, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802,N803
         until = expiredTimerInfo.getExpiryTimeInMs()
@@ -53,10 +64,10 @@ def expired_leases(events: DataFrame, late: str = "0 seconds", by_clock: bool =
     """(source, source_id, leased_until) of each lease that runs out, from a stream of events (source, source_id, event, ts, leased_until in ms).
 
     Time is the watermark of `ts`, or the clock with `by_clock`. A claim whose end has passed already runs out at once. State and timers
-    are in the checkpoint; the session's state store must be RocksDB's.
+    are in the checkpoint; the stream must be started within `timers`.
     """
     timed = events.withWatermark("ts", late)
-    return timed.groupBy(*TRACK_KEY).transformWithStateInPandas(statefulProcessor=Leases(), outputStructType=EXPIRED, outputMode="Append", timeMode="ProcessingTime" if by_clock else "EventTime")
+    return timed.groupBy(*TRACK_KEY).transformWithStateInPandas(statefulProcessor=Leases(not by_clock), outputStructType=EXPIRED, outputMode="Append", timeMode="ProcessingTime" if by_clock else "EventTime")
 
 
 def released(tracks: DataFrame, expired: DataFrame) -> DataFrame:
@@ -81,4 +92,17 @@ def lease_stream(events: DataFrame, table: str, checkpoint: str, late: str = "0
             gone.unpersist()
 
     stream = expired_leases(events, late, by_clock).writeStream.outputMode("append").foreachBatch(run).option("checkpointLocation", checkpoint)
-    return (stream if by_clock else stream.trigger(availableNow=True)).start()
+    with timers(events.sparkSession):
+        return (stream if by_clock else stream.trigger(availableNow=True)).start()
+
+
+@contextmanager
+def timers(spark: SparkSession) -> Iterator[None]:
+    """Streams that start within it keep their state in RocksDB, which timers need."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
