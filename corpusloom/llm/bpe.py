@@ -233,8 +233,8 @@ def texts_of(column: pa.Array) -> list[str]:
     return [(t or b"").decode("utf-8", "replace") for t in column.view(pa.binary()).to_pylist()]
 
 
-def frequent_words(docs: DataFrame, pattern: str, id_col: str = "doc_id", text: str = "text", sample: int = SAMPLE_DOCS, words: int = WORDS) -> list[str]:
-    """The most frequent distinct words of about `sample` documents chosen by a hash of the id; at most `words`."""
+def frequent_words(docs: DataFrame, pattern: str, text: str = "text", sample: int = SAMPLE_DOCS, words: int = WORDS) -> list[str]:
+    """The most frequent distinct words of about `sample` rows, whatever their ids and however often they repeat; at most `words`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut, found = regex.compile(pattern), Counter()
@@ -244,9 +244,8 @@ def frequent_words(docs: DataFrame, pattern: str, id_col: str = "doc_id", text:
         yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["word", "n"])
 
     n = docs.count()
-    part = int(min(1.0, sample / max(1, n)) * (1 << 30))
-    some = docs.filter(F.col(text).isNotNull() & (F.pmod(F.xxhash64(F.lit("bpe"), F.col(id_col)), F.lit(1 << 30)) < part)).select(text)
-    counts = some.mapInArrow(settled(run), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    some = docs.select(text).sample(min(1.0, sample / max(1, n)), seed=17)
+    counts = some.filter(F.col(text).isNotNull()).mapInArrow(settled(run), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     return [r[0] for r in counts.filter(F.octet_length("word") <= LONGEST).orderBy(F.desc("n"), "word").limit(words).collect()]
 
 
@@ -286,7 +285,7 @@ class Pieces:
         return pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(self.bytes[index].tobytes())])
 
 
-def encode(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), text: str = "text", id_col: str = "doc_id", ranks: dict[bytes, int] | None = None, pattern: str | None = None, decoded: bool = False) -> DataFrame:
+def encode(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), text: str = "text", ranks: dict[bytes, int] | None = None, pattern: str | None = None, decoded: bool = False) -> DataFrame:
     """`carry` and ids (array of int) of every row's whole text; a null text is empty and has no ids. Empty tables stay empty, repeated rows are
     encoded each, bytes that are no UTF-8 count as U+FFFD, and columns of `carry` named ids or decoded are left out.
 
@@ -294,7 +293,7 @@ def encode(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), text: str = "t
     """
     carry = tuple(c for c in carry if c not in ("ids", "decoded"))
     spark, ranks, pattern = docs.sparkSession, ranks or load_ranks(), pattern or public_tokenizers.PATTERN
-    known = dictionary(spark, frequent_words(docs, pattern, id_col, text), ranks)
+    known = dictionary(spark, frequent_words(docs, pattern, text), ranks)
     shared = spark.sparkContext.broadcast((ranks, known))
     fields = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
 

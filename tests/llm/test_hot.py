@@ -62,3 +62,13 @@ def test_clashing_names(spark):
     assert got.columns == ["doc_id", "gone", "n", "key", "n_lines", "n_removed", "kept"]
     assert [(r.gone, r.n_removed, r.kept) for r in got.orderBy("doc_id").collect()] == [(5, 1, "one line of text"), (5, 0, None)]
     assert mixing.mix(df).columns.count("_size") == 1 and bpe.encode(df).columns == ["doc_id", "ids"]
+
+
+def test_words_for_the_fold_come_from_rows_whatever_their_ids(spark):
+    texts = spark.range(3000).select((F.col("id") % 7).cast("string").alias("k")).select(F.concat_ws(" ", F.lit("some"), F.lit("words"), "k").alias("text"))
+    for ids in (F.lit(None).cast("long"), F.lit(5).cast("long"), F.monotonically_increasing_id()):
+        found = bpe.frequent_words(texts.withColumn("doc_id", ids), bpe.public_tokenizers.PATTERN, sample=300)
+        assert {"some", " words"} <= set(found)
+    assert bpe.frequent_words(texts.limit(0), bpe.public_tokenizers.PATTERN) == []
+    one = bpe.frequent_words(texts, bpe.public_tokenizers.PATTERN, words=2)
+    assert len(one) == 2
