@@ -1,6 +1,6 @@
-"""Command line over a store folder of versioned tables: seed, crawl, status, export, harvest, tracks-export, inspect.
+"""Command line over a store folder of versioned tables: seed, crawl, status, export, ingest, harvest, tracks-export, inspect.
 
-Nothing is fetched: `crawl` creates a job and its seed tasks, `harvest` reads landed catalog files.
+Nothing is fetched: `crawl` creates a job and its seed tasks, `ingest` works on landed pages, `harvest` reads landed catalog files.
 """
 
 from __future__ import annotations
@@ -18,8 +18,10 @@ from .functions.text import parse_size
 from .operators.admission import seed_tasks
 from .operators.manifest import TRACK_KEY, catalog_rows, insert_if_absent, merge_tracks, upsert_jobs
 from .operators.reports import exported, pages_of_domain
+from .plans.schemas import FETCHED, RESULT
 from .sources import catalogs, sinks, tables
 from .sources.keyed import BucketTable
+from .streaming import crawl, worker
 
 SOURCES = ["jamendo", "archive_org", "fma"]
 
@@ -91,6 +93,22 @@ def harvest(spark, a) -> None:
     print(fresh.count())
 
 
+def ingest(spark, a) -> None:
+    """Fetched pages that were landed in the store become results, pages, tracks and admitted tasks; each step goes on where it stopped."""
+    messages, state = f"{a.store}/messages", f"{a.store}/state"
+    fetched = spark.readStream.schema(FETCHED).parquet(f"{a.store}/fetched")
+    worker.page_stream(fetched, messages, f"{state}/worker", worker.Work(store=f"{a.store}/content" if a.keep_pages else None)).awaitTermination()
+    jobs = lambda: tables.decoded_jobs(sinks.read_table(spark, f"{a.store}/jobs"))
+    for kind in ("edges", "results"):
+        if not sinks.exists(spark, f"{messages}/{kind}"):
+            return
+    raw = lambda: spark.readStream.option("recursiveFileLookup", "true")
+    # pages first: what was fetched now is known when its links are looked at
+    crawl.result_stream(raw().schema(RESULT).json(f"{messages}/results"), a.store, f"{state}/results").awaitTermination()
+    crawl.admission_stream(raw().text(f"{messages}/edges"), jobs, lambda: crawl.page_index(spark, a.store), f"{a.store}/admission", f"{state}/admission", publish=True).awaitTermination()
+    print(spark.read.parquet(f"{a.store}/admission/tasks").count())
+
+
 def tracks_export(spark, a) -> None:
     rows = tables.tracks_of(sinks.read_table(spark, f"{a.store}/tracks"), a.source)
     kept = exported(rows, a.include_incomplete, a.all_licenses)
@@ -136,6 +154,9 @@ def main(argv: list[str] | None = None) -> None:
     c.add_argument("--files")
     c.add_argument("--mirror", default="https://os.unil.cloud.switch.ch/fma")
     c.add_argument("--limit", type=int)
+    c = sub.add_parser("ingest")
+    c.set_defaults(run=ingest)
+    c.add_argument("--keep-pages", action="store_true")
     c = sub.add_parser("tracks-export")
     c.set_defaults(run=tracks_export)
     c.add_argument("--source", required=True)

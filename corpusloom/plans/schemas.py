@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql.types import ArrayType, BooleanType, DoubleType, IntegerType, LongType, MapType, StringType, StructField, StructType, TimestampType
+from pyspark.sql.types import ArrayType, BinaryType, BooleanType, DoubleType, IntegerType, LongType, MapType, StringType, StructField, StructType, TimestampType
 
 
 def _struct(*fields: tuple) -> StructType:
@@ -21,6 +21,7 @@ RESULT = _struct(("job_id", S), ("source_url", S), ("domain", S), ("title", S),
 TRACK = _struct(("source", S), ("source_id", S), ("job_id", S), ("url", S), ("title", S), ("artist", S), ("album", S), ("year", I), ("genre", S), ("license", S), ("license_url", S), ("origin_page_url", S), ("discovered_from_url", S), ("collection", S), ("duration_secs", D), ("bitrate_kbps", I), ("format", S), ("sha256", S), ("bytes", L), ("object_path", S), ("status", S), ("error", S))
 PAGE = _struct(("domain", S), ("job_id", S), ("url", S), ("http_status", I), ("content_length", L), ("content_hash", S), ("title", S), ("language", S), ("content_ref", S), ("crawled_at", TimestampType()), ("crawl_duration_ms", L))
 DOMAIN = _struct(("domain", S), ("robots_txt", S), ("robots_fetched_at", L), ("crawl_delay_ms", L), ("last_crawled_at", L))
+FETCHED = _struct(("url", S), ("job_id", S), ("depth", I), ("content_type", S), ("http_status", I), ("body", BinaryType()), ("duration_ms", L))
 SAMPLE = _struct(("ts", TimestampType()), ("component", S), ("metric", S), ("le", D), ("value", D))
 
 #: Defaults of job fields that older documents lack.
