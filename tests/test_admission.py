@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import topic_relevant
@@ -67,6 +68,38 @@ def test_budgets_equal_the_greedy_loop(spark):
     assert [r.reason for r in admission.one_job_budget(df, Admission(global_domain_cap=7)).orderBy("seq").collect()] == greedy(one, 7)
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_shared_budgets_over_ranges_equal_the_greedy_loop(spark, seed):
+    """Random jobs and domains, one domain with most rows, few ranges, limits that earlier batches have partly or wholly used."""
+    rng = random.Random(seed)
+    jobs = {f"j{k}": (rng.choice([None, 2, 4, 9]), rng.choice([None, 6, 15, 25])) for k in range(4)} | {None: (None, 5)}
+    many = [(rng.choice(["hot"] * 6 + list("vwxyz") + [None]), j, *jobs[j]) for j in (rng.choice(list(jobs)) for _ in range(160))]
+    spent = [("hot", "j0", 2), ("v", "j1", 9), ("w", "j2", 1)] if seed else []
+    df = spark.createDataFrame([(*r, 7 * k, None) for k, r in enumerate(many)], "root string, job_id string, max_pages_per_domain long, max_pages long, seq long, reason string")
+    used = spark.createDataFrame(spent, "root string, job_id string, n long") if spent else None
+    domains, taken, expected = {}, {}, []
+    for root, j, n in spent:
+        domains[root], taken[j] = domains.get(root, 0) + n, taken.get(j, 0) + n
+    for root, j, per, most in many:
+        d, n = domains.get(root, 0), taken.get(j, 0)
+        why = "domain_cap" if d >= 11 else "job_domain_cap" if per is not None and d >= per else "job_cap" if most is not None and n >= most else None
+        if why is None:
+            domains[root], taken[j] = d + 1, n + 1
+        expected.append(why)
+    got = admission.greedy_budget(df, Admission(global_domain_cap=11), used, ranges=5)
+    assert [r.reason for r in got.orderBy("seq").collect()] == expected
+
+
+def test_budgets_are_found_without_a_task_for_a_job(spark):
+    """A job and a domain with all rows: what a window sorts is a range of them."""
+    df = spark.range(4000).selectExpr("'d' AS root", "'j' AS job_id", "bigint(null) AS max_pages_per_domain", "bigint(1500) AS max_pages", "id * 3 AS seq", "string(null) AS reason")
+    place = df.withColumn("at", admission.place(df, "seq", 20)).groupBy("at").count().agg(F.max("count"), F.count("*")).first()
+    assert place[0] <= 400 and place[1] >= 18
+    for budget in (admission.greedy_budget, admission.one_job_budget):
+        got = budget(df, Admission(global_domain_cap=1200), ranges=20)
+        assert got.filter("reason is null").agg(F.count("*"), F.max("seq")).first()[:] == (1200, 3597) and got.filter("reason = 'domain_cap'").count() == 2800
+
+
 def test_payloads(spark):
     rows = [('[{"url":"a","source_url":"s","job_id":"j","depth":1},{"url":"b"}]',), ('{"url":"c","job_id":"j"}',), ("nope",), ("[]",)]
     got = [r.e for r in spark.createDataFrame(rows, "v string").select(admission.decode_edges(F.col("v")).alias("e")).collect()]

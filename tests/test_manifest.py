@@ -164,3 +164,38 @@ def test_metrics_and_schedule(spark):
     cache = spark.createDataFrame([("https://a.com", "Success", 7, "b", 1000), ("https://b.com", "Denied", 7, "b", 1000), ("https://c.com", "Absent", 7, "b", 0)], "origin string, status string, crawl_delay_ms long, body string, fetched_at_ms long")
     t = spark.createDataFrame([("https://a.com/x",), ("https://b.com/x",), ("https://c.com/x",)], "url string")
     assert [r.crawl_delay_ms for r in schedule.with_robots(t, cache, F.lit(4_000_000)).orderBy("url").collect()] == [7, None, None]
+
+
+def test_delays_of_a_domain_with_most_requests(spark):
+    import random
+
+    from corpusloom.operators import scans
+
+    rng = random.Random(4)
+    rows = [("hot" if rng.random() < 0.95 else rng.choice("ab"), k * 11, rng.randrange(40_000), rng.choice([None, None, 0, 0.5, 20, 300])) for k in range(1500)]
+    df = spark.createDataFrame([(d, s, float(a), None if x is None else float(x)) for d, s, a, x in rows], "domain string, seq long, arrival_ms double, delay_ms double")
+    last, longest, expected = {}, {}, []
+    for domain, _, arrival, delay in rows:
+        if delay is not None:
+            longest[domain] = max(longest.get(domain, delay), delay)
+        worst = longest.get(domain)
+        period = 250.0 if worst is None else 1000.0 if worst == 0 else max(1.0, worst)
+        last[domain] = arrival if domain not in last else max(arrival, last[domain] + period)
+        expected.append(float(last[domain]))
+    got = schedule.scheduled(df, 250, ranges=12).orderBy("seq").collect()
+    assert [r.scheduled_ms for r in got] == expected
+    spread = df.groupBy("domain", scans.place(df, "seq", 12).alias("at")).count()
+    assert spread.agg(F.max("count")).first()[0] <= 2 * 1500 / 12  # the most that one window sorts
+    files = df.select("domain", "seq", F.lit(3).alias("size"), F.lit("x").alias("_total"))
+    fits = reports.within_disk_budget(files.drop("_total"), "domain", "seq", "size", 300)
+    assert fits.filter("fits and domain = 'hot'").count() == 100
+
+
+def test_ranks_of_one_large_group(spark):
+    from corpusloom.operators import scans
+
+    rows = spark.range(500).selectExpr("if(id % 50 = 0, null, 'g') AS g", "string(id * 7919 % 500) AS a", "id AS b")
+    got = {r.b: r.n for r in scans.ranked(rows, ["g"], ["a", "b"], "n", ranges=6).collect()}
+    for group in (None, "g"):
+        own = sorted((r.a, r.b) for r in rows.collect() if r.g == group)
+        assert [got[b] for _, b in own] == list(range(1, len(own) + 1))
