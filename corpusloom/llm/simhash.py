@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .graph import components, drop_path, keep, salted_join, scratch, tidy
 from .linededup import _cuts
-from .textkernel import blocks, settled, window_hashes
+from .textkernel import blocks, settled, splitmix, window_hashes
 
 BLOCK = 1000
 #: The same where links are verified, as wider thresholds make larger groups.
@@ -323,15 +323,18 @@ def _partners(radius: int, cap: int):
     return run
 
 
-def shingle_sets(column: pa.Array, width: int) -> list[np.ndarray]:
-    """Sorted hashes of the different shingles of each text's lower-case words; with fewer words than `width` all words are the one shingle."""
-    found = []
+def shingle_lists(column: pa.Array, width: int) -> Iterator[np.ndarray]:
+    """Hashes of the shingles of each text's lower-case words, repeats included; with fewer words than `width` all words are the one shingle."""
     for block in blocks(column, lowered=True):
         words = block.hashes()
         grams = window_hashes(words, width)
         for a, b in zip(block.rows[:-1].tolist(), block.rows[1:].tolist(), strict=True):
-            found.append(np.unique(grams[a : b - width + 1]) if b - a >= width else window_hashes(words[a:b], max(1, b - a)))
-    return found
+            yield grams[a : b - width + 1] if b - a >= width else window_hashes(words[a:b], max(1, b - a))
+
+
+def shingle_sets(column: pa.Array, width: int) -> list[np.ndarray]:
+    """Sorted hashes of the different shingles of each text's lower-case words; with fewer words than `width` all words are the one shingle."""
+    return [np.unique(grams) for grams in shingle_lists(column, width)]
 
 
 def _similar(width: int, similarity: float):
@@ -349,15 +352,38 @@ def _similar(width: int, similarity: float):
     return run
 
 
-def verified_edges(nodes: DataFrame, texts: Callable[[DataFrame], DataFrame], radius: int, width: int, similarity: float) -> DataFrame:
-    """Edges (src, dst) that connect exactly what links connect: at most `radius` differing bits and the similarity of shingles. `nodes` has fp and id, `texts` gives id and text, one row for each wanted id.
+def with_prints(docs: DataFrame, text: str, width: int, prints: int, carry: tuple[str, ...]) -> DataFrame:
+    """The columns `carry` and `fps` (array of long): `prints` fingerprints of each text's shingles, each over hashes of its own. A text without a word has zeros."""
+    fields = [f for f in docs.schema.fields if f.name in carry]
+
+    def one(grams: np.ndarray) -> list[int]:
+        found = []
+        for k in range(prints):
+            counts = np.zeros(64, dtype=np.int64)
+            for at in range(0, len(grams), 1 << 15):
+                mixed = splitmix(grams[at : at + (1 << 15)] ^ np.uint64(0x9E3779B97F4A7C15 * k % (1 << 64)))
+                counts += np.unpackbits(mixed.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+            found.append(int(np.packbits(2 * counts > len(grams), bitorder="little").view("<i8")[0]))
+        return found
 
-    A text takes FIRST partners of a group; once these links are united, only texts that are still apart take more, so a
-    large group of copies does not give all its pairs.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [one(grams) for grams in shingle_lists(batch.column(batch.num_columns - 1), width)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, pa.list_(pa.int64()))], names=[*carry, "fps"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for c in carry for f in fields if f.name == c) + ", fps array<long>"
+    return docs.select(*carry, F.col(text).alias("_text")).mapInArrow(settled(run), schema)
+
+
+def verified_edges(nodes: DataFrame, texts: Callable[[DataFrame], DataFrame], radius: int, width: int, similarity: float, edges: DataFrame | None = None, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Edges (src, dst) that connect exactly what links connect: at most `radius` differing bits and the similarity of shingles; and the pairs that were compared. `nodes` has fp and id, `texts` gives id and text, one row for each wanted id.
+
+    `edges` and `known` are what earlier fingerprints of the same nodes gave: what they connect is not compared again. A text takes FIRST partners of a group;
+    once these links are united, only texts that are still apart take more, so a large group of copies does not give all its pairs.
     """
     spark = nodes.sparkSession
     groups, path = keep(_groups(nodes, _parts(nodes, radius), LARGE)), scratch(spark, "similar")
-    edges, known, cap = None, None, FIRST
+    cap = FIRST
     while True:
         if edges is None:
             named = groups.withColumn("label", F.col("id"))
@@ -380,24 +406,29 @@ def verified_edges(nodes: DataFrame, texts: Callable[[DataFrame], DataFrame], ra
             edges = good if edges is None else edges.union(good)
         if not met.filter("dst is null").limit(1).count():
             drop_path(spark, path)
-            return edges
+            return edges, known
         cap *= FURTHER
 
 
-def first_of_each(docs: DataFrame, id_col: str = "doc_id", text: str = "text", radius: int = 12, width: int = 5, similarity: float = 0.8, seed: int = 42) -> DataFrame:
+#: Fingerprints of a text and the bits in which two may differ, where links are verified. Of pairs with a similarity of 0.8 or more one fingerprint
+#: and 12 bits find 0.88, and four and 8 bits more than that for fewer probes: the number of probes grows fast with the bits.
+PRINTS, BITS = 4, 8
+
+
+def first_of_each(docs: DataFrame, id_col: str = "doc_id", text: str = "text", radius: int = BITS, width: int = 5, similarity: float = 0.8, prints: int = PRINTS) -> DataFrame:
     """One row of each group of near-duplicate rows of `docs`, with its columns.
 
-    Rows with equal texts (a null text counts as empty) are one group, and so are those connected over links: fingerprints that differ in at most `radius`
-    bits and sets of shingles with at least this Jaccard similarity. The first row by (id, hash of the text, the other columns) stays, a null id
+    Rows with equal texts (a null text counts as empty) are one group, and so are those connected over links: one of `prints` pairs of fingerprints differs in at most
+    `radius` bits, and sets of shingles have at least this Jaccard similarity. The first row by (id, hash of the text, the other columns) stays, a null id
     last, whatever the order of the rows; columns must be of types that can be ordered. Rows that repeat an id with unlike texts are rows of their own. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     others = [c for c in docs.columns if c not in (id_col, text)]
     whole = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.xxhash64(whole).alias("_h1"), F.xxhash64(F.lit("text"), whole).alias("_h2"), F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.xxhash64(whole).alias("h"), F.col(text).isNull().alias("empty"), *[F.col(c).alias(f"c{k}") for k, c in enumerate(others)]).alias("_row"), whole.alias("_t"))
-    prints = with_fingerprint(rows, "_t", width, seed, ("_h1", "_h2", "_row"))
     path = scratch(spark, "nodes")
-    prints.groupBy("_h1", "_h2", "fp").agg(F.min("_row").alias("first")).select(F.monotonically_increasing_id().alias("id"), "_h1", "_h2", "fp", "first").write.parquet(path)
+    found = with_prints(rows, "_t", width, prints, ("_h1", "_h2", "_row"))
+    found.groupBy("_h1", "_h2", "fps").agg(F.min("_row").alias("first")).select(F.monotonically_increasing_id().alias("id"), "_h1", "_h2", "fps", "first").write.parquet(path)
     nodes = spark.read.parquet(path)
     named = rows.select("_h1", "_h2", F.col("_row").alias("first"), F.col("_t").alias("text"))
 
@@ -405,7 +436,9 @@ def first_of_each(docs: DataFrame, id_col: str = "doc_id", text: str = "text", r
         # Copies of a text are spread over the tasks by their whole row.
         return named.join(nodes.join(wanted, "id").select("_h1", "_h2", "first", "id"), ["_h1", "_h2", "first"]).dropDuplicates(["id"])
 
-    edges = verified_edges(nodes.select("fp", "id"), texts, radius, width, similarity)
+    edges = known = None
+    for k in range(prints):
+        edges, known = verified_edges(nodes.select(F.col("fps")[k].alias("fp"), "id"), texts, radius, width, similarity, edges, known)
     joined = keep(components(edges))
     behind = nodes.join(joined, nodes["id"] == joined["node"])
     leads = behind.groupBy("component").agg(F.min("first").alias("lead"))

@@ -294,3 +294,28 @@ def test_short_lines_repeat_once(spark, tmp_path):
     assert got == {1: 1, 2: 1, 3: 1, None: 1}
     kept = {r.doc_id: r.kept for r in linededup.remove_repeated_lines(docs(spark, rows), exact_from=1).collect()}
     assert kept == {1: "Les.\n\nAnd ornd.", 2: "\nAnd ornd!\nb", 3: "a longer line of some words\nLes", None: ""}
+
+
+def test_near_dedup_finds_most_pairs_and_no_others(spark):
+    """600 texts, half of them with some words changed: those with a similarity of 0.8 or more go, in nine of ten cases at least, and none below it."""
+    rng = random.Random(11)
+    words = [f"w{rng.randrange(10**5)}" for _ in range(4000)]
+    rows, wanted, unlike = [], set(), set()
+    sets = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    for i in range(300):
+        first = [rng.choice(words) for _ in range(rng.randrange(40, 400))]
+        second = list(first)
+        for _ in range(rng.choice([1, 1, 2, 3, 5, 9])):
+            second[rng.randrange(len(second))] = f"z{rng.randrange(10**6)}"
+        a, b = sets(first), sets(second)
+        (wanted if len(a & b) >= 0.8 * len(a | b) else unlike).add(1000 + i)
+        rows += [(i, " ".join(first)), (1000 + i, " ".join(second))]
+    left = {r.doc_id for r in simhash.first_of_each(docs(spark, rows)).collect()}
+    assert set(range(300)) <= left and unlike <= left
+    assert len(wanted) > 100 and len(wanted & left) <= 0.1 * len(wanted)
+
+
+def test_prints_of_whole_texts(spark):
+    rows = [(1, "a b c d e f g"), (2, "A b c\nd E f g"), (3, ""), (4, "a b"), (5, "x " * 40_000)]
+    got = {r.doc_id: r.fps for r in simhash.with_prints(docs(spark, rows).select("doc_id", "text"), "text", 5, 3, ("doc_id",)).collect()}
+    assert got[1] == got[2] and len(set(got[1])) == 3 and got[3] == [0, 0, 0] and any(got[4]) and len(got[5]) == 3
