@@ -37,6 +37,12 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def quality_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op5 counts and its base rule, without the learned list."""
+    judged = rules.base_rule(table(spark, sf_dir, "documents"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     taken = (F.col("_size") * F.col("_copies")).cast("long")
@@ -81,6 +87,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_substring_dedup": op3_substring_dedup,
         "op4_toxicity": op4_toxicity,
         "op5_quality_rules": op5_quality_rules,
+        "quality_base_counts": quality_base_counts,
         "op6_mixing": op6_mixing,
         "op7_language_id": op7_language_id,
         "op8_byte_bpe": op8_byte_bpe,
@@ -93,4 +100,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_embedding_near_dedup": embedding.ORACLE, "op3_substring_dedup": substring.ORACLE, "op6_mixing": mixing.ORACLE, "op11_vector_codes": codebooks.ORACLE, "op12_hard_negatives": negatives.ORACLE, "op13_nearest_neighbours": vantage.ORACLE}
+    return {"quality_base_counts": rules.ORACLE, "op2_embedding_near_dedup": embedding.ORACLE, "op3_substring_dedup": substring.ORACLE, "op6_mixing": mixing.ORACLE, "op11_vector_codes": codebooks.ORACLE, "op12_hard_negatives": negatives.ORACLE, "op13_nearest_neighbours": vantage.ORACLE}

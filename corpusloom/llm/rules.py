@@ -212,6 +212,12 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", limit: int =
     return learn(x, table["label"].to_numpy() == 0)
 
 
+def base_rule(docs: DataFrame) -> DataFrame:
+    """Per row of `docs` (doc_id, text): doc_id, the COUNTS and base_failed, as `judge` has them; nothing is learned."""
+    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    return statistics(docs.select("doc_id", "text")).withColumn("base_failed", failed)
+
+
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Per row of `docs` (doc_id, text): doc_id, the COUNTS, base_failed, kept.
 
@@ -220,5 +226,19 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     empty and keeps all. Repeated rows are judged each; an empty table gives an empty result; other columns are ignored.
     """
     rules = fit(docs, labels)
-    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return statistics(docs.select("doc_id", "text")).withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & verdict(rules))
+    return base_rule(docs).withColumn("kept", ~F.col("base_failed") & verdict(rules))
+
+
+#: The counts and the base rule; the learned list is beyond SQL.
+ORACLE = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+  w AS (SELECT rid, doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
+  p AS (SELECT rid, generate_subscripts(w, 1) AS pos, unnest(w) AS word FROM w),
+  g AS (SELECT rid, pos, list(word) OVER f AS h, count(*) OVER f AS n FROM p WINDOW f AS (PARTITION BY rid ORDER BY pos ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING)),
+  s AS (SELECT rid, pos, n = 3 AND count(*) OVER (PARTITION BY rid, h, n) > 1 AS again FROM g),
+  c AS (SELECT rid, max(again::INT) OVER (PARTITION BY rid ORDER BY pos ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS covered FROM s),
+  r AS (SELECT rid, sum(covered)::BIGINT AS n_repeat_words FROM c GROUP BY rid),
+  a AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+    CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words FROM w LEFT JOIN r USING (rid))
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM a
+"""
