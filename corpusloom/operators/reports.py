@@ -47,6 +47,7 @@ def license_groups(tracks: DataFrame) -> DataFrame:
 def attribution_lines(tracks: DataFrame, engine: str = "corpusloom") -> DataFrame:
     """(section, license, rank, line): the attribution text in order of these columns."""
     line = lambda cond, text: F.when(cond, text)
+    # The form of an entry and of its heading, which programs that read credits look for.
     entry = F.array_compact(F.array(
         F.concat(F.lit("- "), F.coalesce("title", F.lit("(untitled)")), F.lit(" — "), F.coalesce("artist", F.lit("(unknown artist)"))),
         line(F.col("album").isNotNull(), F.concat(F.lit("  Album: "), "album")),

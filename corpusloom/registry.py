@@ -442,12 +442,13 @@ def budget_many_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return admission.greedy_budget(rows).select("seq", "job_id", "root", "reason")
 
 
-@query("SELECT conv_id, string_agg(role, ',' ORDER BY f) AS roles FROM (SELECT conv_id, role, min(turn) AS f FROM conversations GROUP BY ALL) GROUP BY 1")
+@query("SELECT conv_id, count(*) AS n_turns, any_value(roles) AS roles FROM conversations JOIN (SELECT conv_id, string_agg(said, ',' ORDER BY f) AS roles FROM (SELECT conv_id, said, min(f) AS f FROM (SELECT conv_id, unnest([role, left(text, 1)]) AS said, unnest([turn * 2, turn * 2 + 1]) AS f FROM conversations) GROUP BY ALL) GROUP BY 1) USING (conv_id) GROUP BY conv_id")
 def ordered_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Roles of a conversation in order of their first turn; a conversation's list is as long as its turns."""
-    first = _t(spark, sf_dir, "conversations").groupBy("conv_id", "role").agg(F.min("turn").alias("f"))
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("f", "role"))), lambda x: x["role"])
-    return first.groupBy("conv_id").agg(F.array_join(dedup.ordered_distinct(ordered), ",").alias("roles"))
+    """Roles and first letters of a conversation's turns, each once, in order; a conversation's list is as long as its turns."""
+    said = F.sort_array(F.collect_list(F.struct("turn", "role", F.left("text", F.lit(1)).alias("letter"))))
+    lists = _t(spark, sf_dir, "conversations").groupBy("conv_id").agg(said.alias("said"), F.count(F.lit(1)).alias("n_turns"))
+    flat = F.flatten(F.transform("said", lambda x: F.array(x["role"], x["letter"])))
+    return lists.select("conv_id", "n_turns", F.array_join(dedup.ordered_distinct(flat), ",").alias("roles"))
 
 
 @query("SELECT l_returnflag, CASE WHEN l_quantity * 40 < 30 THEN 'short' WHEN l_quantity * 40 > 1800 THEN printf('duration %.1fs above maximum', l_quantity * 40) WHEN l_linenumber * 32 < 96 THEN 'bitrate ' || l_linenumber * 32 || 'kbps below minimum' END AS reason, count(*) AS n FROM lineitem GROUP BY ALL")
