@@ -137,8 +137,8 @@ def greedy_budget(passed: DataFrame, options: Admission = Admission(), used: Dat
     limits = keep(_limits(rows, top))
     busy = limits.select("kind", "key").distinct()
     both = F.array(F.struct(F.lit("domain").alias("kind"), F.col("root").alias("key")), F.struct(F.lit("job").alias("kind"), F.col("job").alias("key")))
-    known = limits
-    while True:
+    known, rounds = limits, limits.count() + 2
+    for _ in range(rounds):
         events = _accepted(rows, known).select("seq", "at", F.explode(both).alias("e")).select("seq", "at", "e.kind", "e.key").join(busy, ["kind", "key"])
         counts = events.groupBy("kind", "key", "at").agg(F.count(F.lit(1)).alias("n"))
         upto = counts.withColumn("upto", F.sum("n").over(Window.partitionBy("kind", "key").orderBy("at")))  # at most one row a range
@@ -150,6 +150,8 @@ def greedy_budget(passed: DataFrame, options: Admission = Admission(), used: Dat
         known = new
         if not changed:
             break
+    else:
+        raise ValueError("seq must differ between rows")
     after = lambda kind, of: known.filter(F.col("kind") == kind).select(F.col("key").alias(f"_key{of}"), F.col("level").alias(f"_level{of}"), F.col("binds").alias(f"_binds{of}"))
     out = passed.withColumn("_root", name("root")).withColumn("_job", name("job_id")).withColumn("_own", own)
     out = out.join(after("domain", 0), (F.col("_root") == F.col("_key0")) & (F.col("_level0") == top), "left")

@@ -13,6 +13,7 @@ from ..functions.text import format_preference, license_from_cc_url, license_fro
 from ..functions.urls import archive_details_url, archive_download_url, jamendo_download_url, subset_path
 from ..operators.dedup import best_files
 from ..operators.scans import carried, place, running
+from . import landed
 from .shared import keep
 
 JAMENDO_PAGE = "headers struct<status:string,warnings:string,error_message:string>, results array<struct<id:string,name:string,artist_name:string,album_name:string,license_ccurl:string,audiodownload:string,audiodownload_allowed:boolean,shareurl:string>>"
@@ -34,6 +35,13 @@ def jamendo_pages(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(JAMENDO_PAGE).json(path, multiLine=True).withColumn("page", F.col("_metadata.file_name")).withColumn("offset", _offset())
 
 
+def landed_pages(spark: SparkSession, path: str, schema: str, **options: str) -> DataFrame:
+    """(offset, the columns of `schema`) of pages landed by offset, read by ranges of offsets (`landed.LandedPages` and its options)."""
+    landed.register(spark)
+    rows = spark.read.format("landed_pages").option("path", path).options(**options).load()
+    return rows.select("offset", F.from_json("body", schema).alias("p")).select("offset", "p.*")
+
+
 def pages_up_to(pages: DataFrame, empty: Column, counted: Column, limit: int | None = None, empty_stop: int = 1) -> DataFrame:
     """The pages (with a number `offset`) of a walk in order of the offset that ends after the `empty_stop`-th empty page in a row, or before the first page that
     finds `limit` reached by what the pages before it counted. So a walk may go over its limit by what one page holds.

@@ -21,6 +21,12 @@ def _fs(spark: SparkSession, path: str):
     return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+def _whole(spark: SparkSession, path: str) -> str:
+    """The path as Hadoop resolves it, so that a table's place does not depend on the warehouse."""
+    p, fs = _fs(spark, path.rstrip("/"))
+    return fs.makeQualified(p).toString()
+
+
 def _names(spark: SparkSession, path: str) -> list[str]:
     p, fs = _fs(spark, path)
     return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
@@ -90,7 +96,7 @@ class KeyIndex:
     FEW = 512
 
     def __init__(self, spark: SparkSession, path: str, buckets: int | None = None, fanout: int = 8):
-        self.spark, self.path, self.fanout, self.tables = spark, path.rstrip("/"), fanout, {}
+        self.spark, self.path, self.fanout, self.tables = spark, _whole(spark, path), fanout, {}
         self.states = States(spark, f"{self.path}/states")
         self.wanted = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -101,7 +107,8 @@ class KeyIndex:
         """A run as a table of this session, known by its place alone."""
         if name not in self.tables:
             table = f"corpusloom_keys_{uuid.uuid4().hex}"
-            self.spark.sql(f"CREATE TABLE {table} (key STRING) USING parquet CLUSTERED BY (key) SORTED BY (key) INTO {buckets} BUCKETS LOCATION '{self.path}/runs/{name}'")
+            place = f"{self.path}/runs/{name}".replace("\\", "\\\\").replace("'", "\\'")
+            self.spark.sql(f"CREATE TABLE {table} (key STRING) USING parquet CLUSTERED BY (key) SORTED BY (key) INTO {buckets} BUCKETS LOCATION '{place}'")
             self.tables[name] = table
         return self.spark.table(self.tables[name])
 
@@ -151,7 +158,7 @@ class KeyIndex:
             _drop(self.spark, f"{self.path}/runs/{name}")
 
     def close(self) -> None:
-        """Forget the session's tables; the runs stay in their folder."""
+        """Forget the session's tables; the runs stay in their folder, and frames that were not yet evaluated are void."""
         for table in self.tables.values():
             self.spark.sql(f"DROP TABLE IF EXISTS {table}")
         self.tables = {}
@@ -169,7 +176,7 @@ class BucketTable:
     """
 
     def __init__(self, spark: SparkSession, path: str, key: list[str], buckets: int = 64):
-        self.spark, self.path, self.key, self.wanted = spark, path.rstrip("/"), key, buckets
+        self.spark, self.path, self.key, self.wanted = spark, _whole(spark, path), key, buckets
         self.states = States(spark, f"{self.path}/versions")
 
     @staticmethod

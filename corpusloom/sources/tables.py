@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..plans.schemas import JOB, JOB_DEFAULTS
+from . import landed
 
 
 def seeds(spark: SparkSession, urls: list[str] | None = None, file: str | None = None, lines: list[str] | None = None) -> DataFrame:
@@ -57,9 +58,16 @@ def frontier_depth(tasks: DataFrame, results: DataFrame) -> DataFrame:
     return open_.agg(F.count(F.lit(1)).alias("frontier_size"))
 
 
-def messages(spark: SparkSession, path: str, schema: StructType, max_files: int = 10) -> tuple[DataFrame, DataFrame]:
-    """(rows, malformed) of a stream of text files of JSON messages; a message that does not decode is kept aside with its text."""
-    raw = spark.readStream.option("maxFilesPerTrigger", max_files).text(path)
+def messages(spark: SparkSession, path: str, schema: StructType, max_files: int = 10, pull: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows, malformed) of a stream of text files of JSON messages; a message that does not decode is kept aside with its text.
+
+    A micro-batch has at most `max_files` files, or with `pull` at most min(pull, 500) messages, whatever files they are in.
+    """
+    if pull is None:
+        raw = spark.readStream.option("maxFilesPerTrigger", max_files).text(path)
+    else:
+        landed.register(spark)
+        raw = spark.readStream.format("pulled_messages").option("path", path).option("batch", pull).load().select("value")
     parsed = raw.withColumn("m", F.from_json("value", schema, {"mode": "PERMISSIVE"}))
     first = schema.fields[0].name
     return parsed.filter(F.col(f"m.{first}").isNotNull()).select("m.*"), parsed.filter(F.col(f"m.{first}").isNull()).select("value")

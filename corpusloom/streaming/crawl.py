@@ -44,8 +44,9 @@ def admission_stream(raw: DataFrame, jobs: Callable[[], DataFrame], pages: Calla
         good, bad = edges(batch)
         good = good.withColumn("seq", F.monotonically_increasing_id())
         kept: list[DataFrame] = []
+        existing = pages()
         earlier = lambda rows, columns: seen.hits(rows, columns, number)
-        rows = admit(good, jobs(), pages(), earlier, options, used=_used(batch.sparkSession, out, number), kept=kept).persist()
+        rows = admit(good, jobs(), existing, earlier, options, used=_used(batch.sparkSession, out, number), kept=kept).persist()
         kept.append(rows)
         try:
             done = tasks(rows, options)
@@ -59,6 +60,9 @@ def admission_stream(raw: DataFrame, jobs: Callable[[], DataFrame], pages: Calla
         finally:
             for frame in kept:
                 frame.unpersist()
+            for index in (seen, existing):
+                if isinstance(index, KeyIndex):
+                    index.close()
 
     return raw.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -106,6 +110,7 @@ def result_stream(results: DataFrame, table: str, checkpoint: str, now: Callable
             known.add(fresh, PAGE_KEY, number)
         finally:
             fresh.unpersist()
+            known.close()
 
         def merge(rows: DataFrame) -> None:
             ordered = rows.withColumn("seq", F.monotonically_increasing_id())

@@ -117,3 +117,22 @@ def test_messages_are_pulled_in_bounded_batches_and_go_on_after_a_restart(spark,
     run()
     assert got[115:] == [f"2-{i}" for i in range(7)]
     assert landed.PulledMessagesReader({"path": str(raw), "batch": "9000"}).most == 500
+
+
+def test_a_landed_walk_and_a_pulled_stream_feed_the_operators(spark, tmp_path):
+    from corpusloom.plans.schemas import EDGE
+    from corpusloom.sources import tables
+
+    (tmp_path / "j").mkdir()
+    for k, n in enumerate([2, 2, 0, 0, 0, 2]):
+        (tmp_path / "j" / f"{k * 200}.json").write_text(json.dumps({"headers": {"status": "success"}, "results": [{"id": f"{k}-{i}", "license_ccurl": "http://c/licenses/by/3.0/", "audiodownload": "x", "audiodownload_allowed": True} for i in range(n)]}))
+    pages = catalogs.landed_pages(spark, str(tmp_path / "j"), catalogs.JAMENDO_PAGE, pages="2")
+    assert sorted(r.source_id for r in catalogs.jamendo_items(pages).collect()) == ["0-0", "0-1", "1-0", "1-1"]
+    (tmp_path / "m").mkdir()
+    (tmp_path / "m" / "a.txt").write_text("\n".join([json.dumps({"url": f"u{i}", "job_id": "j"}) for i in range(12)] + ["broken"]))
+    sizes = []
+    good, bad = tables.messages(spark, str(tmp_path / "m"), EDGE, pull=5)
+    query = good.writeStream.foreachBatch(lambda batch, number: sizes.append(batch.count())).option("checkpointLocation", str(tmp_path / "ck")).start()
+    query.processAllAvailable()
+    query.stop()
+    assert sizes == [5, 5, 2]
