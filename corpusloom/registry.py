@@ -180,6 +180,17 @@ _ADMITTED = f"""WITH RECURSIVE l AS (SELECT page_id, url AS base, link, min(i) A
   z AS (SELECT url, job_id, reason FROM s WHERE reason IS NOT NULL UNION ALL SELECT url, job_id, CASE WHEN ok THEN NULL WHEN taken >= 500 THEN 'domain_cap' WHEN taken >= own THEN 'job_domain_cap' ELSE 'job_cap' END FROM t) """
 
 
+@query(
+    f"""WITH e AS (SELECT page_id, page_id % 4 AS job, {_NORM} AS norm, regexp_extract({_HOST}, '([^.]+\\.[^.]+)$', 1) AS root FROM pages), f AS (SELECT *, row_number() OVER (PARTITION BY job, norm ORDER BY page_id) AS nth FROM e)
+    SELECT page_id, CASE WHEN nth > 1 THEN 'dup_in_batch' WHEN (job = 0 AND root NOT IN ('example.com', 'example.net')) OR job = 2 THEN 'external_link' END AS reason FROM f"""
+)
+def external_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as candidates of four jobs: one bound to the roots of its seeds, one that follows all links, one without a usable seed, one unknown."""
+    edges = _t(spark, sf_dir, "pages").select("url", F.lit(None).cast("string").alias("source_url"), F.concat(F.lit("job-"), F.col("page_id") % 4).alias("job_id"), F.lit(0).alias("depth"), F.col("page_id").alias("seq"))
+    jobs = _jobs(spark).select("id", F.lit("Running").alias("status"), F.lit(3).alias("max_depth"), *[F.lit(None).cast("long").alias(c) for c in ("max_pages", "max_pages_per_domain")], *[F.array().cast("array<string>").alias(c) for c in ("allowed_domains", "include_patterns", "exclude_patterns")], (F.col("id") == "job-1").alias("follow_external_links"), "default_license", F.when(F.col("id") == "job-0", F.array(F.lit("https://www.EXAMPLE.com/start"), F.lit("not a url"), F.lit("http://b.example.net"))).otherwise(F.array(F.lit("http://10.0.0.1/"))).alias("seeds"))
+    return admission.screened(edges, jobs, options=Admission(url_across_jobs=False)).select(F.col("seq").alias("page_id"), "reason")
+
+
 @query(_ADMITTED + "SELECT coalesce(reason, 'admitted') AS reason, job_id, count(*) AS n FROM z GROUP BY ALL")
 def admission_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The admission plan over all links of all pages; per reason the number of candidates."""
