@@ -144,7 +144,8 @@ class KeyIndex:
         state = self.state(number)
         buckets, runs = state["buckets"], list(state["runs"])
         keys = rows.select(key_of(columns).alias("key")).repartition(buckets, "key").distinct()
-        runs.append({"name": self._write(keys, buckets), "level": 0})
+        if not rows.isEmpty():  # a batch without keys leaves no run
+            runs.append({"name": self._write(keys, buckets), "level": 0})
         level = 0
         while len(full := [r for r in runs if r["level"] == level]) >= self.fanout:
             merged = reduce(DataFrame.union, [self.run(r["name"], buckets) for r in full]).repartition(buckets, "key").distinct()
