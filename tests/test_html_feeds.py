@@ -1,3 +1,7 @@
+import tracemalloc
+
+import pyarrow as pa
+
 from corpusloom.functions import feeds, html
 
 
@@ -50,3 +54,19 @@ def test_robots():
     assert feeds.crawl_delay(b"User-agent: *\nCrawl-delay: 3\nUser-agent: *\nDisallow: /", "bot") is None and feeds.crawl_delay(b"\xff", "b") is None
     rules = b"User-agent: *\nDisallow: /a\nAllow: /a/b\nDisallow: /*.pdf$\n"
     assert [feeds.robots_allowed(rules, "bot", f"https://x.com{p}") for p in ("/", "/a/c", "/a/b/c", "/d.pdf", "/d.pdf?x")] == [True, False, True, False, True]
+
+
+def test_extraction_holds_few_pages_at_once():
+    page = "<html><head><title>t{0}</title></head><body>" + "<p>some words</p><a href='/x{0}'>link</a>" * 20 + "</body></html>"
+
+    def peak(n):
+        texts, bases = pa.array([None if k == 70 else page.format(k) for k in range(n)]), pa.array(["https://example.com/"] * n)
+        tracemalloc.start()
+        found = html.extract_page.func(texts, bases)
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert found.field("title").to_pylist() == [None if k == 70 else f"t{k}" for k in range(n)]
+        return most
+
+    peak(100)
+    assert peak(1200) < 1.5 * peak(150)
