@@ -388,7 +388,9 @@ def verified_edges(nodes: DataFrame, texts: Callable[[DataFrame], DataFrame], ra
         if edges is None:
             named = groups.withColumn("label", F.col("id"))
         else:
-            labels = keep(components(edges)).withColumnRenamed("node", "id")
+            united = keep(components(edges))
+            edges = united.select(F.col("node").alias("src"), F.col("component").alias("dst")).filter("src <> dst")  # the same groups by fewer links, in one piece
+            labels = united.withColumnRenamed("node", "id")
             named = groups.join(labels, "id", "left").select(*groups.columns, F.coalesce("component", "id").alias("label"))
         dealt = named.repartition("part", "key", "x", "y").sortWithinPartitions("part", "key", "x", "y")
         met = keep(dealt.mapInArrow(settled(_partners(radius, cap)), "src long, dst long").distinct())
