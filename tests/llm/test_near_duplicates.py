@@ -319,3 +319,17 @@ def test_prints_of_whole_texts(spark):
     rows = [(1, "a b c d e f g"), (2, "A b c\nd E f g"), (3, ""), (4, "a b"), (5, "x " * 40_000)]
     got = {r.doc_id: r.fps for r in simhash.with_prints(docs(spark, rows).select("doc_id", "text"), "text", 5, 3, ("doc_id",)).collect()}
     assert got[1] == got[2] and len(set(got[1])) == 3 and got[3] == [0, 0, 0] and any(got[4]) and len(got[5]) == 3
+
+
+def test_links_of_all_fingerprints_stay_in_few_pieces(spark, monkeypatch):
+    pieces, real = [], simhash.components
+
+    def counted(edges):
+        pieces.append(edges._jdf.queryExecution().analyzed().collectLeaves().size())
+        return real(edges)
+
+    monkeypatch.setattr(simhash, "components", counted)
+    words = [f"w{k}" for k in range(60)]
+    rows = [(1, " ".join(words)), (2, " ".join([*words[:-1], "other"])), (3, "something else")]
+    assert {r.doc_id for r in simhash.first_of_each(docs(spark, rows)).collect()} == {1, 3}
+    assert max(pieces) <= 2 + simhash.PARTS
