@@ -270,6 +270,25 @@ def test_long_lines_link_by_their_length(spark):
     assert sorted(map(tuple, both[0].collect())) == sorted(map(tuple, both[1].collect()))
 
 
+def test_equal_windows_choose_equal_grams_at_few_places():
+    rng = np.random.default_rng(11)
+    codes = rng.integers(97, 123, 40000).astype(np.uint8)
+    codes[30000:30500] = codes[100:600]
+    for width in (15, 16, 17, 18, 19):
+        chosen = linededup._chosen(np.concatenate([codes, np.zeros(width + 24, dtype=np.uint8)]), len(codes), width, linededup.STEPS)
+        inside = 500 - width + 1
+        assert (chosen[30000 : 30000 + inside] - 30000 == chosen[100 : 100 + inside] - 100).all()
+        assert ((shift := chosen - np.arange(len(codes))) >= 0).all() and (shift < linededup.STEPS).all()
+        assert len(np.unique(chosen)) < 0.3 * len(codes)
+
+
+def test_a_cell_has_a_row_for_each_line_not_each_pair():
+    pairs = np.array([(a, b, 0) for b in range(100) for a in range(b)], dtype="<i8")
+    rows = [r for batch in linededup._celled(iter([linededup._dealt(np.zeros(len(pairs), dtype=np.uint16), pairs, 0).select(["bucket", "data"])])) for r in batch.to_pylist()]
+    assert sorted(r["line"] for r in rows if r["line"] is not None) == list(range(100))
+    assert len(rows) == 101 and {frozenset(x) for r in rows if r["data"] for x in np.frombuffer(r["data"], dtype="<i8").reshape(-1, 2).tolist()} == {frozenset(x[:2]) for x in pairs.tolist()}
+
+
 def test_banded_distances_of_many_pairs():
     rng = random.Random(10)
     for edits in (3, 9, 28, 29, 70):
