@@ -289,6 +289,23 @@ def test_a_cell_has_a_row_for_each_line_not_each_pair():
     assert len(rows) == 101 and {frozenset(x) for r in rows if r["data"] for x in np.frombuffer(r["data"], dtype="<i8").reshape(-1, 2).tolist()} == {frozenset(x[:2]) for x in pairs.tolist()}
 
 
+def test_waiting_keys_travel_packed_and_lines_get_labels_once():
+    """40 lines that share 50 keys: 40 rows of labels, not 2000; only lines with unlike labels meet."""
+    number = lambda line, sig: (line, sig << 27 | 100 << 13 | 3 << 1 | 1)
+    held = np.array([number(line, sig) for sig in range(50) for line in range(40)], dtype="<i8")
+    keys = linededup._dealt(np.full(len(held), 5, dtype=np.uint32), held, 0).select(["bucket", "data"])
+    lines = [r["line"] for b in linededup._lines_in(iter([keys])) for r in b.to_pylist()]
+    assert lines == list(range(40))
+    none = pa.nulls(1, pa.int64())
+    rows = [pa.RecordBatch.from_arrays([keys.column(0), none, none, keys.column(1)], names=["bucket", "line", "label", "data"])]
+    rows.append(pa.RecordBatch.from_arrays([pa.array([5] * 40), pa.array(lines), pa.array([0] * 38 + [38, 39]), pa.nulls(40, pa.binary())], names=["bucket", "line", "label", "data"]))
+    got = [r for b in linededup._further(2, 5, 10**6, 4)(iter(rows)) for r in b.to_pylist()]
+    pairs = {tuple(x) for r in got if not r["more"] for x in np.frombuffer(r["data"], dtype="<i8").reshape(-1, 3)[:, :2].tolist()}
+    assert pairs == {(a, b) for b in (38, 39) for a in range(b)} and not any(r["more"] for r in got)
+    got = [r for b in linededup._further(2, 5, 1, 4)(iter(rows)) for r in b.to_pylist()]
+    assert {r["bucket"] for r in got if r["more"]} == {5} and sum(len(r["data"]) for r in got if r["more"]) == held.nbytes
+
+
 def test_banded_distances_of_many_pairs():
     rng = random.Random(10)
     for edits in (3, 9, 28, 29, 70):
