@@ -154,7 +154,7 @@ def _allocate(cost: list[list[float]], units: int) -> tuple[float, list[int]]:
 
 
 def _probes(parts: list[tuple[list[int], int]]):
-    """Rows (part, key, fp, id, own) of each fingerprint: its own key in each part, and the keys that arise when up to t of its set bits are cleared or, for two and more, changed."""
+    """Rows (part, key, fp, id, own) of rows (fp, id, print): a fingerprint's own key in each part, and the keys that arise when up to t of its set bits are cleared or, for two and more, changed. Each print has parts of its own."""
     from itertools import combinations
 
     masks = [(k, np.uint64(sum(1 << b for b in part)), [np.uint64(sum(1 << b for b in c)) for d in range(1, t + 1) for c in combinations(part, d)]) for k, (part, t) in enumerate(parts)]
@@ -165,6 +165,7 @@ def _probes(parts: list[tuple[list[int], int]]):
                 cut = batch.slice(at, 2000)
                 fp = cut.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
                 ids = cut.column(1).to_numpy(zero_copy_only=False)
+                base = cut.column(2).to_numpy(zero_copy_only=False) * np.int32(len(masks))
                 for k, mask, changes in masks:
                     keys, who, own = [fp & mask], [np.arange(len(fp))], [np.ones(len(fp), dtype=bool)]
                     for change in changes:
@@ -176,7 +177,7 @@ def _probes(parts: list[tuple[list[int], int]]):
                         own.append(np.zeros(len(at_), dtype=bool))
                     w = np.concatenate(who)
                     key = np.concatenate(keys).view(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(w), k, dtype=np.int32)), pa.array(key), pa.array(fp[w].view(np.int64)), pa.array(ids[w]), pa.array(np.concatenate(own))], names=["part", "key", "fp", "id", "own"])
+                    yield pa.RecordBatch.from_arrays([pa.array(base[w] + np.int32(k)), pa.array(key), pa.array(fp[w].view(np.int64)), pa.array(ids[w]), pa.array(np.concatenate(own))], names=["part", "key", "fp", "id", "own"])
 
     return run
 
@@ -249,8 +250,8 @@ def _links(radius: int):
 
 
 def _groups(nodes: DataFrame, parts: list[tuple[list[int], int]], most: int) -> DataFrame:
-    """Rows (part, key, x, y, fp, id, own, block) that lie together by the first four: the nodes that share a probe key, two blocks of at most about `most` at a time."""
-    probes = nodes.select("fp", "id").mapInArrow(settled(_probes(parts)), "part int, key long, fp long, id long, own boolean")
+    """Rows (part, key, x, y, fp, id, own, block) that lie together by the first four: the rows (fp, id, print) of `nodes` that share a probe key of a print, two blocks of at most about `most` at a time."""
+    probes = nodes.select("fp", "id", "print").mapInArrow(settled(_probes(parts)), "part int, key long, fp long, id long, own boolean")
     sizes = keep(probes.groupBy("part", "key").agg(F.count(F.lit(1)).alias("size"), F.max("own").alias("any")).filter("any and size > 1").select("part", "key", "size", F.col("size").alias("n")))
     total = sizes.agg(F.sum("n")).first()[0] or 0
     found = salted_join(probes, sizes, ["part", "key"], "id", "n", total).filter("size is not null")
@@ -268,7 +269,7 @@ def _parts(nodes: DataFrame, radius: int) -> list[tuple[list[int], int]]:
 
 def link_edges(nodes: DataFrame, radius: int = 3) -> DataFrame:
     """Edges (src, dst) that connect exactly what links of at most `radius` bits connect. `nodes` has fp (different) and id (long)."""
-    groups = _groups(nodes, _parts(nodes, radius), BLOCK).drop("block").repartition("part", "key", "x", "y").sortWithinPartitions("part", "key", "x", "y")
+    groups = _groups(nodes.withColumn("print", F.lit(0)), _parts(nodes, radius), BLOCK).drop("block").repartition("part", "key", "x", "y").sortWithinPartitions("part", "key", "x", "y")
     return groups.mapInArrow(settled(_links(radius)), "src long, dst long")
 
 
@@ -375,14 +376,19 @@ def with_prints(docs: DataFrame, text: str, width: int, prints: int, carry: tupl
     return docs.select(*carry, F.col(text).alias("_text")).mapInArrow(settled(run), schema)
 
 
-def verified_edges(nodes: DataFrame, texts: Callable[[DataFrame], DataFrame], radius: int, width: int, similarity: float, edges: DataFrame | None = None, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """Edges (src, dst) that connect exactly what links connect: at most `radius` differing bits and the similarity of shingles; and the pairs that were compared. `nodes` has fp and id, `texts` gives id and text, one row for each wanted id.
+def verified_edges(nodes: DataFrame, texts: Callable[[DataFrame], DataFrame], radius: int, width: int, similarity: float) -> DataFrame:
+    """Edges (src, dst) that connect exactly what links connect: at most `radius` differing bits in one print and the similarity of shingles. `nodes` has id and fps (array), `texts` gives id and text, one row for each wanted id.
 
-    `edges` and `known` are what earlier fingerprints of the same nodes gave: what they connect is not compared again. A text takes FIRST partners of a group;
+    All prints are probed at once and by the same parts, so that the number of jobs does not grow with the prints. A text takes FIRST partners of a group;
     once these links are united, only texts that are still apart take more, so a large group of copies does not give all its pairs.
     """
     spark = nodes.sparkSession
-    groups, path = keep(_groups(nodes, _parts(nodes, radius), LARGE)), scratch(spark, "similar")
+    path, held = scratch(spark, "similar"), scratch(spark, "groups")
+    each = nodes.select(F.posexplode("fps").alias("print", "fp"), "id")
+    with tidy(spark):
+        _groups(each, _parts(nodes.select(F.col("fps")[0].alias("fp"), "id"), radius), LARGE).write.parquet(held)
+    groups = spark.read.schema("part int, key long, x int, y int, fp long, id long, own boolean, block int").parquet(held)
+    edges = known = None
     cap = FIRST
     while True:
         if edges is None:
@@ -408,7 +414,8 @@ def verified_edges(nodes: DataFrame, texts: Callable[[DataFrame], DataFrame], ra
             edges = good if edges is None else edges.union(good)
         if not met.filter("dst is null").limit(1).count():
             drop_path(spark, path)
-            return edges, known
+            drop_path(spark, held)
+            return edges
         cap *= FURTHER
 
 
@@ -438,9 +445,7 @@ def first_of_each(docs: DataFrame, id_col: str = "doc_id", text: str = "text", r
         # Copies of a text are spread over the tasks by their whole row.
         return named.join(nodes.join(wanted, "id").select("_h1", "_h2", "first", "id"), ["_h1", "_h2", "first"]).dropDuplicates(["id"])
 
-    edges = known = None
-    for k in range(prints):
-        edges, known = verified_edges(nodes.select(F.col("fps")[k].alias("fp"), "id"), texts, radius, width, similarity, edges, known)
+    edges = verified_edges(nodes.select("id", "fps"), texts, radius, width, similarity)
     joined = keep(components(edges))
     behind = nodes.join(joined, nodes["id"] == joined["node"])
     leads = behind.groupBy("component").agg(F.min("first").alias("lead"))

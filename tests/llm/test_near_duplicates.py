@@ -369,3 +369,17 @@ def test_links_of_all_fingerprints_stay_in_few_pieces(spark, monkeypatch):
     rows = [(1, " ".join(words)), (2, " ".join([*words[:-1], "other"])), (3, "something else")]
     assert {r.doc_id for r in simhash.first_of_each(docs(spark, rows)).collect()} == {1, 3}
     assert max(pieces) <= 2 + simhash.PARTS
+
+
+def test_jobs_do_not_grow_with_the_fingerprints(spark, monkeypatch):
+    """Each plan takes memory on the driver, so all fingerprints are probed by the same ones."""
+    kept, real = [], simhash.keep
+    monkeypatch.setattr(simhash, "keep", lambda df: kept.append(1) or real(df))
+    words = [f"w{k}" for k in range(60)]
+    rows = [(1, " ".join(words)), (2, " ".join([*words[:-1], "other"])), (3, "something else")]
+    counts = []
+    for prints in (1, 4):
+        kept.clear()
+        assert {r.doc_id for r in simhash.first_of_each(docs(spark, rows), prints=prints).collect()} == {1, 3}
+        counts.append(len(kept))
+    assert counts[0] == counts[1]
