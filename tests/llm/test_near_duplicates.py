@@ -383,3 +383,23 @@ def test_jobs_do_not_grow_with_the_fingerprints(spark, monkeypatch):
         assert {r.doc_id for r in simhash.first_of_each(docs(spark, rows), prints=prints).collect()} == {1, 3}
         counts.append(len(kept))
     assert counts[0] == counts[1]
+
+
+def test_components_in_few_rounds(spark, monkeypatch):
+    """A long chain and a star are contracted in the tasks that hold them, also piece by piece; a round writes files for each task."""
+    rng = random.Random(5)
+    chain = [(k, k + 1) for k in range(100, 1100)]
+    star = [(2000, k) for k in range(2001, 2100)] + [(3000, 3000)]
+    edges = chain + star
+    rng.shuffle(edges)
+    df = spark.createDataFrame(edges, "src long, dst long")
+    kept, real = [], graph.keep
+    monkeypatch.setattr(graph, "keep", lambda df: kept.append(1) or real(df))
+    expected = {k: 100 for k in range(100, 1101)} | {k: 2000 for k in range(2000, 2100)}
+    assert dict(map(tuple, graph.components(df).collect())) == expected
+    assert len(kept) <= 4
+    pieces = [pa.RecordBatch.from_pydict({"a": [x for x, _ in edges[i : i + 7]], "b": [y for _, y in edges[i : i + 7]]}) for i in range(0, len(edges), 7)]
+    monkeypatch.setattr(graph, "EDGES", 50)
+    again = [(x, y) for b in graph.contracted(iter(pieces)) for x, y in zip(*[c.to_pylist() for c in b.columns], strict=True)]
+    assert all(x > y for x, y in again)
+    assert dict(map(tuple, graph.components(spark.createDataFrame(again, "src long, dst long")).collect())) == expected
